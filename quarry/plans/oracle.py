@@ -134,3 +134,41 @@ QUERY_TEXTS = "SELECT item_id AS query_id, text AS q FROM benchmark"
 WORD_QUERIES = ("SELECT q AS query_id, q FROM (SELECT DISTINCT unnest("
                 + words("text") + ") AS q FROM benchmark)")
 PHRASE_QUERIES = r"SELECT item_id AS query_id, regexp_replace(text, '\W+', '_', 'g') AS q FROM benchmark"
+
+
+CHUNKS = """chunks AS (
+  SELECT e.vec_id AS id, e.vec_id // 4 AS page, CAST(e.vec_id % 4 AS INTEGER) AS chunk_index,
+         c.source, c.status, e.embedding,
+         substr(c.content, CAST(e.vec_id % 4 AS INTEGER) * 200 + 1, 200) AS chunk
+  FROM embeddings e JOIN corpus c ON c.page = e.vec_id // 4)"""
+
+QVEC_SELECT = """SELECT a.vec_id // 2 AS query_id,
+         CAST(list_transform(list_zip(a.embedding, b.embedding),
+              lambda p: (CAST(p[1] AS DOUBLE) + CAST(p[2] AS DOUBLE)) / 2) AS FLOAT[]) AS embedding
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0"""
+
+QVEC = f"qvec AS ({QVEC_SELECT})"
+
+
+def cosine(a: str, b: str) -> str:
+    da, db = f"CAST({a} AS DOUBLE[])", f"CAST({b} AS DOUBLE[])"
+    return (f"(1 - list_dot_product({da}, {db}) / (sqrt(list_dot_product({da}, {da}))"
+            f" * sqrt(list_dot_product({db}, {db}))))")
+
+
+DIST = f"""dist AS (
+  SELECT q.query_id, c.id, c.page, c.source, c.chunk, {cosine('c.embedding', 'q.embedding')} AS distance
+  FROM qvec q CROSS JOIN chunks c)"""
+
+VEC_BASE = ",\n".join([CORPUS, CHUNKS, QVEC, DIST])
+
+NEAR_BY_SOURCE = """near AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY distance, id) AS rn
+                 FROM dist) WHERE rn <= 10)"""
+
+BEST_CHUNK = """best AS (
+  SELECT query_id, source, page, min(distance) AS distance, arg_min(chunk, (distance, id)) AS chunk
+  FROM near GROUP BY query_id, source, page),
+ranked_best AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY distance, page) AS rank_number
+  FROM best)"""

@@ -117,3 +117,73 @@ def parse_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.text import match_expression
     b = tb.read(spark, sf_dir, "benchmark")
     return b.select(F.col("item_id").alias("query_id"), match_expression(F.col("text")).alias("expr"))
+
+
+# ----------------------------------------------------------------------- H
+
+
+def _chunks(spark, sf_dir):
+    return tb.chunks(spark, sf_dir)
+
+
+@register("knn_cosine", ops="H1", sql=f"""
+WITH {O.VEC_BASE}
+SELECT query_id, id, rn, round(distance, 6) AS distance FROM (
+  SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rn
+  FROM dist) WHERE rn <= 10""")
+def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import vectors as vx
+    near = vx.knn(_chunks(spark, sf_dir), tb.query_vectors(spark, sf_dir), k=10)
+    return near.select("query_id", "id", "rn", r6("distance"))
+
+
+@register("similarity_by_source", ops="H1 H2 H3 H4 H13", sql=f"""
+WITH {O.VEC_BASE}, {O.NEAR_BY_SOURCE}
+SELECT n.query_id, n.source, n.id, n.page, c.url, round(n.distance, 6) AS similarity
+FROM near n JOIN corpus c ON c.page = n.page WHERE c.status = 2""")
+def similarity_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import vectors as vx
+    pages = tb.corpus(spark, sf_dir)
+    res = vx.similarity(tb.chunks(spark, sf_dir, pages), pages, tb.query_vectors(spark, sf_dir), k=10)
+    return res.select("query_id", "source", "id", "page", "url", r6("similarity"))
+
+
+@register("best_chunk_per_page", ops="H6 H8", sql=f"""
+WITH {O.VEC_BASE}, {O.NEAR_BY_SOURCE}, {O.BEST_CHUNK}
+SELECT query_id, source, page, round(distance, 6) AS distance, chunk, rank_number FROM ranked_best""")
+def best_chunk_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import vectors as vx
+    res = vx.best_chunk_per_page(_chunks(spark, sf_dir), tb.query_vectors(spark, sf_dir), k=10)
+    return res.select("query_id", "source", "page", r6("distance"), "chunk", "rank_number")
+
+
+HYBRID_QUERIES = f"""SELECT b.item_id AS query_id, b.text AS q FROM benchmark b
+  WHERE b.item_id IN (SELECT query_id FROM ({O.QVEC_SELECT}))"""
+
+
+@register("rrf_hybrid", ops="H7 H8 H9 H10 H11 H12", sql=f"""
+WITH {O.search_ctes(HYBRID_QUERIES)}, {O.CHUNKS}, {O.QVEC}, {O.DIST},
+near AS (
+  SELECT * FROM (SELECT d.*, row_number() OVER (PARTITION BY d.query_id, d.source ORDER BY d.distance, d.id) AS rn
+                 FROM dist d WHERE d.query_id IN (SELECT query_id FROM queries)) WHERE rn <= 10),
+{O.BEST_CHUNK},
+vec AS (SELECT r.query_id, r.page, r.rank_number AS vec_rank, r.distance AS vec_distance, r.chunk
+        FROM ranked_best r JOIN corpus c ON c.page = r.page WHERE c.status = 2),
+lex0 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9), page) AS pick FROM matches),
+lex AS (SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9), page) AS fts_rank
+        FROM lex0 WHERE pick <= 10),
+fused AS (
+  SELECT coalesce(l.query_id, v.query_id) AS query_id, coalesce(l.page, v.page) AS page,
+         l.fts_rank, v.vec_rank, v.vec_distance
+  FROM lex l FULL OUTER JOIN vec v ON l.query_id = v.query_id AND l.page = v.page)
+SELECT f.query_id, f.page, c.url, f.fts_rank, f.vec_rank, round(f.vec_distance, 6) AS vec_distance,
+       round(coalesce(0.5 / (60 + f.vec_rank), 0.0) + coalesce(1.0 / (60 + f.fts_rank), 0.0), 6) AS combined_rank
+FROM fused f JOIN corpus c ON c.page = f.page""")
+def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import hybrid as hy
+    idx = corpus_index(spark, sf_dir)
+    qv = tb.query_vectors(spark, sf_dir)
+    q = tb.query_texts(spark, sf_dir).join(qv, "query_id")
+    res = hy.hybrid_search(idx, tb.chunks(spark, sf_dir, idx.pages), q, limit=10)
+    return res.select("query_id", "page", "url", "fts_rank", "vec_rank", r6("vec_distance"),
+                      r6("combined_rank"))

@@ -34,10 +34,33 @@ def build_session(master: str | None = None, partitions: int | None = None,
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
 def configure(spark: SparkSession) -> None:
     """Settings every operator relies on; safe to call on a foreign session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     checkpoint_dir(spark)
+    ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable in Python workers (Arrow functions pickle by reference)."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="quarry-pkg-"), "quarry.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    spark.sparkContext.addPyFile(out)
+    _SHIPPED.add(app)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
