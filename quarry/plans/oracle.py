@@ -172,3 +172,196 @@ BEST_CHUNK = """best AS (
 ranked_best AS (
   SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY distance, page) AS rank_number
   FROM best)"""
+
+
+def doc_url(src: str = "d.source", lang: str = "d.lang", doc: str = "d.doc_id") -> str:
+    return f"('https://' || {src} || '.example.com/' || {lang} || '/' || CAST({doc} AS VARCHAR))"
+
+
+def http(u: str) -> str:
+    return f"replace({u}, 'https://', 'http://')"
+
+
+UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+LOWER = "'abcdefghijklmnopqrstuvwxyz'"
+
+
+def url_key(u: str) -> str:
+    return f"translate({u}, {UPPER}, {LOWER})"
+
+
+ALIASES = f"""aliases AS (
+  SELECT source, {http('url')} AS url, url AS canonical, crawled_at FROM corpus WHERE page % 4 = 0)"""
+
+SOURCES = """sources AS (
+  SELECT source AS id, 'https://' || source || '.example.com/' AS url,
+         [source || '.example.com'] AS allowed_domains, 3 AS max_depth, 2000 AS size_limit,
+         5 AS speed, 30 AS min_age
+  FROM (SELECT DISTINCT source FROM documents))"""
+
+TITLE = r"regexp_extract(html, '<title[^>]*>(.*?)</title>', 1)"
+
+RECRAWL = f"""lab AS (SELECT * FROM labels JOIN documents d USING (doc_id)),
+batch AS (
+  SELECT source, CASE WHEN quality = 0 THEN {doc_url('upper(source)', 'lang', 'doc_id')}
+                      ELSE {doc_url('source', 'lang', 'doc_id')} END AS url,
+         CAST(2 AS TINYINT) AS status, substr(text, 81, 160) AS description, text AS content,
+         '' AS error_info, CAST(doc_id % 5 + 1 - 2 * toxic AS INTEGER) AS depth,
+         'v2 ' || substr(text, 1, 80) AS title, doc_id * 2 AS seq
+  FROM lab
+  UNION ALL
+  SELECT source, CASE WHEN quality = 0 THEN {doc_url('upper(source)', 'lang', 'doc_id')}
+                      ELSE {doc_url('source', 'lang', 'doc_id')} END AS url,
+         CAST(2 AS TINYINT), substr(text, 81, 160), text, '', 0,
+         'v3 ' || substr(text, 1, 80), doc_id * 2 + 1
+  FROM lab WHERE toxic = 1
+  UNION ALL
+  SELECT 'web', url, CAST(2 AS TINYINT), '', '', '', 1, {TITLE}, 1000000000 + page_id FROM pages)"""
+
+UPSERT = f"""{RECRAWL},
+nb AS (
+  SELECT source, {url_key('url')} AS url_key, arg_max(status, seq) AS status,
+         arg_max(title, seq) AS title, arg_max(description, seq) AS description,
+         arg_max(content, seq) AS content, arg_max(error_info, seq) AS error_info,
+         min(depth) AS b_depth, arg_min(url, seq) AS first_url, min(seq) AS first_seq
+  FROM batch GROUP BY source, {url_key('url')}),
+o AS (SELECT *, {url_key('url')} AS url_key FROM corpus),
+kept AS (
+  SELECT o.page, o.source, o.url,
+         CASE WHEN nb.b_depth IS NOT NULL THEN least(o.depth, nb.b_depth) ELSE o.depth END AS depth,
+         CASE WHEN nb.b_depth IS NOT NULL THEN nb.status ELSE o.status END AS status,
+         CASE WHEN nb.b_depth IS NOT NULL THEN nb.title ELSE o.title END AS title,
+         CASE WHEN nb.b_depth IS NOT NULL THEN nb.content ELSE o.content END AS content,
+         CASE WHEN nb.b_depth IS NOT NULL THEN TIMESTAMP '2024-03-01 00:00:00' ELSE o.crawled_at END AS crawled_at
+  FROM o LEFT JOIN nb ON nb.source = o.source AND nb.url_key = o.url_key),
+fresh AS (
+  SELECT (SELECT max(page) FROM corpus) + row_number() OVER (ORDER BY first_seq) AS page,
+         source, first_url AS url, b_depth AS depth, status, title, content,
+         TIMESTAMP '2024-03-01 00:00:00' AS crawled_at
+  FROM nb WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.source = nb.source AND o.url_key = nb.url_key)),
+upserted AS (SELECT * FROM kept UNION ALL SELECT * FROM fresh)"""
+
+ALIAS_WRITES = f"""writes AS (
+  SELECT source, {http(doc_url('source', 'lang', 'doc_id'))} AS url,
+         CASE WHEN toxic = 1 THEN {doc_url('source', 'lang', 'doc_id')} || '/'
+              WHEN quality = 1 THEN {http(doc_url('source', 'lang', 'doc_id'))}
+              ELSE {doc_url('source', 'lang', 'doc_id')} END AS canonical, doc_id AS seq
+  FROM labels JOIN documents USING (doc_id)
+  UNION ALL
+  SELECT source, replace({doc_url('source', 'lang', 'doc_id')}, 'https://', 'HTTP://'),
+         {doc_url('source', 'lang', 'doc_id')}, doc_id + 1000000
+  FROM labels JOIN documents USING (doc_id) WHERE quality = 0)"""
+
+FRONTIER = """frontier AS (
+  SELECT event_id AS id, event_type AS source,
+         'https://h' || CAST(user_id AS VARCHAR) || '.example.com/' || CAST(event_id % 50 AS VARCHAR) AS url,
+         CAST(event_id % 4 AS INTEGER) AS status, CAST(event_id % 7 AS INTEGER) AS depth,
+         ts AS added_at, ts + to_seconds(CAST(event_id % 120 AS BIGINT)) AS updated_at
+  FROM events)"""
+
+LINKS = """links AS (
+  SELECT event_type AS source,
+         'https://H' || CAST(user_id AS VARCHAR) || '.example.com/' || CAST((event_id + 1) % 50 AS VARCHAR) AS url,
+         CAST(event_id % 7 + 1 AS INTEGER) AS depth, event_id AS seq
+  FROM events)"""
+
+EMBED_QUEUE = """eq AS (
+  SELECT vec_id AS id, vec_id // 4 AS page, CAST(vec_id % 4 AS INTEGER) AS chunk_index,
+         CAST(label % 5 AS INTEGER) AS status,
+         TIMESTAMP '2024-02-29 23:50:00' + to_seconds(vec_id) AS added_at,
+         TIMESTAMP '2024-02-29 23:50:00' + to_seconds(vec_id) + to_seconds(CAST(label * 10 AS BIGINT)) AS updated_at
+  FROM embeddings)"""
+
+NOW = "TIMESTAMP '2024-03-01 00:00:00'"
+
+URL_RE = r"'^([A-Za-z][A-Za-z0-9+.\-]*):(//([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$'"
+
+
+def url_part(u: str, i: int) -> str:
+    return f"regexp_extract({u}, {URL_RE}, {i})"
+
+
+def is_url(u: str) -> str:
+    return f"(regexp_matches({u}, {URL_RE}) AND length({url_part(u, 3)}) > 0)"
+
+
+def hostname(u: str) -> str:
+    return (f"CASE WHEN {is_url(u)} THEN regexp_extract({url_part(u, 3)}, '^(?:[^@]*@)?([^:]*)', 1) END")
+
+
+def canonical_guess(u: str) -> str:
+    return (f"CASE WHEN {is_url(u)} THEN lower({url_part(u, 1)}) || ':' || {url_part(u, 2)} || "
+            f"regexp_replace({url_part(u, 4)}, '/$', '') || {url_part(u, 5)} || "
+            f"CASE WHEN contains({url_part(u, 6)}, '/') THEN {url_part(u, 6)} ELSE '' END END")
+
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+            ("&nbsp;", " "), ("&amp;", "&")]
+
+
+def unescape(c: str) -> str:
+    for a, b in ENTITIES:
+        lit = "'" + b.replace("'", "''") + "'"
+        c = f"replace({c}, '{a}', {lit})"
+    return c
+
+
+def attr(tag: str, name: str) -> str:
+    return unescape(f"""regexp_extract({tag}, '(?is)\\s{name}\\s*=\\s*["'']([^"'']*)["'']', 1)""")
+
+
+def has_attr(tag: str, name: str) -> str:
+    return f"regexp_matches({tag}, '(?is)\\s{name}\\s*=')"
+
+
+def tags(html: str, name: str) -> str:
+    return f"regexp_extract_all({html}, '(?is)<{name}\\s[^>]*>')"
+
+
+def scheme(u: str) -> str:
+    return f"lower({url_part(u, 1)})"
+
+
+def origin(u: str) -> str:
+    return f"({scheme(u)} || '://' || {url_part(u, 3)})"
+
+
+def resolve(base: str, ref: str) -> str:
+    nofrag = f"regexp_replace({base}, '#.*$', '')"
+    noq = f"regexp_replace({nofrag}, '\\?.*$', '')"
+    return (f"(CASE WHEN regexp_matches({ref}, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN {ref} "
+            f"WHEN starts_with({ref}, '//') THEN {scheme(base)} || ':' || {ref} "
+            f"WHEN starts_with({ref}, '/') THEN {origin(base)} || {ref} "
+            f"WHEN starts_with({ref}, '#') THEN {nofrag} || {ref} "
+            f"WHEN starts_with({ref}, '?') THEN {noq} || {ref} "
+            f"WHEN {ref} = '' THEN {nofrag} "
+            f"ELSE regexp_replace({noq}, '[^/]*$', '') || {ref} END)")
+
+
+def anchors(html: str, base: str) -> str:
+    good = f"list_filter({tags(html, 'a')}, lambda t: {has_attr('t', 'href')} AND NOT contains({attr('t', 'rel')}, 'nofollow'))"
+    res = f"list_transform({good}, lambda t: {canonical_guess(resolve(base, attr('t', 'href')))})"
+    return f"list_distinct(list_filter({res}, lambda x: x IS NOT NULL))"
+
+
+def resolved_anchors(html: str, base: str) -> str:
+    good = f"list_filter({tags(html, 'a')}, lambda t: {has_attr('t', 'href')} AND NOT contains({attr('t', 'rel')}, 'nofollow'))"
+    return f"list_transform({good}, lambda t: {resolve(base, attr('t', 'href'))})"
+
+
+def first_with(html: str, tag: str, a: str, value: str) -> str:
+    return f"list_filter({tags(html, tag)}, lambda t: lower({attr('t', a)}) = '{value}')[1]"
+
+
+def truncate(items: list[str], budget: str) -> list[str]:
+    out, rem = [], budget
+    for it in items:
+        it = f"coalesce({it}, '')"
+        n = f"strlen({it})"
+
+        def pre(k):
+            return f"CASE WHEN ({k}) >= 0 THEN try(decode(encode({it})[1:({k})])) END"
+
+        cut = f"coalesce({pre(rem)}, {pre(rem + ' - 1')}, {pre(rem + ' - 2')}, {pre(rem + ' - 3')}, '')"
+        out.append(f"(CASE WHEN {n} <= {rem} THEN {it} WHEN {rem} > 0 THEN {cut} ELSE '' END)")
+        rem = f"(CASE WHEN {n} <= {rem} THEN {rem} - {n} ELSE 0 END)"
+    return out

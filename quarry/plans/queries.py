@@ -187,3 +187,349 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     res = hy.hybrid_search(idx, tb.chunks(spark, sf_dir, idx.pages), q, limit=10)
     return res.select("query_id", "page", "url", "fts_rank", "vec_rank", r6("vec_distance"),
                       r6("combined_rank"))
+
+
+# ------------------------------------------------------------------------- C
+
+
+def _epoch(c: str):
+    return F.unix_timestamp(F.col(c)).alias(c)
+
+
+@register("upsert_pages", ops="C5", sql=f"""
+WITH {O.CORPUS}, {O.UPSERT}
+SELECT page, source, url, depth, status, title, epoch(crawled_at)::BIGINT AS crawled_at FROM upserted""")
+def upsert_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import store as st
+    pages = tb.corpus(spark, sf_dir).withColumn("error_info", F.lit(""))
+    out = st.upsert(pages, tb.recrawl_batch(spark, sf_dir), tb.now())
+    return out.select("page", "source", "url", "depth", "status", "title", _epoch("crawled_at"))
+
+
+@register("latest_alias", ops="C11", sql=f"""
+WITH {O.CORPUS}, {O.ALIASES}, {O.ALIAS_WRITES},
+w AS (SELECT * FROM writes WHERE canonical <> url),
+latest AS (SELECT source, {O.url_key('url')} AS url_key, arg_max(url, seq) AS url,
+                  arg_max(canonical, seq) AS canonical
+           FROM w GROUP BY source, {O.url_key('url')})
+SELECT source, url, canonical FROM aliases a
+WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.source = a.source AND l.url_key = {O.url_key('a.url')})
+UNION ALL SELECT source, url, canonical FROM latest""")
+def latest_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import store as st
+    out = st.set_aliases(tb.aliases(spark, sf_dir), tb.alias_writes(spark, sf_dir), tb.now())
+    return out.select("source", "url", "canonical")
+
+
+@register("lookup_via_alias", ops="C3 C4", sql=f"""
+WITH {O.CORPUS}, {O.ALIASES},
+req AS (SELECT page AS req_id, source, {O.http('url')} AS url FROM corpus
+        UNION ALL SELECT -page - 1, source, url FROM corpus),
+targets AS (SELECT req_id, source, url FROM req
+            UNION ALL SELECT r.req_id, r.source, a.canonical FROM req r JOIN aliases a ON a.url = r.url)
+SELECT DISTINCT t.req_id, c.page, c.title FROM targets t JOIN corpus c ON c.source = t.source AND c.url = t.url""")
+def lookup_via_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import store as st
+    pages = tb.corpus(spark, sf_dir)
+    req = pages.select(F.col("page").alias("req_id"), "source", tb.http_url(F.col("url")).alias("url")) \
+        .unionByName(pages.select((-F.col("page") - 1).alias("req_id"), "source", "url"))
+    return st.lookup(req, pages.select("page", "source", "url", "title"), tb.aliases(spark, sf_dir, pages)) \
+        .select("req_id", "page", "title")
+
+
+@register("alias_collapse", ops="C13", sql=f"""
+WITH {O.CORPUS}, {O.ALIASES},
+old AS (SELECT page, source, url FROM corpus
+        UNION ALL SELECT l.doc_id + 1000000, c.source, {O.http('c.url')} FROM labels l JOIN corpus c ON c.page = l.doc_id),
+batch AS (SELECT c.source, c.url FROM labels l JOIN corpus c ON c.page = l.doc_id),
+doomed AS (SELECT a.source, a.url FROM batch b JOIN aliases a ON a.source = b.source AND a.canonical = b.url)
+SELECT page, source, url FROM old o
+WHERE NOT EXISTS (SELECT 1 FROM doomed d WHERE d.source = o.source AND d.url = o.url)""")
+def alias_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import store as st
+    pages = tb.corpus(spark, sf_dir)
+    lab = tb.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page"))
+    mine = pages.join(lab, "page")
+    old = pages.select("page", "source", "url").unionByName(
+        mine.select((F.col("page") + 1_000_000).alias("page"), "source", tb.http_url(F.col("url")).alias("url")))
+    return st.collapse_aliases(old, mine.select("source", "url"), tb.aliases(spark, sf_dir, pages))
+
+
+@register("delete_cascade", ops="C10", sql=f"""
+WITH {O.CORPUS}, {O.ALIASES}, {O.CHUNKS},
+gone AS (SELECT page, source, url FROM corpus WHERE status = 3)
+SELECT 'alias' AS kind, a.url AS key FROM aliases a
+WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.source = a.source AND g.url = a.canonical)
+UNION ALL SELECT 'page', url FROM corpus WHERE page NOT IN (SELECT page FROM gone)
+UNION ALL SELECT 'chunk', CAST(id AS VARCHAR) FROM chunks WHERE page NOT IN (SELECT page FROM gone)""")
+def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .. import schema as S
+    from ..operators import store as st
+    pages = tb.corpus(spark, sf_dir)
+    doomed = pages.filter(F.col("status") == S.ERROR).select("source", "url")
+    edges = spark.createDataFrame([], "src long, dest long")
+    out = st.delete_pages(pages, tb.aliases(spark, sf_dir, pages), edges, doomed,
+                          tb.chunks(spark, sf_dir, pages))
+    return (out["aliases"].select(F.lit("alias").alias("kind"), F.col("url").alias("key"))
+            .unionByName(out["pages"].select(F.lit("page").alias("kind"), F.col("url").alias("key")))
+            .unionByName(out["chunks"].select(F.lit("chunk").alias("kind"),
+                                              F.col("id").cast("string").alias("key"))))
+
+
+EDGES_SQL = """pcount AS (SELECT count(*) AS n FROM pages),
+edges AS (
+  SELECT src, dest FROM (
+    SELECT page_id AS src, (page_id * 31 + k * 17) % (SELECT n FROM pcount) AS dest
+    FROM pages, (SELECT unnest([0, 1, 2]) AS k)) WHERE dest % 3 <> 0)"""
+
+
+@register("orphans", ops="C9", sql=f"""
+WITH {EDGES_SQL}
+SELECT page_id FROM pages WHERE page_id NOT IN (SELECT dest FROM edges)""")
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import store as st
+    p = tb.read(spark, sf_dir, "pages").select("page_id")
+    return st.orphans(p, tb.edges(spark, sf_dir), id_col="page_id")
+
+
+@register("referrers_in", ops="C8", sql=f"""
+WITH {EDGES_SQL},
+deg AS (SELECT dest, count(*) AS n_referrers FROM edges GROUP BY dest)
+SELECT e.dest AS page, e.src AS referrer, d.n_referrers FROM edges e JOIN deg d USING (dest)""")
+def referrers_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import store as st
+    return st.referrers(tb.edges(spark, sf_dir))
+
+
+@register("add_edges", ops="C6 C7", sql=f"""
+WITH {EDGES_SQL}
+SELECT DISTINCT src, dest FROM (
+  SELECT src, dest FROM edges WHERE src <> dest
+  UNION ALL SELECT dest AS src, src AS dest FROM edges WHERE src <> dest)
+WHERE NOT (src < dest AND (src + dest) % 5 = 0)""")
+def add_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import store as st
+    e = tb.edges(spark, sf_dir)
+    base = e.filter(F.col("src") != F.col("dest"))
+    both = st.add_edges(base, e.select(F.col("dest").alias("src"), F.col("src").alias("dest")))
+    doomed = both.filter((F.col("src") < F.col("dest")) & ((F.col("src") + F.col("dest")) % 5 == 0))
+    return st.remove_edges(both, doomed)
+
+
+@register("relink", ops="C12", sql=f"""
+WITH {O.CORPUS}, {O.ALIASES},
+n AS (SELECT count(*) AS n FROM corpus),
+links AS (
+  SELECT c.page, c.source, CASE WHEN k = 0 THEN {O.http('t.url')} ELSE t.url END AS url
+  FROM corpus c, (SELECT unnest([0, 1, 2]) AS k) ks
+  JOIN corpus t ON t.page = (c.page * 31 + ks.k * 17) % (SELECT n FROM n)),
+targets AS (SELECT page AS from_page, source, url FROM links
+            UNION ALL SELECT l.page, l.source, a.canonical FROM links l JOIN aliases a ON a.url = l.url)
+SELECT DISTINCT t.from_page AS src, c.page AS dest FROM targets t JOIN corpus c ON c.source = t.source AND c.url = t.url""")
+def relink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import store as st
+    pages = tb.corpus(spark, sf_dir)
+    n = pages.select(F.count(F.lit(1))).scalar()
+    ks = pages.select("page", "source", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
+    ks = ks.withColumn("target", (F.col("page") * 31 + F.col("k") * 17) % n)
+    t = pages.select(F.col("page").alias("target"), F.col("url").alias("turl"))
+    links = ks.join(t, "target").select(
+        "page", "source", F.when(F.col("k") == 0, tb.http_url(F.col("turl"))).otherwise(F.col("turl")).alias("url"))
+    old = tb.edges(spark, sf_dir)
+    return st.relink(old, pages.select("page"), links, pages, tb.aliases(spark, sf_dir, pages))
+
+
+@register("redirect_alias", ops="C14", sql=f"""
+WITH {O.CORPUS}, {O.ALIASES},
+req AS (SELECT page AS req_id, source, {O.http('url')} AS url, url AS final_url FROM corpus),
+t1 AS (SELECT req_id, source, url FROM req UNION ALL
+       SELECT r.req_id, r.source, a.canonical FROM req r JOIN aliases a ON a.url = r.url),
+t2 AS (SELECT req_id, source, final_url AS url FROM req UNION ALL
+       SELECT r.req_id, r.source, a.canonical FROM req r JOIN aliases a ON a.url = r.final_url),
+h1 AS (SELECT DISTINCT req_id FROM t1 JOIN corpus c USING (source, url)),
+h2 AS (SELECT DISTINCT req_id FROM t2 JOIN corpus c USING (source, url))
+SELECT req_id, req_id IN (SELECT req_id FROM h1) AS orig_indexed, req_id IN (SELECT req_id FROM h2) AS final_indexed,
+       (req_id NOT IN (SELECT req_id FROM h1)) AND (req_id IN (SELECT req_id FROM h2)) AS alias_only
+FROM req""")
+def redirect_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import store as st
+    pages = tb.corpus(spark, sf_dir)
+    req = pages.select(F.col("page").alias("req_id"), "source", tb.http_url(F.col("url")).alias("url"),
+                       F.col("url").alias("final_url"))
+    r = st.redirect_alias(req, pages.select("page", "source", "url"), tb.aliases(spark, sf_dir, pages))
+    return r.select("req_id", "orig_indexed", "final_indexed", "alias_only")
+
+
+# --------------------------------------------------------------- B, C1, C2, C15
+
+
+def _raw_pages(spark, sf_dir):
+    return tb.read(spark, sf_dir, "pages")
+
+
+@register("canonicalize_urls", ops="C1", sql=f"""
+WITH {O.CORPUS}, {O.ALIASES},
+inp AS (SELECT {O.hostname('url')} AS source, url FROM pages
+        UNION ALL SELECT source, {O.http('url')} FROM corpus
+        UNION ALL SELECT source, url || '/#a' FROM corpus)
+SELECT i.source, i.url, coalesce(a.canonical, {O.canonical_guess('i.url')}) AS canonical
+FROM inp i LEFT JOIN aliases a ON a.source = i.source AND a.url = i.url""")
+def canonicalize_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import urls as U
+    from ..operators import store as st
+    pages = tb.corpus(spark, sf_dir)
+    inp = (_raw_pages(spark, sf_dir).select(U.hostname(F.col("url")).alias("source"), "url")
+           .unionByName(pages.select("source", tb.http_url(F.col("url")).alias("url")))
+           .unionByName(pages.select("source", F.concat("url", F.lit("/#a")).alias("url"))))
+    return st.canonicalize(inp, tb.aliases(spark, sf_dir, pages)).select("source", "url", "canonical")
+
+
+ANCHOR_SQL = f"""a AS (SELECT page_id, url AS base, unnest({O.anchors('html', 'url')}) AS url FROM pages)"""
+
+
+@register("anchor_links", ops="B5 B10", sql=f"""
+WITH {ANCHOR_SQL} SELECT page_id, url FROM a""")
+def anchor_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import extract as ex
+    p = _raw_pages(spark, sf_dir)
+    return p.select("page_id", F.explode(ex.anchor_hrefs(F.col("html"), F.col("url"))).alias("url"))
+
+
+@register("domain_filter", ops="C2 A4", sql=f"""
+WITH {ANCHOR_SQL},
+l AS (SELECT page_id, regexp_replace({O.hostname('base')}, '^m\\.', '') AS source, url FROM a),
+src AS (SELECT DISTINCT source AS id, [source] AS allowed_domains FROM l)
+SELECT l.page_id, l.source, l.url FROM l JOIN (SELECT id, unnest(allowed_domains) AS host FROM src) s
+  ON s.id = l.source AND s.host = {O.hostname('l.url')}""")
+def domain_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import urls as U
+    from ..operators import extract as ex
+    from ..operators import store as st
+    p = _raw_pages(spark, sf_dir)
+    links = p.select("page_id", F.regexp_replace(U.hostname(F.col("url")), r"^m\.", "").alias("source"),
+                     F.explode(ex.anchor_hrefs(F.col("html"), F.col("url"))).alias("url"))
+    sources = links.select(F.col("source").alias("id")).distinct().select(
+        "id", F.array("id").alias("allowed_domains"))
+    return st.domain_filter(links, sources).select("page_id", "source", "url")
+
+
+@register("page_fields", ops="B1 B2 B4 B6 B11", sql=f"""
+SELECT page_id,
+  trim({O.unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) AS title,
+  coalesce({O.attr(O.first_with('html', 'meta', 'name', 'description'), 'content')}, '') AS description,
+  url AS canonical, CAST(2 AS TINYINT) AS status
+FROM pages""")
+def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import extract as ex
+    f = ex.page_fields(_raw_pages(spark, sf_dir))
+    return f.select("page_id", "title", "description", "canonical", "status")
+
+
+@register("robots_status", ops="B3 B11", sql="""
+SELECT page_id, CAST(2 AS TINYINT) AS status, '' AS error_info FROM pages""")
+def robots_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import extract as ex
+    return ex.page_fields(_raw_pages(spark, sf_dir)).select("page_id", "status", "error_info")
+
+
+@register("truncate_budget", ops="B9 A4", sql=f"""
+WITH {O.CORPUS}, {O.SOURCES}
+SELECT c.page, {', '.join(f'{e} AS {n}' for e, n in zip(O.truncate(['c.title', 'c.description', 'c.content'], 's.size_limit'), ['title', 'description', 'content']))}
+FROM corpus c JOIN sources s ON s.id = c.source""")
+def truncate_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import extract as ex
+    pages = tb.corpus(spark, sf_dir)
+    src = tb.sources_dim(spark, sf_dir).select(F.col("id").alias("source"), "size_limit")
+    j = pages.join(src, "source")
+    t, d, c = ex.truncate_bytes([F.col("title"), F.col("description"), F.col("content")], F.col("size_limit"))
+    return j.select("page", t.alias("title"), d.alias("description"), c.alias("content"))
+
+
+@register("url_levels", ops="C15", sql=f"""
+WITH p AS (SELECT url, list_filter(string_split({O.url_part('url', 4)}, '/'), lambda s: trim(s) <> '') AS segs,
+                  {O.origin('url')} AS o, {O.url_part('url', 3)} AS host FROM pages WHERE {O.is_url('url')}),
+lv AS (SELECT url, o AS level_url, host AS text, 0 AS depth FROM p
+       UNION ALL
+       SELECT url, o || '/' || array_to_string(segs[1:i], '/'), segs[i], i
+       FROM p, (SELECT unnest(range(1, 200)) AS i) r WHERE i <= len(segs))
+SELECT level_url, text, depth, count(*) AS n_pages FROM lv GROUP BY level_url, text, depth""")
+def url_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import urls as U
+    p = _raw_pages(spark, sf_dir)
+    lv = p.select(F.posexplode(U.levels(F.col("url"))).alias("depth", "lvl"))
+    return lv.groupBy(F.col("lvl.url").alias("level_url"), F.col("lvl.text").alias("text"),
+                      F.col("depth")).agg(F.count(F.lit(1)).alias("n_pages"))
+
+
+@register("visible_text", ops="B7 B8")
+def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import extract as ex
+    return ex.extract_text(_raw_pages(spark, sf_dir))
+
+
+@register("extract_pages", ops="A1 B1-B11")
+def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import extract as ex
+    return ex.extract_pages(_raw_pages(spark, sf_dir), size_limit=2000)
+
+
+def _xml_escape(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                     F.lit(">"), F.lit("&gt;"))
+
+
+@register("sitemap_links", ops="A2", sql=f"""
+SELECT DISTINCT page_id, {O.canonical_guess('u')} AS url
+FROM (SELECT page_id, unnest({O.resolved_anchors('html', 'url')}) AS u FROM pages)""")
+def sitemap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's anchors written as a urlset and a sitemapindex, parsed back (A2)."""
+    from ..operators import extract as ex
+    from ..functions import urls as U
+    p = _raw_pages(spark, sf_dir)
+    tags = ex._tags(F.col("html"), "a")
+    good = F.filter(tags, lambda t: ex._has_attr(t, "href") & ~ex._attr(t, "rel").contains("nofollow"))
+    locs = F.transform(good, lambda t: U.resolve(F.col("url"), ex._attr(t, "href")))
+    body_set = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'),
+                        F.array_join(F.transform(locs, lambda u: F.concat(F.lit("<url><loc>"), _xml_escape(u),
+                                                                          F.lit("</loc></url>"))), ""),
+                        F.lit("</urlset>"))
+    body_idx = F.concat(F.lit('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'),
+                        F.array_join(F.transform(locs, lambda u: F.concat(F.lit("<sitemap><loc>"), _xml_escape(u),
+                                                                          F.lit("</loc></sitemap>"))), ""),
+                        F.lit("</sitemapindex>"))
+    docs = p.select("page_id", "url", F.explode(F.array(body_set, body_idx)).alias("body"))
+    found = docs.select("page_id", F.explode(ex.sitemap_locs(F.col("body"), F.col("url"))).alias("u"))
+    return found.select("page_id", U.canonical_guess(F.col("u")).alias("url")).distinct()
+
+
+@register("feed_links", ops="A3", sql=f"""
+SELECT DISTINCT page_id, kind, {O.canonical_guess('u')} AS url
+FROM (SELECT page_id, unnest({O.resolved_anchors('html', 'url')}) AS u FROM pages),
+     (SELECT unnest(['rss', 'atom', 'json']) AS kind)""")
+def feed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's anchors written as RSS, Atom and JSON feeds, parsed back (A3)."""
+    from ..operators import extract as ex
+    from ..functions import urls as U
+    p = _raw_pages(spark, sf_dir)
+    tags = ex._tags(F.col("html"), "a")
+    good = F.filter(tags, lambda t: ex._has_attr(t, "href") & ~ex._attr(t, "rel").contains("nofollow"))
+    locs = F.transform(good, lambda t: U.resolve(F.col("url"), ex._attr(t, "href")))
+
+    def wrap(head, item, tail):
+        return F.concat(F.lit(head), F.array_join(F.transform(locs, item), ""), F.lit(tail))
+
+    rss = wrap("<rss version=\"2.0\"><channel><title>t</title>",
+               lambda u: F.concat(F.lit("<item><link>"), _xml_escape(u), F.lit("</link></item>")),
+               "</channel></rss>")
+    atom = wrap('<feed xmlns="http://www.w3.org/2005/Atom">',
+                lambda u: F.concat(F.lit('<entry><link href="'), _xml_escape(F.replace(u, F.lit('"'), F.lit("&quot;"))),
+                                   F.lit('"/></entry>')), "</feed>")
+    js = F.to_json(F.struct(F.transform(locs, lambda u: F.struct(u.alias("url"))).alias("items")))
+    docs = p.select("page_id", "url", F.explode(F.array(
+        F.struct(F.lit("rss").alias("kind"), F.lit("application/rss+xml").alias("ct"), rss.alias("body")),
+        F.struct(F.lit("atom").alias("kind"), F.lit("application/atom+xml").alias("ct"), atom.alias("body")),
+        F.struct(F.lit("json").alias("kind"), F.lit("application/feed+json").alias("ct"), js.alias("body")),
+    )).alias("d"))
+    found = docs.select("page_id", F.col("d.kind").alias("kind"),
+                        F.explode(ex.feed_links(F.col("d.body"), F.col("d.ct"), F.col("url"))).alias("u"))
+    return found.select("page_id", "kind", U.canonical_guess(F.col("u")).alias("url")).distinct()

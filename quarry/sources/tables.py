@@ -146,3 +146,91 @@ def aliases(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) ->
 
 def now() -> Column:
     return F.to_timestamp(F.lit(NOW))
+
+
+def sources_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source dimension derived from the corpus: one row per source id."""
+    from ..functions import urls as U
+    d = read(spark, sf_dir, "documents").select("source").distinct()
+    return d.select(
+        F.col("source").alias("id"),
+        F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/")).alias("url"),
+        F.array(F.concat(F.col("source"), F.lit(".example.com"))).alias("allowed_domains"),
+        F.lit(3).alias("max_depth"), F.lit(2000).alias("size_limit"), F.lit(5).alias("speed"),
+        F.lit(30).alias("min_age"))
+
+
+def title_of(html: Column) -> Column:
+    return F.regexp_extract(html, r"<title[^>]*>(.*?)</title>", 1)
+
+
+def recrawl_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl-result batch derived from ``labels`` (updates, some twice) and
+    ``pages`` (new documents of source 'web'); ``seq`` orders arrivals."""
+    d = read(spark, sf_dir, "documents")
+    lab = read(spark, sf_dir, "labels").join(d, "doc_id")
+    exact = doc_url(F.col("source"), F.col("lang"), F.col("doc_id"))
+    upper = doc_url(F.upper("source"), F.col("lang"), F.col("doc_id"))
+    base = dict(source=F.col("source"),
+                url=F.when(F.col("quality") == 0, upper).otherwise(exact),
+                status=F.lit(S.FINISHED).cast("tinyint"),
+                description=F.substring("text", 81, 160), content=F.col("text"),
+                error_info=F.lit(""))
+    first = lab.select(*[v.alias(k) for k, v in base.items()],
+                       (F.col("doc_id") % 5 + 1 - 2 * F.col("toxic")).cast("int").alias("depth"),
+                       F.concat(F.lit("v2 "), F.substring("text", 1, 80)).alias("title"),
+                       (F.col("doc_id") * 2).alias("seq"))
+    second = lab.filter(F.col("toxic") == 1).select(
+        *[v.alias(k) for k, v in base.items()], F.lit(0).alias("depth"),
+        F.concat(F.lit("v3 "), F.substring("text", 1, 80)).alias("title"),
+        (F.col("doc_id") * 2 + 1).alias("seq"))
+    p = read(spark, sf_dir, "pages")
+    fresh = p.select(F.lit("web").alias("source"), "url", F.lit(S.FINISHED).cast("tinyint").alias("status"),
+                     F.lit("").alias("description"), F.lit("").alias("content"),
+                     F.lit("").alias("error_info"), F.lit(1).alias("depth"),
+                     title_of(F.col("html")).alias("title"),
+                     (F.lit(1_000_000_000) + F.col("page_id")).alias("seq"))
+    return first.unionByName(second).unionByName(fresh)
+
+
+def http_url(url: Column) -> Column:
+    return F.replace(url, F.lit("https://"), F.lit("http://"))
+
+
+def alias_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New alias writes (source, url, canonical, seq) derived from ``labels``."""
+    d = read(spark, sf_dir, "documents")
+    lab = read(spark, sf_dir, "labels").join(d, "doc_id")
+    exact = doc_url(F.col("source"), F.col("lang"), F.col("doc_id"))
+    can = (F.when(F.col("toxic") == 1, F.concat(exact, F.lit("/")))
+           .when(F.col("quality") == 1, http_url(exact)).otherwise(exact))
+    a = lab.select("source", http_url(exact).alias("url"), can.alias("canonical"),
+                   F.col("doc_id").alias("seq"))
+    b = lab.filter(F.col("quality") == 0).select(
+        "source", F.replace(exact, F.lit("https://"), F.lit("HTTP://")).alias("url"),
+        exact.alias("canonical"), (F.col("doc_id") + 1_000_000).alias("seq"))
+    return a.unionByName(b)
+
+
+def embed_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding queue rows derived from ``embeddings``."""
+    e = read(spark, sf_dir, "embeddings")
+    added = F.to_timestamp(F.lit("2024-02-29 23:50:00")) + F.make_dt_interval(
+        secs=F.col("vec_id").cast("int"))
+    return e.select(
+        F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 4).cast("long").alias("page"),
+        (F.col("vec_id") % 4).cast("int").alias("chunk_index"),
+        (F.col("label") % 5).cast("int").alias("status"),
+        added.alias("added_at"),
+        (added + F.make_dt_interval(secs=(F.col("label") * 10).cast("int"))).alias("updated_at"))
+
+
+def discovered_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links found while crawling, derived from ``events``: (source, url, depth, seq)."""
+    ev = read(spark, sf_dir, "events")
+    return ev.select(
+        F.col("event_type").alias("source"),
+        F.concat(F.lit("https://H"), F.col("user_id").cast("string"), F.lit(".example.com/"),
+                 ((F.col("event_id") + 1) % 50).cast("string")).alias("url"),
+        (F.col("event_id") % 7 + 1).cast("int").alias("depth"),
+        F.col("event_id").alias("seq"))
