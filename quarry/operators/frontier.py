@@ -107,8 +107,13 @@ def cleanup_queue(queue: DataFrame, now: Column) -> DataFrame:
     """Drop Finished; Processing older than 60 s -> Pending. Errors stay."""
     q = queue.filter(F.col("status") != S.FINISHED)
     reset = (F.col("status") == S.PROCESSING) & _stale(now)
-    return q.withColumn("updated_at", F.when(reset, now).otherwise(F.col("updated_at"))) \
-        .withColumn("status", F.when(reset, F.lit(S.PENDING)).otherwise(F.col("status")))
+    return _reset(q, reset, now)
+
+
+def _reset(q: DataFrame, reset: Column, now: Column) -> DataFrame:
+    return q.select(*[F.when(reset, F.lit(S.PENDING)).otherwise(F.col(c)).alias(c) if c == "status"
+                      else F.when(reset, now).otherwise(F.col(c)).alias(c) if c == "updated_at"
+                      else F.col(c) for c in q.columns])
 
 
 def cleanup_embed_queue(eq: DataFrame, pages: DataFrame, now: Column) -> DataFrame:
@@ -116,8 +121,7 @@ def cleanup_embed_queue(eq: DataFrame, pages: DataFrame, now: Column) -> DataFra
     whose page is gone."""
     q = eq.filter(F.col("status") != S.FINISHED)
     reset = F.col("status").isin(S.ERROR, S.PROCESSING) & _stale(now)
-    q = q.withColumn("updated_at", F.when(reset, now).otherwise(F.col("updated_at"))) \
-        .withColumn("status", F.when(reset, F.lit(S.PENDING)).otherwise(F.col("status")))
+    q = _reset(q, reset, now)
     return q.join(pages.select("page"), "page", "left_semi")
 
 

@@ -61,23 +61,27 @@ def exists(requests: DataFrame, pages: DataFrame, aliases: DataFrame) -> DataFra
 
 def dense_number(df: DataFrame, order: list[str], start: Column, out: str,
                  parts: int | None = None) -> DataFrame:
-    """Distributed dense numbering ``start + 1, start + 2, ...`` by ``order`` (unique).
+    """Distributed dense numbering ``start + 1, start + 2, ...`` by ``order`` (unique key).
 
-    Rows are range-partitioned on the order key, numbered inside each
-    partition, and shifted by the row counts of earlier partitions (a table with
-    one row per partition), so no single task sees all rows.
+    Rows are range-partitioned and sorted on the key, tagged with their
+    partition and position, and checkpointed so that the tagging is fixed;
+    each row is then shifted by the row counts of earlier partitions (a table
+    with one row per partition). No task ever sees more than its partition.
     """
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = (df.repartitionByRange(parts, *order)
-         .withColumn("_pid", F.spark_partition_id()))
-    d = d.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
-    counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.select("_pid", F.coalesce(F.sum("_n").over(
+    d = (df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_mid", F.monotonically_increasing_id()))
+    # pin the partition assignment: range bounds come from sampling, and a
+    # recomputation could place rows differently in the two branches below
+    d = d.checkpoint(eager=True)
+    counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    offs = counts.select("_pid", "_m0", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     return (d.join(F.broadcast(offs), "_pid")
-            .withColumn(out, start + F.col("_off") + F.col("_rn"))
-            .drop("_pid", "_rn", "_off"))
+            .withColumn(out, start + F.col("_off") + (F.col("_mid") - F.col("_m0")) + 1)
+            .drop("_pid", "_mid", "_m0", "_off"))
 
 
 def upsert(pages: DataFrame, batch: DataFrame, now: Column) -> DataFrame:

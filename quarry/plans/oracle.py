@@ -365,3 +365,12 @@ def truncate(items: list[str], budget: str) -> list[str]:
         out.append(f"(CASE WHEN {n} <= {rem} THEN {it} WHEN {rem} > 0 THEN {cut} ELSE '' END)")
         rem = f"(CASE WHEN {n} <= {rem} THEN {rem} - {n} ELSE 0 END)"
     return out
+
+
+def epoch_s(ts: str) -> str:
+    """Whole epoch seconds (timestamps compare at second precision)."""
+    return f"CAST(floor(epoch({ts})) AS BIGINT)"
+
+
+def stale(col: str) -> str:
+    return f"({epoch_s(NOW)} - {epoch_s(col)} > 60)"

@@ -198,7 +198,7 @@ def _epoch(c: str):
 
 @register("upsert_pages", ops="C5", sql=f"""
 WITH {O.CORPUS}, {O.UPSERT}
-SELECT page, source, url, depth, status, title, epoch(crawled_at)::BIGINT AS crawled_at FROM upserted""")
+SELECT page, source, url, depth, status, title, {O.epoch_s('crawled_at')} AS crawled_at FROM upserted""")
 def upsert_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import store as st
     pages = tb.corpus(spark, sf_dir).withColumn("error_info", F.lit(""))
@@ -533,3 +533,193 @@ def feed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = docs.select("page_id", F.col("d.kind").alias("kind"),
                         F.explode(ex.feed_links(F.col("d.body"), F.col("d.ct"), F.col("url"))).alias("u"))
     return found.select("page_id", "kind", U.canonical_guess(F.col("u")).alias("url")).distinct()
+
+
+# ------------------------------------------------------------------------- D
+
+
+def _fr(spark, sf_dir):
+    return tb.frontier(spark, sf_dir)
+
+
+@register("enqueue_frontier", ops="D2", sql=f"""
+WITH {O.FRONTIER}, {O.LINKS},
+q AS (SELECT *, {O.url_key('url')} AS url_key FROM frontier),
+new AS (SELECT source, {O.url_key('url')} AS url_key, arg_min(url, seq) AS url, arg_min(depth, seq) AS depth,
+               min(seq) AS first_seq
+        FROM links l WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.source = l.source AND q.url_key = {O.url_key('l.url')})
+        GROUP BY source, {O.url_key('url')})
+SELECT id, source, url, status, depth FROM frontier
+UNION ALL
+SELECT (SELECT max(id) FROM frontier) + row_number() OVER (ORDER BY first_seq), source, url, 0, depth FROM new""")
+def enqueue_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import frontier as fr
+    out = fr.enqueue(_fr(spark, sf_dir), tb.discovered_links(spark, sf_dir), tb.now())
+    return out.select("id", "source", "url", "status", "depth")
+
+
+CLAIM_SQL = """claimed AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY added_at, id) AS rn
+                 FROM frontier WHERE status = 0) WHERE rn <= 5)"""
+
+
+@register("claim_batch", ops="D5", sql=f"""
+WITH {O.FRONTIER}, {CLAIM_SQL}
+SELECT id, source, url, 1 AS status FROM claimed""")
+def claim_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import frontier as fr
+    return fr.claim(_fr(spark, sf_dir), 5, tb.now()).select("id", "source", "url", "status")
+
+
+@register("finish_items", ops="D5 D6", sql=f"""
+WITH {O.FRONTIER}, {CLAIM_SQL},
+outc AS (SELECT id, CAST(2 + id % 3 AS INTEGER) AS st FROM claimed),
+q AS (SELECT f.id, f.source, f.url, CASE WHEN c.id IS NOT NULL THEN 1 ELSE f.status END AS status,
+             CASE WHEN c.id IS NOT NULL THEN {O.NOW} ELSE f.updated_at END AS updated_at
+      FROM frontier f LEFT JOIN claimed c USING (id))
+SELECT q.id, coalesce(o.st, q.status) AS status,
+       {O.epoch_s("CASE WHEN o.st IS NOT NULL THEN " + O.NOW + " ELSE q.updated_at END")} AS updated_at
+FROM q LEFT JOIN outc o USING (id) WHERE o.st IS NULL OR o.st <> 2""")
+def finish_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import frontier as fr
+    q = _fr(spark, sf_dir)
+    c = fr.claim(q, 5, tb.now())
+    q = fr.apply_claims(q, c)
+    outc = c.select("id", (F.lit(2) + F.col("id") % 3).cast("int").alias("status"))
+    out = fr.finish(q, outc, tb.now())
+    return out.select("id", "status", _epoch("updated_at"))
+
+
+@register("cleanup_frontier", ops="D7", sql=f"""
+WITH {O.FRONTIER}
+SELECT id, CASE WHEN status = 1 AND {O.stale('updated_at')} THEN 0 ELSE status END AS status,
+       {O.epoch_s("CASE WHEN status = 1 AND " + O.stale('updated_at') + " THEN " + O.NOW + " ELSE updated_at END")} AS updated_at
+FROM frontier WHERE status <> 2""")
+def cleanup_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import frontier as fr
+    return fr.cleanup_queue(_fr(spark, sf_dir), tb.now()).select("id", "status", _epoch("updated_at"))
+
+
+@register("cleanup_embed", ops="D8", sql=f"""
+WITH {O.CORPUS}, {O.EMBED_QUEUE}
+SELECT id, CASE WHEN status IN (3, 1) AND {O.stale('updated_at')} THEN 0 ELSE status END AS status,
+       {O.epoch_s("CASE WHEN status IN (3, 1) AND " + O.stale('updated_at') + " THEN " + O.NOW + " ELSE updated_at END")} AS updated_at
+FROM eq WHERE status <> 2 AND page IN (SELECT page FROM corpus)""")
+def cleanup_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import frontier as fr
+    out = fr.cleanup_embed_queue(tb.embed_queue(spark, sf_dir), tb.corpus(spark, sf_dir), tb.now())
+    return out.select("id", "status", _epoch("updated_at"))
+
+
+@register("refresh_due", ops="D9 K5", sql=f"""
+WITH {O.CORPUS}, {O.FRONTIER}, {O.SOURCES}
+SELECT c.source, c.url, c.depth, true AS is_refresh FROM corpus c JOIN sources s ON s.id = c.source
+WHERE c.url NOT IN (SELECT url FROM frontier) AND {O.epoch_s(O.NOW)} - {O.epoch_s('c.crawled_at')} > s.min_age * 86400""")
+def refresh_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import frontier as fr
+    out = fr.refresh_due(tb.corpus(spark, sf_dir), _fr(spark, sf_dir), tb.sources_dim(spark, sf_dir), tb.now())
+    return out.select("source", "url", "depth", "is_refresh")
+
+
+@register("depth_limit", ops="D3", sql=f"""
+WITH {O.CORPUS}, {O.SOURCES}
+SELECT c.page, c.source, c.url, c.depth + 1 AS depth FROM corpus c JOIN sources s ON s.id = c.source
+WHERE c.depth + 1 < s.max_depth""")
+def depth_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import frontier as fr
+    links = tb.corpus(spark, sf_dir).select("page", "source", "url", "depth")
+    return fr.depth_limit(links, tb.sources_dim(spark, sf_dir)).select("page", "source", "url", "depth")
+
+
+@register("new_only", ops="D4", sql=f"""
+WITH {O.CORPUS}, {O.ALIASES},
+links AS (SELECT source, {O.http('url')} AS url FROM corpus UNION ALL SELECT source, url || '/x' FROM corpus),
+t AS (SELECT source, url, url AS u2 FROM links
+      UNION ALL SELECT l.source, l.url, a.canonical FROM links l JOIN aliases a ON a.url = l.url),
+hit AS (SELECT DISTINCT t.source, t.url FROM t JOIN corpus c ON c.source = t.source AND c.url = t.u2)
+SELECT source, url FROM links l WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.source = l.source AND h.url = l.url)""")
+def new_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import frontier as fr
+    pages = tb.corpus(spark, sf_dir)
+    links = pages.select("source", tb.http_url(F.col("url")).alias("url")).unionByName(
+        pages.select("source", F.concat("url", F.lit("/x")).alias("url")))
+    return fr.new_only(links, pages, tb.aliases(spark, sf_dir, pages)).select("source", "url")
+
+
+@register("seed_sources", ops="D1 A4", sql=f"""
+WITH {O.CORPUS}, {O.ALIASES}, {O.SOURCES},
+req AS (SELECT id AS source, {O.canonical_guess('url')} AS url FROM sources),
+t AS (SELECT source, url, url AS u2 FROM req UNION ALL
+      SELECT r.source, r.url, a.canonical FROM req r JOIN aliases a ON a.url = r.url)
+SELECT source, url, 0 AS depth FROM req r
+WHERE NOT EXISTS (SELECT 1 FROM t JOIN corpus c ON c.source = t.source AND c.url = t.u2 WHERE t.source = r.source)""")
+def seed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import frontier as fr
+    pages = tb.corpus(spark, sf_dir)
+    return fr.seed(tb.sources_dim(spark, sf_dir), pages, tb.aliases(spark, sf_dir, pages))
+
+
+@register("purge_indexed", ops="D10", sql=f"""
+WITH {O.FRONTIER},
+idx AS (SELECT source, url FROM frontier WHERE status = 2),
+al AS (SELECT url AS canonical, replace(url, 'https://', 'http://') AS url FROM idx),
+gone AS (SELECT source, url FROM idx UNION ALL SELECT i.source, a.url FROM idx i JOIN al a ON a.canonical = i.url)
+SELECT id FROM frontier f WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.source = f.source AND g.url = f.url)""")
+def purge_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import frontier as fr
+    q = _fr(spark, sf_dir)
+    idx = q.filter(F.col("status") == 2).select("source", "url")
+    al = idx.select(F.col("url").alias("canonical"), tb.http_url(F.col("url")).alias("url"))
+    return fr.purge_indexed(q, idx, al).select("id")
+
+
+@register("purge_followers", ops="D11", sql=f"""
+WITH {O.FRONTIER},
+refs AS (SELECT event_id AS queue_item, user_id AS referrer FROM events),
+del AS (SELECT id, source, url FROM frontier WHERE status = 3),
+al AS (SELECT replace(url, '/1', '/2') AS url, url AS canonical FROM frontier),
+fol AS (SELECT d.source, a.url FROM del d JOIN al a ON a.canonical = d.url)
+SELECT 'queue' AS kind, id AS key FROM frontier f
+WHERE id NOT IN (SELECT id FROM del) AND NOT EXISTS (SELECT 1 FROM fol WHERE fol.source = f.source AND fol.url = f.url)
+UNION ALL SELECT 'ref', queue_item FROM refs WHERE queue_item NOT IN (SELECT id FROM del)""")
+def purge_followers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import frontier as fr
+    q = _fr(spark, sf_dir)
+    refs = tb.read(spark, sf_dir, "events").select(F.col("event_id").alias("queue_item"),
+                                                   F.col("user_id").alias("referrer"))
+    dele = q.filter(F.col("status") == 3)
+    al = q.select(F.replace(F.col("url"), F.lit("/1"), F.lit("/2")).alias("url"), F.col("url").alias("canonical"))
+    nq, nr = fr.purge_followers(q, refs, dele, al)
+    return nq.select(F.lit("queue").alias("kind"), F.col("id").alias("key")).unionByName(
+        nr.select(F.lit("ref").alias("kind"), F.col("queue_item").alias("key")))
+
+
+@register("error_placeholders", ops="D12 C5", sql=f"""
+WITH {O.CORPUS}, {O.FRONTIER},
+failed AS (SELECT id, source, url, depth FROM frontier WHERE status = 3),
+nb AS (SELECT source, {O.url_key('url')} AS url_key, arg_min(url, id) AS url, min(depth) AS depth, min(id) AS first_seq
+       FROM failed GROUP BY source, {O.url_key('url')})
+SELECT (SELECT max(page) FROM corpus) + row_number() OVER (ORDER BY first_seq) AS page, source, url, depth,
+       CAST(3 AS TINYINT) AS status, '' AS title, 'fetch failed' AS error_info
+FROM nb""")
+def error_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import frontier as fr
+    from ..operators import store as st
+    q = _fr(spark, sf_dir).filter(F.col("status") == 3)
+    failed = q.select("source", "url", "depth", F.lit("fetch failed").alias("error"), F.col("id").alias("seq"))
+    ph = fr.error_placeholders(failed)
+    pages = tb.corpus(spark, sf_dir).withColumn("error_info", F.lit(""))
+    up = st.upsert(pages, ph, tb.now())
+    return up.filter(F.col("status") == 3).join(pages.select("page"), "page", "left_anti") \
+        .select("page", "source", "url", "depth", "status", "title", "error_info")
+
+
+@register("claim_embed_batch", ops="D14", sql=f"""
+WITH {O.CORPUS}, {O.EMBED_QUEUE}
+SELECT id, page, chunk_index, source FROM (
+  SELECT e.*, c.source, row_number() OVER (PARTITION BY c.source ORDER BY e.page, e.chunk_index) AS rn
+  FROM eq e JOIN corpus c USING (page) WHERE e.status = 0) WHERE rn <= 5""")
+def claim_embed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import frontier as fr
+    out = fr.claim_embed(tb.embed_queue(spark, sf_dir), tb.corpus(spark, sf_dir), 5, tb.now())
+    return out.select("id", "page", "chunk_index", "source")
