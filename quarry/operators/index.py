@@ -72,6 +72,7 @@ class Index:
     doc_len: DataFrame
     stats: DataFrame
     pages: DataFrame
+    vocab: DataFrame | None = None
 
     def n_docs(self) -> Column:
         return self.stats.select("n_docs").scalar()
@@ -80,13 +81,13 @@ class Index:
         return self.stats.select("avgdl").scalar()
 
     def vocabulary(self) -> DataFrame:
-        return vocabulary(self.postings)
+        return self.vocab if self.vocab is not None else vocabulary(self.postings)
 
 
 def build_index(pages: DataFrame, materialize: bool = False) -> Index:
     """Build the inverted index of a pages-shaped DataFrame."""
     positions = token_stream(pages)
-    doc_len = doc_lengths(pages)
+    vocab = None
     if materialize:
         spark = pages.sparkSession
         pos_path = scratch_path(spark, "positions")
@@ -97,10 +98,19 @@ def build_index(pages: DataFrame, materialize: bool = False) -> Index:
         (postings_from_positions(positions).repartitionByRange("term")
          .sortWithinPartitions("term", "page").write.mode("overwrite").parquet(post_path))
         postings = spark.read.parquet(post_path)
+        # lengths from the written token stream: one partial aggregate, no re-tokenizing;
+        # pages without any token still count as index rows (length 0)
+        dl = positions.groupBy("page").agg(F.count(F.lit(1)).alias("dl"))
+        doc_len = pages.select("page").join(dl, "page", "left").select(
+            "page", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
         dl_path = scratch_path(spark, "doclen")
         doc_len.write.mode("overwrite").parquet(dl_path)
         doc_len = spark.read.parquet(dl_path)
+        voc_path = scratch_path(spark, "vocab")
+        vocabulary(postings).write.mode("overwrite").parquet(voc_path)
+        vocab = spark.read.parquet(voc_path)
     else:
         postings = postings_from_positions(positions)
+        doc_len = doc_lengths(pages)
     return Index(postings=postings, positions=positions, doc_len=doc_len,
-                 stats=corpus_stats(doc_len), pages=pages)
+                 stats=corpus_stats(doc_len), pages=pages, vocab=vocab)

@@ -723,3 +723,12 @@ def claim_embed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import frontier as fr
     out = fr.claim_embed(tb.embed_queue(spark, sf_dir), tb.corpus(spark, sf_dir), 5, tb.now())
     return out.select("id", "page", "chunk_index", "source")
+
+
+@register("build_index", ops="E1 E2 E3 E4", sql=f"""
+WITH {O.INDEX}
+SELECT count(*) AS n_postings, sum(tf) AS n_tokens FROM postings""")
+def build_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index build written to the shared folder (reused by the search queries)."""
+    idx = corpus_index(spark, sf_dir)
+    return idx.postings.agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_tokens"))

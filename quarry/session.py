@@ -82,3 +82,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh directory under the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def pin(df):
+    """Cut lineage at a reused intermediate: reliable checkpoint into the shared
+    folder (survives executor loss; never a machine-local checkpoint)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

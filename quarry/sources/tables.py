@@ -24,8 +24,21 @@ NOW = "2024-03-01 00:00:00"
 CRAWL_EPOCH = "2024-01-01 00:00:00"
 
 
+# Natural key of each provided table; used to spread a scan that yields fewer
+# splits than the cluster has cores (a single large row group, say).
+KEYS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id", "events": "event_id",
+        "benchmark": "item_id", "labels": "doc_id", "conversations": "conv_id"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    key = KEYS.get(name)
+    if key is not None:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            # hash by the key: deterministic on retry, and co-partitions later joins on it
+            df = df.repartition(cores, key)
+    return df
 
 
 def doc_url(source: Column, lang: Column, doc_id: Column) -> Column:
