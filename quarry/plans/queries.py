@@ -732,3 +732,56 @@ def build_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index build written to the shared folder (reused by the search queries)."""
     idx = corpus_index(spark, sf_dir)
     return idx.postings.agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_tokens"))
+
+
+# ------------------------------------------------------------------------- J
+
+
+def _dictionary(spark, sf_dir):
+    from ..operators import spelling as sp
+    from ..session import pin
+    return cached(spark, sf_dir, "dictionary",
+                  lambda: pin(sp.dictionary(corpus_index(spark, sf_dir).vocabulary())))
+
+
+@register("fuzzy_dictionary", ops="J1 J2 J3 J4")
+def fuzzy_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dictionary(spark, sf_dir)
+
+
+@register("phonetic_blocks", ops="J7")
+def phonetic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import spelling as sp
+    return sp.blocks(_dictionary(spark, sf_dir)).groupBy("prefix").agg(
+        F.count(F.lit(1)).alias("n_words"))
+
+
+@register("correct_queries", ops="J5 J7 J8 J9")
+def correct_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import spelling as sp
+    return sp.correct(tb.query_texts(spark, sf_dir), _dictionary(spark, sf_dir))
+
+
+@register("edit_cost_pairs", ops="J5 J8 J10")
+def edit_cost_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top 3 dictionary entries of every distinct word of the conversation texts."""
+    from ..operators import spelling as sp
+    conv = tb.read(spark, sf_dir, "conversations")
+    words = conv.select(F.explode(F.split("text", r"\W")).alias("w")).filter("w <> ''").distinct()
+    return sp.best_matches(words, _dictionary(spark, sf_dir), top=3)
+
+
+@register("script_code", ops="J11", sql=f"""
+WITH {O.INDEX},
+v AS (SELECT DISTINCT term FROM postings),
+f AS (SELECT term, regexp_matches(term, '[A-Za-z''\\x{{80}}-\\x{{2ae}}]') AS la,
+             regexp_matches(term, '[\\x{{400}}-\\x{{4ff}}]') AS cy, regexp_matches(term, '[\\x{{386}}-\\x{{3ce}}]') AS gr,
+             regexp_matches(term, '[\\x{{590}}-\\x{{5ff}}]') AS he, regexp_matches(term, '[\\x{{600}}-\\x{{6ff}}]') AS ar,
+             regexp_matches(term, '[0-9]') AS dg FROM v),
+g AS (SELECT *, la::INT + cy::INT + gr::INT + he::INT + ar::INT AS n FROM f)
+SELECT term, CASE WHEN n = 0 AND dg THEN 215 WHEN n = 0 THEN 999 WHEN n > 1 THEN 998 WHEN la THEN 215
+                  WHEN cy THEN 220 WHEN gr THEN 200 WHEN he THEN 125 ELSE 160 END AS code FROM g""")
+def script_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.phonetic import script_code as sc
+    v = ix.build_index(tb.corpus(spark, sf_dir)).postings.select("term").distinct()
+    return v.select("term", sc(F.col("term")).alias("code"))
