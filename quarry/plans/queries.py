@@ -764,10 +764,10 @@ def correct_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("edit_cost_pairs", ops="J5 J8 J10")
 def edit_cost_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top 3 dictionary entries of every distinct word of the conversation texts."""
+    """Top 3 dictionary entries of every distinct word of the benchmark texts."""
     from ..operators import spelling as sp
-    conv = tb.read(spark, sf_dir, "conversations")
-    words = conv.select(F.explode(F.split("text", r"\W")).alias("w")).filter("w <> ''").distinct()
+    b = tb.read(spark, sf_dir, "benchmark")
+    words = b.select(F.explode(F.split("text", r"\W")).alias("w")).filter("w <> ''").distinct()
     return sp.best_matches(words, _dictionary(spark, sf_dir), top=3)
 
 
@@ -785,3 +785,78 @@ def script_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.phonetic import script_code as sc
     v = ix.build_index(tb.corpus(spark, sf_dir)).postings.select("term").distinct()
     return v.select("term", sc(F.col("term")).alias("code"))
+
+
+# ------------------------------------------------------------------ G, D13, D15
+
+
+def _page_chunks(spark, sf_dir):
+    from ..operators import chunks as ch
+    return ch.chunk_pages(tb.corpus(spark, sf_dir))
+
+
+@register("chunk_invariants", ops="G1 G2 G3", sql="""
+SELECT doc_id AS page, true AS ok FROM documents""")
+def chunk_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import chunks as ch
+    c = _page_chunks(spark, sf_dir).groupBy("page").agg(
+        F.max("n_tokens").alias("mx"), F.count(F.lit(1)).alias("n"),
+        F.max(F.col("chunk_index")).alias("last"))
+    pages = tb.corpus(spark, sf_dir).select("page")
+    ok = F.coalesce((F.col("mx") <= ch.CHUNK_SIZE) & (F.col("last") == F.col("n") - 1), F.lit(True))
+    return pages.join(c, "page", "left").select("page", ok.alias("ok"))
+
+
+@register("embed_chunks", ops="G4 G7 K4")
+def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import chunks as ch
+    return ch.embed_chunks(_page_chunks(spark, sf_dir))
+
+
+@register("pages_needing_embeddings", ops="D15", sql=f"""
+WITH {O.CORPUS}, {O.CHUNKS}, {O.EMBED_QUEUE}
+SELECT page FROM corpus WHERE status = 2 AND page NOT IN (SELECT page FROM chunks)
+  AND page NOT IN (SELECT page FROM eq)""")
+def pages_needing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import frontier as fr
+    pages = tb.corpus(spark, sf_dir)
+    return fr.pages_needing_embeddings(pages, tb.chunks(spark, sf_dir, pages),
+                                       tb.embed_queue(spark, sf_dir)).select("page")
+
+
+@register("replace_embed_rows", ops="D13 G3", sql=f"""
+WITH {O.CORPUS}, {O.EMBED_QUEUE},
+parts AS (SELECT c.page, unnest(string_split(c.description, '. ')) AS chunk,
+                 unnest(generate_series(1, len(string_split(c.description, '. ')))) AS pos
+          FROM labels l JOIN corpus c ON c.page = l.doc_id),
+new AS (SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY pos) - 1 AS INTEGER) AS chunk_index, chunk
+        FROM parts WHERE trim(chunk) <> '')
+SELECT page, chunk_index, status FROM eq WHERE page NOT IN (SELECT page FROM new)
+UNION ALL SELECT page, chunk_index, 0 FROM new""")
+def replace_embed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+    from ..operators import frontier as fr
+    pages = tb.corpus(spark, sf_dir)
+    lab = tb.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page"))
+    parts = pages.join(lab, "page").select("page", F.posexplode(F.split("description", r"\. ")).alias("pos", "chunk"))
+    parts = parts.filter(F.trim("chunk") != "")
+    new = parts.withColumn("chunk_index", (F.row_number().over(
+        Window.partitionBy("page").orderBy("pos")) - 1).cast("int")).select("page", "chunk_index", "chunk")
+    out = fr.replace_embed_rows(tb.embed_queue(spark, sf_dir), new, tb.now())
+    return out.select("page", "chunk_index", "status")
+
+
+@register("stale_vectors", ops="G5 G6", sql=f"""
+WITH {O.CORPUS}, {O.UPSERT}, {O.CHUNKS},
+changed AS (SELECT o.page FROM corpus o JOIN upserted n USING (page)
+            WHERE o.url IS DISTINCT FROM n.url OR o.title IS DISTINCT FROM n.title
+               OR o.content IS DISTINCT FROM n.content)
+SELECT id FROM chunks WHERE page NOT IN (SELECT page FROM changed)""")
+def stale_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import chunks as ch
+    from ..operators import store as st
+    pages = tb.corpus(spark, sf_dir).withColumn("error_info", F.lit(""))
+    new = st.upsert(pages, tb.recrawl_batch(spark, sf_dir), tb.now())
+    old = pages.withColumn("description", F.lit(""))
+    new = new.withColumn("description", F.lit(""))
+    return ch.stale_vectors(old, new, tb.chunks(spark, sf_dir)).select("id")
