@@ -860,3 +860,41 @@ def stale_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = pages.withColumn("description", F.lit(""))
     new = new.withColumn("description", F.lit(""))
     return ch.stale_vectors(old, new, tb.chunks(spark, sf_dir)).select("id")
+
+
+# -------------------------------------------------------------- F-Q10..F-Q12
+
+
+def _decorated(spark, sf_dir, queries):
+    from ..operators import snippets as sn
+    idx = corpus_index(spark, sf_dir)
+    top = srch.search(idx, queries).select("query_id", "rn", "page", "url", "rank", "total")
+    txt = idx.pages.select("page", "title", "description", "content")
+    return sn.decorate(top.join(txt, "page"), queries)
+
+
+@register("highlight_segments", ops="F-Q10 F-Q12 F-Q13")
+def highlight_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _decorated(spark, sf_dir, tb.word_queries(spark, sf_dir))
+    return d.select("query_id", "rn", "page", "title")
+
+
+@register("snippets", ops="F-Q11 F-Q12")
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _decorated(spark, sf_dir, tb.word_queries(spark, sf_dir))
+    return d.select("query_id", "rn", "page", "description", "content")
+
+
+@register("search_results_json", ops="A6 F-Q13 F-Q14")
+def search_results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The API response shape per query: results + pagination, as JSON text."""
+    d = _decorated(spark, sf_dir, tb.query_texts(spark, sf_dir))
+    res = d.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("rn", "url", "title", "description", "content",
+                                              "rank"))).alias("results"),
+        F.first("total").alias("total"))
+    return res.select("query_id", F.to_json(F.struct(
+        F.lit(True).alias("success"),
+        F.transform("results", lambda r: r.dropFields("rn")).alias("results"),
+        F.struct(F.lit(1).alias("page"), F.lit(10).alias("pageSize"), F.col("total")).alias("pagination"),
+    )).alias("json"))
