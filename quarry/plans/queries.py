@@ -898,3 +898,39 @@ def search_results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("results", lambda r: r.dropFields("rn")).alias("results"),
         F.struct(F.lit(1).alias("page"), F.lit(10).alias("pageSize"), F.col("total")).alias("pagination"),
     )).alias("json"))
+
+
+# ------------------------------------------------------------------------- K
+
+
+@register("stream_ingest", ops="K1 A1", sql=f"""
+SELECT page_id,
+  trim({O.unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) AS title,
+  coalesce({O.attr(O.first_with('html', 'meta', 'name', 'description'), 'content')}, '') AS description,
+  url AS canonical, CAST(2 AS TINYINT) AS status
+FROM pages""")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import jobs
+    out = jobs.run_available(jobs.ingest(jobs.file_stream(spark, sf_dir, "pages")), "ingest")
+    return out.select("page_id", "title", "description", "canonical", "status")
+
+
+@register("stream_frontier_dedupe", ops="K2", sql=f"""
+WITH {O.FRONTIER}
+SELECT DISTINCT source, {O.url_key('url')} AS url_key FROM frontier""")
+def stream_frontier_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import jobs
+    s = jobs.dedupe_frontier(jobs.frontier_rows(jobs.file_stream(spark, sf_dir, "events")))
+    return jobs.run_available(s, "dedupe").select("source", "url_key")
+
+
+@register("stream_stale_reset", ops="K3", sql=f"""
+WITH {O.FRONTIER},
+latest AS (SELECT source, url, arg_max(status, (epoch_ms(updated_at), id)) AS st,
+                  max(epoch_ms(updated_at)) AS ms FROM frontier GROUP BY source, url)
+SELECT source, url FROM latest
+WHERE st = 1 AND ms + 60000 < (SELECT max(epoch_ms(updated_at)) FROM frontier)""")
+def stream_stale_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming import jobs
+    s = jobs.stale_claims(jobs.frontier_rows(jobs.file_stream(spark, sf_dir, "events")))
+    return jobs.run_available(s, "stale").select("source", "url")
