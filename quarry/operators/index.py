@@ -73,6 +73,7 @@ class Index:
     stats: DataFrame
     pages: DataFrame
     vocab: DataFrame | None = None
+    vocab_keys: DataFrame | None = None
 
     def n_docs(self) -> Column:
         return self.stats.select("n_docs").scalar()
@@ -87,7 +88,7 @@ class Index:
 def build_index(pages: DataFrame, materialize: bool = False) -> Index:
     """Build the inverted index of a pages-shaped DataFrame."""
     positions = token_stream(pages)
-    vocab = None
+    vocab = vocab_keys = None
     if materialize:
         spark = pages.sparkSession
         pos_path = scratch_path(spark, "positions")
@@ -109,8 +110,14 @@ def build_index(pages: DataFrame, materialize: bool = False) -> Index:
         voc_path = scratch_path(spark, "vocab")
         vocabulary(postings).write.mode("overwrite").parquet(voc_path)
         vocab = spark.read.parquet(voc_path)
+        # prefix keys of the vocabulary (first 1..3 characters) for prefix-query expansion
+        from .search import prefix_keys
+        keys_path = scratch_path(spark, "vocab_keys")
+        (prefix_keys(vocab.select("term")).repartition("key").sortWithinPartitions("key")
+         .write.mode("overwrite").parquet(keys_path))
+        vocab_keys = spark.read.parquet(keys_path)
     else:
         postings = postings_from_positions(positions)
         doc_len = doc_lengths(pages)
     return Index(postings=postings, positions=positions, doc_len=doc_len,
-                 stats=corpus_stats(doc_len), pages=pages, vocab=vocab)
+                 stats=corpus_stats(doc_len), pages=pages, vocab=vocab, vocab_keys=vocab_keys)

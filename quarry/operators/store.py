@@ -101,7 +101,13 @@ def upsert(pages: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
         last.alias("last"), F.min("depth").alias("b_depth"),
         F.min_by("url", F.col("seq")).alias("first_url"), F.min("seq").alias("first_seq"))
     old = pages.withColumn("url_key", U.url_key(F.col("url")))
-    j = old.alias("o").join(merged_b.alias("n"), key, "full_outer")
+    # only pages whose key is in the batch take part in the merge; the rest pass
+    # through a semi/anti join against the batch keys (broadcast when the batch is
+    # small), so the page table itself is never shuffled for a crawl batch
+    bkeys = merged_b.select(*key)
+    untouched = old.join(bkeys, key, "left_anti").drop("url_key")
+    touched = old.join(bkeys, key, "left_semi")
+    j = touched.alias("o").join(merged_b.alias("n"), key, "full_outer")
     max_id = pages.select(F.max("page")).scalar()
     is_new = F.col("o.page").isNull()
     fresh = j.filter(is_new).select(F.col("n.*"))
@@ -121,7 +127,7 @@ def upsert(pages: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
         *[F.when(upd, F.col(f"n.last.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
           for c in ("title", "description", "content", "error_info")],
         F.when(upd, now).otherwise(F.col("o.crawled_at")).alias("crawled_at"))
-    return kept.unionByName(fresh)
+    return untouched.select(*kept.columns).unionByName(kept).unionByName(fresh)
 
 
 def collapse_aliases(pages: DataFrame, batch: DataFrame, aliases: DataFrame) -> DataFrame:
