@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..session import pin
 
 
 def canonicalize(df: DataFrame, aliases: DataFrame, url_col: str = "url",
@@ -75,7 +76,7 @@ def dense_number(df: DataFrame, order: list[str], start: Column, out: str,
          .withColumn("_mid", F.monotonically_increasing_id()))
     # pin the partition assignment: range bounds come from sampling, and a
     # recomputation could place rows differently in the two branches below
-    d = d.checkpoint(eager=True)
+    d = pin(d)
     counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     offs = counts.select("_pid", "_m0", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
