@@ -121,3 +121,22 @@ def build_index(pages: DataFrame, materialize: bool = False) -> Index:
         doc_len = doc_lengths(pages)
     return Index(postings=postings, positions=positions, doc_len=doc_len,
                  stats=corpus_stats(doc_len), pages=pages, vocab=vocab, vocab_keys=vocab_keys)
+
+
+def refresh_index(index: Index, new_pages: DataFrame, removed: DataFrame | None = None) -> Index:
+    """Incremental maintenance. Pages in ``new_pages`` (inserted or changed) get
+    fresh positions/postings/lengths; pages in ``removed`` lose theirs. Everything
+    else is kept as is (left anti joins on page + union), so only changed pages are
+    re-tokenized; statistics are recomputed from the merged lengths."""
+    gone = new_pages.select("page")
+    if removed is not None:
+        gone = gone.unionByName(removed.select("page"))
+    fresh = token_stream(new_pages)
+    positions = index.positions.join(gone, "page", "left_anti").unionByName(fresh.select(*index.positions.columns))
+    postings = index.postings.join(gone, "page", "left_anti").unionByName(
+        postings_from_positions(fresh).select(*index.postings.columns))
+    doc_len = index.doc_len.join(gone, "page", "left_anti").unionByName(doc_lengths(new_pages))
+    pages = index.pages.join(gone, "page", "left_anti").unionByName(
+        new_pages.select(*index.pages.columns))
+    return Index(postings=postings, positions=positions, doc_len=doc_len,
+                 stats=corpus_stats(doc_len), pages=pages)

@@ -231,12 +231,13 @@ kept AS (
          CASE WHEN nb.b_depth IS NOT NULL THEN least(o.depth, nb.b_depth) ELSE o.depth END AS depth,
          CASE WHEN nb.b_depth IS NOT NULL THEN nb.status ELSE o.status END AS status,
          CASE WHEN nb.b_depth IS NOT NULL THEN nb.title ELSE o.title END AS title,
+         CASE WHEN nb.b_depth IS NOT NULL THEN nb.description ELSE o.description END AS description,
          CASE WHEN nb.b_depth IS NOT NULL THEN nb.content ELSE o.content END AS content,
          CASE WHEN nb.b_depth IS NOT NULL THEN TIMESTAMP '2024-03-01 00:00:00' ELSE o.crawled_at END AS crawled_at
   FROM o LEFT JOIN nb ON nb.source = o.source AND nb.url_key = o.url_key),
 fresh AS (
   SELECT (SELECT max(page) FROM corpus) + row_number() OVER (ORDER BY first_seq) AS page,
-         source, first_url AS url, b_depth AS depth, status, title, content,
+         source, first_url AS url, b_depth AS depth, status, title, description, content,
          TIMESTAMP '2024-03-01 00:00:00' AS crawled_at
   FROM nb WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.source = nb.source AND o.url_key = nb.url_key)),
 upserted AS (SELECT * FROM kept UNION ALL SELECT * FROM fresh)"""

@@ -934,3 +934,23 @@ def stream_stale_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import jobs
     s = jobs.stale_claims(jobs.frontier_rows(jobs.file_stream(spark, sf_dir, "events")))
     return jobs.run_available(s, "stale").select("source", "url")
+
+
+@register("index_maintenance", ops="E3 C5", sql=f"""
+WITH {O.CORPUS}, {O.UPSERT},
+ct AS (SELECT page, 0 AS col, url AS text FROM upserted UNION ALL SELECT page, 1, title FROM upserted
+       UNION ALL SELECT page, 2, description FROM upserted UNION ALL SELECT page, 3, content FROM upserted),
+tk AS (SELECT page, col, unnest({O.tokens('text')}) AS term FROM ct)
+SELECT term, page, col, count(*) AS tf FROM tk GROUP BY term, page, col""")
+def index_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incremental index refresh after a crawl batch equals a full rebuild."""
+    from ..operators import store as st
+    pages = tb.corpus(spark, sf_dir).withColumn("error_info", F.lit(""))
+    idx = ix.build_index(pages)
+    new = st.upsert(pages, tb.recrawl_batch(spark, sf_dir), tb.now())
+    h = F.xxhash64("url", "title", "description", "content")
+    changed = (new.select("page", h.alias("h1"))
+               .join(pages.select("page", h.alias("h0")), "page", "left")
+               .filter(F.col("h0").isNull() | (F.col("h0") != F.col("h1"))).select("page"))
+    fresh = new.join(changed, "page", "left_semi").select(*pages.columns)
+    return ix.refresh_index(idx, fresh).postings.select("term", "page", "col", "tf")
