@@ -954,3 +954,34 @@ def index_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
                .filter(F.col("h0").isNull() | (F.col("h0") != F.col("h1"))).select("page"))
     fresh = new.join(changed, "page", "left_semi").select(*pages.columns)
     return ix.refresh_index(idx, fresh).postings.select("term", "page", "col", "tf")
+
+
+@register("edit_cost_lang", ops="J6 J10")
+def edit_cost_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurable edit distance between every benchmark word and its correction."""
+    from ..operators import spelling as sp
+    b = tb.read(spark, sf_dir, "benchmark")
+    words = b.select(F.explode(F.split("text", r"\W")).alias("w")).filter("w <> ''").distinct()
+    best = sp.best_matches(words, _dictionary(spark, sf_dir))
+    # cost configuration: defaults plus cheap vowel swaps for language 0
+    table = spark.createDataFrame(
+        [(0, "?", "", 100), (0, "", "?", 100), (0, "?", "?", 150)] +
+        [(0, x, y, 20) for x in "aeiou" for y in "aeiou" if x != y],
+        "lang int, `from` string, `to` string, cost int")
+    pairs = best.select(F.col("w").alias("a"), F.col("word").alias("b"))
+    return sp.edit_costs_lang(pairs, table)
+
+
+@register("dictionary_maintenance", ops="J12")
+def dictionary_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionary after inserting the benchmark words (rank 1 when new) and deleting
+    the words of the labelled documents' first sentence."""
+    from ..operators import spelling as sp
+    dic = _dictionary(spark, sf_dir)
+    b = tb.read(spark, sf_dir, "benchmark")
+    add = (b.select(F.explode(F.split(F.lower("text"), r"\W")).alias("word")).filter("word <> ''")
+           .distinct().join(dic.select("word"), "word", "left_anti").withColumn("rank", F.lit(1).cast("long")))
+    d = tb.read(spark, sf_dir, "documents").join(tb.read(spark, sf_dir, "labels"), "doc_id")
+    gone = d.select(F.explode(F.split(F.lower(F.substring_index("text", ".", 1)), r"\W")).alias("word")) \
+        .filter("word <> ''").distinct()
+    return sp.dictionary_delete(sp.dictionary_upsert(dic, add), gone)
