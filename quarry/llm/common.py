@@ -80,6 +80,13 @@ _POW = _powers(_BASE, _CHUNK + 1)
 _INV = _powers(pow(_BASE, -1, 1 << 64), _CHUNK + 1)
 
 
+def _reach(n: int) -> None:
+    """Powers for n positions (a single row can be longer than a chunk)."""
+    global _POW, _INV
+    if n >= len(_POW):
+        _POW, _INV = _powers(_BASE, 2 * n), _powers(pow(_BASE, -1, 1 << 64), 2 * n)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finalizer: every input bit reaches every output bit."""
     x = x ^ (x >> U64(30))
@@ -101,6 +108,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_hash(codes: np.ndarray) -> np.ndarray:
     """H with ``(H[e] - H[s]) * inverse_power(s)`` the polynomial hash of codes[s:e]."""
+    _reach(len(codes))
     h = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes * _POW[:len(codes)], out=h[1:])
     return h
