@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pin
+from . import common as C
 
 
 def _mark(e: DataFrame) -> tuple:
@@ -24,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
     checkpoint), and the driver sees only a row count and a checksum.
     Null ids and self links are ignored; no links give no rows.
     """
-    e = pin(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    e = C.pin(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
             .where("a is not null and b is not null and hi <> lo").distinct())
     mark = _mark(e)
     while mark[0]:
@@ -36,7 +36,7 @@ def components(links: DataFrame) -> DataFrame:
                  .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         j = large.join(low, "hi")
-        e = pin(j.select("hi", F.col("m").alias("lo")).unionAll(
+        e = C.pin(j.select("hi", F.col("m").alias("lo")).unionAll(
             j.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct())
         was, mark = mark, _mark(e)
         if was == mark:
@@ -45,43 +45,49 @@ def components(links: DataFrame) -> DataFrame:
         e.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
 
 
-def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def unlinked_pairs(left: DataFrame) -> DataFrame:
+    """(a, b) of all members of one bucket in different components, one of them a center."""
+    x, y = left.where("center").alias("x"), left.alias("y")
+    return (x.join(y, F.col("x.key") == F.col("y.key"))
+            .where("x.comp <> y.comp and (not y.center or x.id < y.id)")
+            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+
+
+def bucket_components(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+                      candidates: Callable[[DataFrame], DataFrame] = unlinked_pairs) -> DataFrame:
     """(id, component) over all verified links between ids that share a bucket.
 
     members: (key, id, center boolean). Two ids are candidates when they share
-    a key and at least one of the two rows may be a center. Round one compares
-    each bucket's members with its smallest center only, so a bucket of n
-    copies costs n pairs; round two compares only members that are still in
-    different components. Pairs inside one component cannot change the result,
-    so no link between components is lost, and no bucket is expanded into all
-    its pairs. Buckets are aggregated before they are joined back, and both
-    joins are plain equi-joins that AQE may split.
+    a key and at least one of the two rows may be a center. ``prepare`` gets
+    the ids (id) that share any bucket and returns verify(pairs) -> links.
+
+    Round one compares each bucket's members with one center only, the one that
+    shares most buckets with others, so a bucket of n copies costs n pairs.
+    Round two takes the members of buckets that still hold several components;
+    ``candidates`` names the pairs (key, id, center, comp) -> (a, b) to verify.
+    Pairs inside one component cannot change the result, so no link between
+    components is lost and no bucket is expanded into all its pairs. Buckets
+    are aggregated before they are joined back, all joins are plain equi-joins.
     """
-    spark = members.sparkSession
-    center = F.when(F.col("center"), F.col("id"))
-    heads = (members.groupBy("key")
-             .agg(F.min(center).alias("head"), F.min("id").alias("low"), F.max("id").alias("high"))
-             .where("head is not null and low <> high").select("key", "head"))
-    live = pin(members.join(heads, "key"))
-    star = pin(live.where("head <> id").select(
+    shared = members.groupBy("key").agg(
+        F.min("id").alias("low"), F.max("id").alias("high"), F.max("center").alias("any"),
+        F.count(F.lit(1)).alias("n")).where("any and low <> high").select("key", "n")
+    live = C.pin(members.join(shared, "key"))
+    degree = live.groupBy("id").agg(F.sum("n").alias("degree"))
+    verify = prepare(degree.select("id"))
+    live = C.pin(live.drop("n").join(degree, "id"))
+    heads = (live.where("center").groupBy("key")
+             .agg(F.max(F.struct("degree", (-F.col("id")).alias("neg"))).alias("best"))
+             .select("key", (-F.col("best.neg")).alias("head")))
+    star = C.pin(live.join(heads, "key").where("head <> id").select(
         F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct())
-    links = pin(verify(star))
-    comp = pin(components(links))
-    lab = live.join(comp, "id", "left").select(
-        "key", "id", "center", F.coalesce("component", "id").alias("comp"))
-    lab = pin(lab)
+    links = C.pin(verify(star))
+    comp = C.pin(components(links))
+    lab = C.pin(live.join(comp, "id", "left").select("key", "id", "center", F.coalesce("component", "id").alias("comp")))
     open_keys = (lab.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
                  .where("c0 <> c1").select("key"))
-    left = lab.join(open_keys, "key", "left_semi")
-    x, y = left.where("center").alias("x"), left.alias("y")
-    cross = (x.join(y, F.col("x.key") == F.col("y.key"))
-             .where("x.comp <> y.comp and (not y.center or x.id < y.id)")
-             .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-             .distinct().join(star, ["a", "b"], "left_anti"))
-    cross = pin(cross)
-    if cross.isEmpty():
-        return comp
-    more = pin(verify(cross))
+    cross = C.pin(candidates(lab.join(open_keys, "key", "left_semi")))
+    more = C.pin(verify(cross.join(star, ["a", "b"], "left_anti")))
     if more.isEmpty():
         return comp
     return components(links.select("a", "b").unionByName(more.select("a", "b")))

@@ -12,10 +12,15 @@ of the sketch are candidate buckets; candidates are confirmed on full sets.
 
 Scale. Documents with equal sets (128-bit set hash) collapse to their smallest
 doc_id before any bucket is built, and near copies meet only their bucket's
-smallest member first (``graph.bucket_components``), so a group of n copies
-costs n comparisons. With 25 bands of 5 rows a pair at similarity 0.85 is
-missed with probability 4e-7, one at 0.8 with 5e-5. Full sets are only shuffled
-for documents that share a bucket.
+best connected member first (``graph.bucket_components``), so a group of n
+copies costs n comparisons. Members of a bucket that are still in different
+components are compared on sketches, in bounded blocks of numpy rows: only
+pairs whose sketches agree in about as many coordinates as the limit asks for
+leave a block, once, and are confirmed on full sets. The first 125 of 500
+coordinates are banded: 25 bands of 5 rows miss a pair at similarity 0.85 with
+probability 4e-7, one at 0.8 with 5e-5; the agreement limit lies 4.3 standard
+deviations below the mean (1e-5). Full sets are fetched once, for documents
+that share a bucket (bounded Bloom filter, then an exact join).
 
 Defined cases: null and empty texts have the empty set and are linked with
 nothing; repeated rows (same doc_id) are one node and all get its component;
@@ -32,10 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from . import common as C
 from .graph import bucket_components
 
 BANDS, ROWS = 25, 5
+COORDINATES = 500
+BLOCK = 512  # members of one bucket that meet in one block
 
 
 def sketch(values: np.ndarray, off: np.ndarray, t: int) -> np.ndarray:
@@ -83,8 +91,8 @@ def _sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return C.distinct_sets(*C.shingles(*C.word_hashes(data, off, C.SPACE_WORDS), n, k), n)
 
 
-def sketches(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, bands): set size, 128-bit set hash and band hashes."""
+def sketches(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n_shingles, s1, s2, bands, sketch): set size, 128-bit set hash, band hashes, low byte of each coordinate."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v, off = _sets(b, k)
@@ -95,14 +103,64 @@ def sketches(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> D
                 s = np.zeros(n, np.uint64)
                 np.add.at(s, row, C.mix(v ^ C.U64(salt)))
                 sums.append(pa.array(s.view(np.int64)))
-            keys = band_hashes(sketch(v, off, bands * rows), bands, rows).view(np.int64)
-            keys = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64()))
+            sk = sketch(v, off, COORDINATES)
+            keys = band_hashes(sk, BANDS, ROWS).view(np.int64)
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))
+            low = pa.array([x.tobytes() for x in (sk & C.U64(255)).astype(np.uint8)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.diff(off)), *sums, keys],
-                names=["doc_id", "n_shingles", "s1", "s2", "bands"])
+                [b.column("doc_id"), pa.array(np.diff(off)), *sums, keys, low],
+                names=["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
+        run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary")
+
+
+def block_pairs(left: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members of one bucket in different components whose sketches agree closely enough.
+
+    left: (key, id, comp, ...) of the open buckets; sketched: (id, n, bands, sketch).
+    A bucket of m members is dealt to m / BLOCK hash blocks; every pair of
+    blocks meets once. A pair that shares several bands is named only in the
+    first of them.
+    """
+    share = percent / 100
+    agree = COORDINATES * (share + (1 - share) / 256) - 4.3 * (COORDINATES * share * (1 - share)) ** 0.5
+    blocks = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = (left.select("key", "id", "comp").join(blocks, "key").withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+             .drop("other", "blocks").join(sketched, "id"))
+
+    def compare(pdf):
+        import pandas as pd
+        i, j, key = pdf["i"].iloc[0], pdf["j"].iloc[0], pdf["key"].iloc[0]
+        ids, comp = pdf["id"].to_numpy(), pdf["comp"].to_numpy()
+        n, own = pdf["n"].to_numpy(), pdf["own"].to_numpy()
+        sk = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+        bands = np.stack(pdf["bands"].to_numpy())
+        rows, cols = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        out_a, out_b = [], []
+        for lo in range(0, len(rows), 32):
+            r = rows[lo:lo + 32]
+            ok = comp[r][:, None] != comp[cols][None, :]
+            if i == j:
+                ok &= ids[r][:, None] < ids[cols][None, :]
+            ok &= 100 * np.minimum(n[r][:, None], n[cols]) >= percent * np.maximum(n[r][:, None], n[cols])
+            x, y = np.nonzero(ok)
+            for at in range(0, len(x), 20_000):
+                a, b = r[x[at:at + 20_000]], cols[y[at:at + 20_000]]
+                near = (sk[a] == sk[b]).sum(axis=1) >= agree
+                a, b = a[near], b[near]
+                first = (bands[a] == bands[b]).argmax(axis=1)
+                here = bands[a, first] == key
+                out_a.append(ids[a[here]])
+                out_b.append(ids[b[here]])
+        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
+        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -118,40 +176,39 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
         run, "doc_id long, shingles array<long>")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80,
-                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text)."""
-    t = C.pin(sketches(docs, k, bands, rows))
+    spark = docs.sparkSession
+    t = C.pin(sketches(docs, k))
     full = t.where("n_shingles > 0 and doc_id is not null")
-    # equal sets: one representative, the smallest doc_id, and its band hashes
-    classes = C.pin(full.groupBy("s1", "s2", "n_shingles").agg(
-        F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.any_value("bands").alias("bands")))
-    members = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"),
-                             F.lit(True).alias("center"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).unionAll(
-            pairs.select(F.col("b").alias("doc_id"))).distinct()
-        text = docs.select(F.col("doc_id").cast("long"), "text")
-        # a repeated doc_id has the set that its class stands for
-        want = classes.join(ids, F.col("rep") == F.col("doc_id"), "left_semi").select("rep", "n_shingles").withColumnRenamed("rep", "doc_id")
-        sets = shingle_sets(text.join(ids, "doc_id", "left_semi"), k)
-        sets = C.pin(sets.join(want, (sets.doc_id == want.doc_id) & (F.size("shingles") == F.col("n_shingles")), "left_semi")
-                     .distinct())
+    # equal sets: one representative, the smallest doc_id
+    classes = C.pin(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")))
+    # a doc_id with several different texts represents several sets: they are one node
+    reps = classes.select("rep", "s1", "s2")
+    sketched = full.join(reps, (F.col("doc_id") == F.col("rep")) & (full.s1 == reps.s1) & (full.s2 == reps.s2), "left_semi")
+    sketched = C.pin(sketched.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch")
+                     .dropDuplicates(["id", "n"]))
+    members = sketched.select(F.explode("bands").alias("key"), "id", F.lit(True).alias("center"))
+
+    def prepare(ids: DataFrame):
+        ids = C.pin(ids.select(F.col("id").alias("doc_id")))
+        words = bloom.build(ids, "doc_id")
+        text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(bloom.maybe(spark, words, F.col("doc_id")))
+        sets = C.pin(shingle_sets(text.join(ids, "doc_id", "left_semi"), k).where("size(shingles) > 0").distinct())
         a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
         b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb")).cast("long")
-        return (pairs.join(a, "a").join(b, "b")
-                .withColumn("both", both)
-                .where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both")))
-                .select("a", "b"))
+        return lambda pairs: (
+            pairs.join(a, "a").join(b, "b").withColumn("both", both)
+            .where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both")))
+            .select("a", "b").distinct())
 
-    comp = bucket_components(members, verify)
+    comp = bucket_components(members, prepare, lambda left: block_pairs(left, sketched, percent))
     # only classes with copies or links need a row; all other documents stand alone
     named = (classes.join(comp, F.col("rep") == F.col("id"), "left")
              .select("s1", "s2", "n_shingles", "rep", "last", F.coalesce("component", "rep").alias("component_id"))
              .where("last <> rep or component_id <> rep").drop("rep", "last"))
-    keep = t.drop("bands")
+    keep = t.drop("bands", "sketch")
     return (keep.join(named, ["s1", "s2", "n_shingles"], "left")
             .withColumn("component_id", F.coalesce("component_id", "doc_id"))
             .select("doc_id", "n_shingles", "component_id",
