@@ -52,10 +52,12 @@ def sketch(values: np.ndarray, off: np.ndarray, t: int) -> np.ndarray:
     size = np.diff(off)
     none = np.iinfo(np.uint64).max
     out = np.full(n * t, none, np.uint64)
+    values = C.mix(values)
+    salts = C.mix(np.arange(1, 2 * t + 1, dtype=np.uint64))
     row = np.repeat(np.arange(n), size)
     open_row = size > 0
     for i in range(2 * t):
-        h = C.mix(values + C.U64((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        h = C.mix(values ^ salts[i])
         if i < t:
             at = ((h >> C.U64(32)) * C.U64(t) >> C.U64(32)).astype(np.int64)
         else:

@@ -1,8 +1,8 @@
 """Operator 5: toxicity, a counterfactual-regularised classifier.
 
-A document's features are the words it holds and their first 4, 5 and 6 bytes
-(inflected forms share them), hashed; words are runs of letters and digits,
-A-Z folded. The features that labels speak for or against most clearly (a chi-square
+A document's features are the words it holds and their first 4 to 8 bytes
+(inflected forms share them), each once, and again where it holds them at least
+REPEATS times, hashed; words are runs of letters and digits, A-Z folded. The features that labels speak for or against most clearly (a chi-square
 on document counts) get a logistic regression. For every training document
 that names a group, sentences with the group's term swapped for each other
 term of its kind are added: squared differences of the two scores are
@@ -31,11 +31,12 @@ from . import common as C
 
 SAMPLE_DOCS = 8_000
 BITS = 20
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
+REPEATS = (2, 4)
 MAX_FEATURES = 4096
 MIN_DOCS = 3
 MIN_CHI2 = 20.0
-L2 = 1.0
+L2 = 0.1
 COUNTERFACTUAL = 10.0
 CUT = 0.3
 
@@ -71,10 +72,20 @@ def word_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(feats).astype(np.int64), np.concatenate(rows)
 
 
-def document_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (feature, row) pairs, by row."""
+def repeat_feature(f: np.ndarray, times: int) -> np.ndarray:
+    """The feature of holding feature f at least ``times`` times."""
+    return (C.mix(f.astype(np.uint64) + C.U64(times << 40)) >> C.U64(64 - BITS)).astype(np.int64)
+
+
+def document_features(data: np.ndarray, off: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (feature, row) pairs, by row; ``wanted`` masks the words and prefixes to look at."""
     f, row = word_features(data, off)
-    pairs = np.unique(row.astype(np.int64) << BITS | f)
+    if wanted is not None:
+        here = wanted[f]
+        f, row = f[here], row[here]
+    pairs, n = np.unique(row.astype(np.int64) << BITS | f, return_counts=True)
+    more = [(pairs[n >= t] >> BITS << BITS) | repeat_feature(pairs[n >= t] & (1 << BITS) - 1, t) for t in REPEATS]
+    pairs = np.unique(np.concatenate([pairs, *more]))
     return pairs & (1 << BITS) - 1, pairs >> BITS
 
 
@@ -210,17 +221,17 @@ def scorer(spark, ids: np.ndarray, w: np.ndarray, b: float):
     """Arrow function text -> probability."""
     table = np.zeros(1 << BITS, np.float32)
     table[ids] = w
-    model = spark.sparkContext.broadcast((table, b))
+    every = np.arange(1 << BITS)
+    wanted = (table != 0) | np.logical_or.reduce([table[repeat_feature(every, t)] != 0 for t in REPEATS])
+    model = spark.sparkContext.broadcast((table, b, wanted))
 
     def score(text: pa.Array) -> pa.Array:
-        weights, bias = model.value
+        weights, bias, look = model.value
         data, off = C.text_bytes(text)
         z = np.full(len(text), bias)
         if len(data):
-            f, row = word_features(data, off)
-            hit = weights[f] != 0
-            pairs = np.unique(row[hit].astype(np.int64) << BITS | f[hit])  # presence, not frequency
-            z += np.bincount(pairs >> BITS, weights[pairs & (1 << BITS) - 1], len(text))
+            f, row = document_features(data, off, look)  # presence, not frequency
+            z += np.bincount(row, weights[f], len(text))
         return pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
     score.__annotations__ = {"text": pa.Array, "return": pa.Array}
