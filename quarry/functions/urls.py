@@ -70,15 +70,31 @@ def levels(u: Column) -> Column:
     return F.when(is_url(u), F.concat(first, crumbs))
 
 
+def without_dots(u: Column) -> Column:
+    """A URL whose path has its `.` and `..` segments resolved; any other string unchanged."""
+    segs = F.split(path(u), "/")
+    # the first segment of an absolute path is empty and is never left by '..'
+    empty = F.array().cast("array<string>")
+    kept = F.aggregate(segs, empty, lambda acc, s: F.when(s == ".", acc).when(
+        s == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(acc)).otherwise(
+        F.concat(acc, F.array(s))))
+    last = F.element_at(segs, -1)
+    tail = F.when((last == ".") | (last == ".."), F.lit("/")).otherwise(F.lit(""))
+    new = F.concat(_part(u, 1), F.lit(":"), _part(u, 2), F.array_join(kept, "/"), tail, _part(u, 5), _part(u, 6))
+    dotted = path(u).rlike(r"(^|/)\.\.?(/|$)")
+    return F.when(is_url(u) & dotted, new).otherwise(u)
+
+
 def resolve(base: Column, ref: Column) -> Column:
-    """Absolute form of ``ref`` against ``base`` (common reference shapes)."""
+    """Absolute form of ``ref`` against ``base``, dot segments removed."""
     base_nofrag = F.regexp_replace(base, "#.*$", "")
     base_noq = F.regexp_replace(base_nofrag, r"\?.*$", "")
     base_dir = F.regexp_replace(base_noq, "[^/]*$", "")
-    return (F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
-            .when(ref.startswith("//"), F.concat(scheme(base), F.lit(":"), ref))
-            .when(ref.startswith("/"), F.concat(origin(base), ref))
-            .when(ref.startswith("#"), F.concat(base_nofrag, ref))
-            .when(ref.startswith("?"), F.concat(base_noq, ref))
-            .when(ref == "", base_nofrag)
-            .otherwise(F.concat(base_dir, ref)))
+    return without_dots(
+        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
+        .when(ref.startswith("//"), F.concat(scheme(base), F.lit(":"), ref))
+        .when(ref.startswith("/"), F.concat(origin(base), ref))
+        .when(ref.startswith("#"), F.concat(base_nofrag, ref))
+        .when(ref.startswith("?"), F.concat(base_noq, ref))
+        .when(ref == "", base_nofrag)
+        .otherwise(F.concat(base_dir, ref)))

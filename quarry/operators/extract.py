@@ -1,27 +1,22 @@
-"""Page extraction (B1-B11, A2, A3) as one projection over raw pages.
+"""Page extraction (B1-B11, A2, A3): one parser pass per page, then Catalyst columns.
 
-Tag/attribute fields are Catalyst regular expressions (whole-stage codegen);
-the visible-text walk (B7/B8) needs a DOM, so it runs as an Arrow batch
-function (``mapInPandas``) with the standard-library HTML parser, one page
-at a time inside each task.
+``parsed`` turns a page into a struct (title, description, robots, canonical
+and link attributes, visible text of the main content) in one event-driven
+pass over the markup, in Arrow batches; URLs are resolved and statuses decided by Column
+expressions over that struct.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import urls as U
 
-# Named character references decoded in tag text and attributes.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", " "), ("&amp;", "&")]
-
 # Elements whose text is never collected, and block-level
 # elements (plus li) that put a line break before and after their text.
 NON_TEXT = {"head", "meta", "script", "style", "noscript", "object", "svg"}
@@ -33,71 +28,197 @@ BLOCK = {"html", "body", "p", "address", "article", "aside", "div", "footer", "h
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
         "track", "wbr", "param"}
 
+# Elements that may stand in a page's head.
+HEAD_CONTENT = {"title", "meta", "link", "script", "style", "base", "noscript", "template"}
+
 ROBOTS_MESSAGE = 'Disallowed by <meta name="robots">'
 FEED_ERROR = "Invalid feed content"
 
+# Content types of link alternates.
+ALTERNATE_TYPES = {"application/atom+xml", "application/rss+xml", "text/html"}
+
+
+DOC = ("struct<title:string,description:string,robots:string,canonical:string,"
+       "anchors:array<string>,alternates:array<string>,text:string>")
+
+
+class PageParser(HTMLParser):
+    """Collects the fields and the visible text of one page while its markup streams by.
+
+    Visible text is a list of pieces. Blanks that follow a piece wait in ``gap``
+    and are written only when another piece follows inside the same element;
+    closing an element that held text replaces them by its own gap. So no
+    piece is copied twice, and depth is bounded by an explicit stack only.
+    """
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.title = self.description = self.robots = self.canonical = None
+        self.anchors, self.alternates = [], []
+        self.pieces, self.gap, self.hidden = [], "", 0
+        self.stack = []  # (tag, pieces and gap at the start, title attributes)
+        self.depth_of = {}  # tag -> open elements of that tag
+        self.regions = {}  # article / main -> first (start, end) in pieces
+
+    # -- text
+
+    def _write(self, text, after):
+        core = text.lstrip()
+        if core:
+            body = core.rstrip()
+            self.pieces.append(self.gap + body)
+            self.gap = core[len(body):] + after
+
+    def _close(self):
+        tag, start, gap, labels = self.stack.pop()
+        self.depth_of[tag] -= 1
+        if tag in NON_TEXT:
+            self.hidden -= 1
+        if len(self.pieces) > start:
+            self.gap = " \n" if tag in BLOCK else " "
+            for v in labels:  # a label keeps its own leading blanks after text
+                self.pieces.append(self.gap + v.rstrip())
+                self.gap = v[len(v.rstrip()):] + " "
+        else:
+            self.gap = gap
+            for v in labels:
+                self._write(v, " ")
+        if tag in self.regions and self.regions[tag][1] is None:
+            if self.regions[tag][2] == len(self.stack):
+                self.regions[tag][1] = len(self.pieces)
+
+    # -- events
+
+    def handle_starttag(self, tag, attrs, closed=False):
+        values = {}
+        for k, v in attrs:
+            values.setdefault(k, v or "")
+        self._field(tag, values)
+        if self.depth_of.get("head") and tag not in HEAD_CONTENT:
+            self.handle_endtag("head")  # an unclosed head ends where page content begins
+        if tag in ("p", "li", "option") and self.depth_of.get(tag):
+            for i in range(len(self.stack) - 1, -1, -1):
+                t = self.stack[i][0]
+                if t == tag:
+                    while len(self.stack) > i:
+                        self._close()
+                    break
+                if t in BLOCK and t not in ("p", "li"):
+                    break
+        labels = [v for k, v in attrs if k == "title" and v and v.strip()] if not self.hidden else []
+        if closed or tag in VOID:
+            if not self.hidden:
+                own = "".join(f"{v} " for v in labels)
+                if tag == "img" and values.get("alt", "").strip():
+                    own += values["alt"] + "\n"
+                self._write(own, "")
+            return
+        if tag in ("article", "main") and tag not in self.regions:
+            self.regions[tag] = [len(self.pieces), None, len(self.stack)]
+        self.stack.append((tag, len(self.pieces), self.gap, labels))
+        self.depth_of[tag] = self.depth_of.get(tag, 0) + 1
+        if tag in NON_TEXT:
+            self.hidden += 1
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs, closed=True)
+
+    def handle_endtag(self, tag):
+        if self.depth_of.get(tag):
+            while self.stack[-1][0] != tag:
+                self._close()
+            self._close()
 
-def unescape(c: Column) -> Column:
-    for a, b in ENTITIES:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+    def handle_data(self, data):
+        if self.title is not None and self.stack and self.stack[-1][0] == "title" and self.depth_of["title"] == 1 and not self.titled:
+            self.title += data
+        if not self.hidden:
+            self._write(data, " ")
+
+    titled = False
+
+    def _field(self, tag, values):
+        if tag == "title":
+            self.titled = self.title is not None
+            self.title = self.title or ""
+        elif tag == "meta" and "content" in values:
+            name = values.get("name", "").lower()
+            if name == "description" and self.description is None:
+                self.description = values["content"]
+            elif name == "robots" and self.robots is None:
+                self.robots = values["content"]
+        elif tag == "link" and "href" in values:
+            rel = values.get("rel", "").lower()
+            if rel == "canonical" and self.canonical is None:
+                self.canonical = values["href"]
+            elif rel == "alternate" and values.get("type") in ALTERNATE_TYPES:
+                self.alternates.append(values["href"])
+        elif tag == "a" and "href" in values and "nofollow" not in values.get("rel", ""):
+            self.anchors.append(values["href"])
+
+    def finish(self):
+        self.close()
+        while self.stack:
+            self._close()
+        for tag in ("article", "main"):
+            if tag in self.regions:
+                start, end, _ = self.regions[tag]
+                main = "".join(self.pieces[start:end]).strip()
+                if main:
+                    return main
+                break
+        return "".join(self.pieces).strip()
 
 
-def _tags(html: Column, name: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"(?is)<" + name + r"\s[^>]*>"), 0)
+def parse_page(html: str | None) -> dict:
+    p = PageParser()
+    p.feed(html or "")
+    text = p.finish()
+    return {"title": (p.title or "").strip(), "description": p.description or "", "robots": p.robots or "",
+            "canonical": p.canonical, "anchors": p.anchors, "alternates": p.alternates, "text": text}
 
 
-def _attr(tag: Column, name: str) -> Column:
-    """Attribute value of a tag string ('' when absent), entity-decoded."""
-    v = F.regexp_extract(tag, r"(?is)\s" + name + r"""\s*=\s*["']([^"']*)["']""", 1)
-    return unescape(v)
+def visible_text(html: str | None) -> str:
+    """Main content (first article, else main, else whole page) as visible text."""
+    return parse_page(html)["text"]
 
 
-def _has_attr(tag: Column, name: str) -> Column:
-    return tag.rlike(r"(?is)\s" + name + r"\s*=")
+_DOC = pa.struct([("title", pa.string()), ("description", pa.string()), ("robots", pa.string()), ("canonical", pa.string()),
+                  ("anchors", pa.list_(pa.string())), ("alternates", pa.list_(pa.string())), ("text", pa.string())])
 
 
-def _first_with(html: Column, tag: str, attr: str, value: str) -> Column:
-    """First ``<tag ... attr=value ...>`` tag string, or NULL."""
-    tags = F.filter(_tags(html, tag), lambda t: F.lower(_attr(t, attr)) == value)
-    return F.try_element_at(tags, F.lit(1))
+def _parse(html: pa.Array) -> pa.Array:
+    return pa.array([parse_page(h) for h in html.to_pylist()], _DOC)
 
 
-def title(html: Column) -> Column:
-    """B1: trimmed text of <title>."""
-    return F.trim(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+_parse.__annotations__ = {"html": pa.Array, "return": pa.Array}
 
 
-def description(html: Column) -> Column:
-    """B2: content of meta[name=description], else ''."""
-    return F.coalesce(_attr(_first_with(html, "meta", "name", "description"), "content"), F.lit(""))
+def parsed(html: Column) -> Column:
+    """All fields of a page, from one pass over its markup."""
+    return F.arrow_udf(_parse, returnType=DOC)(html)
 
 
-def robots_blocked(html: Column) -> Column:
+def robots_blocked(doc: Column) -> Column:
     """meta[name=robots] content contains 'noindex' or 'none' (substring)."""
-    c = _attr(_first_with(html, "meta", "name", "robots"), "content")
-    return F.coalesce(c.contains("noindex") | c.contains("none"), F.lit(False))
+    return doc["robots"].contains("noindex") | doc["robots"].contains("none")
 
 
-def canonical_link(html: Column, base: Column) -> Column:
+def canonical_link(doc: Column, base: Column) -> Column:
     """link[rel=canonical]@href made absolute; NULL when absent."""
-    tag = _first_with(html, "link", "rel", "canonical")
-    return F.when(tag.isNotNull() & _has_attr(tag, "href"), U.resolve(base, _attr(tag, "href")))
+    return F.when(doc["canonical"].isNotNull(), U.resolve(base, doc["canonical"]))
 
 
-def anchor_hrefs(html: Column, base: Column) -> Column:
+def anchor_hrefs(doc: Column, base: Column) -> Column:
     """Absolute, canonical-guessed hrefs of a[href] without rel~nofollow, as a set."""
-    tags = F.filter(_tags(html, "a"), lambda t: _has_attr(t, "href") & ~_attr(t, "rel").contains("nofollow"))
-    urls = F.transform(tags, lambda t: U.canonical_guess(U.resolve(base, _attr(t, "href"))))
+    urls = F.transform(doc["anchors"], lambda h: U.canonical_guess(U.resolve(base, h)))
     return F.array_distinct(F.filter(urls, lambda u: u.isNotNull()))
 
 
-def alternate_hrefs(html: Column, base: Column) -> Column:
+def alternate_hrefs(doc: Column, base: Column) -> Column:
     """link[rel=alternate] of feed or HTML type."""
-    tags = F.filter(_tags(html, "link"), lambda t: (F.lower(_attr(t, "rel")) == "alternate")
-                    & _attr(t, "type").isin("application/atom+xml", "application/rss+xml", "text/html")
-                    & _has_attr(t, "href"))
-    return F.array_distinct(F.transform(tags, lambda t: U.canonical_guess(U.resolve(base, _attr(t, "href")))))
+    urls = F.transform(doc["alternates"], lambda h: U.canonical_guess(U.resolve(base, h)))
+    return F.array_distinct(F.filter(urls, lambda u: u.isNotNull()))
 
 
 def truncate_bytes(items: list[Column], budget: Column) -> list[Column]:
@@ -119,156 +240,118 @@ def truncate_bytes(items: list[Column], budget: Column) -> list[Column]:
     return out
 
 
-def page_fields(raw: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """B1-B6, B11 columns of raw pages (page_id, url, html)."""
-    h, u = F.col(html), F.col(url)
-    blocked = robots_blocked(h)
-    return raw.select(
-        "*",
-        F.when(blocked, F.lit("")).otherwise(title(h)).alias("title"),
-        F.when(blocked, F.lit("")).otherwise(description(h)).alias("description"),
-        F.coalesce(canonical_link(h, u), u).alias("canonical"),
-        F.when(blocked, F.lit(S.ERROR)).otherwise(F.lit(S.FINISHED)).cast("tinyint").alias("status"),
-        F.when(blocked, F.lit(ROBOTS_MESSAGE)).otherwise(F.lit("")).alias("error_info"),
-        F.array_union(anchor_hrefs(h, u), alternate_hrefs(h, u)).alias("links"))
-
-
-# ------------------------------------------------------------------ visible text
-
-
-class _Node:
-    __slots__ = ("tag", "attrs", "children", "text")
-
-    def __init__(self, tag=None, attrs=None, text=None):
-        self.tag, self.attrs, self.children, self.text = tag, attrs or [], [], text
-
-
-class _TreeBuilder(HTMLParser):
-    """A small, forgiving DOM builder (implied end tags for p and li)."""
+def page_fields(raw: DataFrame) -> DataFrame:
+    """B1-B8, B11 columns of raw pages (page_id, url, html); a blocked page stops at its status."""
+    j = raw.withColumn("_doc", parsed(F.col("html")))
+    doc, u = F.col("_doc"), F.col("url")
+    blocked = robots_blocked(doc)
+    none = F.array().cast("array<string>")
+    open_ = lambda c, other: F.when(blocked, other).otherwise(c)
+    return j.select(
+        *raw.columns,
+        open_(doc["title"], F.lit("")).alias("title"),
+        open_(doc["description"], F.lit("")).alias("description"),
+        open_(F.coalesce(canonical_link(doc, u), u), u).alias("canonical"),
+        open_(F.lit(S.FINISHED), F.lit(S.ERROR)).cast("tinyint").alias("status"),
+        open_(F.lit(""), F.lit(ROBOTS_MESSAGE)).alias("error_info"),
+        open_(F.array_union(anchor_hrefs(doc, u), alternate_hrefs(doc, u)), none).alias("links"),
+        open_(doc["text"], F.lit("")).alias("content"))
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = _Node("#document")
-        self.stack = [self.root]
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li", "option"):
-            for i in range(len(self.stack) - 1, 0, -1):
-                t = self.stack[i].tag
-                if t == tag:
-                    del self.stack[i:]
-                    break
-                if t in BLOCK and t not in ("p", "li"):
-                    break
-        node = _Node(tag, [(k, v or "") for k, v in attrs])
-        self.stack[-1].children.append(node)
-        if tag not in VOID:
-            self.stack.append(node)
 
-    def handle_startendtag(self, tag, attrs):
-        self.stack[-1].children.append(_Node(tag, [(k, v or "") for k, v in attrs]))
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
-
-    def handle_data(self, data):
-        self.stack[-1].children.append(_Node(None, text=data))
-
-
-def _own(n: _Node) -> str:
-    t = ""
-    if n.children and n.tag not in NON_TEXT:
-        block = n.tag in BLOCK
-        t += ("\n" if block else "") + _chain(n.children) + " " + ("\n" if block else "")
-    if n.tag is None:
-        t += n.text + " "
-    for k, v in n.attrs:
-        if k == "title" and v.strip():
-            t += v + " "
-    if n.tag == "img":
-        for k, v in n.attrs:
-            if k == "alt" and v.strip():
-                t += v + "\n"
-                break
-    return t
+def extract_text(raw: DataFrame) -> DataFrame:
+    """(page_id, content) for raw pages (page_id, html)."""
+    return raw.select("page_id", parsed(F.col("html"))["text"].alias("content"))
 
 
-def _chain(nodes: list[_Node]) -> str:
-    """Text of a sibling list: each node's text followed by its next siblings' text."""
-    acc = None
-    for n in reversed(nodes):
-        t = _own(n)
-        if acc is not None:
-            t += acc + " "
-        acc = t.strip()
-    return acc or ""
+def extract_pages(raw: DataFrame, size_limit: int = 200_000) -> DataFrame:
+    """Full extraction: fields + visible text + byte budget, one row per raw page, one scan."""
+    f = page_fields(raw)
+    tt, dd, cc = truncate_bytes([F.col("title"), F.col("description"), F.col("content")], F.lit(size_limit))
+    return f.select("page_id", "url", "canonical", "status", "error_info", tt.alias("title"),
+                    dd.alias("description"), cc.alias("content"), "links")
 
 
-def _find(n: _Node, tag: str):
-    stack = [n]
-    while stack:
-        x = stack.pop()
-        if x.tag == tag:
-            return x
-        stack.extend(reversed(x.children))
-    return None
+# ------------------------------------------------------------- sitemaps and feeds
 
 
-def visible_text(html: str | None) -> str:
-    """Main content (first article, else main, else whole page) as visible text."""
-    b = _TreeBuilder()
-    b.feed(html or "")
-    b.close()
-    main = _find(b.root, "article") or _find(b.root, "main")
-    if main is not None:
-        text = _chain([main])
-        if text:
-            return text
-    return _chain(b.root.children)
+def _xml_links(body: str | None) -> dict | None:
+    """Links by kind, or None when the body is not well-formed XML."""
+    import xml.etree.ElementTree as ET
+    try:
+        root = ET.fromstring(body or "")
+    except (ET.ParseError, ValueError):
+        return None
+    local = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+    out = {"loc": [], "rss": [], "atom": []}
+    for e in root.iter():
+        if local(e) == "loc" and e.text:
+            out["loc"].append(e.text.strip())
+        elif local(e) in ("item", "entry"):
+            for x in e:
+                if local(x) == "link":
+                    if local(e) == "item" and x.text:
+                        out["rss"].append(x.text.strip())
+                    if local(e) == "entry" and x.get("href") is not None:
+                        out["atom"].append(x.get("href").strip())
+    return out
 
 
-def _text_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"page_id": pdf["page_id"],
-                            "content": [visible_text(h) for h in pdf["html"]]})
+_XML = pa.struct([("loc", pa.list_(pa.string())), ("rss", pa.list_(pa.string())), ("atom", pa.list_(pa.string()))])
 
 
-def extract_text(raw: DataFrame) -> DataFrame:
-    """(page_id, content) for raw pages (page_id, html)."""
-    return raw.select("page_id", "html").mapInPandas(_text_batches, "page_id long, content string")
+def _xml(body: pa.Array) -> pa.Array:
+    return pa.array([_xml_links(b) for b in body.to_pylist()], _XML)
 
 
-def extract_pages(raw: DataFrame, size_limit: int = 200_000) -> DataFrame:
-    """Full extraction: fields + visible text + byte budget, one row per raw page."""
-    f = page_fields(raw)
-    t = extract_text(raw)
-    j = f.join(t, "page_id")
-    content = F.when(F.col("status") == S.ERROR, F.lit("")).otherwise(F.col("content"))
-    tt, dd, cc = truncate_bytes([F.col("title"), F.col("description"), content], F.lit(size_limit))
-    return j.select("page_id", "url", "canonical", "status", "error_info", tt.alias("title"),
-                    dd.alias("description"), cc.alias("content"), "links")
+_xml.__annotations__ = {"body": pa.Array, "return": pa.Array}
 
 
-# ------------------------------------------------------------- sitemaps and feeds
+def xml_links(body: Column) -> Column:
+    """struct(loc, rss, atom) of an XML body; NULL when it is not well-formed (one bad body never fails a job)."""
+    return F.arrow_udf(_xml, returnType="struct<loc:array<string>,rss:array<string>,atom:array<string>>")(body)
 
 
 def sitemap_locs(body: Column, base: Column) -> Column:
-    """A2: every <loc> of a urlset or sitemapindex, made absolute."""
-    locs = F.xpath(body, F.lit('//*[local-name()="loc"]/text()'))
-    return F.transform(locs, lambda x: U.resolve(base, F.trim(x)))
+    """A2: every <loc> of a urlset or sitemapindex, made absolute; NULL for a malformed body."""
+    return F.transform(xml_links(body)["loc"], lambda x: U.resolve(base, x))
 
 
 def feed_links(body: Column, content_type: Column, base: Column) -> Column:
-    """A3: links of every item of an RSS, Atom or JSON feed (absolute)."""
-    rss = F.xpath(body, F.lit("//*[local-name()='item']/*[local-name()='link']/text()"))
-    atom = F.xpath(body, F.lit("//*[local-name()='entry']/*[local-name()='link']/@href"))
+    """A3: links of every item of an RSS, Atom or JSON feed (absolute); NULL for a malformed body."""
+    xml = xml_links(body)
     js = F.from_json(body, "items array<struct<url: string, external_url: string>>")
     jlinks = F.filter(F.transform(js["items"], lambda i: F.coalesce(i["url"], i["external_url"])),
                       lambda x: x.isNotNull())
-    links = (F.when(content_type.startswith("application/rss+xml"), rss)
-             .when(content_type.startswith("application/atom+xml"), atom)
+    links = (F.when(content_type.startswith("application/rss+xml"), xml["rss"])
+             .when(content_type.startswith("application/atom+xml"), xml["atom"])
              .when(content_type.startswith("application/feed+json"), jlinks))
     return F.transform(links, lambda x: U.resolve(base, F.trim(x)))
+
+
+def fetched(raw: DataFrame, size_limit: int = 200_000) -> DataFrame:
+    """Status, fields and links of fetched bodies (page_id, url, content_type, html, fetch_error) by content type.
+
+    B11: a fetch error is Error with its message; HTML is Finished, or Error when
+    its robots tag blocks it; a sitemap or feed gives links and stays Unindexable,
+    a malformed feed is Error; any other type is Unindexable.
+    """
+    ct, u = F.lower(F.coalesce("content_type", F.lit(""))), F.col("url")
+    is_html = ct.startswith("text/html")
+    is_map = ct.startswith("application/xml") | ct.startswith("text/xml")
+    is_feed = ct.startswith("application/rss+xml") | ct.startswith("application/atom+xml") | ct.startswith("application/feed+json")
+    ok = F.col("fetch_error").isNull()
+    page = extract_pages(raw.select("page_id", "url", F.when(ok & is_html, F.col("html")).alias("html")), size_limit)
+    other = raw.select("page_id", "content_type", "fetch_error", F.when(ok & is_map, sitemap_locs(F.col("html"), u))
+                       .when(ok & is_feed, feed_links(F.col("html"), ct, u)).alias("_more"))
+    j = page.join(other, "page_id")
+    ct = F.lower(F.coalesce("content_type", F.lit("")))
+    is_feed = ct.startswith("application/rss+xml") | ct.startswith("application/atom+xml") | ct.startswith("application/feed+json")
+    bad_feed = is_feed & F.col("_more").isNull()
+    failed = F.col("fetch_error").isNotNull()
+    status = (F.when(failed | bad_feed, F.lit(S.ERROR)).when(ct.startswith("text/html"), F.col("status"))
+              .otherwise(F.lit(S.UNINDEXABLE)))
+    more = F.transform(F.coalesce("_more", F.array().cast("array<string>")), lambda x: U.canonical_guess(x))
+    return j.select(
+        "page_id", "url", "canonical", status.cast("tinyint").alias("status"),
+        F.when(failed, F.col("fetch_error")).when(bad_feed, F.lit(FEED_ERROR)).otherwise(F.col("error_info")).alias("error_info"),
+        "title", "description", "content", F.array_union("links", F.filter(more, lambda x: x.isNotNull())).alias("links"))

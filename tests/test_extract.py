@@ -51,3 +51,32 @@ def test_sitemaps_and_feeds(spark):
     df = spark.createDataFrame(feeds, "ct string, body string")
     got = [r[0] for r in df.select(ex.feed_links(F.col("body"), F.col("ct"), F.lit("https://a/x"))).collect()]
     assert got == [["https://a/r1", "https://a/r2"], ["https://a/t1", "https://a/t2"], ["https://a/j1", "https://a/j2"]]
+
+
+def test_attribute_forms(spark):
+    page = ("<head><META name=description content=\"Don't stop &eacute;\"></head><a title=\"a>b\" href=\"/gt\">1</a><a href=/plain>2</a>"
+            "<a href='/dots/./x/../y/'>3</a><a href='../../up'>4</a>")
+    r = ex.page_fields(spark.createDataFrame([(1, "https://h/p/q", page)], "page_id long, url string, html string")).first()
+    assert r.description == "Don't stop é"
+    assert set(r.links) == {"https://h/gt", "https://h/plain", "https://h/dots/y", "https://h/up"}
+
+
+def test_blocked_page_stops(spark):
+    r = ex.page_fields(_raw(spark, "noindex")).first()
+    assert (r.canonical, r.links, r.content, r.title) == ("https://site.com/p", [], "", "")
+
+
+def test_deep_nesting_and_unclosed_head():
+    assert ex.visible_text("<div>" * 10_000 + "deep" + "</div>" * 10_000) == "deep"
+    assert ex.visible_text("<html><head><title>t</title><body><article>kept</article>") == "kept"
+
+
+def test_malformed_bodies_do_not_fail_the_job(spark):
+    rows = [(1, "https://h/", "application/rss+xml", "<rss><item>", None), (2, "https://h/", "application/xml", "<urlset><loc>", None),
+            (3, "https://h/", "application/rss+xml", "<rss><item><link>/ok</link></item></rss>", None), (4, "https://h/", None, "x", None),
+            (5, "https://h/", "text/html", "<title>t</title>", None), (6, "https://h/", "text/html", None, "HTTP 500"),
+            (7, "https://h/", "application/feed+json", "{", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, content_type string, html string, fetch_error string")
+    got = {r.page_id: (r.status, r.error_info, r.links) for r in ex.fetched(df).collect()}
+    assert got == {1: (3, ex.FEED_ERROR, []), 2: (4, "", []), 3: (4, "", ["https://h/ok"]), 4: (4, "", []), 5: (2, "", []),
+                   6: (3, "HTTP 500", []), 7: (3, ex.FEED_ERROR, [])}
