@@ -139,21 +139,22 @@ PHRASE_QUERIES = r"SELECT item_id AS query_id, regexp_replace(text, '\W+', '_',
 CHUNKS = """chunks AS (
   SELECT e.vec_id AS id, e.vec_id // 4 AS page, CAST(e.vec_id % 4 AS INTEGER) AS chunk_index,
          c.source, c.status, e.embedding,
-         substr(c.content, CAST(e.vec_id % 4 AS INTEGER) * 200 + 1, 200) AS chunk
+         substr(c.content, CAST(e.vec_id % 4 AS INTEGER) * CAST(ceil(length(c.content) / 4) AS INTEGER) + 1,
+                CAST(ceil(length(c.content) / 4) AS INTEGER)) AS chunk
   FROM embeddings e JOIN corpus c ON c.page = e.vec_id // 4)"""
 
-QVEC_SELECT = """SELECT a.vec_id // 2 AS query_id,
+QVEC_SELECT = """SELECT a.vec_id // 100 AS query_id,
          CAST(list_transform(list_zip(a.embedding, b.embedding),
               lambda p: (CAST(p[1] AS DOUBLE) + CAST(p[2] AS DOUBLE)) / 2) AS FLOAT[]) AS embedding
-  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0"""
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 100 = 0"""
 
 QVEC = f"qvec AS ({QVEC_SELECT})"
 
 
 def cosine(a: str, b: str) -> str:
     da, db = f"CAST({a} AS DOUBLE[])", f"CAST({b} AS DOUBLE[])"
-    return (f"(1 - list_dot_product({da}, {db}) / (sqrt(list_dot_product({da}, {da}))"
-            f" * sqrt(list_dot_product({db}, {db}))))")
+    return (f"round(1 - list_dot_product({da}, {db}) / (sqrt(list_dot_product({da}, {da}))"
+            f" * sqrt(list_dot_product({db}, {db}))), 12)")
 
 
 DIST = f"""dist AS (
@@ -273,6 +274,33 @@ EMBED_QUEUE = """eq AS (
          TIMESTAMP '2024-02-29 23:50:00' + to_seconds(vec_id) + to_seconds(CAST(label * 10 AS BIGINT)) AS updated_at
   FROM embeddings)"""
 
+TAGGED = """tagged AS (SELECT page_id, url, html, page_id % 7 = 3 AS blocked, page_id % 3 = 0 AS canonised,
+  page_id % 4 = 1 AS described, page_id % 5 = 2 AS alternate FROM pages)"""
+
+FETCHED = """fetched AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'html' WHEN 1 THEN 'map' WHEN 2 THEN 'feed'
+  WHEN 3 THEN 'bad_feed' WHEN 4 THEN 'other' ELSE 'error' END AS kind FROM pages)"""
+
+def phonetic_key(x: str) -> str:
+    """Key of an ASCII word by plain replacements (no look-ahead, no back-references)."""
+    c = f"CASE WHEN length({x}) > 2 THEN regexp_replace({x}, '^[gk]n', 'n') ELSE {x} END"
+    c = f"replace(regexp_replace(replace({c}, 'wr', 'r'), 'd([jg])', '\\1', 'g'), 'tch', 'ch')"
+    c = f"regexp_replace(regexp_replace({c}, '^[^A-Za-z0-9]+', ''), '[\\t\\f\\r ]', '', 'g')"
+    groups = [("''hH", "H"), ("aeiouAEIOU", "A"), ("yY", "y"), ("bfpvwBFPVW", "B"), ("cgjkqsxzCGJKQSXZ", "C"), ("dtDT", "D"),
+              ("lL", "L"), ("rR", "R"), ("mnMN", "M"), ("0123456789", "9")]
+    plain = "".join(a for a, _ in groups)
+    symbols = "".join(b * len(a.replace("''", "'")) for a, b in groups)
+    c = f"translate(regexp_replace({c}, '[^{plain}]', '~', 'g'), '{plain}', '{symbols}')"
+    c = f"regexp_replace(regexp_replace(regexp_replace({c}, '9~+', '9?', 'g'), '~+', '', 'g'), '^y', 'Y')"
+    c = f"regexp_replace(regexp_replace(translate({c}, 'yH', 'A'), '([RL])A+', '\\1', 'g'), 'A+([RL])', '\\1', 'g')"
+    for sym in "ABCDLRMY9":
+        c = f"regexp_replace({c}, '{sym}+', '{sym}', 'g')"
+    return f"regexp_replace({c}, '\\?+', '?', 'g')"
+
+
+DICTIONARY = f"""v AS (SELECT term AS word, count(DISTINCT page) AS rank FROM postings GROUP BY term),
+dict0 AS (SELECT word, rank, replace(word, 'ß', 'ss') AS a FROM v),
+dict AS (SELECT word, rank, 0 AS langid, CASE WHEN a <> word THEN a END AS k1, {phonetic_key('a')} AS k2 FROM dict0)"""
+
 NOW = "TIMESTAMP '2024-03-01 00:00:00'"
 
 URL_RE = r"'^([A-Za-z][A-Za-z0-9+.\-]*):(//([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$'"

@@ -392,7 +392,7 @@ WITH {ANCHOR_SQL} SELECT page_id, url FROM a""")
 def anchor_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import extract as ex
     p = _raw_pages(spark, sf_dir)
-    return p.select("page_id", F.explode(ex.anchor_hrefs(F.col("html"), F.col("url"))).alias("url"))
+    return p.select("page_id", F.explode(ex.anchor_hrefs(ex.parsed(F.col("html")), F.col("url"))).alias("url"))
 
 
 @register("domain_filter", ops="C2 A4", sql=f"""
@@ -407,29 +407,56 @@ def domain_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import store as st
     p = _raw_pages(spark, sf_dir)
     links = p.select("page_id", F.regexp_replace(U.hostname(F.col("url")), r"^m\.", "").alias("source"),
-                     F.explode(ex.anchor_hrefs(F.col("html"), F.col("url"))).alias("url"))
+                     F.explode(ex.anchor_hrefs(ex.parsed(F.col("html")), F.col("url"))).alias("url"))
     sources = links.select(F.col("source").alias("id")).distinct().select(
         "id", F.array("id").alias("allowed_domains"))
     return st.domain_filter(links, sources).select("page_id", "source", "url")
 
 
-@register("page_fields", ops="B1 B2 B4 B6 B11", sql=f"""
-SELECT page_id,
-  trim({O.unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) AS title,
-  coalesce({O.attr(O.first_with('html', 'meta', 'name', 'description'), 'content')}, '') AS description,
-  url AS canonical, CAST(2 AS TINYINT) AS status
-FROM pages""")
+@register("page_fields", ops="B1 B2 B3 B4 B6 B11", sql=f"""
+WITH {O.TAGGED}
+SELECT page_id, CASE WHEN blocked THEN '' ELSE trim({O.unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) END AS title,
+  CASE WHEN blocked OR NOT described THEN '' ELSE 'About "page" ' || page_id || ' & more' END AS description,
+  CASE WHEN blocked OR NOT canonised THEN url ELSE 'https://canon.example.com/' || page_id END AS canonical,
+  CAST(CASE WHEN blocked THEN 3 ELSE 2 END AS TINYINT) AS status
+FROM tagged""")
 def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import extract as ex
-    f = ex.page_fields(_raw_pages(spark, sf_dir))
+    f = ex.page_fields(tb.tagged_pages(spark, sf_dir))
     return f.select("page_id", "title", "description", "canonical", "status")
 
 
-@register("robots_status", ops="B3 B11", sql="""
-SELECT page_id, CAST(2 AS TINYINT) AS status, '' AS error_info FROM pages""")
+@register("robots_status", ops="B3 B11", sql=f"""
+WITH {O.TAGGED}
+SELECT page_id, CAST(CASE WHEN blocked THEN 3 ELSE 2 END AS TINYINT) AS status,
+  CASE WHEN blocked THEN 'Disallowed by <meta name="robots">' ELSE '' END AS error_info FROM tagged""")
 def robots_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import extract as ex
-    return ex.page_fields(_raw_pages(spark, sf_dir)).select("page_id", "status", "error_info")
+    return ex.page_fields(tb.tagged_pages(spark, sf_dir)).select("page_id", "status", "error_info")
+
+
+@register("alternate_links", ops="B5 B6", sql=f"""
+WITH {O.TAGGED}
+SELECT page_id, 'https://feeds.example.com/' || page_id || '.xml' AS url FROM tagged WHERE alternate AND NOT blocked""")
+def alternate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed alternates among the links of pages; blocked pages give none."""
+    from ..operators import extract as ex
+    f = ex.page_fields(tb.tagged_pages(spark, sf_dir)).select("page_id", F.explode("links").alias("url"))
+    return f.filter(F.col("url").startswith("https://feeds.example.com/"))
+
+
+@register("page_status", ops="A2 A3 B11", sql=f"""
+WITH {O.FETCHED}
+SELECT page_id, CAST(CASE WHEN kind IN ('error', 'bad_feed') THEN 3 WHEN kind = 'html' THEN 2 ELSE 4 END AS TINYINT) AS status,
+  CASE kind WHEN 'error' THEN 'timeout' WHEN 'bad_feed' THEN 'Invalid feed content' ELSE '' END AS error_info,
+  CASE kind WHEN 'map' THEN 1 WHEN 'feed' THEN 1 WHEN 'html' THEN 0 ELSE 0 END AS listed
+FROM fetched""")
+def page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status by content type: HTML, sitemap, feed, malformed feed, other type, fetch error."""
+    from ..operators import extract as ex
+    f = ex.fetched(tb.fetched_bodies(spark, sf_dir))
+    return f.select("page_id", "status", "error_info",
+                    F.exists("links", lambda u: u.startswith("https://listed.example.com/")).cast("int").alias("listed"))
 
 
 @register("truncate_budget", ops="B9 A4", sql=f"""
@@ -451,7 +478,7 @@ WITH p AS (SELECT url, list_filter(string_split({O.url_part('url', 4)}, '/'), la
 lv AS (SELECT url, o AS level_url, host AS text, 0 AS depth FROM p
        UNION ALL
        SELECT url, o || '/' || array_to_string(segs[1:i], '/'), segs[i], i
-       FROM p, (SELECT unnest(range(1, 200)) AS i) r WHERE i <= len(segs))
+       FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS i FROM p))
 SELECT level_url, text, depth, count(*) AS n_pages FROM lv GROUP BY level_url, text, depth""")
 def url_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import urls as U
@@ -470,7 +497,7 @@ def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("extract_pages", ops="A1 B1-B11")
 def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import extract as ex
-    return ex.extract_pages(_raw_pages(spark, sf_dir), size_limit=2000)
+    return ex.extract_pages(_raw_pages(spark, sf_dir))
 
 
 def _xml_escape(c):
@@ -485,10 +512,8 @@ def sitemap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's anchors written as a urlset and a sitemapindex, parsed back (A2)."""
     from ..operators import extract as ex
     from ..functions import urls as U
-    p = _raw_pages(spark, sf_dir)
-    tags = ex._tags(F.col("html"), "a")
-    good = F.filter(tags, lambda t: ex._has_attr(t, "href") & ~ex._attr(t, "rel").contains("nofollow"))
-    locs = F.transform(good, lambda t: U.resolve(F.col("url"), ex._attr(t, "href")))
+    p = _raw_pages(spark, sf_dir).withColumn("doc", ex.parsed(F.col("html")))
+    locs = F.transform(F.col("doc.anchors"), lambda h: U.resolve(F.col("url"), h))
     body_set = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'),
                         F.array_join(F.transform(locs, lambda u: F.concat(F.lit("<url><loc>"), _xml_escape(u),
                                                                           F.lit("</loc></url>"))), ""),
@@ -510,10 +535,8 @@ def feed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's anchors written as RSS, Atom and JSON feeds, parsed back (A3)."""
     from ..operators import extract as ex
     from ..functions import urls as U
-    p = _raw_pages(spark, sf_dir)
-    tags = ex._tags(F.col("html"), "a")
-    good = F.filter(tags, lambda t: ex._has_attr(t, "href") & ~ex._attr(t, "rel").contains("nofollow"))
-    locs = F.transform(good, lambda t: U.resolve(F.col("url"), ex._attr(t, "href")))
+    p = _raw_pages(spark, sf_dir).withColumn("doc", ex.parsed(F.col("html")))
+    locs = F.transform(F.col("doc.anchors"), lambda h: U.resolve(F.col("url"), h))
 
     def wrap(head, item, tail):
         return F.concat(F.lit(head), F.array_join(F.transform(locs, item), ""), F.lit(tail))
@@ -744,12 +767,18 @@ def _dictionary(spark, sf_dir):
                   lambda: pin(sp.dictionary(corpus_index(spark, sf_dir).vocabulary())))
 
 
-@register("fuzzy_dictionary", ops="J1 J2 J3 J4")
+@register("fuzzy_dictionary", ops="J1 J2 J3 J4", sql=f"""
+WITH {O.INDEX}, {O.DICTIONARY}
+SELECT word, rank, langid, k1, k2 FROM dict""")
 def fuzzy_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dictionary(spark, sf_dir)
 
 
-@register("phonetic_blocks", ops="J7")
+@register("phonetic_blocks", ops="J7", sql=f"""
+WITH {O.INDEX}, {O.DICTIONARY},
+b AS (SELECT unnest([substr(k2, 1, 1), CASE WHEN length(k2) > 1 THEN substr(k2, 1, 2) END,
+  CASE WHEN length(k2) > 2 THEN substr(k2, 1, 3) END]) AS prefix FROM dict)
+SELECT prefix, count(*) AS n_words FROM b WHERE prefix <> '' GROUP BY prefix""")
 def phonetic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import spelling as sp
     return sp.blocks(_dictionary(spark, sf_dir)).groupBy("prefix").agg(
@@ -850,16 +879,14 @@ def replace_embed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {O.CORPUS}, {O.UPSERT}, {O.CHUNKS},
 changed AS (SELECT o.page FROM corpus o JOIN upserted n USING (page)
             WHERE o.url IS DISTINCT FROM n.url OR o.title IS DISTINCT FROM n.title
-               OR o.content IS DISTINCT FROM n.content)
+               OR o.description IS DISTINCT FROM n.description OR o.content IS DISTINCT FROM n.content)
 SELECT id FROM chunks WHERE page NOT IN (SELECT page FROM changed)""")
 def stale_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import chunks as ch
     from ..operators import store as st
     pages = tb.corpus(spark, sf_dir).withColumn("error_info", F.lit(""))
     new = st.upsert(pages, tb.recrawl_batch(spark, sf_dir), tb.now())
-    old = pages.withColumn("description", F.lit(""))
-    new = new.withColumn("description", F.lit(""))
-    return ch.stale_vectors(old, new, tb.chunks(spark, sf_dir)).select("id")
+    return ch.stale_vectors(pages, new, tb.chunks(spark, sf_dir)).select("id")
 
 
 # -------------------------------------------------------------- F-Q10..F-Q12
@@ -975,13 +1002,13 @@ def edit_cost_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("dictionary_maintenance", ops="J12")
 def dictionary_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionary after inserting the benchmark words (rank 1 when new) and deleting
-    the words of the labelled documents' first sentence."""
+    the words of the labelled documents' whole texts."""
     from ..operators import spelling as sp
     dic = _dictionary(spark, sf_dir)
     b = tb.read(spark, sf_dir, "benchmark")
     add = (b.select(F.explode(F.split(F.lower("text"), r"\W")).alias("word")).filter("word <> ''")
            .distinct().join(dic.select("word"), "word", "left_anti").withColumn("rank", F.lit(1).cast("long")))
     d = tb.read(spark, sf_dir, "documents").join(tb.read(spark, sf_dir, "labels"), "doc_id")
-    gone = d.select(F.explode(F.split(F.lower(F.substring_index("text", ".", 1)), r"\W")).alias("word")) \
+    gone = d.select(F.explode(F.split(F.lower("text"), r"\W")).alias("word")) \
         .filter("word <> ''").distinct()
     return sp.dictionary_delete(sp.dictionary_upsert(dic, add), gone)

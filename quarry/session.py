@@ -40,8 +40,9 @@ _SHIPPED: set[str] = set()
 def configure(spark: SparkSession) -> None:
     """Settings every operator relies on; safe to call on a foreign session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    # larger Arrow batches: the vectorized edit-cost program scores whole groups at once
+    # large Arrow batches for narrow rows, bounded by bytes for wide ones
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 * 1024 * 1024))
     checkpoint_dir(spark)
     ship_package(spark)
 
@@ -73,6 +74,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:

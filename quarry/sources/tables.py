@@ -24,21 +24,8 @@ NOW = "2024-03-01 00:00:00"
 CRAWL_EPOCH = "2024-01-01 00:00:00"
 
 
-# Natural key of each provided table; used to spread a scan that yields fewer
-# splits than the cluster has cores (a single large row group, say).
-KEYS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id", "events": "event_id",
-        "benchmark": "item_id", "labels": "doc_id", "conversations": "conv_id"}
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    key = KEYS.get(name)
-    if key is not None:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            # hash by the key: deterministic on retry, and co-partitions later joins on it
-            df = df.repartition(cores, key)
-    return df
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def doc_url(source: Column, lang: Column, doc_id: Column) -> Column:
@@ -78,20 +65,19 @@ def chunks(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) ->
     )
     return c.join(pages.select("page", "source", "status", "content"), "page", "inner").select(
         "id", "page", "chunk_index", "source", "status", "embedding",
-        # chunk text: the chunk_index-th 200-character slice of the page text
-        F.substring(F.col("content"), F.col("chunk_index") * 200 + 1, F.lit(200)).alias("chunk"),
+        # chunk text: the chunk_index-th quarter of the page text
+        F.substring("content", F.col("chunk_index") * F.ceil(F.length("content") / 4).cast("int") + 1,
+                    F.ceil(F.length("content") / 4).cast("int")).alias("chunk"),
     )
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query batch: element-wise mean of vectors 2i and 2i+1, for every i."""
-    e = read(spark, sf_dir, "embeddings").select(
-        (F.floor(F.col("vec_id") / 2)).cast("long").alias("query_id"),
-        (F.col("vec_id") % 2).alias("half"), "embedding")
-    a = e.filter("half = 0").select("query_id", F.col("embedding").alias("a"))
-    b = e.filter("half = 1").select("query_id", F.col("embedding").alias("b"))
-    return a.join(b, "query_id").select(
-        "query_id",
+    """Query batch: for every vec_id divisible by 100, the element-wise mean with the next vector."""
+    e = read(spark, sf_dir, "embeddings")
+    a = e.filter("vec_id % 100 = 0").select("vec_id", F.col("embedding").alias("a"))
+    b = e.filter("vec_id % 100 = 1").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return a.join(b, "vec_id").select(
+        F.floor(F.col("vec_id") / 100).cast("long").alias("query_id"),
         F.zip_with("a", "b", lambda x, y: ((x.cast("double") + y.cast("double")) / 2)
                    .cast("float")).alias("embedding"))
 
@@ -173,6 +159,33 @@ def sources_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(30).alias("min_age"))
 
 
+def tagged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` with robots, canonical, description and alternate tags, which the provided markup lacks."""
+    i, s = F.col("page_id"), F.col("page_id").cast("string")
+    tags = F.concat(
+        F.when(i % 7 == 3, F.lit("<META NAME=robots CONTENT='noindex, follow'>")).otherwise(F.lit("")),
+        F.when(i % 3 == 0, F.concat(F.lit("<link rel=canonical href=https://canon.example.com/"), s, F.lit(">"))).otherwise(F.lit("")),
+        F.when(i % 4 == 1, F.concat(F.lit("<meta name='description' content='About \"page\" "), s, F.lit(" &amp; more'>"))).otherwise(F.lit("")),
+        F.when(i % 5 == 2, F.concat(F.lit('<link type="application/rss+xml" title="a>b" rel="alternate" href="//feeds.example.com/x/../'), s,
+                                    F.lit('.xml">'))).otherwise(F.lit("")))
+    # the scheme of a page and of its feed differ in the data; fixed here so that the twin is plain
+    html = F.replace(F.col("html"), F.lit("<head>"), F.concat(F.lit("<head>"), F.replace(tags, F.lit("//feeds"), F.lit("https://feeds"))))
+    return read(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+
+
+def fetched_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetch results (page_id, url, content_type, html, fetch_error) of six kinds derived from ``pages``."""
+    i, s = F.col("page_id") % 6, F.col("page_id").cast("string")
+    loc = F.concat(F.lit("https://listed.example.com/"), s)
+    body = (F.when(i == 1, F.concat(F.lit("<urlset><url><loc>"), loc, F.lit("</loc></url></urlset>")))
+            .when(i == 2, F.concat(F.lit("<rss><channel><item><link>"), loc, F.lit("</link></item></channel></rss>")))
+            .when(i == 3, F.concat(F.lit("<rss><channel><item><link>"), loc, F.lit("</channel></rss>"))).otherwise(F.col("html")))
+    kind = (F.when(i == 0, F.lit("text/html; charset=utf-8")).when(i == 1, F.lit("application/xml"))
+            .when((i == 2) | (i == 3), F.lit("application/rss+xml")).when(i == 4, F.lit("image/png")).otherwise(F.lit("text/html")))
+    return read(spark, sf_dir, "pages").select(
+        "page_id", "url", kind.alias("content_type"), body.alias("html"), F.when(i == 5, F.lit("timeout")).alias("fetch_error"))
+
+
 def title_of(html: Column) -> Column:
     return F.regexp_extract(html, r"<title[^>]*>(.*?)</title>", 1)
 
