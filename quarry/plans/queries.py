@@ -110,6 +110,59 @@ def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.greatest(F.lit(1), F.ceil(F.col("total") / 10)).cast("long").alias("page_count"))
 
 
+@register("search_by_source", ops="F-Q7", sql=f"""
+WITH {O.search_ctes(O.QUERY_TEXTS)}
+SELECT m.query_id, m.page, c.source, round(m.rank, 6) AS rank FROM matches m JOIN corpus c ON c.page = m.page
+WHERE c.source IN (SELECT source FROM corpus GROUP BY source ORDER BY count(*) DESC, source LIMIT 3)""")
+def search_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches in the three largest sources."""
+    idx = corpus_index(spark, sf_dir)
+    top = [r.source for r in idx.pages.groupBy("source").count().orderBy(F.desc("count"), "source").limit(3).collect()]
+    m = srch.filter_pages(srch.score(idx, tb.query_texts(spark, sf_dir)), idx.pages, top)
+    return m.join(idx.pages.select("page", "source"), "page").select("query_id", "page", "source", r6("rank"))
+
+
+@register("search_entry", ops="F-Q13 J9")
+def search_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First results page of every benchmark text, corrected word by word."""
+    out = srch.search_entry(corpus_index(spark, sf_dir), _dictionary(spark, sf_dir), tb.query_texts(spark, sf_dir))
+    return out.select("query_id", "corrected", "rn", "page", "url", r6("rank"), "total", "page_count")
+
+
+def _embedded_chunks(spark, sf_dir):
+    """Chunks of the whole corpus with their text and vectors (G1-G4), written once."""
+    from ..operators import chunks as ch
+    from ..session import pin
+
+    def make():
+        pages = tb.corpus(spark, sf_dir)
+        text = pin(ch.chunk_pages(pages))
+        vec = ch.embed_chunks(text).filter("status = 2").select("page", "chunk_index", "embedding")
+        return pin(text.join(vec, ["page", "chunk_index"]).join(pages.select("page", "source", "status"), "page")
+                   .withColumn("id", F.col("page") * 100_000 + F.col("chunk_index")))
+    return cached(spark, sf_dir, "chunks", make)
+
+
+@register("similarity_entry", ops="H5 H13")
+def similarity_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest chunks of every benchmark text, from its text."""
+    from ..operators import chunks as ch
+    from ..operators import vectors as vx
+    res = vx.similarity_entry(_embedded_chunks(spark, sf_dir), tb.corpus(spark, sf_dir),
+                              tb.query_texts(spark, sf_dir), ch.hashing_embedder)
+    return res.select("query_id", "source", "id", "page", "url", "title", r6("similarity"))
+
+
+@register("hybrid_entry", ops="H5 H11 H12")
+def hybrid_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused results of every benchmark text: corrected lexical side, embedded raw text, shown text."""
+    from ..operators import chunks as ch
+    from ..operators import hybrid as hy
+    out = hy.hybrid_entry(corpus_index(spark, sf_dir), _embedded_chunks(spark, sf_dir), _dictionary(spark, sf_dir),
+                          tb.query_texts(spark, sf_dir), ch.hashing_embedder)
+    return out.select("query_id", "page", "url", "fts_rank", "vec_rank", r6("vec_distance"), r6("combined_rank"), "title", "content")
+
+
 @register("parse_query", ops="F-Q1", sql=f"""
 SELECT item_id AS query_id, '"' || array_to_string({O.words('text')}, '" "') || '"*' AS expr
 FROM benchmark""")
@@ -255,32 +308,34 @@ def alias_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.collapse_aliases(old, mine.select("source", "url"), tb.aliases(spark, sf_dir, pages))
 
 
+EDGES_SQL = """pcount AS (SELECT count(*) AS n FROM pages),
+edges AS (
+  SELECT src, dest FROM (
+    SELECT page_id AS src, (page_id * 31 + k * 17) % (SELECT n FROM pcount) AS dest
+    FROM pages, (SELECT unnest([0, 1, 2]) AS k)) WHERE dest % 3 <> 0)"""
+
+
 @register("delete_cascade", ops="C10", sql=f"""
-WITH {O.CORPUS}, {O.ALIASES}, {O.CHUNKS},
+WITH {O.CORPUS}, {O.ALIASES}, {O.CHUNKS}, {EDGES_SQL},
 gone AS (SELECT page, source, url FROM corpus WHERE status = 3)
 SELECT 'alias' AS kind, a.url AS key FROM aliases a
 WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.source = a.source AND g.url = a.canonical)
 UNION ALL SELECT 'page', url FROM corpus WHERE page NOT IN (SELECT page FROM gone)
-UNION ALL SELECT 'chunk', CAST(id AS VARCHAR) FROM chunks WHERE page NOT IN (SELECT page FROM gone)""")
+UNION ALL SELECT 'chunk', CAST(id AS VARCHAR) FROM chunks WHERE page NOT IN (SELECT page FROM gone)
+UNION ALL SELECT 'edge', src || '>' || dest FROM edges WHERE src NOT IN (SELECT page FROM gone) AND dest NOT IN (SELECT page FROM gone)""")
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .. import schema as S
     from ..operators import store as st
     pages = tb.corpus(spark, sf_dir)
     doomed = pages.filter(F.col("status") == S.ERROR).select("source", "url")
-    edges = spark.createDataFrame([], "src long, dest long")
+    edges = tb.edges(spark, sf_dir)
     out = st.delete_pages(pages, tb.aliases(spark, sf_dir, pages), edges, doomed,
                           tb.chunks(spark, sf_dir, pages))
     return (out["aliases"].select(F.lit("alias").alias("kind"), F.col("url").alias("key"))
             .unionByName(out["pages"].select(F.lit("page").alias("kind"), F.col("url").alias("key")))
             .unionByName(out["chunks"].select(F.lit("chunk").alias("kind"),
-                                              F.col("id").cast("string").alias("key"))))
-
-
-EDGES_SQL = """pcount AS (SELECT count(*) AS n FROM pages),
-edges AS (
-  SELECT src, dest FROM (
-    SELECT page_id AS src, (page_id * 31 + k * 17) % (SELECT n FROM pcount) AS dest
-    FROM pages, (SELECT unnest([0, 1, 2]) AS k)) WHERE dest % 3 <> 0)"""
+                                              F.col("id").cast("string").alias("key")))
+            .unionByName(out["edges"].select(F.lit("edge").alias("kind"), F.concat_ws(">", "src", "dest").alias("key"))))
 
 
 @register("orphans", ops="C9", sql=f"""
@@ -824,16 +879,23 @@ def _page_chunks(spark, sf_dir):
     return ch.chunk_pages(tb.corpus(spark, sf_dir))
 
 
-@register("chunk_invariants", ops="G1 G2 G3", sql="""
-SELECT doc_id AS page, true AS ok FROM documents""")
+@register("chunk_invariants", ops="G1 G2 G3", sql=r"""
+WITH w AS (SELECT doc_id AS page, list_distinct(regexp_extract_all(text, '[A-Za-z]+')) AS ws, len(regexp_extract_all(text, '[A-Za-z]+')) AS n FROM documents)
+SELECT page, coalesce(len(ws), 0)::BIGINT AS n_words, md5(array_to_string(list_sort(ws), ' ')) AS words, true AS whole, true AS sized, true AS numbered
+FROM w WHERE n > 0""")
 def chunk_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: the distinct words of its chunks are those of its text, no chunk is too long, numbers run from 0."""
     from ..operators import chunks as ch
-    c = _page_chunks(spark, sf_dir).groupBy("page").agg(
-        F.max("n_tokens").alias("mx"), F.count(F.lit(1)).alias("n"),
-        F.max(F.col("chunk_index")).alias("last"))
-    pages = tb.corpus(spark, sf_dir).select("page")
-    ok = F.coalesce((F.col("mx") <= ch.CHUNK_SIZE) & (F.col("last") == F.col("n") - 1), F.lit(True))
-    return pages.join(c, "page", "left").select("page", ok.alias("ok"))
+    words = lambda c: F.regexp_extract_all(c, F.lit("[A-Za-z]+"), 0)
+    c = _page_chunks(spark, sf_dir).select("page", "chunk_index", "n_tokens", words(F.col("chunk")).alias("ws"))
+    per = c.groupBy("page").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ws")))).alias("ws"), F.sum(F.size("ws")).alias("n"),
+        F.max("n_tokens").alias("longest"), F.count(F.lit(1)).alias("chunks"), F.max("chunk_index").alias("last"))
+    text = tb.corpus(spark, sf_dir).select("page", F.size(words(F.col("content"))).alias("in_text"))
+    return per.join(text, "page").where("in_text > 0").select(
+        "page", F.size("ws").cast("long").alias("n_words"), F.md5(F.array_join("ws", " ").cast("binary")).alias("words"),
+        (F.col("n") >= F.col("in_text")).alias("whole"), (F.col("longest") <= ch.CHUNK_SIZE).alias("sized"),
+        (F.col("last") == F.col("chunks") - 1).alias("numbered"))
 
 
 @register("embed_chunks", ops="G4 G7 K4")
@@ -892,23 +954,23 @@ def stale_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -------------------------------------------------------------- F-Q10..F-Q12
 
 
-def _decorated(spark, sf_dir, queries):
+def _decorated(spark, sf_dir, queries, columns=("title", "description", "content")):
     from ..operators import snippets as sn
     idx = corpus_index(spark, sf_dir)
     top = srch.search(idx, queries).select("query_id", "rn", "page", "url", "rank", "total")
     txt = idx.pages.select("page", "title", "description", "content")
-    return sn.decorate(top.join(txt, "page"), queries)
+    return sn.decorate(top.join(txt, "page"), queries, columns)
 
 
 @register("highlight_segments", ops="F-Q10 F-Q12 F-Q13")
 def highlight_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _decorated(spark, sf_dir, tb.word_queries(spark, sf_dir))
+    d = _decorated(spark, sf_dir, tb.word_queries(spark, sf_dir), ("title",))
     return d.select("query_id", "rn", "page", "title")
 
 
 @register("snippets", ops="F-Q11 F-Q12")
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _decorated(spark, sf_dir, tb.word_queries(spark, sf_dir))
+    d = _decorated(spark, sf_dir, tb.word_queries(spark, sf_dir), ("description", "content"))
     return d.select("query_id", "rn", "page", "description", "content")
 
 
