@@ -64,6 +64,20 @@ def enqueue(queue: DataFrame, links: DataFrame, now: Column) -> DataFrame:
     return q.drop("url_key").unionByName(added, allowMissingColumns=True)
 
 
+def referrer_pairs(queue: DataFrame, links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(queue_item, referrer) pairs, one each, of the queued urls that links (source, url, referrer) found."""
+    k = ["source", "url_key"]
+    q = queue.select("source", U.url_key(F.col("url")).alias("url_key"), F.col("id").alias("queue_item"))
+    found = (links.filter("referrer is not null").select("source", U.url_key(F.col("url")).alias("url_key"), "referrer").distinct()
+             .join(q, k).select("queue_item", "referrer"))
+    return found if known is None else known.select("queue_item", "referrer").unionByName(found).distinct()
+
+
+def claim_with_referrers(queue: DataFrame, pairs: DataFrame, per_source: DataFrame | int, now: Column) -> DataFrame:
+    """Claimed rows, a row for each of their referrers (null where a row has none)."""
+    return claim(queue, per_source, now).join(pairs.withColumnRenamed("queue_item", "id"), "id", "left")
+
+
 def claim(queue: DataFrame, per_source: DataFrame | int, now: Column) -> DataFrame:
     """Per source the oldest Pending rows by (added_at, id) -> Processing.
 

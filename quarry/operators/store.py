@@ -180,6 +180,19 @@ def referrers(edges: DataFrame) -> DataFrame:
                                           F.col("src").alias("referrer"), "n_referrers")
 
 
+def references(edges: DataFrame) -> DataFrame:
+    """(page, reference) pairs with each page's out-degree."""
+    deg = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n_references"))
+    return edges.join(deg, "src").select(F.col("src").alias("page"), F.col("dest").alias("reference"), "n_references")
+
+
+def by_ids(pages: DataFrame, ids: DataFrame | list[int]) -> DataFrame:
+    """Pages by id: a list becomes a filter pushed to the scan, a table (page) a semi join."""
+    if isinstance(ids, list):
+        return pages.filter(F.col("page").isin(ids))
+    return pages.join(ids.select("page"), "page", "left_semi")
+
+
 def orphans(pages: DataFrame, edges: DataFrame, id_col: str = "page") -> DataFrame:
     """Pages that are never an edge destination (all sources)."""
     return pages.join(edges.select(F.col("dest").alias(id_col)), id_col, "left_anti")
@@ -221,3 +234,15 @@ def redirect_alias(requests: DataFrame, pages: DataFrame, aliases: DataFrame) ->
                  aliases).select("req_id", F.col("indexed").alias("final_indexed"))
     r = requests.join(orig, "req_id").join(fin, "req_id")
     return r.withColumn("alias_only", ~F.col("orig_indexed") & F.col("final_indexed"))
+
+
+def apply_redirects(requests: DataFrame, pages: DataFrame, aliases: DataFrame, batch: DataFrame,
+                    now: Column) -> tuple[DataFrame, DataFrame]:
+    """C14 in effect: (aliases, batch to insert). A requested url that redirects to an indexed page
+    is written as its alias, and the page fetched for it is not inserted again.
+
+    batch: (req_id, ...) the fetched pages.
+    """
+    r = redirect_alias(requests, pages, aliases).filter("alias_only")
+    writes = r.select("source", "url", F.col("final_url").alias("canonical"), F.xxhash64("req_id").alias("seq"))
+    return set_aliases(aliases, writes, now), batch.join(r.select("req_id"), "req_id", "left_anti")

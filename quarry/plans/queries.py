@@ -338,6 +338,93 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(out["edges"].select(F.lit("edge").alias("kind"), F.concat_ws(">", "src", "dest").alias("key"))))
 
 
+@register("references_out", ops="C8", sql=f"""
+WITH {EDGES_SQL},
+deg AS (SELECT src, count(*) AS n_references FROM edges GROUP BY src)
+SELECT e.src AS page, e.dest AS reference, d.n_references FROM edges e JOIN deg d USING (src)""")
+def references_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import store as st
+    return st.references(tb.edges(spark, sf_dir))
+
+
+@register("pages_by_id", ops="C4 A7", sql=f"""
+WITH {O.CORPUS}
+SELECT page, url, title FROM corpus WHERE page IN (SELECT doc_id FROM labels)""")
+def pages_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import store as st
+    ids = tb.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page"))
+    return st.by_ids(tb.corpus(spark, sf_dir), ids).select("page", "url", "title")
+
+
+@register("apply_redirects", ops="C14 C11", sql=f"""
+WITH {O.CORPUS}, {O.ALIASES},
+req AS (SELECT page AS req_id, source, {O.http('url')} AS url, url AS final_url FROM corpus),
+known AS (SELECT source, url FROM aliases),
+fresh AS (SELECT * FROM req r WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.source = r.source AND k.url = r.url))
+SELECT 'alias' AS kind, source, url AS a, final_url AS b FROM fresh
+UNION ALL SELECT 'alias', source, url, canonical FROM aliases
+UNION ALL SELECT 'insert', source, final_url, '' FROM req WHERE req_id NOT IN (SELECT req_id FROM fresh)""")
+def apply_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aliases written and pages still to insert after every page was also fetched by its http url."""
+    from ..operators import store as st
+    pages = tb.corpus(spark, sf_dir)
+    req = pages.select(F.col("page").alias("req_id"), "source", tb.http_url(F.col("url")).alias("url"), F.col("url").alias("final_url"))
+    batch = req.select("req_id", "source", "final_url")
+    a, b = st.apply_redirects(req, pages.select("page", "source", "url"), tb.aliases(spark, sf_dir, pages), batch, tb.now())
+    return a.select(F.lit("alias").alias("kind"), "source", F.col("url").alias("a"), F.col("canonical").alias("b")).unionByName(
+        b.select(F.lit("insert").alias("kind"), "source", F.col("final_url").alias("a"), F.lit("").alias("b")))
+
+
+@register("queue_referrers", ops="D2", sql=f"""
+WITH {O.FRONTIER}, {O.LINKS},
+q AS (SELECT id, source, {O.url_key('url')} AS k FROM frontier)
+SELECT DISTINCT q.id AS queue_item, l.seq % 97 AS referrer FROM links l JOIN q ON q.source = l.source AND q.k = {O.url_key('l.url')}""")
+def queue_referrers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import frontier as fr
+    links = tb.discovered_links(spark, sf_dir).withColumn("referrer", F.col("seq") % 97)
+    return fr.referrer_pairs(_fr(spark, sf_dir), links)
+
+
+@register("claim_referrers", ops="D5", sql=f"""
+WITH {O.FRONTIER}, {O.LINKS},
+q AS (SELECT id, source, {O.url_key('url')} AS k FROM frontier),
+pairs AS (SELECT DISTINCT q.id, l.seq % 97 AS referrer FROM links l JOIN q ON q.source = l.source AND q.k = {O.url_key('l.url')}),
+speed AS (SELECT source, count(*) % 7 + 1 AS n FROM frontier GROUP BY source),
+c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY added_at, id) AS rn FROM frontier WHERE status = 0)
+SELECT c.id, c.source, p.referrer FROM c JOIN speed s ON s.source = c.source AND c.rn <= s.n LEFT JOIN pairs p ON p.id = c.id""")
+def claim_referrers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's oldest rows, as many as its speed, with their referrers."""
+    from ..operators import frontier as fr
+    q = _fr(spark, sf_dir)
+    links = tb.discovered_links(spark, sf_dir).withColumn("referrer", F.col("seq") % 97)
+    speed = q.groupBy("source").agg((F.count(F.lit(1)) % 7 + 1).alias("n"))
+    return fr.claim_with_referrers(q, fr.referrer_pairs(q, links), speed, tb.now()).select("id", "source", "referrer")
+
+
+@register("invalid_sources", ops="A4", sql=f"""
+WITH h AS (SELECT DISTINCT {O.hostname('url')} AS id FROM pages UNION SELECT DISTINCT source FROM documents)
+SELECT id FROM h WHERE id IS NULL OR NOT regexp_matches(id, '^[A-Za-z0-9_]+$')""")
+def invalid_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids among all hosts and document sources that may not name a source."""
+    from ..functions import urls as U
+    ids = _raw_pages(spark, sf_dir).select(U.hostname(F.col("url")).alias("id")).union(
+        tb.read(spark, sf_dir, "documents").select("source")).distinct()
+    return tb.invalid_sources(ids)
+
+
+@register("drop_source_vectors", ops="A5 A8", sql=f"""
+WITH {O.CORPUS}, {O.CHUNKS}
+SELECT id, source FROM chunks WHERE source <> (SELECT min(source) FROM chunks)""")
+def drop_source_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector table, written by source, after one source was dropped."""
+    from ..session import scratch_path
+    path = scratch_path(spark, "vectors")
+    c = tb.chunks(spark, sf_dir).select("id", "embedding", "source")
+    tb.write_by_source(c, path)
+    tb.drop_source(spark, path, c.agg(F.min("source")).first()[0])
+    return spark.read.schema("id long, source string").parquet(path).select("id", "source")
+
+
 @register("orphans", ops="C9", sql=f"""
 WITH {EDGES_SQL}
 SELECT page_id FROM pages WHERE page_id NOT IN (SELECT dest FROM edges)""")
@@ -1004,12 +1091,24 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "title", "description", "canonical", "status")
 
 
+@register("stream_embed", ops="K4 G1 G3 G4", sql=r"""
+WITH w AS (SELECT doc_id AS page, len(regexp_extract_all(text, '\S+')) AS n FROM documents)
+SELECT page, true AS numbered, true AS embedded FROM w WHERE n > 0""")
+def stream_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose chunks a stream has embedded: numbered from 0 without a gap, each with a vector."""
+    from ..streaming import jobs
+    out = jobs.run_available(jobs.embedding(jobs.file_stream(spark, sf_dir, "documents")), "embed")
+    return out.groupBy("page").agg(
+        (F.max("chunk_index") == F.count(F.lit(1)) - 1).alias("numbered"), F.min(F.size("embedding") == 64).alias("embedded"))
+
+
 @register("stream_frontier_dedupe", ops="K2", sql=f"""
 WITH {O.FRONTIER}
 SELECT DISTINCT source, {O.url_key('url')} AS url_key FROM frontier""")
 def stream_frontier_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming import jobs
-    s = jobs.dedupe_frontier(jobs.frontier_rows(jobs.file_stream(spark, sf_dir, "events")))
+    # keys are forgotten ten years of event time after they were last seen; the delay outlasts the table
+    s = jobs.dedupe_frontier(jobs.frontier_rows(jobs.file_stream(spark, sf_dir, "events")), watermark="3650 days")
     return jobs.run_available(s, "dedupe").select("source", "url_key")
 
 

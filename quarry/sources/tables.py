@@ -260,3 +260,27 @@ def discovered_links(spark: SparkSession, sf_dir: str) -> DataFrame:
                  ((F.col("event_id") + 1) % 50).cast("string")).alias("url"),
         (F.col("event_id") % 7 + 1).cast("int").alias("depth"),
         F.col("event_id").alias("seq"))
+
+
+# What a source id may look like.
+SOURCE_ID = "^[A-Za-z0-9_]+$"
+
+
+def invalid_sources(sources: DataFrame) -> DataFrame:
+    """A4: rows of the source dimension whose id is missing, repeated or not made of letters, digits and _."""
+    n = sources.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 or id is null").select("id")
+    bad = ~F.coalesce(F.col("id").rlike(SOURCE_ID), F.lit(False))
+    return sources.filter(bad).unionByName(sources.filter(~bad).join(n, "id", "left_semi"))
+
+
+def write_by_source(df: DataFrame, path: str) -> DataFrame:
+    """A5: a table as one Parquet folder per source; a task's rows of a source are one file."""
+    df.write.mode("overwrite").partitionBy("source").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_source(spark: SparkSession, path: str, source: str) -> bool:
+    """Delete one source's folder of a table written by source; False when it has none."""
+    from urllib.parse import quote
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/source={quote(source, safe='')}")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
