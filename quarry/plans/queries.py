@@ -1091,6 +1091,29 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "title", "description", "canonical", "status")
 
 
+@register("stream_pipeline", ops="K1 C5 C11 C12 C13 D2 D4 D10", sql=f"""
+WITH p AS (SELECT page_id, {O.hostname('url')} AS source, url AS canonical, {O.canonical_guess('url')} AS guess, html FROM pages),
+a AS (SELECT source, arg_max(guess, page_id) AS url, arg_max(canonical, page_id) AS canonical FROM p
+      WHERE guess <> canonical GROUP BY source, {O.url_key('guess')}),
+l AS (SELECT DISTINCT source, u AS url FROM (SELECT source, unnest({O.anchors('html', 'canonical')}) AS u FROM p) x WHERE {O.hostname('u')} = source)
+SELECT 'page' AS kind, source, canonical AS url, '' AS other FROM p
+UNION ALL SELECT 'alias', source, url, canonical FROM a
+UNION ALL SELECT 'queue', source, min(url), '' FROM l
+  WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.source = l.source AND {O.url_key('p.canonical')} = {O.url_key('l.url')})
+    AND NOT EXISTS (SELECT 1 FROM a JOIN p ON p.source = a.source AND p.canonical = a.canonical WHERE a.url = l.url)
+  GROUP BY source, {O.url_key('url')}""")
+def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, aliases and queue after a stream has ingested every raw page."""
+    from ..session import scratch_path
+    from ..streaming import jobs
+    folder = scratch_path(spark, "ingest")
+    t = jobs.ingest_all(jobs.file_stream(spark, sf_dir, "pages"), jobs.empty_tables(spark, folder), f"{folder}/checkpoint", tb.now())
+    none = F.lit("")
+    return (t["pages"].select(F.lit("page").alias("kind"), "source", "url", none.alias("other"))
+            .unionByName(t["aliases"].select(F.lit("alias").alias("kind"), "source", "url", F.col("canonical").alias("other")))
+            .unionByName(t["queue"].select(F.lit("queue").alias("kind"), "source", "url", none.alias("other"))))
+
+
 @register("stream_embed", ops="K4 G1 G3 G4", sql=r"""
 WITH w AS (SELECT doc_id AS page, len(regexp_extract_all(text, '\S+')) AS n FROM documents)
 SELECT page, true AS numbered, true AS embedded FROM w WHERE n > 0""")
