@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.text import tokens
-from ..session import scratch_path
+from ..session import pin, scratch_path
 
 
 def column_texts(pages: DataFrame) -> DataFrame:
@@ -92,11 +92,11 @@ def build_index(pages: DataFrame, materialize: bool = False) -> Index:
     if materialize:
         spark = pages.sparkSession
         pos_path = scratch_path(spark, "positions")
-        (positions.repartitionByRange("term").sortWithinPartitions("term", "page")
+        (positions.repartitionByRange("term", "page").sortWithinPartitions("term", "page")  # a common term spans ranges
          .write.mode("overwrite").parquet(pos_path))
         positions = spark.read.parquet(pos_path)
         post_path = scratch_path(spark, "postings")
-        (postings_from_positions(positions).repartitionByRange("term")
+        (postings_from_positions(positions).repartitionByRange("term", "page")
          .sortWithinPartitions("term", "page").write.mode("overwrite").parquet(post_path))
         postings = spark.read.parquet(post_path)
         # lengths from the written token stream: one partial aggregate, no re-tokenizing;
@@ -113,7 +113,7 @@ def build_index(pages: DataFrame, materialize: bool = False) -> Index:
         # prefix keys of the vocabulary (first 1..3 characters) for prefix-query expansion
         from .search import prefix_keys
         keys_path = scratch_path(spark, "vocab_keys")
-        (prefix_keys(vocab.select("term")).repartition("key").sortWithinPartitions("key")
+        (prefix_keys(vocab.select("term")).repartitionByRange("key", "term").sortWithinPartitions("key", "term")
          .write.mode("overwrite").parquet(keys_path))
         vocab_keys = spark.read.parquet(keys_path)
     else:
@@ -127,16 +127,22 @@ def refresh_index(index: Index, new_pages: DataFrame, removed: DataFrame | None
     """Incremental maintenance. Pages in ``new_pages`` (inserted or changed) get
     fresh positions/postings/lengths; pages in ``removed`` lose theirs. Everything
     else is kept as is (left anti joins on page + union), so only changed pages are
-    re-tokenized; statistics are recomputed from the merged lengths."""
+    re-tokenized. The vocabulary changes by the counts of what left and what came."""
     gone = new_pages.select("page")
     if removed is not None:
         gone = gone.unionByName(removed.select("page"))
-    fresh = token_stream(new_pages)
+    gone = pin(gone.distinct())
+    fresh = pin(token_stream(new_pages))
+    came = pin(postings_from_positions(fresh).select(*index.postings.columns))
+    left = index.postings.join(gone, "page", "left_semi")
     positions = index.positions.join(gone, "page", "left_anti").unionByName(fresh.select(*index.positions.columns))
-    postings = index.postings.join(gone, "page", "left_anti").unionByName(
-        postings_from_positions(fresh).select(*index.postings.columns))
+    postings = index.postings.join(gone, "page", "left_anti").unionByName(came)
     doc_len = index.doc_len.join(gone, "page", "left_anti").unionByName(doc_lengths(new_pages))
     pages = index.pages.join(gone, "page", "left_anti").unionByName(
         new_pages.select(*index.pages.columns))
-    return Index(postings=postings, positions=positions, doc_len=doc_len,
-                 stats=corpus_stats(doc_len), pages=pages)
+    away = vocabulary(left).select("term", (-F.col("doc")).alias("doc"), (-F.col("cnt")).alias("cnt"))
+    vocab = (index.vocabulary().unionByName(away).unionByName(vocabulary(came)).groupBy("term")
+             .agg(F.sum("doc").alias("doc"), F.sum("cnt").alias("cnt")).filter("doc > 0"))
+    from .search import prefix_keys
+    return Index(postings=postings, positions=positions, doc_len=doc_len, stats=corpus_stats(doc_len), pages=pages,
+                 vocab=vocab, vocab_keys=prefix_keys(vocab.select("term")))

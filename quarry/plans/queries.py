@@ -1155,16 +1155,31 @@ tk AS (SELECT page, col, unnest({O.tokens('text')}) AS term FROM ct)
 SELECT term, page, col, count(*) AS tf FROM tk GROUP BY term, page, col""")
 def index_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incremental index refresh after a crawl batch equals a full rebuild."""
+    return _refreshed(spark, sf_dir).postings.select("term", "page", "col", "tf")
+
+
+def _refreshed(spark, sf_dir):
     from ..operators import store as st
+    from ..session import pin
+    idx = corpus_index(spark, sf_dir)
     pages = tb.corpus(spark, sf_dir).withColumn("error_info", F.lit(""))
-    idx = ix.build_index(pages)
-    new = st.upsert(pages, tb.recrawl_batch(spark, sf_dir), tb.now())
+    new = pin(st.upsert(pages, tb.recrawl_batch(spark, sf_dir), tb.now()))
     h = F.xxhash64("url", "title", "description", "content")
     changed = (new.select("page", h.alias("h1"))
                .join(pages.select("page", h.alias("h0")), "page", "left")
                .filter(F.col("h0").isNull() | (F.col("h0") != F.col("h1"))).select("page"))
-    fresh = new.join(changed, "page", "left_semi").select(*pages.columns)
-    return ix.refresh_index(idx, fresh).postings.select("term", "page", "col", "tf")
+    return ix.refresh_index(idx, pin(new.join(changed, "page", "left_semi").select(*idx.pages.columns)))
+
+
+@register("vocabulary_maintenance", ops="E3 E5", sql=f"""
+WITH {O.CORPUS}, {O.UPSERT},
+ct AS (SELECT page, url AS text FROM upserted UNION ALL SELECT page, title FROM upserted
+       UNION ALL SELECT page, description FROM upserted UNION ALL SELECT page, content FROM upserted),
+tk AS (SELECT page, unnest({O.tokens('text')}) AS term FROM ct)
+SELECT term, count(DISTINCT page) AS doc, count(*) AS cnt FROM tk GROUP BY term""")
+def vocabulary_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary after the same refresh, from the counts of what left and came."""
+    return _refreshed(spark, sf_dir).vocabulary()
 
 
 @register("edit_cost_lang", ops="J6 J10")
