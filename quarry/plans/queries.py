@@ -636,6 +636,20 @@ def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.extract_text(_raw_pages(spark, sf_dir))
 
 
+@register("main_text", ops="B7 B8", sql=r"""
+SELECT doc_id AS page_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ' || chr(10)) AS content
+FROM documents WHERE text IS NOT NULL""")
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents marked up as articles among other page parts, and read back."""
+    from ..operators import extract as ex
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit("<p class=a>"), _xml_escape(x), F.lit("</p>")))
+    d = tb.read(spark, sf_dir, "documents").where("text is not null").select(
+        F.col("doc_id").alias("page_id"),
+        F.concat(F.lit("<head><title>t</title><style>p{}</style></head><body><nav>menu</nav><main><article>"), F.array_join(lines, ""),
+                 F.lit("<svg><text>no</text></svg></article><p>aside</p></main><footer>end</footer></body>")).alias("html"))
+    return ex.extract_text(d)
+
+
 @register("extract_pages", ops="A1 B1-B11")
 def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import extract as ex
