@@ -29,3 +29,13 @@ def test_source_folders(spark, tmp_path):
     assert [r.id for r in spark.read.schema("id long, source string").parquet(str(tmp_path / "t")).collect()] == [1]
     bad = tb.invalid_sources(spark.createDataFrame([("ok_1",), ("no no",), (None,), ("twice",), ("twice",)], "id string"))
     assert sorted(str(r.id) for r in bad.collect()) == ["None", "no no", "twice", "twice"]
+
+
+def test_scratch_is_cleared_from_a_mark(spark):
+    from quarry.session import clear_scratch, pin, scratch_mark
+    kept = pin(spark.range(3))
+    mark = scratch_mark(spark)
+    gone = pin(spark.range(4))
+    assert gone.count() == 4 and scratch_mark(spark) == mark + 1
+    clear_scratch(spark, mark)
+    assert kept.count() == 3 and scratch_mark(spark) == mark
