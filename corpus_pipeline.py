@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), with docs the whole output of its
 predecessor, and returns a DataFrame. ``run`` writes every stage's output as
 Parquet in the shared folder and reads it back as the next one's docs, so a
-later stage never recomputes an earlier one.
+later stage never recomputes an earlier one; what a stage wrote in between is
+deleted when its output stands.
 
 Defined cases: an empty table gives an empty mix; documents without a letter
 have no known language and leave at the first stage; extra columns stay.
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import common, decontaminate, langid, linededup, minhash, mix
+from quarry.session import clear_scratch, scratch_mark, scratch_path
 
 # The line and near-duplicate stages have no SQL twin; tests hold run() against a plain version.
 ORACLE_SQL = None
@@ -62,5 +64,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = common.pin(stage(spark, docs, sf_dir))
+        before, path = scratch_mark(spark), scratch_path(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        clear_scratch(spark, before, keep=(path,))
+        docs = spark.read.parquet(path)
     return docs
