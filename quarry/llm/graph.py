@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,49 +47,114 @@ def components(links: DataFrame) -> DataFrame:
         e.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
 
 
-def unlinked_pairs(left: DataFrame) -> DataFrame:
-    """(a, b) of all members of one bucket in different components, one of them a center."""
-    x, y = left.where("center").alias("x"), left.alias("y")
-    return (x.join(y, F.col("x.key") == F.col("y.key"))
-            .where("x.comp <> y.comp and (not y.center or x.id < y.id)")
-            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
-
-
-def bucket_components(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
-                      candidates: Callable[[DataFrame], DataFrame] = unlinked_pairs) -> DataFrame:
+def bucket_components(members: DataFrame, centers: DataFrame,
+                      prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+                      rest: Callable[[DataFrame, DataFrame, Callable], DataFrame]) -> DataFrame:
     """(id, component) over all verified links between ids that share a bucket.
 
-    members: (key, id, center boolean). Two ids are candidates when they share
-    a key and at least one of the two rows may be a center. ``prepare`` gets
-    the ids (id) that share any bucket and returns verify(pairs) -> links.
+    members: (key, id, center): two ids are candidates when they share a key and
+    one of them is a center there; centers: (key, id), the members that are.
+    ``prepare`` gets the ids (id) that share any bucket and returns
+    verify(pairs) -> links.
 
     Round one compares each bucket's members with one center only, the one that
     shares most buckets with others, so a bucket of n copies costs n pairs.
-    Round two takes the members of buckets that still hold several components;
-    ``candidates`` names the pairs (key, id, center, comp) -> (a, b) to verify.
-    Pairs inside one component cannot change the result, so no link between
-    components is lost and no bucket is expanded into all its pairs. Buckets
-    are aggregated before they are joined back, all joins are plain equi-joins.
+    Round two gets the members of buckets that still hold several components,
+    (key, id, center, comp), the pairs already compared and verify; it returns the
+    links (a, b) among them. Pairs inside one component cannot change the
+    result, so no link between components is lost and no bucket is expanded
+    into all its pairs. Only centers are aggregated by key before the join, and
+    all joins are plain equi-joins.
     """
-    shared = members.groupBy("key").agg(
-        F.min("id").alias("low"), F.max("id").alias("high"), F.max("center").alias("any"),
-        F.count(F.lit(1)).alias("n")).where("any and low <> high").select("key", "n")
-    live = C.pin(members.join(shared, "key"))
-    degree = live.groupBy("id").agg(F.sum("n").alias("degree"))
+    heads = centers.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    if centers is members:
+        heads = heads.where("low <> high")
+    met = C.pin(members.join(heads, "key").where("id <> low or low <> high"))
+    # the one center of a bucket met nobody at its own row
+    own = met.where("low = high").select("key", F.col("low").alias("id"), F.lit(True).alias("center")).distinct()
+    live = met.groupBy("key", "id").agg(F.max("center").alias("center")).unionAll(own)
+    size = live.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    degree = C.pin(live.join(size, "key").groupBy("id").agg(F.sum("n").alias("degree")))
     verify = prepare(degree.select("id"))
-    live = C.pin(live.drop("n").join(degree, "id"))
-    heads = (live.where("center").groupBy("key")
-             .agg(F.max(F.struct("degree", (-F.col("id")).alias("neg"))).alias("best"))
-             .select("key", (-F.col("best.neg")).alias("head")))
-    star = C.pin(live.join(heads, "key").where("head <> id").select(
+    live = C.pin(live.join(degree, "id"))
+    best = (live.where("center").groupBy("key")
+            .agg(F.max(F.struct("degree", (-F.col("id")).alias("neg"))).alias("best"))
+            .select("key", (-F.col("best.neg")).alias("head")))
+    star = C.pin(live.join(best, "key").where("head <> id").select(
         F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct())
     links = C.pin(verify(star))
     comp = C.pin(components(links))
     lab = C.pin(live.join(comp, "id", "left").select("key", "id", "center", F.coalesce("component", "id").alias("comp")))
     open_keys = (lab.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
                  .where("c0 <> c1").select("key"))
-    cross = C.pin(candidates(lab.join(open_keys, "key", "left_semi")))
-    more = C.pin(verify(cross.join(star, ["a", "b"], "left_anti")))
+    more = C.pin(rest(lab.join(open_keys, "key", "left_semi"), star, verify))
     if more.isEmpty():
         return comp
     return components(links.select("a", "b").unionByName(more.select("a", "b")))
+
+
+def blocked(left: DataFrame, size: int) -> DataFrame:
+    """left(key, id, ...) dealt to the pairs of blocks of its bucket: (key, i, j, own, ...).
+
+    A bucket of m members has m / size hash blocks; every two blocks, and every
+    block with itself, meet in one group (key, i, j), so a group holds about
+    2 * size members whatever the bucket's size.
+    """
+    blocks = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    return (left.join(blocks, "key").withColumn("own", own)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks"))
+
+
+PAIRS = 20_000  # pairs looked at together
+
+
+def map_pairs(dealt: DataFrame, links: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(a, b): what ``links`` keeps of the pairs of each block pair of blocked(left) rows that are in different components.
+
+    ``links`` gets a run of rows (with columns id, comp and more) and the row
+    numbers of up to PAIRS pairs, and returns the ids of those it keeps. Groups
+    are runs of sorted rows, so thousands of small buckets cost no call each.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _whole_groups(batches):
+            key, i, j, own, comp = (b.column(c).to_numpy() for c in ("key", "i", "j", "own", "comp"))
+            new = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            end = np.append(np.flatnonzero(new) + 1, len(key))
+            end = end[np.searchsorted(end, np.arange(len(key)), "right")]  # where each row's group ends
+            partners = end - np.arange(len(key)) - 1
+            upto = np.cumsum(partners)
+            for lo in range(0, int(upto[-1]) if len(upto) else 0, PAIRS):
+                at = np.arange(lo, min(lo + PAIRS, int(upto[-1])))
+                x = np.searchsorted(upto, at, "right")
+                y = x + 1 + at - (upto[x] - partners[x])
+                # two blocks: only pairs across them, pairs inside one meet where i = j
+                ok = (comp[x] != comp[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
+                a, c = links(b, x[ok], y[ok])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], names=["a", "b"])
+
+    spark = dealt.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return (dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+            .mapInArrow(run, "a long, b long").distinct())
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, cut only where (key, i, j) changes."""
+    kept = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if kept is not None:
+            b = pa.Table.from_batches([kept, b]).combine_chunks().to_batches()[0]
+        same = np.ones(b.num_rows, bool)
+        for c in ("key", "i", "j"):
+            v = b.column(c).to_numpy()
+            same &= v == v[-1]
+        first = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if first:
+            yield b.slice(0, first)
+        kept = b.slice(first)
+    if kept is not None:
+        yield kept

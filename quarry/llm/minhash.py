@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from . import common as C
-from .graph import bucket_components
+from .graph import blocked, bucket_components, map_pairs
 
 BANDS, ROWS = 25, 5
 COORDINATES = 500
@@ -127,42 +127,20 @@ def block_pairs(left: DataFrame, sketched: DataFrame, percent: int) -> DataFrame
     """
     share = percent / 100
     agree = COORDINATES * (share + (1 - share) / 256) - 4.3 * (COORDINATES * share * (1 - share)) ** 0.5
-    blocks = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = (left.select("key", "id", "comp").join(blocks, "key").withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-             .drop("other", "blocks").join(sketched, "id"))
-
-    def compare(pdf):
-        import pandas as pd
-        i, j, key = pdf["i"].iloc[0], pdf["j"].iloc[0], pdf["key"].iloc[0]
-        ids, comp = pdf["id"].to_numpy(), pdf["comp"].to_numpy()
-        n, own = pdf["n"].to_numpy(), pdf["own"].to_numpy()
-        sk = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
-        bands = np.stack(pdf["bands"].to_numpy())
-        rows, cols = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out_a, out_b = [], []
-        for lo in range(0, len(rows), 32):
-            r = rows[lo:lo + 32]
-            ok = comp[r][:, None] != comp[cols][None, :]
-            if i == j:
-                ok &= ids[r][:, None] < ids[cols][None, :]
-            ok &= 100 * np.minimum(n[r][:, None], n[cols]) >= percent * np.maximum(n[r][:, None], n[cols])
-            x, y = np.nonzero(ok)
-            for at in range(0, len(x), 20_000):
-                a, b = r[x[at:at + 20_000]], cols[y[at:at + 20_000]]
-                near = (sk[a] == sk[b]).sum(axis=1) >= agree
-                a, b = a[near], b[near]
-                first = (bands[a] == bands[b]).argmax(axis=1)
-                here = bands[a, first] == key
-                out_a.append(ids[a[here]])
-                out_b.append(ids[b[here]])
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+    dealt = blocked(left.select("key", "id", "comp"), BLOCK).join(sketched, "id")
+
+    def links(rows: pa.RecordBatch, x: np.ndarray, y: np.ndarray):
+        key, ids, n = (rows.column(c).to_numpy() for c in ("key", "id", "n"))
+        sk = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        bands = rows.column("bands").flatten().to_numpy().reshape(len(ids), -1)
+        size = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+        x, y = x[size], y[size]
+        near = (sk[x] == sk[y]).sum(axis=1) >= agree
+        x, y = x[near], y[near]
+        here = bands[x, (bands[x] == bands[y]).argmax(axis=1)] == key[x]
+        return ids[x[here]], ids[y[here]]
+
+    return map_pairs(dealt, links)
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -205,7 +183,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             .where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both")))
             .select("a", "b").distinct())
 
-    comp = bucket_components(members, prepare, lambda left: block_pairs(left, sketched, percent))
+    def rest(left: DataFrame, star: DataFrame, verify) -> DataFrame:
+        return verify(C.pin(block_pairs(left, sketched, percent).join(star, ["a", "b"], "left_anti")))
+
+    comp = bucket_components(members, members, prepare, rest)
     # only classes with copies or links need a row; all other documents stand alone
     named = (classes.join(comp, F.col("rep") == F.col("id"), "left")
              .select("s1", "s2", "n_shingles", "rep", "last", F.coalesce("component", "rep").alias("component_id"))
