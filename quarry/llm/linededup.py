@@ -13,12 +13,14 @@ segment number, content), and probes the substrings that could match a segment
 of a line up to t shorter. Lines that share a bucket are verified with a banded
 bit-parallel edit distance.
 
-Scale. Lines travel as 64-bit hashes; equal lines are one candidate. Buckets are
-aggregated, and their members meet the bucket's smallest line first (see
-``graph.bucket_components``), so variants of one template cost one comparison
-each. Only lines that share a bucket have their text fetched: a bounded Bloom
-filter cuts the second scan, an exact join follows. First occurrences are
-pre-aggregated minima joined back only for classes that repeat.
+Scale. Documents are cut into lines in Arrow batches and lines travel as 64-bit
+hashes; equal lines are one candidate. Index keys are aggregated, and the members
+of a bucket meet its best connected line first (``graph.bucket_components``), so
+variants of one template cost one comparison each; what is left of a bucket is
+compared in bounded blocks, of which only links leave. Only lines that share a
+bucket have their text fetched: a bounded Bloom filter cuts the scan, an exact
+join follows. First occurrences are pre-aggregated minima joined back only for
+classes that repeat.
 
 Defined cases: null texts are unchanged and have no lines; rows with a null
 doc_id are unchanged and count for nothing; repeated rows of one doc_id hold the
@@ -35,20 +37,74 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from . import common as C
-from .graph import bucket_components
+from .graph import blocked, bucket_components, map_pairs
 
 EDITS = 2
 MIN_CHARS = 40
-_GROUP_CHARS = 400_000  # characters hashed at a time
+BLOCK = 256  # members of one bucket that meet in one block
+_CHARS = 1 << 18  # characters hashed at a time
 _SEEN = 1 << 18  # line hashes a task remembers so as not to emit a repeated line again
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, h, line) of every non-empty line."""
-    return (docs.where("doc_id is not null and text is not null")
-            .select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-            .withColumn("line", F.btrim("line", F.lit(" \t\r"))).where("line <> ''")
-            .withColumn("h", F.xxhash64("line")).select("doc_id", "pos", "h", "line"))
+class Lines:
+    """The non-empty lines of a run of documents, as spans of their code points."""
+
+    def __init__(self, rows: np.ndarray, texts: list[str]):
+        sizes = np.array([len(t) for t in texts])
+        self.codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        breaks = np.flatnonzero(self.codes == 10)
+        start = np.concatenate([[0], breaks + 1])
+        end = np.concatenate([breaks, [len(self.codes)]])
+        first = np.cumsum(sizes + 1) - sizes - 1  # where each document begins
+        doc = np.searchsorted(first, start, "right") - 1
+        pos = np.arange(len(start)) - np.searchsorted(start, first)[doc]
+        while len(start):  # blanks at the ends, a character a round
+            blank = (start < end) & np.isin(self.codes[np.minimum(start, len(self.codes) - 1)], (32, 9, 13))
+            if not blank.any():
+                break
+            start = start + blank
+        while len(end):
+            blank = (start < end) & np.isin(self.codes[np.maximum(end - 1, 0)], (32, 9, 13))
+            if not blank.any():
+                break
+            end = end - blank
+        some = start < end
+        self.start, self.end, self.row, self.pos = start[some], end[some], rows[doc[some]], pos[some]
+        self.hashes = C.prefix_hash(C.mix(self.codes.astype(np.uint64) + C.U64(1)))
+        self.h = C.span_hash(self.hashes, self.start, self.end)
+
+    def text(self, i: int) -> str:
+        return self.codes[self.start[i]:self.end[i]].tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def line_runs(batch: pa.RecordBatch):
+    """Lines of the batch's documents, some _CHARS characters at a time."""
+    rows, texts, size = [], [], 0
+    for i, t in enumerate(batch.column("text").to_pylist()):
+        rows.append(i)
+        texts.append(t)
+        size += len(t)
+        if size > _CHARS:
+            yield Lines(np.array(rows), texts)
+            rows, texts, size = [], [], 0
+    if rows:
+        yield Lines(np.array(rows), texts)
+
+
+def _known(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, h): every non-empty line, by number and hash."""
+    def run(batches):
+        for b in batches:
+            ids = b.column("doc_id").to_numpy()
+            for ls in line_runs(b):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[ls.row]), pa.array(ls.pos.astype(np.int32)), pa.array(ls.h.view(np.int64))],
+                                                 names=["doc_id", "pos", "h"])
+
+    return _known(docs).mapInArrow(run, "doc_id long, pos int, h long")
 
 
 def probes(edits: int) -> list[tuple[int, int, int]]:
@@ -69,57 +125,45 @@ def segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndar
     return base * i + longer_before, base + (i >= parts - rest)
 
 
-def segment_keys(texts: list[str], ids: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, id, center): index keys of the own segments, probe keys of the others."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    size = np.array([len(t) for t in texts])
-    h = C.prefix_hash(C.mix(codes + C.U64(1)) | C.U64(1))
-    start = np.cumsum(size) - size
-    keys, who, center = [], [], []
-
-    def add(length, i, shift, own):
+def segment_keys(hashes: np.ndarray, start: np.ndarray, size: np.ndarray, edits: int, own: bool):
+    """(key, line) of the own segments of lines, or of the substrings that could match those of a shorter or equal line."""
+    keys, lines = [], []
+    places = [(0, i, 0) for i in range(edits + 1)] if own else probes(edits)
+    for delta, i, shift in places:
+        length = size - delta
         at, n = segment(length, i, edits + 1)
         at = at + shift
-        ok = (length >= MIN_CHARS) & (at >= 0) & (at + n <= size)
+        ok = np.flatnonzero((length >= MIN_CHARS) & (at >= 0) & (at + n <= size))
         s = (start + at)[ok]
-        k = C.span_hash(h, s, s + n[ok]) ^ C.mix(length[ok].astype(np.uint64) * C.U64(16) + C.U64(i))
-        keys.append(k)
-        who.append(ids[ok])
-        center.append(np.full(len(k), own))
+        keys.append(C.span_hash(hashes, s, s + n[ok]) ^ C.mix(length[ok].astype(np.uint64) * C.U64(16) + C.U64(i)))
+        lines.append(ok)
+    return np.concatenate(keys), np.concatenate(lines)
 
-    for i in range(edits + 1):
-        add(size, i, 0, True)
-    for delta, i, shift in probes(edits):
-        add(size - delta, i, shift, False)
-    return np.concatenate(keys), np.concatenate(who), np.concatenate(center)
 
+def _fresh(ls: Lines, seen: set[int]) -> np.ndarray:
+    """Lines of at least MIN_CHARS characters that the task has not met of late."""
+    _, first = np.unique(ls.h, return_index=True)
+    new = [i for i in first[(ls.end - ls.start)[first] >= MIN_CHARS].tolist() if int(ls.h[i]) not in seen]
+    if len(seen) > _SEEN:
+        seen.clear()
+    seen.update(ls.h[new].tolist())
+    return np.array(new, np.int64)
 
-def _members(ls: DataFrame, edits: int) -> DataFrame:
-    def keys(texts, ids):
-        k, who, own = segment_keys(texts, np.array(ids), edits)
-        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(who), pa.array(own)],
-                                          names=["key", "id", "center"])
 
+def _members(docs: DataFrame, edits: int, centers_only: bool) -> DataFrame:
+    """(key, id, center): a line's own segments (centers) and, unless centers_only, its probes."""
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            fresh, ids, size = [], [], 0
-            for t, i in zip(b.column("line").to_pylist(), b.column("h").to_pylist()):
-                if i not in seen:
-                    seen.add(i)
-                    fresh.append(t)
-                    ids.append(i)
-                    size += len(t)
-                if size > _GROUP_CHARS:
-                    yield keys(fresh, ids)
-                    fresh, ids, size = [], [], 0
-            if len(seen) > _SEEN:
-                seen.clear()
-            if fresh:
-                yield keys(fresh, ids)
-
-    return ls.where(F.char_length("line") >= MIN_CHARS).select("h", "line").mapInArrow(
-        run, "key bigint, id bigint, center boolean")
+            for ls in line_runs(b):
+                new = _fresh(ls, seen)
+                for own in (True,) if centers_only else (True, False):
+                    k, line = segment_keys(ls.hashes, ls.start[new], (ls.end - ls.start)[new], edits, own)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(k.view(np.int64)), pa.array(ls.h[new[line]].view(np.int64)), pa.array(np.full(len(k), own))],
+                        names=["key", "id", "center"])
+
+    return _known(docs).select("text").mapInArrow(run, "key long, id long, center boolean")
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -171,36 +215,64 @@ def within(a: str, b: str, edits: int) -> bool:
     return bottom - (vp >> k0 & mask).bit_count() + (vn >> k0 & mask).bit_count() <= edits
 
 
+def line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(h, line) of the lines of ids(h): a bounded Bloom filter over the scan, then an exact join."""
+    words = docs.sparkSession.sparkContext.broadcast(bloom.build(ids, "h"))
+
+    def run(batches):
+        for b in batches:
+            for ls in line_runs(b):
+                maybe = np.flatnonzero((ls.end - ls.start >= MIN_CHARS) & bloom.contains(ls.h.view(np.int64), words.value))
+                yield pa.RecordBatch.from_arrays([pa.array(ls.h[maybe].view(np.int64)), pa.array([ls.text(i) for i in maybe], pa.string())],
+                                                 names=["h", "line"])
+
+    return _known(docs).select("text").mapInArrow(run, "h long, line string").join(ids, "h", "left_semi").dropDuplicates(["h"])
+
+
+def _near(edits: int):
+    def near(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([within(s, t, edits) for s, t in zip(x.to_pylist(), y.to_pylist())], pa.bool_())
+
+    near.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
+    return F.arrow_udf(near, returnType="boolean")
+
+
+def _block_links(left: DataFrame, text: DataFrame, edits: int) -> DataFrame:
+    """(a, b): links among members of one bucket in different components, compared in bounded blocks."""
+    text = text.withColumn("n", F.char_length("line"))
+    dealt = blocked(left, BLOCK).join(text, F.col("id") == F.col("h")).drop("h")
+
+    def links(rows: pa.RecordBatch, x: np.ndarray, y: np.ndarray):
+        ids, center = rows.column("id").to_numpy(), rows.column("center").to_numpy(zero_copy_only=False)
+        line, size = rows.column("line"), rows.column("n").to_numpy()
+        ok = (center[x] | center[y]) & (np.abs(size[x] - size[y]) <= edits)
+        x, y = x[ok], y[ok]
+        text = {i: line[i].as_py() for i in np.unique(np.concatenate([x, y])).tolist()}
+        near = np.array([within(text[i], text[j], edits) for i, j in zip(x.tolist(), y.tolist())], bool)
+        return ids[x[near]], ids[y[near]]
+
+    return map_pairs(dealt, links)
+
+
 def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """(id, component) of the line hashes that are linked to a different line."""
-    spark = docs.sparkSession
-    ls = lines(docs)
+    found = {}
 
     def prepare(ids: DataFrame):
-        ids = C.pin(ids.select(F.col("id").alias("h")))
-        words = bloom.build(ids, "h")
-        text = C.pin(ls.where(F.char_length("line") >= MIN_CHARS).select("h", "line")
-                     .where(bloom.maybe(spark, words, F.col("h")))
-                     .join(ids, "h", "left_semi").dropDuplicates(["h"]))
-
-        def near(x: pa.Array, y: pa.Array) -> pa.Array:
-            return pa.array([within(s, t, edits) for s, t in zip(x.to_pylist(), y.to_pylist())], pa.bool_())
-
-        near.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
+        text = found["text"] = C.pin(line_texts(docs, C.pin(ids.select(F.col("id").alias("h")))))
         x = text.select(F.col("h").alias("a"), F.col("line").alias("la"))
         y = text.select(F.col("h").alias("b"), F.col("line").alias("lb"))
-        return lambda pairs: (pairs.join(x, "a").join(y, "b")
-                              .where(F.arrow_udf(near, returnType="boolean")("la", "lb")).select("a", "b"))
+        return lambda pairs: pairs.join(x, "a").join(y, "b").where(_near(edits)("la", "lb")).select("a", "b")
 
-    return bucket_components(_members(ls, edits), prepare)
+    return bucket_components(_members(docs, edits, False), _members(docs, edits, True), prepare,
+                             lambda left, star, verify: _block_links(left, found["text"], edits))
 
 
 def repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """(doc_id, pos, first_doc): every line occurrence that goes, and the document that holds its first."""
     comp = line_classes(docs, edits)
-    occ = lines(docs).select("doc_id", "pos", "h")
-    occ = occ.join(comp, F.col("h") == F.col("id"), "left").select(
-        "doc_id", "pos", F.coalesce("component", "h").alias("class"))
+    occ = C.pin(occurrences(docs).join(comp, F.col("h") == F.col("id"), "left").select(
+        "doc_id", "pos", F.coalesce("component", "h").alias("class")))
     at = F.struct("doc_id", "pos")
     first = (occ.groupBy("class").agg(F.min(at).alias("first"), F.max(at).alias("last"))
              .where("first <> last").select("class", "first"))
