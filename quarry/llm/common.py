@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import checkpoint_dir, configure, pin, scratch_path  # noqa: F401  (re-exported)
 
 # Text bytes in one Arrow batch: what bounds the memory of a Python worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 BATCH_ROWS = 2000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,7 @@ def fold_ascii(col):
 
 U64 = np.uint64
 _CHUNK = 1 << 20
+_SPAN = 1 << 19  # bytes of text hashed together
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -119,52 +120,43 @@ def span_hash(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix((h[e] - h[s]) * _INV[s] + (e - s).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
 
-def _cuts(inside: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Chunks of about _CHUNK / 2 bytes that end at a row's end or at a separator."""
-    n, lo = len(inside), 0
-    while lo < n:
-        hi = min(n, lo + _CHUNK // 2)
-        if hi < n:
-            gap = np.flatnonzero(~inside[hi:lo + _CHUNK])
-            ends = off[(off > hi) & (off <= lo + _CHUNK)]
-            stop = min([int(ends[0])] if len(ends) else [n], default=n)
-            if len(gap):
-                stop = min(stop, hi + int(gap[0]))
-            hi = min(stop, lo + _CHUNK)  # a single word beyond a chunk is hashed in parts
-        yield lo, hi
-        lo = hi
+def _long_hash(codes: np.ndarray) -> np.uint64:
+    """Hash of a word longer than _SPAN bytes: of its parts in order."""
+    acc = np.zeros(1, np.uint64)
+    for lo in range(0, len(codes), _SPAN):
+        part = codes[lo:lo + _SPAN]
+        acc = mix(acc * U64(3) + span_hash(prefix_hash(part), np.zeros(1, np.int64), np.array([len(part)])))
+    return acc[0]
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray, inside: np.ndarray,
                 spans: bool = False) -> tuple[np.ndarray, ...]:
     """Hashes of all words (A-Z folded) and the index of each one's row.
 
-    Words never cross rows. A word longer than a chunk (1 MiB) is hashed as
-    its parts, folded into one value. ``spans`` adds byte starts and ends.
+    Words never cross rows; equal words have equal hashes wherever they stand
+    and however long they are. ``spans`` adds byte starts and ends.
     """
     folded = _LOWER[data]
     mask = inside[folded]
-    prev = np.zeros(len(mask), bool)
-    prev[1:] = mask[:-1]
-    first = off[:-1][off[:-1] < len(mask)]
-    prev[first] = False
-    starts = np.flatnonzero(mask & ~prev)
-    prev[:] = False
-    prev[:-1] = mask[1:]
-    last = off[1:][off[1:] > 0] - 1
-    prev[last] = False
-    ends = np.flatnonzero(mask & ~prev) + 1
+    edge = np.zeros(len(mask), bool)
+    edge[1:] = mask[:-1]
+    edge[off[:-1][off[:-1] < len(mask)]] = False
+    starts = np.flatnonzero(mask & ~edge)
+    edge[:] = False
+    edge[:-1] = mask[1:]
+    edge[off[1:][off[1:] > 0] - 1] = False
+    ends = np.flatnonzero(mask & ~edge) + 1
     out = np.zeros(len(starts), np.uint64)
     i = 0
-    for lo, hi in _cuts(mask, off):
-        j = int(np.searchsorted(starts, hi, "left"))
-        if i and ends[i - 1] > lo:  # the rest of a word that began in an earlier chunk
-            h = prefix_hash(_BYTES[folded[lo:hi]])
-            e = np.array([min(int(ends[i - 1]), hi) - lo])
-            out[i - 1] = mix(out[i - 1:i] * U64(3) + span_hash(h, np.zeros(1, np.int64), e))[0]
-        if j > i:
-            h = prefix_hash(_BYTES[folded[lo:hi]])
-            out[i:j] = span_hash(h, starts[i:j] - lo, np.minimum(ends[i:j], hi) - lo)
+    while i < len(starts):  # runs of words that lie within _SPAN bytes share one prefix hash
+        base = starts[i]
+        j = int(np.searchsorted(ends, base + _SPAN, "right"))
+        if j == i:
+            out[i] = _long_hash(_BYTES[folded[base:ends[i]]])
+            i += 1
+            continue
+        h = prefix_hash(_BYTES[folded[base:ends[j - 1]]])
+        out[i:j] = span_hash(h, starts[i:j] - base, ends[i:j] - base)
         i = j
     row = np.searchsorted(off, starts, "right") - 1
     return (out, row, starts, ends) if spans else (out, row)

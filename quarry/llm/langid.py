@@ -32,7 +32,7 @@ BUCKETS = 1 << 16
 ORDERS = 3
 SAMPLE_DOCS = 10_000
 MATRIX_BYTES = 256 << 20
-PIECE = 1 << 19  # characters scored at a time
+PIECE = 1 << 18  # characters scored at a time
 
 _MUL = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
 
