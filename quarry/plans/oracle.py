@@ -297,6 +297,56 @@ def phonetic_key(x: str) -> str:
     return f"regexp_replace({c}, '\\?+', '?', 'g')"
 
 
+# Pairs of different lower-case ASCII words of the benchmark texts that share their first two letters.
+WORD_PAIRS = r"""w AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) > 1),
+pairs AS (SELECT a.w AS a, b.w AS b FROM w a JOIN w b ON substr(a.w, 1, 2) = substr(b.w, 1, 2) AND a.w <> b.w)"""
+
+
+def edit_cost_ctes() -> str:
+    """``costs(a, b, cost)``: the weighted edit cost of ``pairs(a, b)``, a row of cells for each letter of a.
+
+    A cell is cost * 256 + the last code of the string built so far.
+    """
+    from ..functions import phonetic as P
+    first, later = (str(list(t)) for t in P.class_tables())
+    cls = lambda p, c: f"CASE WHEN {p} = 0 THEN init[{c} + 1] ELSE mid[{c} + 1] END"
+
+    def step(p, c, n):
+        k = f"({cls(p, c)})"
+        return (f"(CASE WHEN {k} = {P.SILENT} THEN {P.COST_SILENT} WHEN {p} = {c} THEN {P.COST_REPEAT} "
+                f"WHEN {k} = {P.VOWEL} AND ({p} = 114 OR {n} = 114) THEN {P.COST_VOWEL_R} "
+                f"WHEN {k} = ({cls(p, p)}) THEN CASE WHEN {k} = {P.VOWEL} THEN {P.COST_VOWEL_CLUSTER} ELSE {P.COST_SAME_CLASS} END "
+                f"ELSE {P.COST_OTHER} END)")
+
+    def swap(p, x, y):
+        kx, ky = f"({cls(p, x)})", f"({cls(p, y)})"
+        return (f"(CASE WHEN {x} = {y} THEN 0 WHEN {kx} = {ky} THEN {P.SUB_SAME_CLASS} "
+                f"WHEN {kx} BETWEEN {P.CB} AND {P.CY} AND {ky} BETWEEN {P.CB} AND {P.CY} THEN {P.SUB_CONSONANTS} ELSE {P.SUB_OTHER} END)")
+
+    here, after = "bc[y[1]]", "bc[y[1] + 1]"
+    left = "acc[len(acc)]"
+    grow = f"({left} // 256 + {step(f'({left} % 256)', here, after)} // (CASE WHEN i + 1 = na THEN {P.FINAL_INSERT_DIVISOR} ELSE 1 END))"
+    drop = f"(r[y[1] + 1] // 256 + {step('(r[y[1] + 1] % 256)', 'c', after)})"
+    keep = f"(r[y[1]] // 256 + {swap(f'({left} % 256)', 'c', here)})"
+    return f"""cut AS (SELECT a, b, len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, 1, i) = substr(b, 1, i))) AS k,
+  {first}::INT[] AS init, {later}::INT[] AS mid FROM pairs),
+codes AS (SELECT *, length(a) - k AS na, length(b) - k AS nb, CASE WHEN k = 0 THEN 0 ELSE ascii(substr(a, k, 1)) END AS before,
+  list_append(list_transform(range(k + 1, length(a) + 1), lambda i: ascii(substr(a, i, 1))), 0) AS ac,
+  list_append(list_transform(range(k + 1, length(b) + 1), lambda i: ascii(substr(b, i, 1))), 0) AS bc FROM cut),
+start AS (SELECT *, list_reduce(list_transform(range(1, nb + 1), lambda j: [j::BIGINT]), lambda acc, y: list_append(acc,
+    (({left} // 256) + {step(f'({left} % 256)', here, after)} // (CASE WHEN na = 0 THEN {P.FINAL_INSERT_DIVISOR} ELSE 1 END)) * 256 + {here}),
+    [before::BIGINT]) AS r FROM codes),
+cells AS (
+  SELECT a, b, na, nb, before, ac, bc, init, mid, 0 AS i, before AS came, ac[1] AS c, r FROM start
+  UNION ALL
+  SELECT a, b, na, nb, before, ac, bc, init, mid, i + 1, c, ac[i + 2],
+    list_reduce(list_transform(range(1, nb + 1), lambda j: [j::BIGINT]), lambda acc, y: list_append(acc,
+      least({grow}, {drop}, {keep}) * 256 + CASE WHEN {drop} < {grow} THEN c ELSE {here} END),
+      [((r[1] // 256) + {step('came', 'c', 'ac[i + 2]')}) * 256 + before::BIGINT])
+  FROM cells WHERE i < na),
+costs AS (SELECT a, b, (r[nb + 1] // 256)::BIGINT AS cost FROM cells WHERE i = na)"""
+
+
 DICTIONARY = f"""v AS (SELECT term AS word, count(DISTINCT page) AS rank FROM postings GROUP BY term),
 dict0 AS (SELECT word, rank, replace(word, 'ß', 'ss') AS a FROM v),
 dict AS (SELECT word, rank, 0 AS langid, CASE WHEN a <> word THEN a END AS k1, {phonetic_key('a')} AS k2 FROM dict0)"""

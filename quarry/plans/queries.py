@@ -3,6 +3,7 @@ provided tables (or data Spark derives from them) at ``sf_dir``."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1196,20 +1197,46 @@ def vocabulary_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _refreshed(spark, sf_dir).vocabulary()
 
 
-@register("edit_cost_lang", ops="J6 J10")
+def _word_pairs(spark, sf_dir):
+    """Pairs (a, b) of different lower-case ASCII words of the benchmark texts with the same first two letters."""
+    b = tb.read(spark, sf_dir, "benchmark")
+    w = b.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("w")).filter("length(w) > 1").distinct()
+    key = F.substring("w", 1, 2).alias("k")
+    return (w.select(key, F.col("w").alias("a")).join(w.select(key, F.col("w").alias("b")), "k").filter("a <> b").select("a", "b"))
+
+
+@register("edit_costs", ops="J5", sql=f"""
+WITH RECURSIVE {O.WORD_PAIRS}, {O.edit_cost_ctes()}
+SELECT a, b, cost FROM costs""")
+def edit_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted edit cost of every such pair of words."""
+    from ..functions import phonetic as P
+
+    @F.pandas_udf("long")
+    def cost(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(P.edit_costs(a.tolist(), b.tolist())[0])
+
+    return _word_pairs(spark, sf_dir).withColumn("cost", cost("a", "b"))
+
+
+@register("edit_cost_lang", ops="J6", sql=f"""
+WITH RECURSIVE {O.WORD_PAIRS},
+cells AS (
+  SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda j: (j * 100)::BIGINT) AS r FROM pairs
+  UNION ALL
+  SELECT a, b, i + 1, list_reduce(list_transform(range(1, length(b) + 1), lambda j: [j::BIGINT]), lambda acc, y: list_append(acc,
+    least(acc[len(acc)] + 100, r[y[1] + 1] + 100, r[y[1]] + CASE WHEN substr(a, i + 1, 1) = substr(b, y[1], 1) THEN 0
+      WHEN contains('aeiou', substr(a, i + 1, 1)) AND contains('aeiou', substr(b, y[1], 1)) THEN 20 ELSE 150 END)), [r[1] + 100])
+  FROM cells WHERE i < length(a))
+SELECT a, b, r[length(b) + 1] AS cost FROM cells WHERE i = length(a)""")
 def edit_cost_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Configurable edit distance between every benchmark word and its correction."""
+    """Configurable edit distance of the same pairs: cheap vowel swaps."""
     from ..operators import spelling as sp
-    b = tb.read(spark, sf_dir, "benchmark")
-    words = b.select(F.explode(F.split("text", r"\W")).alias("w")).filter("w <> ''").distinct()
-    best = sp.best_matches(words, _dictionary(spark, sf_dir))
-    # cost configuration: defaults plus cheap vowel swaps for language 0
     table = spark.createDataFrame(
         [(0, "?", "", 100), (0, "", "?", 100), (0, "?", "?", 150)] +
         [(0, x, y, 20) for x in "aeiou" for y in "aeiou" if x != y],
         "lang int, `from` string, `to` string, cost int")
-    pairs = best.select(F.col("w").alias("a"), F.col("word").alias("b"))
-    return sp.edit_costs_lang(pairs, table)
+    return sp.edit_costs_lang(_word_pairs(spark, sf_dir), table)
 
 
 @register("dictionary_maintenance", ops="J12")
