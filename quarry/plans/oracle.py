@@ -303,7 +303,7 @@ pairs AS (SELECT a.w AS a, b.w AS b FROM w a JOIN w b ON substr(a.w, 1, 2) = sub
 
 
 def edit_cost_ctes() -> str:
-    """``costs(a, b, cost)``: the weighted edit cost of ``pairs(a, b)``, a row of cells for each letter of a.
+    """``costs(a, b, cost)`` of ASCII words: the weighted edit cost of ``pairs(a, b)``, a row of cells for each letter of a.
 
     A cell is cost * 256 + the last code of the string built so far.
     """
@@ -320,7 +320,8 @@ def edit_cost_ctes() -> str:
 
     def swap(p, x, y):
         kx, ky = f"({cls(p, x)})", f"({cls(p, y)})"
-        return (f"(CASE WHEN {x} = {y} THEN 0 WHEN {kx} = {ky} THEN {P.SUB_SAME_CLASS} "
+        same = f"{x} = {y} OR (xor({x}, {y}) = 32 AND (({y} BETWEEN 65 AND 90) OR ({y} BETWEEN 97 AND 122)))"
+        return (f"(CASE WHEN {same} THEN 0 WHEN {kx} = {ky} THEN {P.SUB_SAME_CLASS} "
                 f"WHEN {kx} BETWEEN {P.CB} AND {P.CY} AND {ky} BETWEEN {P.CB} AND {P.CY} THEN {P.SUB_CONSONANTS} ELSE {P.SUB_OTHER} END)")
 
     here, after = "bc[y[1]]", "bc[y[1] + 1]"
@@ -349,7 +350,7 @@ costs AS (SELECT a, b, (r[nb + 1] // 256)::BIGINT AS cost FROM cells WHERE i = n
 
 DICTIONARY = f"""v AS (SELECT term AS word, count(DISTINCT page) AS rank FROM postings GROUP BY term),
 dict0 AS (SELECT word, rank, replace(word, 'ß', 'ss') AS a FROM v),
-dict AS (SELECT word, rank, 0 AS langid, CASE WHEN a <> word THEN a END AS k1, {phonetic_key('a')} AS k2 FROM dict0)"""
+dict AS (SELECT word, rank, a, 0 AS langid, CASE WHEN a <> word THEN a END AS k1, {phonetic_key('a')} AS k2 FROM dict0)"""
 
 NOW = "TIMESTAMP '2024-03-01 00:00:00'"
 
