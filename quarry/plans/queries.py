@@ -1251,7 +1251,13 @@ def edit_cost_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.edit_costs_lang(_word_pairs(spark, sf_dir), table)
 
 
-@register("dictionary_maintenance", ops="J12")
+@register("dictionary_maintenance", ops="J12", sql=rf"""
+WITH {O.INDEX}, {O.DICTIONARY},
+fresh AS (SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_split_to_array(lower(text), '\W')) AS w FROM benchmark)
+  WHERE w <> '' AND w NOT IN (SELECT word FROM dict)),
+gone AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '\W')) AS word FROM documents JOIN labels USING (doc_id))
+SELECT word, rank, langid, k1, k2 FROM (SELECT word, rank, langid, k1, k2 FROM dict
+  UNION ALL SELECT word, 1, 0, NULL, {O.phonetic_key('word')} FROM fresh) WHERE word NOT IN (SELECT word FROM gone WHERE word IS NOT NULL)""")
 def dictionary_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionary after inserting the benchmark words (rank 1 when new) and deleting
     the words of the labelled documents' whole texts."""
