@@ -27,6 +27,21 @@ def r6(c: str):
 # --------------------------------------------------------------------------- E
 
 
+# Benchmark texts corrected word by word: ``fixed(query_id, q, corrected)``.
+CORRECTION = rf"""{O.DICTIONARY},
+qw AS (SELECT item_id, text, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM (SELECT item_id, text, regexp_split_to_array(text, '\W') AS ws FROM benchmark)),
+keyed AS (SELECT w, substr(k, 1, CASE WHEN length(k) > 3 THEN 3 WHEN length(k) > 2 THEN length(k) - 1 ELSE length(k) END) AS prefix
+  FROM (SELECT w, {O.phonetic_key('w')} AS k FROM (SELECT DISTINCT w FROM qw WHERE w <> ''))),
+dict_bits AS (SELECT *, length(bin(rank)) AS bits FROM dict),
+own AS (SELECT k.w, max(d.bits) AS least_bits FROM keyed k JOIN dict_bits d ON d.a = lower(k.w) AND starts_with(d.k2, k.prefix) GROUP BY k.w),
+near_words AS (SELECT k.w, d.word, d.a, d.k2, d.bits FROM keyed k LEFT JOIN own o USING (w) JOIN dict_bits d ON starts_with(d.k2, k.prefix)
+  WHERE o.least_bits IS NULL OR d.bits >= o.least_bits),
+pairs AS (SELECT DISTINCT w AS a, a AS b FROM near_words), {O.edit_cost_ctes()},
+best AS (SELECT c.w, arg_min(c.word, (t.cost + 32 - c.bits, c.k2, c.word)) AS word FROM near_words c JOIN costs t ON t.a = c.w AND t.b = c.a GROUP BY c.w),
+fixed AS (SELECT b.item_id AS query_id, b.text AS q, coalesce(string_agg(coalesce(best.word, qw.w), ' ' ORDER BY qw.pos) FILTER (qw.w <> ''), '') AS corrected
+FROM benchmark b LEFT JOIN qw ON qw.item_id = b.item_id LEFT JOIN best ON best.w = qw.w GROUP BY b.item_id, b.text)"""
+
+
 @register("tokenize_corpus", ops="E1", sql=f"""
 WITH t AS (SELECT doc_id, unnest({O.tokens('text')}) AS term FROM documents)
 SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term""")
@@ -123,11 +138,12 @@ def search_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(idx.pages.select("page", "source"), "page").select("query_id", "page", "source", r6("rank"))
 
 
-@register("search_entry", ops="F-Q13 J9")
+@register("search_entry", ops="F-Q13 J9", sql=O.search_page_sql("SELECT query_id, corrected AS q FROM fixed")
+          .replace("WITH ", "WITH RECURSIVE ", 1).replace(f"{O.INDEX},", f"{O.INDEX},\n{CORRECTION},", 1))
 def search_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First results page of every benchmark text, corrected word by word."""
     out = srch.search_entry(corpus_index(spark, sf_dir), _dictionary(spark, sf_dir), tb.query_texts(spark, sf_dir))
-    return out.select("query_id", "corrected", "rn", "page", "url", r6("rank"), "total", "page_count")
+    return out.select("query_id", "rn", "page", "url", r6("rank"), r6("score"), "total", "page_count")
 
 
 def _embedded_chunks(spark, sf_dir):
@@ -942,19 +958,9 @@ def phonetic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_words"))
 
 
-@register("correct_queries", ops="J5 J7 J8 J9", sql=rf"""
-WITH RECURSIVE {O.INDEX}, {O.DICTIONARY},
-qw AS (SELECT item_id, text, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM (SELECT item_id, text, regexp_split_to_array(text, '\W') AS ws FROM benchmark)),
-keyed AS (SELECT w, substr(k, 1, CASE WHEN length(k) > 3 THEN 3 WHEN length(k) > 2 THEN length(k) - 1 ELSE length(k) END) AS prefix
-  FROM (SELECT w, {O.phonetic_key('w')} AS k FROM (SELECT DISTINCT w FROM qw WHERE w <> ''))),
-ranked AS (SELECT *, length(bin(rank)) AS bits FROM dict),
-own AS (SELECT k.w, max(d.bits) AS least_bits FROM keyed k JOIN ranked d ON d.a = lower(k.w) AND starts_with(d.k2, k.prefix) GROUP BY k.w),
-cand AS (SELECT k.w, d.word, d.a, d.k2, d.bits FROM keyed k LEFT JOIN own o USING (w) JOIN ranked d ON starts_with(d.k2, k.prefix)
-  WHERE o.least_bits IS NULL OR d.bits >= o.least_bits),
-pairs AS (SELECT DISTINCT w AS a, a AS b FROM cand), {O.edit_cost_ctes()},
-best AS (SELECT c.w, arg_min(c.word, (t.cost + 32 - c.bits, c.k2, c.word)) AS word FROM cand c JOIN costs t ON t.a = c.w AND t.b = c.a GROUP BY c.w)
-SELECT b.item_id AS query_id, b.text AS q, coalesce(string_agg(coalesce(best.word, qw.w), ' ' ORDER BY qw.pos) FILTER (qw.w <> ''), '') AS corrected
-FROM benchmark b LEFT JOIN qw ON qw.item_id = b.item_id LEFT JOIN best ON best.w = qw.w GROUP BY b.item_id, b.text""")
+@register("correct_queries", ops="J5 J7 J8 J9", sql=f"""
+WITH RECURSIVE {O.INDEX}, {CORRECTION}
+SELECT query_id, q, corrected FROM fixed""")
 def correct_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import spelling as sp
     return sp.correct(tb.query_texts(spark, sf_dir), _dictionary(spark, sf_dir))
