@@ -263,10 +263,11 @@ def extract_text(raw: DataFrame) -> DataFrame:
     return raw.select("page_id", parsed(F.col("html"))["text"].alias("content"))
 
 
-def extract_pages(raw: DataFrame, size_limit: int = 200_000) -> DataFrame:
-    """Full extraction: fields + visible text + byte budget, one row per raw page, one scan."""
+def extract_pages(raw: DataFrame, size_limit: int | None = None) -> DataFrame:
+    """Full extraction: fields + visible text, one row per raw page, one scan; cut only to a byte budget that is given."""
     f = page_fields(raw)
-    tt, dd, cc = truncate_bytes([F.col("title"), F.col("description"), F.col("content")], F.lit(size_limit))
+    texts = [F.col("title"), F.col("description"), F.col("content")]
+    tt, dd, cc = texts if size_limit is None else truncate_bytes(texts, F.lit(size_limit))
     return f.select("page_id", "url", "canonical", "status", "error_info", tt.alias("title"),
                     dd.alias("description"), cc.alias("content"), "links")
 
@@ -328,7 +329,7 @@ def feed_links(body: Column, content_type: Column, base: Column) -> Column:
     return F.transform(links, lambda x: U.resolve(base, F.trim(x)))
 
 
-def fetched(raw: DataFrame, size_limit: int = 200_000) -> DataFrame:
+def fetched(raw: DataFrame, size_limit: int | None = None) -> DataFrame:
     """Status, fields and links of fetched bodies (page_id, url, content_type, html, fetch_error) by content type.
 
     B11: a fetch error is Error with its message; HTML is Finished, or Error when
