@@ -1,17 +1,24 @@
 """Operator 2: near-duplicate lines by a segment-partition edit join.
 
 A line is a piece of text between line feeds, without blanks at its ends; empty
-lines are not compared and always stay. Equal lines of any length, and lines of
-at least MIN_CHARS characters within EDITS character edits (insert, delete,
-substitute) of each other, form classes (linked directly or through others). The
-first occurrence of a class, by (doc_id, line number), stays; later ones go.
+lines are not compared and always stay. Equal lines of any length, and lines
+within the character edits (insert, delete, substitute) that the shorter one's
+length allows, form classes (linked directly or through others). By length
+(BY_LENGTH, as the query and the pipeline use it): 1 edit from SHORT characters,
+2 from MIN_CHARS, a hundredth of the characters from LONG. With a number of
+edits, that many from MIN_CHARS on. The first occurrence of a class, by (doc_id,
+line number), stays; later ones go.
 
 Method. With t edits, one of t + 1 segments of the shorter line must occur
 unchanged in the longer one, within the few positions that the edits to its left
 and right allow. Every distinct line indexes its t + 1 segments under (length,
 segment number, content), and probes the substrings that could match a segment
-of a line up to t shorter. Lines that share a bucket are verified with a banded
-bit-parallel edit distance.
+of a line up to t shorter. The probes grow with the cube of t, so lines of LONG
+characters or more, compared by length, meet otherwise: of the longer one at
+least (length - t) / (t + 1) characters in a row, never fewer than 75, are
+unchanged. Of every WINDOW neighbouring spans of GRAM characters (together 75)
+the one of smallest hash is a key, so a common run gives a common key. Lines
+that share a bucket are verified with a banded bit-parallel edit distance.
 
 Scale. Documents are cut into lines in Arrow batches and lines travel as 64-bit
 hashes; equal lines are one candidate. Index keys are aggregated, and the members
@@ -41,6 +48,9 @@ from .graph import blocked, bucket_components, map_pairs
 
 EDITS = 2
 MIN_CHARS = 40
+BY_LENGTH = None  # in place of a number of edits: as many as the length allows
+SHORT, LONG = 20, 300
+GRAM, WINDOW = 32, 44
 BLOCK = 256  # members of one bucket that meet in one block
 _CHARS = 1 << 18  # characters hashed at a time
 _SEEN = 1 << 18  # line hashes a task remembers so as not to emit a repeated line again
@@ -107,6 +117,18 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return _known(docs).mapInArrow(run, "doc_id long, pos int, h long")
 
 
+def allowed(size: np.ndarray, edits: int | None) -> np.ndarray:
+    """Edits that lines of these lengths are linked at; 0 where only equal lines are."""
+    if edits is not BY_LENGTH:
+        return np.where(size >= MIN_CHARS, edits, 0)
+    return np.select([size < SHORT, size < MIN_CHARS, size < LONG], [0, 1, 2], size // 100)
+
+
+def shortest(edits: int | None) -> int:
+    """Characters of the shortest lines that are compared."""
+    return SHORT if edits is BY_LENGTH else MIN_CHARS
+
+
 def probes(edits: int) -> list[tuple[int, int, int]]:
     """(difference in length, segment, shift) of the substrings to probe, less a line's own segments."""
     out = []
@@ -125,38 +147,71 @@ def segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndar
     return base * i + longer_before, base + (i >= parts - rest)
 
 
-def segment_keys(hashes: np.ndarray, start: np.ndarray, size: np.ndarray, edits: int, own: bool):
+def segment_keys(hashes: np.ndarray, start: np.ndarray, size: np.ndarray, edits: int | None, own: bool):
     """(key, line) of the own segments of lines, or of the substrings that could match those of a shorter or equal line."""
     keys, lines = [], []
-    places = [(0, i, 0) for i in range(edits + 1)] if own else probes(edits)
-    for delta, i, shift in places:
-        length = size - delta
-        at, n = segment(length, i, edits + 1)
-        at = at + shift
-        ok = np.flatnonzero((length >= MIN_CHARS) & (at >= 0) & (at + n <= size))
-        s = (start + at)[ok]
-        keys.append(C.span_hash(hashes, s, s + n[ok]) ^ C.mix(length[ok].astype(np.uint64) * C.U64(16) + C.U64(i)))
-        lines.append(ok)
+    for t in (1, 2) if edits is BY_LENGTH else (edits,):
+        for delta, i, shift in [(0, i, 0) for i in range(t + 1)] if own else probes(t):
+            length = size - delta
+            at, n = segment(length, i, t + 1)
+            at = at + shift
+            ok = np.flatnonzero((allowed(length, edits) == t) & (at >= 0) & (at + n <= size))
+            s = (start + at)[ok]
+            keys.append(C.span_hash(hashes, s, s + n[ok]) ^ C.mix(length[ok].astype(np.uint64) * C.U64(16) + C.U64(i)))
+            lines.append(ok)
+    if edits is BY_LENGTH:
+        k, line = run_keys(hashes, start, size, own)
+        keys.append(k)
+        lines.append(line)
     return np.concatenate(keys), np.concatenate(lines)
 
 
-def _fresh(ls: Lines, seen: set[int]) -> np.ndarray:
-    """Lines of at least MIN_CHARS characters that the task has not met of late."""
+def run_keys(hashes: np.ndarray, start: np.ndarray, size: np.ndarray, own: bool):
+    """(key, line) of lines from LONG characters on: the smallest hash of each window, under the class of
+    their length (own) or, where a shorter line they may be linked to has another class, under that one."""
+    of = lambda n: np.floor(np.log(n) * 4)
+    least = size - size // 100
+    if own:
+        line = np.flatnonzero(size >= LONG)
+    else:
+        line = np.flatnonzero((size >= LONG) & (of(np.maximum(least, 1)) != of(np.maximum(size, 1))))
+    if not len(line):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    grams = size[line] - GRAM + 1
+    first = np.cumsum(grams) - grams
+    row = np.repeat(np.arange(len(line)), grams)
+    at = start[line][row] + np.arange(len(row)) - first[row]
+    low = C.span_hash(hashes, at, at + GRAM)
+    width = 1
+    while width < WINDOW:  # smallest of ever more neighbours; what runs over a line's end is left out below
+        step = min(width, WINDOW - width)
+        low[:-step] = np.minimum(low[:-step], low[step:])
+        width += step
+    whole = np.arange(len(row)) - first[row] + WINDOW <= grams[row]
+    new = np.ones(len(row), bool)
+    new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
+    keep = np.flatnonzero(whole & new)
+    kind = of((size if own else least)[line])[row[keep]].astype(np.uint64)
+    return low[keep] ^ C.mix(kind * C.U64(16) + C.U64(15)), line[row[keep]]
+
+
+def _fresh(ls: Lines, seen: set[int], least: int) -> np.ndarray:
+    """Lines of at least so many characters that the task has not met of late."""
     _, first = np.unique(ls.h, return_index=True)
-    new = [i for i in first[(ls.end - ls.start)[first] >= MIN_CHARS].tolist() if int(ls.h[i]) not in seen]
+    new = [i for i in first[(ls.end - ls.start)[first] >= least].tolist() if int(ls.h[i]) not in seen]
     if len(seen) > _SEEN:
         seen.clear()
     seen.update(ls.h[new].tolist())
     return np.array(new, np.int64)
 
 
-def _members(docs: DataFrame, edits: int, centers_only: bool) -> DataFrame:
+def _members(docs: DataFrame, edits: int | None, centers_only: bool) -> DataFrame:
     """(key, id, center): a line's own segments (centers) and, unless centers_only, its probes."""
     def run(batches):
         seen: set[int] = set()
         for b in batches:
             for ls in line_runs(b):
-                new = _fresh(ls, seen)
+                new = _fresh(ls, seen, shortest(edits))
                 for own in (True,) if centers_only else (True, False):
                     k, line = segment_keys(ls.hashes, ls.start[new], (ls.end - ls.start)[new], edits, own)
                     yield pa.RecordBatch.from_arrays(
@@ -215,29 +270,40 @@ def within(a: str, b: str, edits: int) -> bool:
     return bottom - (vp >> k0 & mask).bit_count() + (vn >> k0 & mask).bit_count() <= edits
 
 
-def line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def line_texts(docs: DataFrame, ids: DataFrame, edits: int | None = EDITS) -> DataFrame:
     """(h, line) of the lines of ids(h): a bounded Bloom filter over the scan, then an exact join."""
     words = docs.sparkSession.sparkContext.broadcast(bloom.build(ids, "h"))
 
     def run(batches):
         for b in batches:
             for ls in line_runs(b):
-                maybe = np.flatnonzero((ls.end - ls.start >= MIN_CHARS) & bloom.contains(ls.h.view(np.int64), words.value))
+                maybe = np.flatnonzero((ls.end - ls.start >= shortest(edits)) & bloom.contains(ls.h.view(np.int64), words.value))
                 yield pa.RecordBatch.from_arrays([pa.array(ls.h[maybe].view(np.int64)), pa.array([ls.text(i) for i in maybe], pa.string())],
                                                  names=["h", "line"])
 
     return _known(docs).select("text").mapInArrow(run, "h long, line string").join(ids, "h", "left_semi").dropDuplicates(["h"])
 
 
-def _near(edits: int):
+def letter_counts(lines: list[str]) -> np.ndarray:
+    """How often each of 64 classes of code points occurs in each line; an edit changes at most two counts by one."""
+    out = np.zeros((len(lines), 64), np.int32)
+    for i, t in enumerate(lines):
+        out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
+    return out
+
+
+def _near(edits: int | None):
     def near(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([within(s, t, edits) for s, t in zip(x.to_pylist(), y.to_pylist())], pa.bool_())
+        x, y = x.to_pylist(), y.to_pylist()
+        most = allowed(np.array([min(len(s), len(t)) for s, t in zip(x, y)], np.int64), edits).tolist()
+        apart = np.abs(letter_counts(x) - letter_counts(y)).sum(axis=1).tolist()
+        return pa.array([d <= 2 * n and within(s, t, n) for s, t, n, d in zip(x, y, most, apart)], pa.bool_())
 
     near.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
     return F.arrow_udf(near, returnType="boolean")
 
 
-def _block_links(left: DataFrame, text: DataFrame, edits: int) -> DataFrame:
+def _block_links(left: DataFrame, text: DataFrame, edits: int | None) -> DataFrame:
     """(a, b): links among members of one bucket in different components, compared in bounded blocks."""
     text = text.withColumn("n", F.char_length("line"))
     dealt = blocked(left, BLOCK).join(text, F.col("id") == F.col("h")).drop("h")
@@ -245,21 +311,26 @@ def _block_links(left: DataFrame, text: DataFrame, edits: int) -> DataFrame:
     def links(rows: pa.RecordBatch, x: np.ndarray, y: np.ndarray):
         ids, center = rows.column("id").to_numpy(), rows.column("center").to_numpy(zero_copy_only=False)
         line, size = rows.column("line"), rows.column("n").to_numpy()
-        ok = (center[x] | center[y]) & (np.abs(size[x] - size[y]) <= edits)
-        x, y = x[ok], y[ok]
-        text = {i: line[i].as_py() for i in np.unique(np.concatenate([x, y])).tolist()}
-        near = np.array([within(text[i], text[j], edits) for i, j in zip(x.tolist(), y.tolist())], bool)
+        most = allowed(np.minimum(size[x], size[y]), edits)
+        ok = (center[x] | center[y]) & (np.abs(size[x] - size[y]) <= most)
+        x, y, most = x[ok], y[ok], most[ok]
+        used = np.unique(np.concatenate([x, y]))
+        text = {i: line[i].as_py() for i in used.tolist()}
+        count = letter_counts(list(text.values()))
+        ok = np.abs(count[np.searchsorted(used, x)] - count[np.searchsorted(used, y)]).sum(axis=1) <= 2 * most
+        x, y, most = x[ok], y[ok], most[ok]
+        near = np.array([within(text[i], text[j], n) for i, j, n in zip(x.tolist(), y.tolist(), most.tolist())], bool)
         return ids[x[near]], ids[y[near]]
 
     return map_pairs(dealt, links)
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int | None = EDITS) -> DataFrame:
     """(id, component) of the line hashes that are linked to a different line."""
     found = {}
 
     def prepare(ids: DataFrame):
-        text = found["text"] = C.pin(line_texts(docs, C.pin(ids.select(F.col("id").alias("h")))))
+        text = found["text"] = C.pin(line_texts(docs, C.pin(ids.select(F.col("id").alias("h"))), edits))
         x = text.select(F.col("h").alias("a"), F.col("line").alias("la"))
         y = text.select(F.col("h").alias("b"), F.col("line").alias("lb"))
         return lambda pairs: pairs.join(x, "a").join(y, "b").where(_near(edits)("la", "lb")).select("a", "b")
@@ -268,7 +339,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
                              lambda left, star, verify: _block_links(left, found["text"], edits))
 
 
-def repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def repeats(docs: DataFrame, edits: int | None = EDITS) -> DataFrame:
     """(doc_id, pos, first_doc): every line occurrence that goes, and the document that holds its first."""
     comp = line_classes(docs, edits)
     occ = C.pin(occurrences(docs).join(comp, F.col("h") == F.col("id"), "left").select(
@@ -280,7 +351,7 @@ def repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
             .select("doc_id", "pos", F.col("first.doc_id").alias("first_doc")))
 
 
-def report(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def report(docs: DataFrame, edits: int | None = EDITS) -> DataFrame:
     """(doc_id, n_lines, n_removed, first_docs): per document, its lines, those that go, where they first occur."""
     n = docs.select("doc_id", F.when(F.col("doc_id").isNull() | F.col("text").isNull(), 0).otherwise(
         F.size(F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r")) != ""))).cast("long").alias("n_lines"))
@@ -304,7 +375,7 @@ def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
 _without.__annotations__ = {"text": pa.Array, "gone": pa.Array, "return": pa.Array}
 
 
-def drop_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def drop_lines(docs: DataFrame, edits: int | None = EDITS) -> DataFrame:
     """docs (all columns) with repeated lines cut from text; a document of which no line is left goes.
 
     n_chars, where the table has it, is brought up to date for changed texts.
@@ -323,4 +394,4 @@ def drop_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 @C.query("op2_line_dedup")
 def op2(spark, sf_dir):
     """Every document: its lines, how many go, and the documents that hold their first occurrences."""
-    return report(C.table(spark, sf_dir, "documents"))
+    return report(C.table(spark, sf_dir, "documents"), BY_LENGTH)
