@@ -1250,11 +1250,24 @@ SELECT a, b, r[length(b) + 1] AS cost FROM cells WHERE i = length(a)""")
 def edit_cost_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configurable edit distance of the same pairs: cheap vowel swaps."""
     from ..operators import spelling as sp
-    table = spark.createDataFrame(
+    return sp.edit_costs_lang(_word_pairs(spark, sf_dir), _vowel_swaps(spark))
+
+
+def _vowel_swaps(spark):
+    return spark.createDataFrame(
         [(0, "?", "", 100), (0, "", "?", 100), (0, "?", "?", 150)] +
         [(0, x, y, 20) for x in "aeiou" for y in "aeiou" if x != y],
         "lang int, `from` string, `to` string, cost int")
-    return sp.edit_costs_lang(_word_pairs(spark, sf_dir), table)
+
+
+@register("edit_cost_words", ops="J6 J10")
+def edit_cost_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurable edit distance between every benchmark word, whatever its letters, and its correction."""
+    from ..operators import spelling as sp
+    b = tb.read(spark, sf_dir, "benchmark")
+    words = b.select(F.explode(F.split("text", r"\W")).alias("w")).filter("w <> ''").distinct()
+    best = sp.best_matches(words, _dictionary(spark, sf_dir))
+    return sp.edit_costs_lang(best.select(F.col("w").alias("a"), F.col("word").alias("b")), _vowel_swaps(spark))
 
 
 @register("dictionary_maintenance", ops="J12", sql=rf"""
