@@ -51,9 +51,7 @@ def fold_ascii(col):
 # -- byte-level words ---------------------------------------------------------
 
 U64 = np.uint64
-_CHUNK = 1 << 20
-_SPAN = 1 << 19  # bytes of text hashed together
-_BASE = 0x9E3779B97F4A7C15 | 1
+_SPAN = 1 << 19  # positions whose limb sums stay below 2^64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -67,25 +65,68 @@ SPACE_WORDS = byte_class(lambda b: not (b == 0x20 or 9 <= b <= 13))
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` (after A-Z are lower-cased)
 ALNUM_WORDS = byte_class(lambda b: b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A)
 
-_rng = np.random.default_rng(20240229)
-_BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+# Polynomial hashes modulo the prime 2^61 - 1: two different texts of n characters share
+# a value for at most n of all bases (modulo 2^64 whole families of texts would collide).
+_P = U64((1 << 61) - 1)
+_BASE = int(np.random.default_rng(20240229).integers(1 << 60, (1 << 61) - 2))
+_LIMB = (1 << 21) - 1
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> U64(61))
+    return np.where(x >= _P, x - _P, x)
+
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2^61 - 1 by 31-bit halves (2^62 is 2 there, 2^61 is 1)."""
+    low, cut = U64((1 << 31) - 1), U64(31)
+    a1, a0, b1, b0 = a >> cut, a & low, b >> cut, b & low
+    mid = a1 * b0 + a0 * b1
+    return _reduced(U64(2) * (a1 * b1) + (mid >> U64(30)) + ((mid & U64((1 << 30) - 1)) << cut) + a0 * b0)
 
-_POW = _powers(_BASE, _CHUNK + 1)
-_INV = _powers(pow(_BASE, -1, 1 << 64), _CHUNK + 1)
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out, step = np.ones(n, np.uint64), 1
+    while step < n:
+        more = min(step, n - step)
+        out[step:step + more] = _times(out[:more], np.full(more, pow(base, step, int(_P)), np.uint64))
+        step += more
+    return out
 
 
-def _reach(n: int) -> None:
-    """Powers for n positions (a single row can be longer than a chunk)."""
+def _tables(n: int) -> None:
+    """Powers of the base for n positions, as three limbs of 21 bits, and their inverses."""
     global _POW, _INV
-    if n >= len(_POW):
-        _POW, _INV = _powers(_BASE, 2 * n), _powers(pow(_BASE, -1, 1 << 64), 2 * n)
+    power = _powers(_BASE, n)
+    _POW = [(power >> U64(21 * k)) & U64(_LIMB) for k in range(3)]
+    _INV = _powers(pow(_BASE, -1, int(_P)), n + 1)
+
+
+_tables(_SPAN)
+
+
+class Prefix:
+    """Sums of code * base^position up to every position, modulo 2^61 - 1. Codes are below 2^22."""
+
+    def __init__(self, codes: np.ndarray):
+        n = len(codes)
+        if n > len(_POW[0]):  # a single row can be longer than a span
+            _tables(2 * n)
+        codes = codes.astype(np.uint64)
+        self.sums = np.zeros((3, n + 1), np.uint64)
+        self.carry = np.zeros(max(1, -(-n // _SPAN)), np.uint64)
+        for b, lo in enumerate(range(0, n, _SPAN)):
+            hi = min(n, lo + _SPAN)
+            for k in range(3):
+                np.cumsum(codes[lo:hi] * _POW[k][lo:hi], out=self.sums[k, lo + 1:hi + 1])
+            if hi < n:
+                self.carry[b + 1] = self.at(np.array([hi]))[0]
+
+    def at(self, e: np.ndarray) -> np.ndarray:
+        s = [_reduced(x[e]) for x in self.sums]
+        for k in (1, 2):  # times 2^21 and 2^42: rotations of 61 bits
+            s[k] = ((s[k] << U64(21 * k)) & _P) | (s[k] >> U64(61 - 21 * k))
+        return _reduced(s[0] + s[1] + s[2] + self.carry[np.maximum(e - 1, 0) // _SPAN])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -107,36 +148,20 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]], off - off[0]
 
 
-def prefix_hash(codes: np.ndarray) -> np.ndarray:
-    """H with ``(H[e] - H[s]) * inverse_power(s)`` the polynomial hash of codes[s:e]."""
-    _reach(len(codes))
-    h = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * _POW[:len(codes)], out=h[1:])
-    return h
-
-
-def span_hash(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Hash of the spans [s, e) of one chunk, equal for equal contents."""
-    return mix((h[e] - h[s]) * _INV[s] + (e - s).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+def span_hash(h: Prefix, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hash of the spans [s, e) of one run of codes, equal for equal contents wherever they stand."""
+    own = _times(_reduced(h.at(e) + _P - h.at(s)), _INV[s])
+    return mix(own + (e - s).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
 
-def _long_hash(codes: np.ndarray) -> np.uint64:
-    """Hash of a word longer than _SPAN bytes: of its parts in order."""
-    acc = np.zeros(1, np.uint64)
-    for lo in range(0, len(codes), _SPAN):
-        part = codes[lo:lo + _SPAN]
-        acc = mix(acc * U64(3) + span_hash(prefix_hash(part), np.zeros(1, np.int64), np.array([len(part)])))
-    return acc[0]
-
-
-def word_hashes(data: np.ndarray, off: np.ndarray, inside: np.ndarray,
-                spans: bool = False) -> tuple[np.ndarray, ...]:
-    """Hashes of all words (A-Z folded) and the index of each one's row.
+def word_hashes(data: np.ndarray, off: np.ndarray, inside: np.ndarray, spans: bool = False,
+                fold: bool = True) -> tuple[np.ndarray, ...]:
+    """Hashes of all words (A-Z folded unless told otherwise) and the index of each one's row.
 
     Words never cross rows; equal words have equal hashes wherever they stand
     and however long they are. ``spans`` adds byte starts and ends.
     """
-    folded = _LOWER[data]
+    folded = _LOWER[data] if fold else data
     mask = inside[folded]
     edge = np.zeros(len(mask), bool)
     edge[1:] = mask[:-1]
@@ -148,14 +173,10 @@ def word_hashes(data: np.ndarray, off: np.ndarray, inside: np.ndarray,
     ends = np.flatnonzero(mask & ~edge) + 1
     out = np.zeros(len(starts), np.uint64)
     i = 0
-    while i < len(starts):  # runs of words that lie within _SPAN bytes share one prefix hash
+    while i < len(starts):  # runs of words that lie within _SPAN bytes, or one longer word, share their sums
         base = starts[i]
-        j = int(np.searchsorted(ends, base + _SPAN, "right"))
-        if j == i:
-            out[i] = _long_hash(_BYTES[folded[base:ends[i]]])
-            i += 1
-            continue
-        h = prefix_hash(_BYTES[folded[base:ends[j - 1]]])
+        j = max(i + 1, int(np.searchsorted(ends, base + _SPAN, "right")))
+        h = Prefix(folded[base:ends[j - 1]].astype(np.uint64) + U64(1))
         out[i:j] = span_hash(h, starts[i:j] - base, ends[i:j] - base)
         i = j
     row = np.searchsorted(off, starts, "right") - 1

@@ -80,7 +80,7 @@ class Lines:
             end = end - blank
         some = start < end
         self.start, self.end, self.row, self.pos = start[some], end[some], rows[doc[some]], pos[some]
-        self.hashes = C.prefix_hash(C.mix(self.codes.astype(np.uint64) + C.U64(1)))
+        self.hashes = C.Prefix(self.codes.astype(np.uint64) + C.U64(1))
         self.h = C.span_hash(self.hashes, self.start, self.end)
 
     def text(self, i: int) -> str:
@@ -147,7 +147,7 @@ def segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndar
     return base * i + longer_before, base + (i >= parts - rest)
 
 
-def segment_keys(hashes: np.ndarray, start: np.ndarray, size: np.ndarray, edits: int | None, own: bool):
+def segment_keys(hashes: C.Prefix, start: np.ndarray, size: np.ndarray, edits: int | None, own: bool):
     """(key, line) of the own segments of lines, or of the substrings that could match those of a shorter or equal line."""
     keys, lines = [], []
     for t in (1, 2) if edits is BY_LENGTH else (edits,):
@@ -166,7 +166,7 @@ def segment_keys(hashes: np.ndarray, start: np.ndarray, size: np.ndarray, edits:
     return np.concatenate(keys), np.concatenate(lines)
 
 
-def run_keys(hashes: np.ndarray, start: np.ndarray, size: np.ndarray, own: bool):
+def run_keys(hashes: C.Prefix, start: np.ndarray, size: np.ndarray, own: bool):
     """(key, line) of lines from LONG characters on: the smallest hash of each window, under the class of
     their length (own) or, where a shorter line they may be linked to has another class, under that one."""
     of = lambda n: np.floor(np.log(n) * 4)
