@@ -309,7 +309,7 @@ def _digests(c, conv_id, turns):
 
 
 def _turns(c, conv_id, turns):
-    schema = _schema("conv_id long, position long, role string, text string")
+    schema = pa.schema([("conv_id", pa.int64()), ("position", pa.int64()), ("role", pa.string()), ("text", pa.string())])
     done, size = [], 0
     for i, (role, text) in enumerate(turns):
         done.append(dict(conv_id=conv_id, position=i, role=role, text=text))
