@@ -50,11 +50,17 @@ def build(keys: DataFrame, column: str) -> np.ndarray:
 
 
 def contains(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
-    block, bits = _places(keys, len(words))
-    hit = np.ones(len(keys), bool)
+    h = C.mix(keys.astype(np.int64).view(np.uint64))
+    at = (h & C.U64(len(words) - 1)).astype(np.int64) * 8
+    g = C.mix(h ^ C.U64(0x5851F42D4C957F2D))
+    flat, live = words.ravel(), np.arange(len(keys))
     for j in range(BITS):
-        b = bits[:, j]
-        hit &= (words[block, b >> 6] >> (b & 63).astype(np.uint64)) & C.U64(1) != 0
+        b = (g >> C.U64(9 * j)) & C.U64(511)
+        on = flat[at + (b >> C.U64(6)).astype(np.int64)] >> (b & C.U64(63)) & C.U64(1) != 0
+        if not on.all():  # keys that miss a bit are looked up no further
+            at, g, live = at[on], g[on], live[on]
+    hit = np.zeros(len(keys), bool)
+    hit[live] = True
     return hit
 
 

@@ -19,7 +19,8 @@ phrases travel as Bloom filters, one for each step and length: the step at which
 a phrase becomes active is read off the first filters that hold its subphrases. A
 false positive only lets a phrase be counted that stays below ``least``.
 
-Scale. Counts are summed in the task (numpy), by partial aggregation, and only
+Scale. Texts are hashed once: a shard holds an array of word keys for each document,
+whose lowest bit says that the next word goes on in the same piece. Counts are summed in the task (numpy), by partial aggregation, and only
 then shuffled; phrases below ``least`` leave when their cycle closes, and the
 many phrases of rare words are never counted. What is broadcast are filters of at
 most ``bloom.MAX_BLOCKS`` blocks. Phrases travel as 64-bit hashes of (lang, words):
@@ -52,35 +53,39 @@ BREAK_BYTES = C.byte_class(lambda b: b in _BREAKS)
 NEVER = np.iinfo(np.int32).max
 
 
-class Phrases:
-    """The phrases of a batch of texts: for each length the hash at every word, and whether it lies in one piece."""
-
-    def __init__(self, text: pa.Array, lang: np.ndarray, longest: int):
-        self.data, off = C.text_bytes(text)
-        words, self.row, self.start, self.end = C.word_hashes(self.data, off, WORD_BYTES, spans=True)
-        breaks = np.zeros(len(self.data) + 1, np.int32)
-        np.cumsum(BREAK_BYTES[self.data], out=breaks[1:])
-        key = C.mix(words ^ C.mix(lang.view(np.uint64)[self.row]))
-        n = len(words)
-        after = np.zeros(n, bool)  # the next word goes on in the same piece
-        if n:
-            after[:-1] = (self.row[1:] == self.row[:-1]) & (breaks[self.start[1:]] == breaks[self.end[:-1]])
-        self.keys, self.whole = [key], [np.ones(n, bool)]
-        for m in range(2, longest + 1):  # from the phrase without its last word, and that word
-            k, ok = self.keys[-1].copy(), np.zeros(n, bool)
-            k[:max(0, n - m + 1)] = C.mix(k[:max(0, n - m + 1)] * C.U64(31) + key[m - 1:] + C.U64(m))
-            ok[:-1] = self.whole[-1][1:] & after[:-1]
-            self.keys.append(k)
-            self.whole.append(ok)
-
-    def text(self, i: int, m: int) -> str:
-        return b" ".join(C._LOWER[self.data[self.start[j]:self.end[j]]].tobytes() for j in range(i, i + m)).decode()
-
-
-def told_at(keys: np.ndarray, whole: np.ndarray, filters: list[tuple[int, np.ndarray]]) -> np.ndarray:
+def word_keys(text: pa.Array, lang: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(keys, row, start, end, bytes) of all words of a batch: 63 bits of the hash of (lang, word), and one bit
+    that is set where the next word goes on in the same piece."""
+    data, off = C.text_bytes(text)
+    words, row, start, end = C.word_hashes(data, off, WORD_BYTES, spans=True)
+    key = C.mix(words ^ C.mix(lang.view(np.uint64)[row])) & ~C.U64(1)
+    if len(key) > 1:
+        breaks = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(BREAK_BYTES[data], out=breaks[1:])
+        key[:-1] |= ((row[1:] == row[:-1]) & (breaks[start[1:]] == breaks[end[:-1]])).astype(np.uint64)
+    return key, row, start, end, data
+
+
+def longer(prefix: np.ndarray, word: np.ndarray, m: int) -> np.ndarray:
+    """Hashes of phrases of m words from those without their last word, and that word."""
+    return C.mix(prefix * C.U64(31) + word + C.U64(m))
+
+
+def phrase_keys(keys: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 1: the words at which a phrase inside one piece begins, and their hashes."""
+    word, goes_on = keys & ~C.U64(1), (keys & C.U64(1)).astype(bool)
+    at, out = np.arange(len(keys)), [(np.arange(len(keys)), word)]
+    for m in range(2, longest + 1):
+        on = goes_on[at + m - 2]
+        at = at[on]
+        out.append((at, longer(out[-1][1][on], word[at + m - 1], m)))
+    return out
+
+
+def told_at(keys: np.ndarray, filters: list[tuple[int, np.ndarray]]) -> np.ndarray:
     """The step from which each phrase counts as told: that of the first filter that holds it."""
     out = np.full(len(keys), NEVER, np.int32)
-    open_ = np.flatnonzero(whole)
+    open_ = np.arange(len(keys))
     for step, words in filters:
         hit = bloom.contains(keys[open_].view(np.int64), words)
         out[open_[hit]] = step
@@ -88,9 +93,30 @@ def told_at(keys: np.ndarray, whole: np.ndarray, filters: list[tuple[int, np.nda
     return out
 
 
+def active(keys: np.ndarray, step: int, shards: int, longest: int, told: dict[int, list]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """{m: (hashes, since)}: the phrases of a run of word keys that are counted at this step."""
+    word, goes_on = keys & ~C.U64(1), (keys & C.U64(1)).astype(bool)
+    out = {1: (word, np.zeros(len(word), np.int32))} if step < shards else {}
+    at, key, hashes = np.arange(len(keys)), word, word
+    distinct, back = np.unique(word, return_inverse=True)  # words repeat: each is looked up once
+    since = told_at(distinct, told[1])[back]
+    for m in range(2, longest + 1):
+        # since: the step from which the phrase of m - 1 words at ``at`` is told; a longer one needs two of them
+        every = np.full(len(keys) + 1, NEVER, np.int32)
+        every[at] = since
+        on = goes_on[at + m - 2] & (since < NEVER) & (every[at + 1] < NEVER)
+        at, hashes, since = at[on], hashes[on], np.maximum(since[on], every[at[on] + 1])
+        hashes = longer(hashes, key[at + m - 1], m)
+        now = (since <= step) & (since > step - shards)
+        out[m] = hashes[now], since[now]
+        if m < longest:  # never before its own parts, as a false positive of an early filter would have it
+            since = np.maximum(told_at(hashes, told[m]), since)
+    return out
+
+
 def _scan(shard: DataFrame, step: int, shards: int, longest: int, told: dict[int, list]) -> DataFrame:
-    """(m, key, since, n, told): what the active phrases of each length occur in this shard; m = 0 counts a lang's words."""
-    shared = shard.sparkSession.sparkContext.broadcast({m: [f for f in fs] for m, fs in told.items()})
+    """(m, key, since, n, told): how often the active phrases of each length occur in this shard."""
+    shared = shard.sparkSession.sparkContext.broadcast({m: list(fs) for m, fs in told.items()})
 
     def sums(m: int, parts: list) -> pa.RecordBatch:
         keys, since = (np.concatenate(x) for x in zip(*parts))
@@ -99,26 +125,15 @@ def _scan(shard: DataFrame, step: int, shards: int, longest: int, told: dict[int
             [pa.array(np.full(len(k), m, np.int32)), pa.array(k.view(np.int64)), pa.array(since[at]), pa.array(n)], names=["m", "key", "since", "n"])
 
     def run(batches):
-        held: dict[int, list] = {m: [] for m in range(longest + 1)}
+        held: dict[int, list] = {m: [] for m in range(1, longest + 1)}
         size = dict.fromkeys(held, 0)
         for b in batches:
-            lang = b.column("lang_key").to_numpy()
-            p = Phrases(b.column("text"), lang, longest)
-            if not len(p.row):
+            keys = b.column("keys").flatten().to_numpy().view(np.uint64)
+            if not len(keys):
                 continue
-            found = []
-            if step < shards:
-                zero = np.zeros(len(p.row), np.int32)
-                found += [(0, lang[p.row].view(np.uint64), zero), (1, p.keys[0], zero)]
-            for m in range(2, longest + 1):
-                act = told_at(p.keys[m - 2], p.whole[m - 2], shared.value[m - 1])
-                since = np.full(len(act), NEVER, np.int32)
-                since[:-1] = np.maximum(act[:-1], act[1:])
-                now = p.whole[m - 1] & (since <= step) & (since > step - shards)
-                found.append((m, p.keys[m - 1][now], since[now]))
-            for m, keys, since in found:
-                held[m].append((keys, since))
-                size[m] += len(keys)
+            for m, found in active(keys, step, shards, longest, shared.value).items():
+                held[m].append(found)
+                size[m] += len(found[0])
                 if size[m] >= HELD:
                     yield sums(m, held[m])
                     held[m], size[m] = [], 0
@@ -126,18 +141,32 @@ def _scan(shard: DataFrame, step: int, shards: int, longest: int, told: dict[int
             if size[m]:
                 yield sums(m, parts)
 
-    return shard.mapInArrow(run, "m int, key long, since int, n long").withColumn("told", F.lit(False))
+    return shard.select("keys").mapInArrow(run, "m int, key long, since int, n long").withColumn("told", F.lit(False))
+
+
+def _with_lang(docs: DataFrame) -> DataFrame:
+    return docs.where("text is not null").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").withColumn("lang_key", F.xxhash64("lang"))
+
+
+def _dealt(docs: DataFrame, shards: int) -> DataFrame:
+    """(lang_key, keys, shard): the word keys of every document, written by shard."""
+    def run(batches):
+        for b in batches:
+            lang = b.column("lang_key")
+            keys, row, *_ = word_keys(b.column("text"), lang.to_numpy())
+            off = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([lang, pa.ListArray.from_arrays(off, pa.array(keys.view(np.int64)))], names=["lang_key", "keys"])
+
+    path = C.scratch_path(docs.sparkSession, "shards")
+    (_with_lang(docs).select("text", "lang_key").mapInArrow(run, "lang_key long, keys array<long>")
+     .withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(path))
+    return docs.sparkSession.read.schema("lang_key long, keys array<long>, shard int").parquet(path)
 
 
 def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
-    """(counted, dealt): (m, key, n) of every phrase of 1 to longest words with n >= least, and (m = 0) the words of every lang;
-    and the texts as they were scanned."""
-    spark = docs.sparkSession
-    path = C.scratch_path(spark, "shards")
-    (docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-     .select("lang", "text", F.xxhash64("lang").alias("lang_key"), F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"))
-     .where("text is not null").write.partitionBy("shard").parquet(path))
-    dealt = spark.read.schema("lang string, text string, lang_key long, shard int").parquet(path)
+    """(phrases, words): (m, key, n) of every phrase of 1 to longest words with n >= least, and (lang_key, words) of every lang."""
+    dealt = _dealt(docs, shards)
+    words = dealt.groupBy("lang_key").agg(F.sum(F.size("keys")).alias("words"))
     told: dict[int, list] = {m: [] for m in range(1, longest)}
     seen: dict[int, int] = dict.fromkeys(told, -1)  # the last step at whose end phrases of a length were told
     open_, closed, step = None, None, 0
@@ -146,7 +175,7 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards:
         total = (new if open_ is None else open_.unionByName(new)).groupBy("m", "key", "since").agg(
             F.sum("n").alias("n"), F.bool_or("told").alias("told"))
         over = F.col("since") + shards - 1 <= step
-        total = C.pin(total.where(~over | (F.col("n") >= least) | (F.col("m") == 0)))
+        total = C.pin(total.where(~over | (F.col("n") >= least)))
         for m in told:
             fresh = total.where((F.col("m") == m) & (F.col("n") >= least) & ~F.col("told"))
             if not fresh.isEmpty():
@@ -156,32 +185,31 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards:
         closed = done if closed is None else closed.unionByName(done)
         open_ = total.where(~over).withColumn("told", F.col("n") >= least)
         step += 1
-    return closed, dealt
+    return closed, words
 
 
-def _named(dealt: DataFrame, candidates: DataFrame, longest: int) -> DataFrame:
+def _named(docs: DataFrame, candidates: DataFrame, longest: int) -> DataFrame:
     """(m, key, n, lang, phrase) of the candidates (m, key, n): a Bloom filter over the scan, then an exact join."""
-    words = dealt.sparkSession.sparkContext.broadcast(bloom.build(candidates, "key"))
+    filter_ = docs.sparkSession.sparkContext.broadcast(bloom.build(candidates, "key"))
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            p = Phrases(b.column("text"), b.column("lang_key").to_numpy(), longest)
+            keys, row, start, end, data = word_keys(b.column("text"), b.column("lang_key").to_numpy())
             out = []
-            for m in range(2, longest + 1):
-                at = np.flatnonzero(p.whole[m - 1])
-                at = at[bloom.contains(p.keys[m - 1][at].view(np.int64), words.value)]
-                keys, first = np.unique(p.keys[m - 1][at], return_index=True)
-                new = [(k, int(at[i])) for k, i in zip(keys.view(np.int64).tolist(), first.tolist()) if k not in seen]
-                out += [(k, int(p.row[i]), p.text(i, m)) for k, i in new]
+            for m, (at, hashes) in enumerate(phrase_keys(keys, longest)[1:], 2):
+                on = bloom.contains(hashes.view(np.int64), filter_.value)
+                k, first = np.unique(hashes[on], return_index=True)
+                new = [(x, int(i)) for x, i in zip(k.view(np.int64).tolist(), at[on][first].tolist()) if x not in seen]
+                out += [(x, int(row[i]), b" ".join(C._LOWER[data[start[j]:end[j]]].tobytes() for j in range(i, i + m)).decode()) for x, i in new]
                 if len(seen) > HELD:
                     seen.clear()
-                seen.update(k for k, _ in new)
+                seen.update(x for x, _ in new)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _, _ in out], pa.int64()), b.column("lang").take(pa.array([r for _, r, _ in out], pa.int64())),
                  pa.array([t for _, _, t in out], pa.string())], names=["key", "lang", "phrase"])
 
-    return (dealt.mapInArrow(run, "key long, lang string, phrase string").join(candidates, "key")
+    return (_with_lang(docs).mapInArrow(run, "key long, lang string, phrase string").join(candidates, "key")
             .groupBy("m", "key").agg(F.first("n").alias("n"), F.min("lang").alias("lang"), F.min("phrase").alias("phrase")))
 
 
@@ -189,18 +217,16 @@ def _with_parts(named: DataFrame, longest: int) -> DataFrame:
     """named with the hashes of all parts of each phrase: cuts [(k, left, right)] and inner [parts of 2 words or more]."""
     def run(batches):
         for b in batches:
-            lang = b.column("lang_key").to_numpy()
-            p = Phrases(b.column("phrase"), lang, longest)
-            first = np.searchsorted(p.row, np.arange(b.num_rows))
+            keys, row, *_ = word_keys(b.column("phrase"), b.column("lang_key").to_numpy())
+            by = [dict(zip(at.tolist(), hashes.view(np.int64).tolist())) for at, hashes in phrase_keys(keys, longest)]
+            first = np.searchsorted(row, np.arange(b.num_rows))
             cuts, inner = [], []
             for f, m in zip(first.tolist(), b.column("m").to_pylist()):
-                at = lambda i, n: int(p.keys[n - 1][f + i].view(np.int64))  # noqa: E731,B023
-                cuts.append([{"k": k, "left": at(0, k), "right": at(k, m - k)} for k in range(1, m)])
-                inner.append([at(i, n) for n in range(2, m) for i in range(m - n + 1)])
+                cuts.append([{"k": k, "left": by[k - 1][f], "right": by[m - k - 1][f + k]} for k in range(1, m)])
+                inner.append([by[n - 1][f + i] for n in range(2, m) for i in range(m - n + 1)])
             kind = pa.list_(pa.struct([("k", pa.int32()), ("left", pa.int64()), ("right", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*b.drop_columns(["lang_key"]).columns, b.column("lang_key"), pa.array(cuts, kind),
-                                              pa.array(inner, pa.list_(pa.int64()))],
-                                             names=["m", "key", "n", "lang", "phrase", "lang_key", "cuts", "inner"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cuts, kind), pa.array(inner, pa.list_(pa.int64()))],
+                                             names=[*b.schema.names, "cuts", "inner"])
 
     return named.withColumn("lang_key", F.xxhash64("lang")).mapInArrow(
         run, "m int, key long, n long, lang string, phrase string, lang_key long, "
@@ -215,10 +241,10 @@ def score(a: str, left: str, right: str):
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, shards: int = SHARDS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first ``top`` phrases of every lang."""
-    counted, dealt = counts(docs, least, longest, shards)
+    counted, words = counts(docs, least, longest, shards)
     counted = C.pin(counted)
-    named = C.pin(_with_parts(_named(dealt, counted.where("m > 1"), longest), longest))
-    f = counted.where("m > 0").select(F.col("key").alias("part"), F.col("n").alias("f"))
+    named = C.pin(_with_parts(_named(docs, counted.where("m > 1"), longest), longest))
+    f = counted.select(F.col("key").alias("part"), F.col("n").alias("f"))
     cuts = named.select("key", F.col("n").alias("a"), F.explode("cuts").alias("cut")).select("key", "a", "cut.*")
     cuts = cuts.join(f.withColumnsRenamed({"part": "left", "f": "l"}), "left").join(f.withColumnsRenamed({"part": "right", "f": "r"}), "right")
     best = cuts.groupBy("key").agg(F.min(F.struct(score("a", "l", "r").alias("score"), "k", "l", "r")).alias("best"))
@@ -229,7 +255,6 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     rows = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    words = counted.where("m = 0").select(F.col("key").alias("lang_key"), F.col("n").alias("words"))
     return rows.join(words, "lang_key").select("lang", "rank", "phrase", "a", "l", "r", F.col("words").alias("n"), "score")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, configure, pin, scratch_path  # noqa: F401  (re-exported)
 
@@ -42,9 +43,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, own: list[str]) -> DataFrame:
+    """docs with its columns besides ``own`` in one struct, ``others``, so that no helper column can clash with them."""
+    more = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, F.struct(*(more or [F.lit(0).alias("none")])).alias("others"))
+
+
+def unpacked(docs: DataFrame, columns: list[str], own: list[str]) -> DataFrame:
+    """The columns of a table that was ``packed``, in their order."""
+    return docs.select(*[F.col(c) if c in own else F.col(f"others.`{c}`").alias(c) for c in columns])
+
+
 def fold_ascii(col):
     """A-Z to a-z and nothing else (``lower`` would also fold other alphabets)."""
-    from pyspark.sql import functions as F
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -69,7 +80,6 @@ ALNUM_WORDS = byte_class(lambda b: b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <
 # a value for at most n of all bases (modulo 2^64 whole families of texts would collide).
 _P = U64((1 << 61) - 1)
 _BASE = int(np.random.default_rng(20240229).integers(1 << 60, (1 << 61) - 2))
-_LIMB = (1 << 21) - 1
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
@@ -94,11 +104,15 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def _limbs(power: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(power >> U64(k)) & U64((1 << bits) - 1) for k in range(0, 61, bits)]
+
+
 def _tables(n: int) -> None:
-    """Powers of the base for n positions, as three limbs of 21 bits, and their inverses."""
+    """Powers of the base for n positions, as two limbs of 31 bits and three of 21, and their inverses."""
     global _POW, _INV
     power = _powers(_BASE, n)
-    _POW = [(power >> U64(21 * k)) & U64(_LIMB) for k in range(3)]
+    _POW = {bits: _limbs(power, bits) for bits in (31, 21)}
     _INV = _powers(pow(_BASE, -1, int(_P)), n + 1)
 
 
@@ -106,27 +120,29 @@ _tables(_SPAN)
 
 
 class Prefix:
-    """Sums of code * base^position up to every position, modulo 2^61 - 1. Codes are below 2^22."""
+    """Sums of (code + 1) * base^position up to every position, modulo 2^61 - 1, of bytes or of code points."""
 
     def __init__(self, codes: np.ndarray):
         n = len(codes)
-        if n > len(_POW[0]):  # a single row can be longer than a span
+        if n > len(_POW[31][0]):  # a single row can be longer than a span
             _tables(2 * n)
-        codes = codes.astype(np.uint64)
-        self.sums = np.zeros((3, n + 1), np.uint64)
+        self.bits = 31 if codes.dtype == np.uint8 else 21  # limb sums of a span stay below 2^64
+        codes = codes.astype(np.uint64) + U64(1)
+        self.sums = np.zeros((len(_POW[self.bits]), n + 1), np.uint64)
         self.carry = np.zeros(max(1, -(-n // _SPAN)), np.uint64)
         for b, lo in enumerate(range(0, n, _SPAN)):
             hi = min(n, lo + _SPAN)
-            for k in range(3):
-                np.cumsum(codes[lo:hi] * _POW[k][lo:hi], out=self.sums[k, lo + 1:hi + 1])
+            for k, power in enumerate(_POW[self.bits]):
+                np.cumsum(codes[lo:hi] * power[lo:hi], out=self.sums[k, lo + 1:hi + 1])
             if hi < n:
                 self.carry[b + 1] = self.at(np.array([hi]))[0]
 
     def at(self, e: np.ndarray) -> np.ndarray:
-        s = [_reduced(x[e]) for x in self.sums]
-        for k in (1, 2):  # times 2^21 and 2^42: rotations of 61 bits
-            s[k] = ((s[k] << U64(21 * k)) & _P) | (s[k] >> U64(61 - 21 * k))
-        return _reduced(s[0] + s[1] + s[2] + self.carry[np.maximum(e - 1, 0) // _SPAN])
+        out = self.carry[np.maximum(e - 1, 0) // _SPAN]
+        for k, x in enumerate(self.sums):  # times 2^(bits * k): a rotation of 61 bits
+            s, by = _reduced(x[e]), self.bits * k
+            out = out + (((s << U64(by)) & _P) | (s >> U64(61 - by)) if k else s)
+        return _reduced(out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -176,7 +192,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray, inside: np.ndarray, spans: bo
     while i < len(starts):  # runs of words that lie within _SPAN bytes, or one longer word, share their sums
         base = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, base + _SPAN, "right")))
-        h = Prefix(folded[base:ends[j - 1]].astype(np.uint64) + U64(1))
+        h = Prefix(folded[base:ends[j - 1]])
         out[i:j] = span_hash(h, starts[i:j] - base, ends[i:j] - base)
         i = j
     row = np.searchsorted(off, starts, "right") - 1

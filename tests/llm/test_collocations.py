@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from quarry.llm import bloom
 from quarry.llm import collocations as co
 from quarry.llm import common as C
 
@@ -78,7 +79,35 @@ def test_scores_are_exact_beyond_64_bits(spark):
 
 
 def test_phrases_stay_inside_pieces_and_rows():
-    p = co.Phrases(pa.array(["a b,c d", None, "B a b", "a"]), np.array([1, 1, 1, 2]), 3)
-    assert [p.text(i, 2) for i in np.flatnonzero(p.whole[1])] == ["a b", "c d", "b a", "a b"]
-    assert [p.text(i, 3) for i in np.flatnonzero(p.whole[2])] == ["b a b"]
-    assert p.keys[1][0] == p.keys[1][5] != p.keys[1][4] and p.keys[0][0] != p.keys[0][7]
+    keys, row, start, end, data = co.word_keys(pa.array(["a b,c d", None, "B a b", "a"]), np.array([1, 1, 1, 2]))
+    (one, _), (two, pairs), (three, _) = co.phrase_keys(keys, 3)
+    assert one.tolist() == list(range(8)) and two.tolist() == [0, 2, 4, 5] and three.tolist() == [4]
+    assert pairs[0] == pairs[3] != pairs[2] and keys[0] & ~C.U64(1) != keys[7]
+    assert bytes(data[start[4]:end[6]]) == b"B a b" and row.tolist() == [0, 0, 0, 0, 2, 2, 2, 3]
+
+
+def test_every_phrase_is_counted_for_one_cycle():
+    """Whatever step its parts are told at, the steps at which a phrase is active meet every shard once."""
+    rng = np.random.default_rng(2)
+    keys = co.word_keys(pa.array([" ".join(f"w{i}" for i in rng.integers(0, 9, 400))]), np.array([5]))[0]
+    (_, words), (at2, pairs), (at3, triples) = co.phrase_keys(keys, 3)
+
+    def one_filter(some):
+        w = np.zeros((64, 8), np.uint64)
+        block, bits = bloom._places(some.view(np.int64), len(w))
+        for j in range(bloom.BITS):
+            np.bitwise_or.at(w, (block, bits[:, j] >> 6), C.U64(1) << (bits[:, j] & 63).astype(np.uint64))
+        return w
+
+    shards = 3
+    distinct = np.unique(words)
+    told = {1: [(s + 1, one_filter(distinct[s::shards])) for s in range(shards)],
+            2: [(s + 1, one_filter(np.unique(pairs)[s::5])) for s in range(1, 5)]}
+    met = collections.defaultdict(list)
+    for step in range(3 * shards):
+        early = {m: [f for f in fs if f[0] <= step] for m, fs in told.items()}
+        for m, (hashes, since) in co.active(keys, step, shards, 3, early).items():
+            for k in set(hashes.tolist()):
+                met[m, k].append(step % shards)
+    assert all(sorted(x) == [0, 1, 2] for x in met.values())
+    assert {k for m, k in met if m == 2} == set(pairs.tolist()) and {k for m, k in met if m == 3} <= set(triples.tolist())

@@ -22,12 +22,15 @@ def test_products_and_spans_are_exact():
     a, b = rng.integers(0, p, (2, 500)).astype(np.uint64)
     a[:3], b[:3] = [p - 1, 0, p - 1], [p - 1, 7, 1]
     assert C._times(a, b).tolist() == [int(x) * int(y) % p for x, y in zip(a, b)]
-    codes = rng.integers(1, 1 << 22, 1_200_000).astype(np.uint64)
-    for at in (524_200, 700_000, 1_048_500):  # across the borders of spans
-        codes[at:at + 300] = codes[:300]
-    s = np.array([0, 524_200, 700_000, 1_048_500, 1])
-    got = C.span_hash(C.Prefix(codes), s, s + 300)
-    assert len(set(got[:4].tolist())) == 1 and got[4] != got[0]
+    for kind, most in ((np.uint32, 0x110000), (np.uint8, 256)):
+        codes = rng.integers(0, most, 1_200_000).astype(kind)
+        for at in (524_200, 700_000, 1_048_500):  # across the borders of spans
+            codes[at:at + 300] = codes[:300]
+        s = np.array([0, 524_200, 700_000, 1_048_500, 1])
+        h = C.Prefix(codes)
+        got = C.span_hash(h, s, s + 300)
+        assert len(set(got[:4].tolist())) == 1 and got[4] != got[0]
+        assert h.at(np.array([700_100]))[0] == sum((int(c) + 1) * pow(C._BASE, i, p) for i, c in enumerate(codes[:700_100].tolist())) % p
 
 
 def test_words_hash_alike_wherever_they_stand():
@@ -42,6 +45,6 @@ def test_operators_tell_the_texts_apart(spark):
     C.prepare(spark)
     docs = spark.createDataFrame([(1, A), (2, B), (3, A)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 3, 85).collect()} == {1: 1, 2: 2, 3: 1}
-    assert {(r.doc_id, r.n_removed) for r in linededup.report(docs, linededup.BY_LENGTH).collect()} == {(1, 0), (2, 0), (3, 1)}
+    assert {(r.doc_id, r.n_removed) for r in linededup.report(docs).collect()} == {(1, 0), (2, 0), (3, 1)}
     items = spark.createDataFrame([("i", A)], "item_id string, text string")
     assert {r.doc_id: r.contaminated for r in decontaminate.judge(docs, items).collect()} == {1: True, 2: False, 3: True}
