@@ -138,8 +138,8 @@ def _named(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
-    """The keys that different documents (by their words) hold."""
-    return rows.groupBy(key).agg(F.min("k").alias("k0"), F.max("k").alias("k1")).where("k0 <> k1").select(key)
+    """The keys that different documents (by their words) hold, as a table: a plain side of a join can be split."""
+    return C.pin(rows.groupBy(key).agg(F.min("k").alias("k0"), F.max("k").alias("k1")).where("k0 <> k1").select(key))
 
 
 def _starts(spots: list[dict], n: int, length: int) -> np.ndarray:
