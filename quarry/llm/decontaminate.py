@@ -300,11 +300,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = LENGTH, cut:
     ``cut`` also removes the hit spans of the documents that stay, word for
     word; otherwise documents below the limit are returned unchanged.
     """
-    a = annotate(docs, items, length).where(~is_contaminated())
+    own = ["doc_id", "text"]
+    a = annotate(C.packed(docs, own), items, length).where(~is_contaminated())
     if cut:
         a = a.withColumn("text", F.when(F.size("_hits.spans") > 0, F.arrow_udf(_cut_words, returnType="string")(
             "text", "_hits.spans")).otherwise(F.col("text")))
-    return a.select(*docs.columns)
+    return C.unpacked(a, docs.columns, own)
 
 
 SQL = r"""

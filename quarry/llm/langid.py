@@ -170,7 +170,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """docs (all columns) whose language is known: not `und`, and no other outcome as likely as min_score allows."""
-    return identify(docs).where((F.col("_lang.lang_pred") != "und") & (F.col("_lang.score") >= min_score)).select(*docs.columns)
+    own = ["doc_id", "text", "lang"]
+    known = identify(C.packed(docs, own)).where((F.col("_lang.lang_pred") != "und") & (F.col("_lang.score") >= min_score))
+    return C.unpacked(known, docs.columns, own)
 
 
 @C.query("op9_langid")

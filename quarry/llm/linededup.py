@@ -3,10 +3,8 @@
 A line is a piece of text between line feeds, without blanks at its ends; empty
 lines are not compared and always stay. Equal lines of any length, and lines
 within the character edits (insert, delete, substitute) that the shorter one's
-length allows, form classes (linked directly or through others). By length
-(BY_LENGTH, as the query and the pipeline use it): 1 edit from SHORT characters,
-2 from MIN_CHARS, a hundredth of the characters from LONG. With a number of
-edits, that many from MIN_CHARS on. The first occurrence of a class, by (doc_id,
+length allows, form classes (linked directly or through others): 1 edit from SHORT
+characters, 2 from MIDDLE, a hundredth of the characters from LONG. The first occurrence of a class, by (doc_id,
 line number), stays; later ones go.
 
 Method. With t edits, one of t + 1 segments of the shorter line must occur
@@ -18,15 +16,19 @@ characters or more, compared by length, meet otherwise: of the longer one at
 least (length - t) / (t + 1) characters in a row, never fewer than 75, are
 unchanged. Of every WINDOW neighbouring spans of GRAM characters (together 75)
 the one of smallest hash is a key, so a common run gives a common key. Lines
-that share a bucket are verified with a banded bit-parallel edit distance.
+that share a bucket are verified with a banded bit-parallel edit distance, a column
+of all pairs of a batch at a time.
 
 Scale. Documents are cut into lines in Arrow batches and lines travel as 64-bit
-hashes; equal lines are one candidate. Index keys are aggregated, and the members
+hashes, of which equal ones are one candidate (a CRC tells lines apart whose hashes
+meet by chance). Index keys are aggregated, and the members
 of a bucket meet its best connected line first (``graph.bucket_components``), so
 variants of one template cost one comparison each; what is left of a bucket is
-compared in bounded blocks, of which only links leave. Only lines that share a
+compared in bounded blocks. Only lines that share a
 bucket have their text fetched: a bounded Bloom filter cuts the scan, an exact
-join follows. First occurrences are pre-aggregated minima joined back only for
+join follows. Members of open buckets are compared by how often 64 classes of
+characters occur in them (counted once a line); the pairs that are left are made
+distinct and verified once, however many buckets they share. First occurrences are pre-aggregated minima joined back only for
 classes that repeat.
 
 Defined cases: null texts are unchanged and have no lines; rows with a null
@@ -37,6 +39,8 @@ line of any length is compared whole; extra columns are kept.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,10 +50,9 @@ from . import bloom
 from . import common as C
 from .graph import blocked, bucket_components, map_pairs
 
-EDITS = 2
-MIN_CHARS = 40
-BY_LENGTH = None  # in place of a number of edits: as many as the length allows
-SHORT, LONG = 20, 300
+SHORT, MIDDLE, LONG = 20, 40, 300
+CLASSES = 64  # of characters, for the counts that two near lines nearly share
+WORD = 63  # diagonals of a band that fit a machine word
 GRAM, WINDOW = 32, 44
 BLOCK = 256  # members of one bucket that meet in one block
 _CHARS = 1 << 18  # characters hashed at a time
@@ -80,9 +83,18 @@ class Lines:
             end = end - blank
         some = start < end
         self.start, self.end, self.row, self.pos = start[some], end[some], rows[doc[some]], pos[some]
-        self.hashes = C.Prefix(self.codes.astype(np.uint64) + C.U64(1))
+        self.hashes = C.Prefix(self.codes)
         self.h = C.span_hash(self.hashes, self.start, self.end)
 
+    def checks(self) -> np.ndarray:
+        """A CRC of each line, to tell apart lines whose hashes meet by chance."""
+        return np.array([zlib.crc32(self.codes[a:b]) for a, b in zip(self.start.tolist(), self.end.tolist())], np.uint32)
+
+    def counts(self, i: int) -> bytes:
+        """How often each class of code points occurs (255: or more); an edit changes at most two counts by one."""
+        found = np.bincount(self.codes[self.start[i]:self.end[i]] & (CLASSES - 1), minlength=CLASSES)
+        return np.minimum(found, 255).astype(np.uint8).tobytes()
+
     def text(self, i: int) -> str:
         return self.codes[self.start[i]:self.end[i]].tobytes().decode("utf-32-le", "surrogatepass")
 
@@ -106,27 +118,20 @@ def _known(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, h): every non-empty line, by number and hash."""
+    """(doc_id, pos, h, crc): every non-empty line, by number and hash."""
     def run(batches):
         for b in batches:
             ids = b.column("doc_id").to_numpy()
             for ls in line_runs(b):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[ls.row]), pa.array(ls.pos.astype(np.int32)), pa.array(ls.h.view(np.int64))],
-                                                 names=["doc_id", "pos", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[ls.row]), pa.array(ls.pos.astype(np.int32)), pa.array(ls.h.view(np.int64)),
+                                                  pa.array(ls.checks().view(np.int32))], names=["doc_id", "pos", "h", "crc"])
 
-    return _known(docs).mapInArrow(run, "doc_id long, pos int, h long")
+    return _known(docs).mapInArrow(run, "doc_id long, pos int, h long, crc int")
 
 
-def allowed(size: np.ndarray, edits: int | None) -> np.ndarray:
+def allowed(size: np.ndarray) -> np.ndarray:
     """Edits that lines of these lengths are linked at; 0 where only equal lines are."""
-    if edits is not BY_LENGTH:
-        return np.where(size >= MIN_CHARS, edits, 0)
-    return np.select([size < SHORT, size < MIN_CHARS, size < LONG], [0, 1, 2], size // 100)
-
-
-def shortest(edits: int | None) -> int:
-    """Characters of the shortest lines that are compared."""
-    return SHORT if edits is BY_LENGTH else MIN_CHARS
+    return np.select([size < SHORT, size < MIDDLE, size < LONG], [0, 1, 2], size // 100)
 
 
 def probes(edits: int) -> list[tuple[int, int, int]]:
@@ -147,22 +152,21 @@ def segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndar
     return base * i + longer_before, base + (i >= parts - rest)
 
 
-def segment_keys(hashes: C.Prefix, start: np.ndarray, size: np.ndarray, edits: int | None, own: bool):
+def segment_keys(hashes: C.Prefix, start: np.ndarray, size: np.ndarray, own: bool):
     """(key, line) of the own segments of lines, or of the substrings that could match those of a shorter or equal line."""
     keys, lines = [], []
-    for t in (1, 2) if edits is BY_LENGTH else (edits,):
+    for t in (1, 2):
         for delta, i, shift in [(0, i, 0) for i in range(t + 1)] if own else probes(t):
             length = size - delta
             at, n = segment(length, i, t + 1)
             at = at + shift
-            ok = np.flatnonzero((allowed(length, edits) == t) & (at >= 0) & (at + n <= size))
+            ok = np.flatnonzero((length < LONG) & (allowed(length) == t) & (at >= 0) & (at + n <= size))
             s = (start + at)[ok]
             keys.append(C.span_hash(hashes, s, s + n[ok]) ^ C.mix(length[ok].astype(np.uint64) * C.U64(16) + C.U64(i)))
             lines.append(ok)
-    if edits is BY_LENGTH:
-        k, line = run_keys(hashes, start, size, own)
-        keys.append(k)
-        lines.append(line)
+    k, line = run_keys(hashes, start, size, own)
+    keys.append(k)
+    lines.append(line)
     return np.concatenate(keys), np.concatenate(lines)
 
 
@@ -205,15 +209,15 @@ def _fresh(ls: Lines, seen: set[int], least: int) -> np.ndarray:
     return np.array(new, np.int64)
 
 
-def _members(docs: DataFrame, edits: int | None, centers_only: bool) -> DataFrame:
+def _members(docs: DataFrame, centers_only: bool) -> DataFrame:
     """(key, id, center): a line's own segments (centers) and, unless centers_only, its probes."""
     def run(batches):
         seen: set[int] = set()
         for b in batches:
             for ls in line_runs(b):
-                new = _fresh(ls, seen, shortest(edits))
+                new = _fresh(ls, seen, SHORT)
                 for own in (True,) if centers_only else (True, False):
-                    k, line = segment_keys(ls.hashes, ls.start[new], (ls.end - ls.start)[new], edits, own)
+                    k, line = segment_keys(ls.hashes, ls.start[new], (ls.end - ls.start)[new], own)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(k.view(np.int64)), pa.array(ls.h[new[line]].view(np.int64)), pa.array(np.full(len(k), own))],
                         names=["key", "id", "center"])
@@ -270,92 +274,159 @@ def within(a: str, b: str, edits: int) -> bool:
     return bottom - (vp >> k0 & mask).bit_count() + (vn >> k0 & mask).bit_count() <= edits
 
 
-def line_texts(docs: DataFrame, ids: DataFrame, edits: int | None = EDITS) -> DataFrame:
-    """(h, line) of the lines of ids(h): a bounded Bloom filter over the scan, then an exact join."""
+def _band(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, edits: int) -> np.ndarray:
+    """``within`` for rows of code points (a not longer than b, b's lengths ascending), a machine word a row: 2 * edits < WORD."""
+    one, width = np.uint64(1), 2 * edits + 1
+    full, top, mid = np.uint64((1 << width) - 1), np.uint64(width - 1), np.uint64(edits)
+    # by column: row i of a stands at i + edits, between signs that no line has
+    rows = np.full((b.shape[1] + width, len(a)), np.uint32(0xFFFFFFFF))
+    rows[edits:edits + a.shape[1]] = np.where(np.arange(a.shape[1])[:, None] < na, a.T, np.uint32(0xFFFFFFFF))
+    cols = np.ascontiguousarray(b.T)
+    out, at = np.zeros(len(a), bool), np.arange(len(a))
+    vp, vn = np.full(len(a), full << mid & full), np.zeros(len(a), np.uint64)
+    bottom, middle = np.full(len(a), edits, np.int64), np.zeros(len(a), np.int64)
+    first, j, base = 0, 0, 0  # pairs before `first` have ended; rows and cols begin at column `base`
+    while first < len(at):
+        upto = int(np.searchsorted(nb, j, "right"))
+        if upto > first:  # the last column of these: from the band's bottom up to the last row
+            x = slice(first, upto)
+            k0 = (edits - (nb[x] - na[x])).astype(np.uint64)
+            mask = (one << (top - k0)) - one
+            out[at[x]] = (bottom[x] - np.bitwise_count(vp[x] >> k0 & mask).astype(np.int64)
+                          + np.bitwise_count(vn[x] >> k0 & mask).astype(np.int64)) <= edits
+            first = upto
+        if j % 16 == 0 and first < len(at):  # every cell of a band is within `edits` of its middle one
+            keep = np.flatnonzero(middle[first:] <= 2 * edits) + first
+            if 2 * len(keep) < len(at) - first:
+                rows, cols = rows[j - base:, keep], cols[j - base:, keep]
+                at, na, nb, vp, vn, bottom, middle = (v[keep] for v in (at, na, nb, vp, vn, bottom, middle))
+                first, base = 0, j
+        if first == len(at):
+            break
+        c, p, n = cols[j - base, first:], vp[first:], vn[first:]
+        pm = np.zeros(len(c), np.uint64)
+        for k in range(width):
+            pm |= (rows[j - base + k, first:] == c).astype(np.uint64) << np.uint64(k)
+        d0 = ((pm & p) + p ^ p | pm | n) & full
+        hp, hn = (n | ~(d0 | p)) & full, d0 & p
+        vp[first:], vn[first:] = (hn | ~(d0 >> one | hp)) & full, hp & d0 >> one
+        bottom[first:] += 1 - (d0 >> top & one).astype(np.int64)
+        middle[first:] += 1 - (d0 >> mid & one).astype(np.int64)
+        j += 1
+    return out
+
+
+def near_pairs(x: list[str], y: list[str]) -> np.ndarray:
+    """Whether each two lines are within the edits that the shorter one's length allows."""
+    x, y = zip(*((a, b) if len(a) <= len(b) else (b, a) for a, b in zip(x, y))) if x else ((), ())
+    na, nb = (np.array([len(t) for t in side], np.int64) for side in (x, y))
+    most = allowed(na)
+    out = np.zeros(len(na), bool)
+    order = np.lexsort((nb, most))
+    order = order[(nb - na <= most)[order] & (most[order] > 0)]
+    lo = 0
+    while lo < len(order):  # runs of one number of edits, of like length, of bounded size
+        hi, t = lo + 1, int(most[order[lo]])
+        if 2 * t >= WORD:
+            out[order[lo]] = within(x[order[lo]], y[order[lo]], t)
+            lo = hi
+            continue
+        while hi < len(order) and most[order[hi]] == t and (hi - lo) * nb[order[hi]] < 4 * _CHARS:
+            hi += 1
+        at = order[lo:hi]
+        sides = []
+        for side, n in ((x, na), (y, nb)):
+            codes = np.zeros((len(at), int(n[at].max())), np.uint32)
+            codes[np.arange(codes.shape[1]) < n[at][:, None]] = np.frombuffer(
+                "".join(side[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32)
+            sides += [codes, n[at]]
+        out[at] = _band(*sides, t)
+        lo = hi
+    return out
+
+
+def line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(h, line, n, counts) of the lines of ids(h): a bounded Bloom filter over the scan, then an exact join."""
     words = docs.sparkSession.sparkContext.broadcast(bloom.build(ids, "h"))
 
     def run(batches):
         for b in batches:
             for ls in line_runs(b):
-                maybe = np.flatnonzero((ls.end - ls.start >= shortest(edits)) & bloom.contains(ls.h.view(np.int64), words.value))
-                yield pa.RecordBatch.from_arrays([pa.array(ls.h[maybe].view(np.int64)), pa.array([ls.text(i) for i in maybe], pa.string())],
-                                                 names=["h", "line"])
+                _, first = np.unique(ls.h, return_index=True)
+                size = ls.end - ls.start
+                maybe = first[(size >= SHORT)[first] & bloom.contains(ls.h[first].view(np.int64), words.value)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ls.h[maybe].view(np.int64)), pa.array([ls.text(i) for i in maybe], pa.string()),
+                     pa.array(size[maybe].astype(np.int32)), pa.array([ls.counts(i) for i in maybe], pa.binary())],
+                    names=["h", "line", "n", "counts"])
 
-    return _known(docs).select("text").mapInArrow(run, "h long, line string").join(ids, "h", "left_semi").dropDuplicates(["h"])
+    return (_known(docs).select("text").mapInArrow(run, "h long, line string, n int, counts binary")
+            .join(ids, "h", "left_semi").dropDuplicates(["h"]))
 
 
-def letter_counts(lines: list[str]) -> np.ndarray:
-    """How often each of 64 classes of code points occurs in each line; an edit changes at most two counts by one."""
-    out = np.zeros((len(lines), 64), np.int32)
-    for i, t in enumerate(lines):
-        out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
-    return out
+def _near(x: pa.Array, y: pa.Array) -> pa.Array:
+    return pa.array(near_pairs(x.to_pylist(), y.to_pylist()), pa.bool_())
 
 
-def _near(edits: int | None):
-    def near(x: pa.Array, y: pa.Array) -> pa.Array:
-        x, y = x.to_pylist(), y.to_pylist()
-        most = allowed(np.array([min(len(s), len(t)) for s, t in zip(x, y)], np.int64), edits).tolist()
-        apart = np.abs(letter_counts(x) - letter_counts(y)).sum(axis=1).tolist()
-        return pa.array([d <= 2 * n and within(s, t, n) for s, t, n, d in zip(x, y, most, apart)], pa.bool_())
+_near.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
 
-    near.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
-    return F.arrow_udf(near, returnType="boolean")
 
+def _block_pairs(left: DataFrame, text: DataFrame) -> DataFrame:
+    """(a, b): members of one bucket in different components that their lengths and counts do not tell apart."""
+    dealt = blocked(left, BLOCK).join(text.select(F.col("h").alias("id"), "n", "counts"), "id")
 
-def _block_links(left: DataFrame, text: DataFrame, edits: int | None) -> DataFrame:
-    """(a, b): links among members of one bucket in different components, compared in bounded blocks."""
-    text = text.withColumn("n", F.char_length("line"))
-    dealt = blocked(left, BLOCK).join(text, F.col("id") == F.col("h")).drop("h")
-
-    def links(rows: pa.RecordBatch, x: np.ndarray, y: np.ndarray):
+    def pairs(rows: pa.RecordBatch, x: np.ndarray, y: np.ndarray):
         ids, center = rows.column("id").to_numpy(), rows.column("center").to_numpy(zero_copy_only=False)
-        line, size = rows.column("line"), rows.column("n").to_numpy()
-        most = allowed(np.minimum(size[x], size[y]), edits)
+        size = rows.column("n").to_numpy()
+        most = allowed(np.minimum(size[x], size[y]))
         ok = (center[x] | center[y]) & (np.abs(size[x] - size[y]) <= most)
         x, y, most = x[ok], y[ok], most[ok]
-        used = np.unique(np.concatenate([x, y]))
-        text = {i: line[i].as_py() for i in used.tolist()}
-        count = letter_counts(list(text.values()))
-        ok = np.abs(count[np.searchsorted(used, x)] - count[np.searchsorted(used, y)]).sum(axis=1) <= 2 * most
-        x, y, most = x[ok], y[ok], most[ok]
-        near = np.array([within(text[i], text[j], n) for i, j, n in zip(x.tolist(), y.tolist(), most.tolist())], bool)
-        return ids[x[near]], ids[y[near]]
+        count = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
+        ok = np.abs(count[x] - count[y]).sum(axis=1) <= 2 * most
+        return ids[x[ok]], ids[y[ok]]
 
-    return map_pairs(dealt, links)
+    return map_pairs(dealt, pairs)
 
 
-def line_classes(docs: DataFrame, edits: int | None = EDITS) -> DataFrame:
+def line_classes(docs: DataFrame) -> DataFrame:
     """(id, component) of the line hashes that are linked to a different line."""
     found = {}
 
     def prepare(ids: DataFrame):
-        text = found["text"] = C.pin(line_texts(docs, C.pin(ids.select(F.col("id").alias("h"))), edits))
+        text = found["text"] = C.pin(line_texts(docs, C.pin(ids.select(F.col("id").alias("h")))))
         x = text.select(F.col("h").alias("a"), F.col("line").alias("la"))
         y = text.select(F.col("h").alias("b"), F.col("line").alias("lb"))
-        return lambda pairs: pairs.join(x, "a").join(y, "b").where(_near(edits)("la", "lb")).select("a", "b")
+        return lambda pairs: pairs.join(x, "a").join(y, "b").where(F.arrow_udf(_near, returnType="boolean")("la", "lb")).select("a", "b")
+
+    def rest(left: DataFrame, star: DataFrame, verify) -> DataFrame:
+        return verify(C.pin(_block_pairs(left, found["text"]).join(star, ["a", "b"], "left_anti")))
 
-    return bucket_components(_members(docs, edits, False), _members(docs, edits, True), prepare,
-                             lambda left, star, verify: _block_links(left, found["text"], edits))
+    return bucket_components(_members(docs, False), _members(docs, True), prepare, rest)
 
 
-def repeats(docs: DataFrame, edits: int | None = EDITS) -> DataFrame:
+def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, first_doc): every line occurrence that goes, and the document that holds its first."""
-    comp = line_classes(docs, edits)
+    comp = line_classes(docs)
     occ = C.pin(occurrences(docs).join(comp, F.col("h") == F.col("id"), "left").select(
-        "doc_id", "pos", F.coalesce("component", "h").alias("class")))
+        "doc_id", "pos", "h", "crc", F.coalesce("component", "h").alias("class")))
     at = F.struct("doc_id", "pos")
-    first = (occ.groupBy("class").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    lines = C.pin(occ.groupBy("h", "class").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.min("crc").alias("c0"), F.max("crc").alias("c1")))
+    met = C.pin(lines.where("c0 <> c1").select("h"))
+    if not met.isEmpty():  # different lines of one hash: each is a class of its own with the lines equal to it
+        occ = C.pin(occ.join(met.withColumn("met", F.lit(True)), "h", "left").withColumn(
+            "class", F.when(F.col("met"), F.xxhash64("h", "crc")).otherwise(F.col("class"))).drop("met"))
+        lines = occ.groupBy("class").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    first = (lines.groupBy("class").agg(F.min("first").alias("first"), F.max("last").alias("last"))
              .where("first <> last").select("class", "first"))
     return (occ.join(first, "class").where(at != F.col("first"))
             .select("doc_id", "pos", F.col("first.doc_id").alias("first_doc")))
 
 
-def report(docs: DataFrame, edits: int | None = EDITS) -> DataFrame:
+def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, first_docs): per document, its lines, those that go, where they first occur."""
     n = docs.select("doc_id", F.when(F.col("doc_id").isNull() | F.col("text").isNull(), 0).otherwise(
         F.size(F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r")) != ""))).cast("long").alias("n_lines"))
-    gone = repeats(docs, edits).distinct().groupBy(F.col("doc_id").alias("_id")).agg(
+    gone = repeats(docs).distinct().groupBy(F.col("doc_id").alias("_id")).agg(
         F.count(F.lit(1)).alias("n_removed"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
     return n.join(gone, n.doc_id == gone._id, "left").select(
         "doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
@@ -375,23 +446,24 @@ def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
 _without.__annotations__ = {"text": pa.Array, "gone": pa.Array, "return": pa.Array}
 
 
-def drop_lines(docs: DataFrame, edits: int | None = EDITS) -> DataFrame:
+def drop_lines(docs: DataFrame) -> DataFrame:
     """docs (all columns) with repeated lines cut from text; a document of which no line is left goes.
 
     n_chars, where the table has it, is brought up to date for changed texts.
     """
-    gone = repeats(docs, edits).distinct().groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("pos").alias("_gone"))
-    j = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    j = j.withColumn("text", F.when(F.col("_gone").isNotNull(), F.arrow_udf(_without, returnType="string")("text", "_gone"))
+    own = ["doc_id", "text"] + (["n_chars"] if "n_chars" in docs.columns else [])
+    gone = repeats(docs).distinct().groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("pos").alias("gone"))
+    j = C.packed(docs, own).join(gone, F.col("doc_id").cast("long") == F.col("id"), "left")
+    j = j.withColumn("text", F.when(F.col("gone").isNotNull(), F.arrow_udf(_without, returnType="string")("text", "gone"))
                      .otherwise(F.col("text")))
-    j = j.where(F.col("_gone").isNull() | (F.btrim("text", F.lit(" \t\r\n")) != ""))
+    j = j.where(F.col("gone").isNull() | (F.btrim("text", F.lit(" \t\r\n")) != ""))
     if "n_chars" in docs.columns:
-        j = j.withColumn("n_chars", F.when(F.col("_gone").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType))
+        j = j.withColumn("n_chars", F.when(F.col("gone").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType))
                          .otherwise(F.col("n_chars")))
-    return j.select(*docs.columns)
+    return C.unpacked(j, docs.columns, own)
 
 
 @C.query("op2_line_dedup")
 def op2(spark, sf_dir):
     """Every document: its lines, how many go, and the documents that hold their first occurrences."""
-    return report(C.table(spark, sf_dir, "documents"), BY_LENGTH)
+    return report(C.table(spark, sf_dir, "documents"))

@@ -200,8 +200,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without the near copies: the smallest doc_id of each group stays, with all its columns."""
-    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return C.unpacked(C.packed(docs, ["doc_id"]).join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti"), docs.columns, ["doc_id"])
 
 
 SQL = r"""

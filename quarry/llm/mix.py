@@ -120,12 +120,17 @@ _first_words.__annotations__ = {"text": pa.Array, "n": pa.Array, "return": pa.Ar
 
 
 def mixed(docs: DataFrame, seed: str = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The mix itself: a row of docs (all columns) for each repetition, numbered by one more column `copy`.
+    """The mix itself: a row of docs (all columns) for each repetition, numbered by one more column `copy`
+    (`copy_` and so on where docs has a column of that name).
 
     The one document a source that ends its fractional repetition is cut after
     the words it gives; n_chars, where the table has it, follows.
     """
-    p = plan(docs, seed, max_epochs)
+    own = ["doc_id", "source", "text"] + (["n_chars"] if "n_chars" in docs.columns else [])
+    number = "copy"
+    while number in docs.columns:
+        number += "_"
+    p = plan(C.packed(docs, own), seed, max_epochs)
     copies = (F.col("_whole") + (F.col("_part") > 0).cast("long")).cast("int")
     cut = (F.col("copy") > F.col("_whole")) & (F.col("_part") < F.col("_size"))
     p = (p.where((F.col("_size") > 0) & (copies > 0))
@@ -134,7 +139,8 @@ def mixed(docs: DataFrame, seed: str = SEED, max_epochs: int = MAX_EPOCHS) -> Da
     if "n_chars" in docs.columns:
         p = p.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(
             F.char_length("_cut").cast(docs.schema["n_chars"].dataType)))
-    return p.withColumn("text", F.coalesce("_cut", "text")).select(*[c for c in docs.columns if c != "copy"], "copy")
+    p = p.withColumn("text", F.coalesce("_cut", "text"))
+    return p.select(*[F.col(c) if c in own else F.col(f"others.`{c}`").alias(c) for c in docs.columns], F.col("copy").alias(number))
 
 
 SQL = r"""

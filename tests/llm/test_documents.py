@@ -176,7 +176,8 @@ def test_line_dedup_equals_plain(spark, docs):
     occ = [o for o in occ if o[2]]
     names = sorted({x for *_, x in occ})
     comp = {x: k for k, x in enumerate(names)}
-    links = [(a, b) for a in names for b in names if a < b and min(len(a), len(b)) >= 40 and abs(len(a) - len(b)) <= 2 and linededup.within(a, b, 2)]
+    most = lambda n: 0 if n < 20 else 1 if n < 40 else 2 if n < 300 else n // 100
+    links = [(a, b) for a in names for b in names if a < b and (m := most(min(len(a), len(b)))) and linededup.within(a, b, m)]
     for _ in names:
         for a, b in links:
             comp[a] = comp[b] = min(comp[a], comp[b])

@@ -2,6 +2,8 @@
 import collections
 import random
 
+from pyspark.sql import functions as F
+
 from quarry.llm import common as C
 from quarry.llm import linededup
 from quarry.llm.queries import QUERIES
@@ -52,5 +54,29 @@ def test_headings_and_long_lines(spark):
     rows = [(1, "Copyright 2023 Example Ltd"), (2, "Copyright 2024 Example Ltd"), (3, "Chapter 1"), (4, "Chapter 2"),
             (5, words), (6, words.replace("word9 ", "Word9 ").replace("word30", "wort30").replace("word60", "w0rd60"))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    left = sorted(r.doc_id for r in linededup.drop_lines(docs, linededup.BY_LENGTH).collect())
+    left = sorted(r.doc_id for r in linededup.drop_lines(docs).collect())
     assert left == [1, 3, 4, 5]
+
+
+def test_a_batch_of_pairs_is_its_pairs():
+    rng = random.Random(6)
+    x, y = [], []
+    for _ in range(1500):
+        size = rng.choice([18, 20, 25, 39, 40, 60, 299, 300, 310, 405, 3150])
+        a = "".join(rng.choice("abé\U0001F600") for _ in range(size))
+        x.append(a)
+        y.append(changed(rng, a, rng.randrange(most(size) + 4)) if rng.random() < 0.9 else "".join(rng.choice("abé") for _ in range(size)))
+    want = [(m := most(min(len(a), len(b)))) > 0 and linededup.within(a, b, m) for a, b in zip(x, y)]
+    assert linededup.near_pairs(x, y).tolist() == want and 300 < sum(want) < 1400
+    assert linededup.near_pairs([], []).tolist() == []
+
+
+def test_lines_whose_hashes_meet_are_told_apart(spark, monkeypatch):
+    C.prepare(spark)
+    lines = [f"short line {i}" for i in range(12)]
+    docs = spark.createDataFrame([(d, "\n".join(lines[(d * k) % 12] for k in range(1, 5))) for d in range(20)], "doc_id long, text string")
+    want = sorted(map(tuple, linededup.repeats(docs).collect()))
+    real = linededup.occurrences
+    monkeypatch.setattr(linededup, "line_classes", lambda docs: spark.createDataFrame([], "id long, component long"))
+    monkeypatch.setattr(linededup, "occurrences", lambda docs: real(docs).withColumn("h", F.col("h").bitwiseAND(F.lit(3))))
+    assert sorted(map(tuple, linededup.repeats(docs).collect())) == want and len(want) > 40
