@@ -327,13 +327,12 @@ def near_pairs(x: list[str], y: list[str]) -> np.ndarray:
     lo = 0
     while lo < len(order):  # runs of one number of edits, of like length, of bounded size
         hi, t = lo + 1, int(most[order[lo]])
-        if 2 * t >= WORD:
-            out[order[lo]] = within(x[order[lo]], y[order[lo]], t)
-            lo = hi
-            continue
         while hi < len(order) and most[order[hi]] == t and (hi - lo) * nb[order[hi]] < 4 * _CHARS:
             hi += 1
-        at = order[lo:hi]
+        at, lo = order[lo:hi], hi
+        if 2 * t >= WORD or len(at) < 2 * t + 20:  # wide bands, and pairs too few for the steps of a column to pay
+            out[at] = [within(x[i], y[i], t) for i in at.tolist()]
+            continue
         sides = []
         for side, n in ((x, na), (y, nb)):
             codes = np.zeros((len(at), int(n[at].max())), np.uint32)
@@ -341,7 +340,6 @@ def near_pairs(x: list[str], y: list[str]) -> np.ndarray:
                 "".join(side[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32)
             sides += [codes, n[at]]
         out[at] = _band(*sides, t)
-        lo = hi
     return out
 
 
@@ -364,11 +362,25 @@ def line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
             .join(ids, "h", "left_semi").dropDuplicates(["h"]))
 
 
-def _near(x: pa.Array, y: pa.Array) -> pa.Array:
-    return pa.array(near_pairs(x.to_pylist(), y.to_pylist()), pa.bool_())
+def counts_near(cx: np.ndarray, cy: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether rows of class counts allow so many edits."""
+    return np.abs(cx.astype(np.int16) - cy.astype(np.int16)).sum(axis=1) <= 2 * most
+
+
+def _class_counts(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, CLASSES)
+
+
+def _near(x: pa.Array, y: pa.Array, nx: pa.Array, ny: pa.Array, cx: pa.Array, cy: pa.Array) -> pa.Array:
+    nx, ny = nx.to_numpy(), ny.to_numpy()
+    most = allowed(np.minimum(nx, ny))
+    out = np.zeros(len(x), bool)
+    at = np.flatnonzero((np.abs(nx - ny) <= most) & counts_near(_class_counts(cx), _class_counts(cy), most))
+    out[at] = near_pairs(x.take(pa.array(at)).to_pylist(), y.take(pa.array(at)).to_pylist())
+    return pa.array(out, pa.bool_())
 
 
-_near.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
+_near.__annotations__ = dict.fromkeys(("x", "y", "nx", "ny", "cx", "cy", "return"), pa.Array)
 
 
 def _block_pairs(left: DataFrame, text: DataFrame) -> DataFrame:
@@ -381,8 +393,8 @@ def _block_pairs(left: DataFrame, text: DataFrame) -> DataFrame:
         most = allowed(np.minimum(size[x], size[y]))
         ok = (center[x] | center[y]) & (np.abs(size[x] - size[y]) <= most)
         x, y, most = x[ok], y[ok], most[ok]
-        count = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
-        ok = np.abs(count[x] - count[y]).sum(axis=1) <= 2 * most
+        count = _class_counts(rows.column("counts"))
+        ok = counts_near(count[x], count[y], most)
         return ids[x[ok]], ids[y[ok]]
 
     return map_pairs(dealt, pairs)
@@ -394,9 +406,10 @@ def line_classes(docs: DataFrame) -> DataFrame:
 
     def prepare(ids: DataFrame):
         text = found["text"] = C.pin(line_texts(docs, C.pin(ids.select(F.col("id").alias("h")))))
-        x = text.select(F.col("h").alias("a"), F.col("line").alias("la"))
-        y = text.select(F.col("h").alias("b"), F.col("line").alias("lb"))
-        return lambda pairs: pairs.join(x, "a").join(y, "b").where(F.arrow_udf(_near, returnType="boolean")("la", "lb")).select("a", "b")
+        x = text.select(F.col("h").alias("a"), F.col("line").alias("la"), F.col("n").alias("na"), F.col("counts").alias("ca"))
+        y = text.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
+        near = F.arrow_udf(_near, returnType="boolean")("la", "lb", "na", "nb", "ca", "cb")
+        return lambda pairs: pairs.join(x, "a").join(y, "b").where(near).select("a", "b")
 
     def rest(left: DataFrame, star: DataFrame, verify) -> DataFrame:
         return verify(C.pin(_block_pairs(left, found["text"]).join(star, ["a", "b"], "left_anti")))
