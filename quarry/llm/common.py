@@ -104,15 +104,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-def _limbs(power: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(power >> U64(k)) & U64((1 << bits) - 1) for k in range(0, 61, bits)]
-
-
 def _tables(n: int) -> None:
-    """Powers of the base for n positions, as two limbs of 31 bits and three of 21, and their inverses."""
+    """Powers of the base for n positions, as limbs of 31 bits, and their inverses."""
     global _POW, _INV
     power = _powers(_BASE, n)
-    _POW = {bits: _limbs(power, bits) for bits in (31, 21)}
+    _POW = [power & U64((1 << 31) - 1), power >> U64(31)]
     _INV = _powers(pow(_BASE, -1, int(_P)), n + 1)
 
 
@@ -120,29 +116,26 @@ _tables(_SPAN)
 
 
 class Prefix:
-    """Sums of (code + 1) * base^position up to every position, modulo 2^61 - 1, of bytes or of code points."""
+    """Sums of (byte + 1) * base^position up to every position, modulo 2^61 - 1."""
 
-    def __init__(self, codes: np.ndarray):
-        n = len(codes)
-        if n > len(_POW[31][0]):  # a single row can be longer than a span
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        if n > len(_POW[0]):  # a single row can be longer than a span
             _tables(2 * n)
-        self.bits = 31 if codes.dtype == np.uint8 else 21  # limb sums of a span stay below 2^64
-        codes = codes.astype(np.uint64) + U64(1)
-        self.sums = np.zeros((len(_POW[self.bits]), n + 1), np.uint64)
+        codes = data.astype(np.uint64) + U64(1)
+        self.sums = np.zeros((2, n + 1), np.uint64)
         self.carry = np.zeros(max(1, -(-n // _SPAN)), np.uint64)
         for b, lo in enumerate(range(0, n, _SPAN)):
             hi = min(n, lo + _SPAN)
-            for k, power in enumerate(_POW[self.bits]):
+            for k, power in enumerate(_POW):
                 np.cumsum(codes[lo:hi] * power[lo:hi], out=self.sums[k, lo + 1:hi + 1])
             if hi < n:
                 self.carry[b + 1] = self.at(np.array([hi]))[0]
 
     def at(self, e: np.ndarray) -> np.ndarray:
-        out = self.carry[np.maximum(e - 1, 0) // _SPAN]
-        for k, x in enumerate(self.sums):  # times 2^(bits * k): a rotation of 61 bits
-            s, by = _reduced(x[e]), self.bits * k
-            out = out + (((s << U64(by)) & _P) | (s >> U64(61 - by)) if k else s)
-        return _reduced(out)
+        low, high = (_reduced(x[e]) for x in self.sums)
+        high = ((high << U64(31)) & _P) | (high >> U64(30))  # times 2^31: a rotation of 61 bits
+        return _reduced(low + high + self.carry[np.maximum(e - 1, 0) // _SPAN])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

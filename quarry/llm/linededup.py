@@ -39,6 +39,7 @@ line of any length is compared whole; extra columns are kept.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -59,6 +60,30 @@ _CHARS = 1 << 18  # characters hashed at a time
 _SEEN = 1 << 18  # line hashes a task remembers so as not to emit a repeated line again
 
 
+_ODD = 0x9E3779B97F4A7C15
+_POW = _INV = np.ones(1, np.uint64)
+
+
+class Runs:
+    """Hashes of any run of characters, equal for equal runs: what lines are looked up by, never what makes them equal."""
+
+    def __init__(self, codes: np.ndarray):
+        global _POW, _INV
+        if len(codes) > len(_POW):
+            size = max(2 * len(codes), _CHARS)
+            _POW, _INV = (np.multiply.accumulate(np.concatenate([[1], np.full(size, x, np.uint64)]).astype(np.uint64))
+                          for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+        self.sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + C.U64(1)) * C.U64(0xD6E8FEB86659FD93) * _POW[:len(codes)], out=self.sums[1:])
+
+    def span(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return C.mix((self.sums[e] - self.sums[s]) * _INV[s])
+
+    def every(self, n: int) -> np.ndarray:
+        """A value for the n characters from each position on."""
+        return (self.sums[n:] - self.sums[:-n]) * _INV[:len(self.sums) - n]
+
+
 class Lines:
     """The non-empty lines of a run of documents, as spans of their code points."""
 
@@ -83,8 +108,9 @@ class Lines:
             end = end - blank
         some = start < end
         self.start, self.end, self.row, self.pos = start[some], end[some], rows[doc[some]], pos[some]
-        self.hashes = C.Prefix(self.codes)
-        self.h = C.span_hash(self.hashes, self.start, self.end)
+        raw = memoryview(self.codes.tobytes())
+        self.h = np.frombuffer(b"".join(hashlib.blake2b(raw[4 * a:4 * b], digest_size=8).digest() for a, b in
+                                        zip(self.start.tolist(), self.end.tolist())), np.uint64)
 
     def checks(self) -> np.ndarray:
         """A CRC of each line, to tell apart lines whose hashes meet by chance."""
@@ -152,7 +178,7 @@ def segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndar
     return base * i + longer_before, base + (i >= parts - rest)
 
 
-def segment_keys(hashes: C.Prefix, start: np.ndarray, size: np.ndarray, own: bool):
+def segment_keys(hashes: Runs, start: np.ndarray, size: np.ndarray, own: bool):
     """(key, line) of the own segments of lines, or of the substrings that could match those of a shorter or equal line."""
     keys, lines = [], []
     for t in (1, 2):
@@ -162,7 +188,7 @@ def segment_keys(hashes: C.Prefix, start: np.ndarray, size: np.ndarray, own: boo
             at = at + shift
             ok = np.flatnonzero((length < LONG) & (allowed(length) == t) & (at >= 0) & (at + n <= size))
             s = (start + at)[ok]
-            keys.append(C.span_hash(hashes, s, s + n[ok]) ^ C.mix(length[ok].astype(np.uint64) * C.U64(16) + C.U64(i)))
+            keys.append(hashes.span(s, s + n[ok]) ^ C.mix(length[ok].astype(np.uint64) * C.U64(16) + C.U64(i)))
             lines.append(ok)
     k, line = run_keys(hashes, start, size, own)
     keys.append(k)
@@ -170,7 +196,7 @@ def segment_keys(hashes: C.Prefix, start: np.ndarray, size: np.ndarray, own: boo
     return np.concatenate(keys), np.concatenate(lines)
 
 
-def run_keys(hashes: C.Prefix, start: np.ndarray, size: np.ndarray, own: bool):
+def run_keys(hashes: Runs, start: np.ndarray, size: np.ndarray, own: bool):
     """(key, line) of lines from LONG characters on: the smallest hash of each window, under the class of
     their length (own) or, where a shorter line they may be linked to has another class, under that one."""
     of = lambda n: np.floor(np.log(n) * 4)
@@ -181,22 +207,23 @@ def run_keys(hashes: C.Prefix, start: np.ndarray, size: np.ndarray, own: bool):
         line = np.flatnonzero((size >= LONG) & (of(np.maximum(least, 1)) != of(np.maximum(size, 1))))
     if not len(line):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    grams = size[line] - GRAM + 1
-    first = np.cumsum(grams) - grams
-    row = np.repeat(np.arange(len(line)), grams)
-    at = start[line][row] + np.arange(len(row)) - first[row]
-    low = C.span_hash(hashes, at, at + GRAM)
+    line = line[np.argsort(start[line], kind="stable")]
+    low = hashes.every(GRAM)
     width = 1
-    while width < WINDOW:  # smallest of ever more neighbours; what runs over a line's end is left out below
+    while width < WINDOW:  # smallest of ever more neighbours
         step = min(width, WINDOW - width)
         low[:-step] = np.minimum(low[:-step], low[step:])
         width += step
-    whole = np.arange(len(row)) - first[row] + WINDOW <= grams[row]
-    new = np.ones(len(row), bool)
-    new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
-    keep = np.flatnonzero(whole & new)
-    kind = of((size if own else least)[line])[row[keep]].astype(np.uint64)
-    return low[keep] ^ C.mix(kind * C.U64(16) + C.U64(15)), line[row[keep]]
+    edge = np.zeros(len(low) + 1, np.int8)  # where windows lie inside one of the lines
+    np.add.at(edge, start[line], 1)
+    np.add.at(edge, (start + size)[line] - GRAM - WINDOW + 2, -1)
+    inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    new = inside.copy()
+    new[1:] &= ~inside[:-1] | (low[1:] != low[:-1])
+    keep = np.flatnonzero(new)
+    line = line[np.searchsorted(start[line], keep, "right") - 1]
+    kind = of((size if own else least)[line]).astype(np.uint64)
+    return C.mix(low[keep]) ^ C.mix(kind * C.U64(16) + C.U64(15)), line
 
 
 def _fresh(ls: Lines, seen: set[int], least: int) -> np.ndarray:
@@ -215,9 +242,9 @@ def _members(docs: DataFrame, centers_only: bool) -> DataFrame:
         seen: set[int] = set()
         for b in batches:
             for ls in line_runs(b):
-                new = _fresh(ls, seen, SHORT)
+                new, runs = _fresh(ls, seen, SHORT), Runs(ls.codes)
                 for own in (True,) if centers_only else (True, False):
-                    k, line = segment_keys(ls.hashes, ls.start[new], (ls.end - ls.start)[new], own)
+                    k, line = segment_keys(runs, ls.start[new], (ls.end - ls.start)[new], own)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(k.view(np.int64)), pa.array(ls.h[new[line]].view(np.int64)), pa.array(np.full(len(k), own))],
                         names=["key", "id", "center"])
