@@ -34,8 +34,10 @@ def register(spark: SparkSession, rules: list[tuple[int, str, str, int]] | None
 
     @F.pandas_udf(T.LongType())
     def edit_cost_lang(a: pd.Series, b: pd.Series, lang: pd.Series) -> pd.Series:
-        known = {x: P.cost_rules(table, x) for x in set(lang)}
-        return pd.Series([P.edit_cost_lang(x or "", y or "", known[g]) for x, y, g in zip(a, b, lang)], dtype="int64")
+        out = pd.Series(0, index=a.index, dtype="int64")
+        for g, part in lang.groupby(lang):
+            out[part.index] = P.edit_costs_lang([x or "" for x in a[part.index]], [y or "" for y in b[part.index]], P.cost_rules(table, g))[0]
+        return out
 
     for f in (translit, edit_cost, match_length, edit_cost_lang):
         spark.udf.register(f.__name__ if hasattr(f, "__name__") else f.func.__name__, f)
