@@ -3,30 +3,37 @@
 Tables of the index, all derived from a pages-shaped DataFrame
 ``(page, url, title, description, content, ...)``:
 
-- ``positions(term, page, col, pos)``: one row per token occurrence; only
-  read for phrase queries (phrases of more than one token).
-- ``postings(term, page, col, tf)``: per-column term frequencies; every
-  word query joins this table on ``term``.
-- ``doc_len(page, dl)``: tokens over all four columns, a pure projection of
-  the pages (no shuffle).
+- ``postings(term, page, col, tf, pos, fw)``: a row for each column of a page that
+  holds the term, with its positions; phrase queries alone read ``pos``. ``fw``, the
+  frequency weighted for ordering over all columns, stands on the first column's row.
+- ``doc_len(page, dl)``: tokens over all four columns.
 - ``stats``: one row ``(n_docs, avgdl)`` over *all* rows of the index,
   every source and status, read through scalar sub-queries.
-
-``materialize`` writes postings and positions sorted by term into the shared
-checkpoint folder so later scans prune row groups by term min/max and the
-lineage back to the raw text is cut.
+- ``peaks(term, blk, peak)``: pages are cut into blocks of BLOCK_PAGES ids; the
+  largest ``fw`` of a term in each block bounds what it can add to a score there.
+  ``shortest(blk, dl)`` is the least page length of each block.
+- ``vocab(term, doc, cnt, part)``: the vocabulary in term order, cut into parts at
+  sampled terms (``firsts``), so that a prefix is a run of parts.
+
+Tokens are made and shuffled once, by term and range of pages (a common term spans
+partitions); grouping, weights and order need no further exchange. ``materialize``
+writes the tables into the shared checkpoint folder, which also cuts the lineage.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.text import tokens
-from ..session import pin, scratch_path
+from ..session import pin
+
+BLOCK_PAGES = 128
+RANGE_PAGES = 1 << 14  # page ids of a term that are kept in one partition
+PART_TERMS, MAX_PARTS = 256, 1 << 16
 
 
 def column_texts(pages: DataFrame) -> DataFrame:
@@ -42,9 +49,16 @@ def token_stream(pages: DataFrame) -> DataFrame:
         "page", "col", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
 
 
-def postings_from_positions(positions: DataFrame) -> DataFrame:
-    """(term, page, col, tf); partial aggregation happens map-side."""
-    return positions.groupBy("term", "page", "col").agg(F.count(F.lit(1)).alias("tf"))
+def postings_of(pages: DataFrame) -> DataFrame:
+    """(term, page, col, tf, pos, fw), in order of (term, page) within partitions; one shuffle, of the tokens."""
+    near = F.floor(F.col("page") / RANGE_PAGES).alias("near")
+    toks = token_stream(pages).select("term", near, "page", "col", "pos").repartition("term", "near")
+    rows = toks.groupBy("term", "near", "page", "col").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
+    rows = rows.withColumn("tf", F.size("pos").cast("long"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in S.ORDER_WEIGHTS]), F.col("col") + 1)
+    here = Window.partitionBy("term", "near", "page").orderBy("col")
+    whole = F.sum(F.col("tf") * weight).over(here.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.withColumn("fw", F.when(F.row_number().over(here) == 1, whole)).select("term", "page", "col", "tf", "pos", "fw")
 
 
 def doc_lengths(pages: DataFrame) -> DataFrame:
@@ -53,6 +67,10 @@ def doc_lengths(pages: DataFrame) -> DataFrame:
     return pages.select("page", dl.cast("long").alias("dl"))
 
 
+def block_of(page: str = "page") -> Column:
+    return F.floor(F.col(page) / BLOCK_PAGES)
+
+
 def corpus_stats(doc_len: DataFrame) -> DataFrame:
     """One row: n_docs and avgdl over every row of the index."""
     return doc_len.agg(F.count(F.lit(1)).alias("n_docs"),
@@ -61,19 +79,29 @@ def corpus_stats(doc_len: DataFrame) -> DataFrame:
 
 def vocabulary(postings: DataFrame) -> DataFrame:
     """(term, doc, cnt): rows containing the term and its total occurrences."""
-    return postings.groupBy("term").agg(
-        F.count_distinct("page").alias("doc"), F.sum("tf").alias("cnt"))
+    return postings.groupBy("term").agg(F.count("fw").alias("doc"), F.sum("tf").alias("cnt"))
+
+
+def in_parts(vocab: DataFrame) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """(vocab with one more column part, first term and number of each part): terms in order, PART_TERMS to a part
+    or, beyond MAX_PARTS parts, more; the first terms are all that the driver sees."""
+    vocab = pin(vocab)
+    bits = max(PART_TERMS, vocab.count() // MAX_PARTS).bit_length()
+    v = pin(vocab.repartitionByRange("term").sortWithinPartitions("term")
+            .withColumn("part", F.shiftright(F.monotonically_increasing_id(), bits - 1)))
+    return v, sorted(tuple(r) for r in v.groupBy("part").agg(F.min("term").alias("first")).select("first", "part").collect())
 
 
 @dataclass
 class Index:
     postings: DataFrame
-    positions: DataFrame
     doc_len: DataFrame
     stats: DataFrame
     pages: DataFrame
     vocab: DataFrame | None = None
-    vocab_keys: DataFrame | None = None
+    firsts: list[tuple[str, int]] | None = None
+    peaks: DataFrame | None = None
+    shortest: DataFrame | None = None
 
     def n_docs(self) -> Column:
         return self.stats.select("n_docs").scalar()
@@ -84,43 +112,35 @@ class Index:
     def vocabulary(self) -> DataFrame:
         return self.vocab if self.vocab is not None else vocabulary(self.postings)
 
+    def parts(self) -> tuple[DataFrame, list[tuple[str, int]]]:
+        """(vocabulary with parts, first terms)."""
+        if self.firsts is None:
+            self.vocab, self.firsts = in_parts(self.vocabulary())
+        return self.vocab, self.firsts
+
+    def blocks(self) -> tuple[DataFrame, DataFrame]:
+        """(peaks, shortest)."""
+        if self.peaks is None:
+            self.peaks = self.postings.where("fw is not null").groupBy("term", block_of().alias("blk")).agg(F.max("fw").alias("peak"))
+            self.shortest = self.doc_len.groupBy(block_of().alias("blk")).agg(F.min("dl").alias("dl"))
+        return self.peaks, self.shortest
+
 
 def build_index(pages: DataFrame, materialize: bool = False) -> Index:
     """Build the inverted index of a pages-shaped DataFrame."""
-    positions = token_stream(pages)
-    vocab = vocab_keys = None
-    if materialize:
-        spark = pages.sparkSession
-        pos_path = scratch_path(spark, "positions")
-        (positions.repartitionByRange("term", "page").sortWithinPartitions("term", "page")  # a common term spans ranges
-         .write.mode("overwrite").parquet(pos_path))
-        positions = spark.read.parquet(pos_path)
-        post_path = scratch_path(spark, "postings")
-        (postings_from_positions(positions).repartitionByRange("term", "page")
-         .sortWithinPartitions("term", "page").write.mode("overwrite").parquet(post_path))
-        postings = spark.read.parquet(post_path)
-        # lengths from the written token stream: one partial aggregate, no re-tokenizing;
-        # pages without any token still count as index rows (length 0)
-        dl = positions.groupBy("page").agg(F.count(F.lit(1)).alias("dl"))
-        doc_len = pages.select("page").join(dl, "page", "left").select(
-            "page", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
-        dl_path = scratch_path(spark, "doclen")
-        doc_len.write.mode("overwrite").parquet(dl_path)
-        doc_len = spark.read.parquet(dl_path)
-        voc_path = scratch_path(spark, "vocab")
-        vocabulary(postings).write.mode("overwrite").parquet(voc_path)
-        vocab = spark.read.parquet(voc_path)
-        # prefix keys of the vocabulary (first 1..3 characters) for prefix-query expansion
-        from .search import prefix_keys
-        keys_path = scratch_path(spark, "vocab_keys")
-        (prefix_keys(vocab.select("term")).repartitionByRange("key", "term").sortWithinPartitions("key", "term")
-         .write.mode("overwrite").parquet(keys_path))
-        vocab_keys = spark.read.parquet(keys_path)
-    else:
-        postings = postings_from_positions(positions)
+    postings = postings_of(pages)
+    if not materialize:
         doc_len = doc_lengths(pages)
-    return Index(postings=postings, positions=positions, doc_len=doc_len,
-                 stats=corpus_stats(doc_len), pages=pages, vocab=vocab, vocab_keys=vocab_keys)
+        return Index(postings=postings, doc_len=doc_len, stats=corpus_stats(doc_len), pages=pages)
+    postings = pin(postings)
+    # lengths from the written postings: one partial aggregate, no re-tokenizing;
+    # pages without any token still count as index rows (length 0)
+    dl = postings.groupBy("page").agg(F.sum("tf").alias("dl"))
+    doc_len = pin(pages.select("page").join(dl, "page", "left").select("page", F.coalesce("dl", F.lit(0)).cast("long").alias("dl")))
+    index = Index(postings=postings, doc_len=doc_len, stats=corpus_stats(doc_len), pages=pages)
+    index.parts()
+    index.peaks, index.shortest = (pin(t) for t in index.blocks())
+    return index
 
 
 def refresh_index(index: Index, new_pages: DataFrame, removed: DataFrame | None = None) -> Index:
@@ -132,17 +152,13 @@ def refresh_index(index: Index, new_pages: DataFrame, removed: DataFrame | None
     if removed is not None:
         gone = gone.unionByName(removed.select("page"))
     gone = pin(gone.distinct())
-    fresh = pin(token_stream(new_pages))
-    came = pin(postings_from_positions(fresh).select(*index.postings.columns))
+    came = pin(postings_of(new_pages).select(*index.postings.columns))
     left = index.postings.join(gone, "page", "left_semi")
-    positions = index.positions.join(gone, "page", "left_anti").unionByName(fresh.select(*index.positions.columns))
     postings = index.postings.join(gone, "page", "left_anti").unionByName(came)
     doc_len = index.doc_len.join(gone, "page", "left_anti").unionByName(doc_lengths(new_pages))
     pages = index.pages.join(gone, "page", "left_anti").unionByName(
         new_pages.select(*index.pages.columns))
     away = vocabulary(left).select("term", (-F.col("doc")).alias("doc"), (-F.col("cnt")).alias("cnt"))
-    vocab = (index.vocabulary().unionByName(away).unionByName(vocabulary(came)).groupBy("term")
+    vocab = (index.vocabulary().select("term", "doc", "cnt").unionByName(away).unionByName(vocabulary(came)).groupBy("term")
              .agg(F.sum("doc").alias("doc"), F.sum("cnt").alias("cnt")).filter("doc > 0"))
-    from .search import prefix_keys
-    return Index(postings=postings, positions=positions, doc_len=doc_len, stats=corpus_stats(doc_len), pages=pages,
-                 vocab=vocab, vocab_keys=prefix_keys(vocab.select("term")))
+    return Index(postings=postings, doc_len=doc_len, stats=corpus_stats(doc_len), pages=pages, vocab=vocab)
