@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import urls as U
+from . import chunks as ch
 from . import store
 
 
@@ -186,10 +187,10 @@ def error_placeholders(failed: DataFrame) -> DataFrame:
                          F.lit("").alias("content"), F.col("error").alias("error_info"), "seq")
 
 
-def replace_embed_rows(eq: DataFrame, new_chunks: DataFrame, now: Column) -> DataFrame:
-    """Delete all queue rows of each page in ``new_chunks``, insert its chunks
-    (page, chunk_index, chunk) as Pending."""
-    kept = eq.join(new_chunks.select("page").distinct(), "page", "left_anti")
+def replace_embed_rows(eq: DataFrame, pages: DataFrame, new_chunks: DataFrame, now: Column) -> DataFrame:
+    """Delete all queue rows of each of ``pages`` (page), insert their chunks (page, chunk_index, chunk) as
+    Pending. A page that has no chunk any more is left without rows."""
+    kept = eq.join(pages.select("page").distinct(), "page", "left_anti")
     add = new_chunks.select("page", "chunk_index", "chunk", F.lit(S.PENDING).alias("status"),
                             now.alias("added_at"), now.alias("updated_at"))
     return kept.unionByName(add, allowMissingColumns=True)
@@ -206,5 +207,12 @@ def claim_embed(eq: DataFrame, pages: DataFrame, n: int, now: Column) -> DataFra
 def pages_needing_embeddings(pages: DataFrame, chunks: DataFrame, eq: DataFrame) -> DataFrame:
     """Finished pages present in neither the chunk table nor the embed queue."""
     return (pages.filter(F.col("status") == S.FINISHED)
-            .join(chunks.select("page"), "page", "left_anti")
-            .join(eq.select("page"), "page", "left_anti"))
+            .join(chunks.select("page").distinct(), "page", "left_anti")
+            .join(eq.select("page").distinct(), "page", "left_anti"))
+
+
+def start_embeddings(pages: DataFrame, chunks: DataFrame, eq: DataFrame, now: Column, size: int = ch.CHUNK_SIZE,
+                     overlap: int = ch.CHUNK_OVERLAP) -> DataFrame:
+    """The embed queue with the chunks of every page that needs embeddings: whole text chunked, blanks dropped."""
+    need = pages_needing_embeddings(pages, chunks, eq)
+    return replace_embed_rows(eq, need, ch.chunk_pages(need, size, overlap), now)

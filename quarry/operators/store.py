@@ -139,20 +139,41 @@ def collapse_aliases(pages: DataFrame, batch: DataFrame, aliases: DataFrame) ->
     return pages.join(doomed, ["source", "url"], "left_anti")
 
 
-def delete_pages(pages: DataFrame, aliases: DataFrame, edges: DataFrame, doomed: DataFrame,
-                 chunks: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Remove pages (source, url exact) and cascade to aliases, edges and chunks."""
-    gone = pages.join(doomed.select("source", "url"), ["source", "url"], "left_semi")
-    gone_ids = gone.select("page")
-    out = {
-        "pages": pages.join(gone_ids, "page", "left_anti"),
-        "aliases": aliases.join(gone.select("source", F.col("url").alias("canonical")),
-                                ["source", "canonical"], "left_anti"),
-        "edges": edges.join(gone_ids.withColumnRenamed("page", "src"), "src", "left_anti")
-                      .join(gone_ids.withColumnRenamed("page", "dest"), "dest", "left_anti"),
-    }
-    if chunks is not None:
-        out["chunks"] = chunks.join(gone_ids, "page", "left_anti")
+# What goes with a page: (table, its columns, the table it depends on, the columns they point to)
+DEPENDENTS = [
+    ("aliases", ["source", "canonical"], "pages", ["source", "url"]),
+    ("edges", ["src"], "pages", ["page"]),
+    ("edges", ["dest"], "pages", ["page"]),
+    ("referrers", ["referrer"], "pages", ["page"]),
+    ("embed_queue", ["page"], "pages", ["page"]),
+    ("chunks", ["page"], "pages", ["page"]),
+    ("vectors", ["id"], "chunks", ["id"]),
+    ("postings", ["page"], "pages", ["page"]),
+    ("doc_len", ["page"], "pages", ["page"]),
+]
+
+
+def delete_pages(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the pages doomed(source, url), exactly as spelled, and without all that depends on them.
+
+    tables: "pages" and any of the tables in DEPENDENTS. The keys of what goes
+    are written once for each table that others depend on; every other table
+    meets them in an anti join on the columns that point there.
+    """
+    out = dict(tables)
+    gone = {"pages": pin(tables["pages"].join(doomed.select("source", "url").distinct(), ["source", "url"], "left_semi")
+                         .select("page", "source", "url"))}
+    out["pages"] = tables["pages"].join(gone["pages"].select("page"), "page", "left_anti")
+    parents = {parent for *_, parent, _ in DEPENDENTS}
+    for name, columns, parent, keys in DEPENDENTS:
+        if name not in out or parent not in gone:
+            continue
+        key = gone[parent].select(*[F.col(k).alias(c) for c, k in zip(columns, keys)]).distinct()
+        if name in parents:
+            held = tables[name].columns
+            points = {k for _, _, p, ks in DEPENDENTS if p == name for k in ks}
+            gone[name] = pin(tables[name].join(key, columns, "left_semi").select(*[c for c in held if c in points]))
+        out[name] = out[name].join(key, columns, "left_anti")
     return out
 
 
@@ -173,17 +194,34 @@ def remove_outgoing(edges: DataFrame, pages: DataFrame) -> DataFrame:
     return edges.join(pages.select(F.col("page").alias("src")), "src", "left_anti")
 
 
+HUB_EDGES, MAX_HUBS = 100_000, 100_000
+
+
+def _with_degree(edges: DataFrame, end: str, name: str) -> DataFrame:
+    """edges with the number of edges that share their ``end``, in one more column.
+
+    Degrees are counted in partial sums. A hub's edges would all meet its degree
+    in one task: hubs, at most MAX_HUBS by the size a hub must have, are a
+    broadcast table instead, so their edges stay where they are.
+    """
+    deg = pin(edges.groupBy(end).agg(F.count(F.lit(1)).alias(name)))
+    total = deg.agg(F.sum(name)).first()[0] or 0
+    hub = max(HUB_EDGES, total // MAX_HUBS)
+    hubs = F.broadcast(deg.filter(F.col(name) > hub))
+    return (edges.join(hubs, end, "left_anti").join(deg.filter(F.col(name) <= hub), end)
+            .unionByName(edges.join(hubs, end)))
+
+
 def referrers(edges: DataFrame) -> DataFrame:
     """(page, referrer) pairs with each page's in-degree (no per-page arrays)."""
-    deg = edges.groupBy("dest").agg(F.count(F.lit(1)).alias("n_referrers"))
-    return edges.join(deg, "dest").select(F.col("dest").alias("page"),
-                                          F.col("src").alias("referrer"), "n_referrers")
+    return _with_degree(edges.select("src", "dest"), "dest", "n_referrers").select(
+        F.col("dest").alias("page"), F.col("src").alias("referrer"), "n_referrers")
 
 
 def references(edges: DataFrame) -> DataFrame:
     """(page, reference) pairs with each page's out-degree."""
-    deg = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n_references"))
-    return edges.join(deg, "src").select(F.col("src").alias("page"), F.col("dest").alias("reference"), "n_references")
+    return _with_degree(edges.select("src", "dest"), "src", "n_references").select(
+        F.col("src").alias("page"), F.col("dest").alias("reference"), "n_references")
 
 
 def by_ids(pages: DataFrame, ids: DataFrame | list[int]) -> DataFrame:
@@ -195,7 +233,7 @@ def by_ids(pages: DataFrame, ids: DataFrame | list[int]) -> DataFrame:
 
 def orphans(pages: DataFrame, edges: DataFrame, id_col: str = "page") -> DataFrame:
     """Pages that are never an edge destination (all sources)."""
-    return pages.join(edges.select(F.col("dest").alias(id_col)), id_col, "left_anti")
+    return pages.join(edges.select(F.col("dest").alias(id_col)).distinct(), id_col, "left_anti")
 
 
 def set_aliases(aliases: DataFrame, new: DataFrame, now: Column) -> DataFrame:

@@ -143,10 +143,7 @@ CHUNKS = """chunks AS (
                 CAST(ceil(length(c.content) / 4) AS INTEGER)) AS chunk
   FROM embeddings e JOIN corpus c ON c.page = e.vec_id // 4)"""
 
-QVEC_SELECT = """SELECT a.vec_id // 100 AS query_id,
-         CAST(list_transform(list_zip(a.embedding, b.embedding),
-              lambda p: (CAST(p[1] AS DOUBLE) + CAST(p[2] AS DOUBLE)) / 2) AS FLOAT[]) AS embedding
-  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 100 = 0"""
+QVEC_SELECT = """SELECT vec_id // 100 AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0"""
 
 QVEC = f"qvec AS ({QVEC_SELECT})"
 
@@ -154,7 +151,7 @@ QVEC = f"qvec AS ({QVEC_SELECT})"
 def cosine(a: str, b: str) -> str:
     da, db = f"CAST({a} AS DOUBLE[])", f"CAST({b} AS DOUBLE[])"
     return (f"round(1 - list_dot_product({da}, {db}) / (sqrt(list_dot_product({da}, {da}))"
-            f" * sqrt(list_dot_product({db}, {db}))), 12)")
+            f" * sqrt(list_dot_product({db}, {db}))), 12) + 0.0")
 
 
 DIST = f"""dist AS (

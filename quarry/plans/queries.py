@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import index as ix
 from ..operators import search as srch
+from ..session import pin
 from ..sources import tables as tb
 from . import oracle as O
 from .registry import cached, register
@@ -120,12 +121,23 @@ SELECT query_id, count(*) AS total, CAST(greatest(1, ceil(count(*) / 10)) AS BIG
 FROM matches GROUP BY query_id""")
 def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = corpus_index(spark, sf_dir)
-    m = srch.filter_pages(srch.score(idx, tb.word_queries(spark, sf_dir)), idx.pages, None)
+    m = srch.filter_pages(srch.match(idx, tb.word_queries(spark, sf_dir)).pages, idx.pages, None)
     return m.groupBy("query_id").agg(F.count(F.lit(1)).alias("total")).select(
         "query_id", "total",
         F.greatest(F.lit(1), F.ceil(F.col("total") / 10)).cast("long").alias("page_count"))
 
 
+@register("scored_pages", ops="F-Q5 F-Q8")
+def scored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of its matches each one-word query scores for its first page of results."""
+    idx = corpus_index(spark, sf_dir)
+    m = srch.match(idx, tb.word_queries(spark, sf_dir))
+    live = pin(srch.filter_pages(m.pages, idx.pages, None))
+    totals = pin(live.groupBy("query_id").agg(F.count(F.lit(1)).alias("total")))
+    scored = srch.best_scores(idx, m, live, totals, 10).groupBy("query_id").agg(F.count(F.lit(1)).alias("scored"))
+    return totals.join(scored, "query_id").select("query_id", "total", "scored")
+
+
 @register("search_by_source", ops="F-Q7", sql=f"""
 WITH {O.search_ctes(O.QUERY_TEXTS)}
 SELECT m.query_id, m.page, c.source, round(m.rank, 6) AS rank FROM matches m JOIN corpus c ON c.page = m.page
@@ -310,7 +322,7 @@ def lookup_via_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("alias_collapse", ops="C13", sql=f"""
 WITH {O.CORPUS}, {O.ALIASES},
 old AS (SELECT page, source, url FROM corpus
-        UNION ALL SELECT l.doc_id + 1000000, c.source, {O.http('c.url')} FROM labels l JOIN corpus c ON c.page = l.doc_id),
+        UNION ALL SELECT -l.doc_id - 1, c.source, {O.http('c.url')} FROM labels l JOIN corpus c ON c.page = l.doc_id),
 batch AS (SELECT c.source, c.url FROM labels l JOIN corpus c ON c.page = l.doc_id),
 doomed AS (SELECT a.source, a.url FROM batch b JOIN aliases a ON a.source = b.source AND a.canonical = b.url)
 SELECT page, source, url FROM old o
@@ -321,38 +333,65 @@ def alias_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = tb.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page"))
     mine = pages.join(lab, "page")
     old = pages.select("page", "source", "url").unionByName(
-        mine.select((F.col("page") + 1_000_000).alias("page"), "source", tb.http_url(F.col("url")).alias("url")))
+        mine.select((-F.col("page") - 1).alias("page"), "source", tb.http_url(F.col("url")).alias("url")))
     return st.collapse_aliases(old, mine.select("source", "url"), tb.aliases(spark, sf_dir, pages))
 
 
-EDGES_SQL = """pcount AS (SELECT count(*) AS n FROM pages),
-edges AS (
-  SELECT src, dest FROM (
-    SELECT page_id AS src, (page_id * 31 + k * 17) % (SELECT n FROM pcount) AS dest
-    FROM pages, (SELECT unnest([0, 1, 2]) AS k)) WHERE dest % 3 <> 0)"""
+ANCHOR_SQL = f"""a AS (SELECT page_id, url AS base, unnest({O.anchors('html', 'url')}) AS url FROM pages)"""
+
+
+# the link graph of the anchors: a url that is no page's gets the next free id, in order of the urls
+EDGES_SQL = f"""{ANCHOR_SQL},
+nodes AS (
+  SELECT page_id AS id, url FROM pages
+  UNION ALL SELECT (SELECT max(page_id) FROM pages) + row_number() OVER (ORDER BY url) AS id, url
+  FROM (SELECT DISTINCT url FROM a WHERE url NOT IN (SELECT url FROM pages))),
+edges AS (SELECT DISTINCT a.page_id AS src, n.id AS dest FROM a JOIN nodes n ON n.url = a.url)"""
 
 
 @register("delete_cascade", ops="C10", sql=f"""
-WITH {O.CORPUS}, {O.ALIASES}, {O.CHUNKS}, {EDGES_SQL},
-gone AS (SELECT page, source, url FROM corpus WHERE status = 3)
+WITH {O.INDEX}, {O.ALIASES}, {O.CHUNKS}, {EDGES_SQL}, {O.FRONTIER}, {O.LINKS}, {O.EMBED_QUEUE},
+q AS (SELECT id, source, {O.url_key('url')} AS k FROM frontier),
+refs AS (SELECT DISTINCT q.id AS queue_item, l.seq % 97 AS referrer FROM links l JOIN q ON q.source = l.source AND q.k = {O.url_key('l.url')}),
+gone AS (SELECT page, source, url FROM corpus WHERE status = 3),
+left_chunks AS (SELECT * FROM chunks WHERE page NOT IN (SELECT page FROM gone))
 SELECT 'alias' AS kind, a.url AS key FROM aliases a
 WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.source = a.source AND g.url = a.canonical)
 UNION ALL SELECT 'page', url FROM corpus WHERE page NOT IN (SELECT page FROM gone)
-UNION ALL SELECT 'chunk', CAST(id AS VARCHAR) FROM chunks WHERE page NOT IN (SELECT page FROM gone)
-UNION ALL SELECT 'edge', src || '>' || dest FROM edges WHERE src NOT IN (SELECT page FROM gone) AND dest NOT IN (SELECT page FROM gone)""")
+UNION ALL SELECT 'chunk', CAST(id AS VARCHAR) FROM left_chunks
+UNION ALL SELECT 'vector', CAST(e.vec_id AS VARCHAR) FROM embeddings e
+  WHERE e.vec_id NOT IN (SELECT id FROM chunks) OR e.vec_id IN (SELECT id FROM left_chunks)
+UNION ALL SELECT 'edge', src || '>' || dest FROM edges WHERE src NOT IN (SELECT page FROM gone) AND dest NOT IN (SELECT page FROM gone)
+UNION ALL SELECT 'referrer', queue_item || '<' || referrer FROM refs WHERE referrer NOT IN (SELECT page FROM gone)
+UNION ALL SELECT 'embed', CAST(id AS VARCHAR) FROM eq WHERE page NOT IN (SELECT page FROM gone)
+UNION ALL SELECT 'posting', page || ':' || count(*) FROM postings WHERE page NOT IN (SELECT page FROM gone) GROUP BY page
+UNION ALL SELECT 'position', page || ':' || count(*) FROM positions WHERE page NOT IN (SELECT page FROM gone) GROUP BY page
+UNION ALL SELECT 'length', page || ':' || CAST(dl AS BIGINT) FROM doc_len WHERE page NOT IN (SELECT page FROM gone)""")
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every table, one row kind each, when the pages in error are deleted."""
     from .. import schema as S
+    from ..operators import frontier as fr
     from ..operators import store as st
     pages = tb.corpus(spark, sf_dir)
-    doomed = pages.filter(F.col("status") == S.ERROR).select("source", "url")
-    edges = tb.edges(spark, sf_dir)
-    out = st.delete_pages(pages, tb.aliases(spark, sf_dir, pages), edges, doomed,
-                          tb.chunks(spark, sf_dir, pages))
-    return (out["aliases"].select(F.lit("alias").alias("kind"), F.col("url").alias("key"))
-            .unionByName(out["pages"].select(F.lit("page").alias("kind"), F.col("url").alias("key")))
-            .unionByName(out["chunks"].select(F.lit("chunk").alias("kind"),
-                                              F.col("id").cast("string").alias("key")))
-            .unionByName(out["edges"].select(F.lit("edge").alias("kind"), F.concat_ws(">", "src", "dest").alias("key"))))
+    idx = corpus_index(spark, sf_dir)
+    refs = fr.referrer_pairs(_fr(spark, sf_dir), tb.discovered_links(spark, sf_dir).withColumn("referrer", F.col("seq") % 97))
+    tables = {"pages": pages, "aliases": tb.aliases(spark, sf_dir, pages), "edges": tb.edges(spark, sf_dir), "referrers": refs,
+              "embed_queue": tb.embed_queue(spark, sf_dir), "chunks": tb.chunks(spark, sf_dir, pages),
+              "vectors": tb.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")),
+              "postings": idx.postings, "doc_len": idx.doc_len}
+    out = st.delete_pages(tables, pages.filter(F.col("status") == S.ERROR))
+    per = out["postings"].groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("pos")).alias("p"))
+    text = lambda c: F.col(c).cast("string")
+    rows = {"alias": (out["aliases"], F.col("url")), "page": (out["pages"], F.col("url")), "chunk": (out["chunks"], text("id")),
+            "vector": (out["vectors"], text("id")), "edge": (out["edges"], F.concat_ws(">", "src", "dest")),
+            "referrer": (out["referrers"], F.concat_ws("<", "queue_item", "referrer")), "embed": (out["embed_queue"], text("id")),
+            "posting": (per, F.concat_ws(":", "page", "n")), "position": (per, F.concat_ws(":", "page", "p")),
+            "length": (out["doc_len"], F.concat_ws(":", "page", "dl"))}
+    parts = [df.select(F.lit(kind).alias("kind"), key.alias("key")) for kind, (df, key) in rows.items()]
+    left = parts[0]
+    for part in parts[1:]:
+        left = left.unionByName(part)
+    return left
 
 
 @register("references_out", ops="C8", sql=f"""
@@ -476,26 +515,21 @@ def add_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("relink", ops="C12", sql=f"""
-WITH {O.CORPUS}, {O.ALIASES},
-n AS (SELECT count(*) AS n FROM corpus),
-links AS (
-  SELECT c.page, c.source, CASE WHEN k = 0 THEN {O.http('t.url')} ELSE t.url END AS url
-  FROM corpus c, (SELECT unnest([0, 1, 2]) AS k) ks
-  JOIN corpus t ON t.page = (c.page * 31 + ks.k * 17) % (SELECT n FROM n)),
-targets AS (SELECT page AS from_page, source, url FROM links
-            UNION ALL SELECT l.page, l.source, a.canonical FROM links l JOIN aliases a ON a.url = l.url)
-SELECT DISTINCT t.from_page AS src, c.page AS dest FROM targets t JOIN corpus c ON c.source = t.source AND c.url = t.url""")
+WITH {EDGES_SQL}
+SELECT src, dest FROM edges
+UNION SELECT dest AS src, src AS dest FROM edges WHERE dest NOT IN (SELECT page_id FROM pages)""")
 def relink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's links again: all urls of the link graph are indexed, every fourth under an alias; the edges of
+    before, the graph turned round, stay where they leave from what is no crawled page."""
     from ..operators import store as st
-    pages = tb.corpus(spark, sf_dir)
-    n = pages.select(F.count(F.lit(1))).scalar()
-    ks = pages.select("page", "source", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
-    ks = ks.withColumn("target", (F.col("page") * 31 + F.col("k") * 17) % n)
-    t = pages.select(F.col("page").alias("target"), F.col("url").alias("turl"))
-    links = ks.join(t, "target").select(
-        "page", "source", F.when(F.col("k") == 0, tb.http_url(F.col("turl"))).otherwise(F.col("turl")).alias("url"))
+    links, nodes = tb.link_nodes(spark, sf_dir)
+    nodes = pin(nodes.withColumn("source", F.lit("web")).withColumn("moved", F.col("id") % 4 == 0))
+    pages = nodes.select(F.col("id").alias("page"), "source", F.when(F.col("moved"), F.concat("url", F.lit("?moved"))).otherwise(F.col("url")).alias("url"))
+    aliases = nodes.filter("moved").select("source", "url", F.concat("url", F.lit("?moved")).alias("canonical"))
     old = tb.edges(spark, sf_dir)
-    return st.relink(old, pages.select("page"), links, pages, tb.aliases(spark, sf_dir, pages))
+    crawled = tb.read(spark, sf_dir, "pages").select(F.col("page_id").alias("page"))
+    found = links.select(F.col("page_id").alias("page"), F.lit("web").alias("source"), "url")
+    return st.relink(old.select(F.col("dest").alias("src"), F.col("src").alias("dest")), crawled, found, pages, aliases)
 
 
 @register("redirect_alias", ops="C14", sql=f"""
@@ -543,9 +577,6 @@ def canonicalize_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.canonicalize(inp, tb.aliases(spark, sf_dir, pages)).select("source", "url", "canonical")
 
 
-ANCHOR_SQL = f"""a AS (SELECT page_id, url AS base, unnest({O.anchors('html', 'url')}) AS url FROM pages)"""
-
-
 @register("anchor_links", ops="B5 B10", sql=f"""
 WITH {ANCHOR_SQL} SELECT page_id, url FROM a""")
 def anchor_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1035,26 +1066,24 @@ def pages_needing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        tb.embed_queue(spark, sf_dir)).select("page")
 
 
-@register("replace_embed_rows", ops="D13 G3", sql=f"""
-WITH {O.CORPUS}, {O.EMBED_QUEUE},
-parts AS (SELECT c.page, unnest(string_split(c.description, '. ')) AS chunk,
-                 unnest(generate_series(1, len(string_split(c.description, '. ')))) AS pos
-          FROM labels l JOIN corpus c ON c.page = l.doc_id),
-new AS (SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY pos) - 1 AS INTEGER) AS chunk_index, chunk
-        FROM parts WHERE trim(chunk) <> '')
-SELECT page, chunk_index, status FROM eq WHERE page NOT IN (SELECT page FROM new)
-UNION ALL SELECT page, chunk_index, 0 FROM new""")
+@register("replace_embed_rows", ops="D13 G1 G3")
 def replace_embed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    """The embed queue when the labelled pages are chunked again, whole; tests hold it against plain Python."""
+    from ..operators import chunks as ch
+    from ..operators import frontier as fr
+    lab = tb.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page")).distinct()
+    pages = pin(tb.corpus(spark, sf_dir).join(lab, "page", "left_semi"))
+    out = fr.replace_embed_rows(tb.embed_queue(spark, sf_dir), pages, ch.chunk_pages(pages), tb.now())
+    return out.select("page", "chunk_index", "chunk", "status")
+
+
+@register("start_embeddings", ops="D15 D13 G1 G3")
+def start_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embed queue after every finished page without chunks or queue rows is chunked and queued."""
     from ..operators import frontier as fr
     pages = tb.corpus(spark, sf_dir)
-    lab = tb.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page"))
-    parts = pages.join(lab, "page").select("page", F.posexplode(F.split("description", r"\. ")).alias("pos", "chunk"))
-    parts = parts.filter(F.trim("chunk") != "")
-    new = parts.withColumn("chunk_index", (F.row_number().over(
-        Window.partitionBy("page").orderBy("pos")) - 1).cast("int")).select("page", "chunk_index", "chunk")
-    out = fr.replace_embed_rows(tb.embed_queue(spark, sf_dir), new, tb.now())
-    return out.select("page", "chunk_index", "status")
+    out = fr.start_embeddings(pages, tb.chunks(spark, sf_dir, pages), tb.embed_queue(spark, sf_dir), tb.now())
+    return out.select("page", "chunk_index", "chunk", "status")
 
 
 @register("stale_vectors", ops="G5 G6", sql=f"""
@@ -1250,7 +1279,28 @@ SELECT a, b, r[length(b) + 1] AS cost FROM cells WHERE i = length(a)""")
 def edit_cost_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configurable edit distance of the same pairs: cheap vowel swaps."""
     from ..operators import spelling as sp
-    return sp.edit_costs_lang(_word_pairs(spark, sf_dir), _vowel_swaps(spark))
+    return sp.edit_costs_lang(_word_pairs(spark, sf_dir), _vowel_swaps(spark)).select("a", "b", "cost")
+
+
+@register("match_lengths", ops="J6 J10", sql=f"""
+WITH RECURSIVE {O.WORD_PAIRS},
+begun AS (SELECT DISTINCT left(a, (length(a) * 3 + 4) // 5) AS a, b FROM pairs),
+cells AS (
+  SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda j: (j * 100)::BIGINT) AS r FROM begun
+  UNION ALL
+  SELECT a, b, i + 1, list_reduce(list_transform(range(1, length(b) + 1), lambda j: [j::BIGINT]), lambda acc, y: list_append(acc,
+    least(acc[len(acc)] + 100, r[y[1] + 1] + 100, r[y[1]] + CASE WHEN substr(a, i + 1, 1) = substr(b, y[1], 1) THEN 0
+      WHEN contains('aeiou', substr(a, i + 1, 1)) AND contains('aeiou', substr(b, y[1], 1)) THEN 20 ELSE 150 END)), [r[1] + 100])
+  FROM cells WHERE i < length(a)),
+ends AS (SELECT a, b, r[length(b) + 1] AS whole, r[1:length(b)] AS part, list_min(r[1:length(b)]) AS least FROM cells WHERE i = length(a))
+SELECT a || '*' AS a, b, CASE WHEN least <= whole THEN least ELSE whole END AS cost,
+  CASE WHEN least <= whole THEN length(b) - list_position(list_reverse(part), least) ELSE length(b) END AS matched FROM ends""")
+def match_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three fifths of each word as a pattern for beginnings: its cost and how much of the other word it takes."""
+    from ..operators import spelling as sp
+    begun = _word_pairs(spark, sf_dir).select(
+        F.concat(F.expr("left(a, (length(a) * 3 + 4) div 5)"), F.lit("*")).alias("a"), "b").distinct()
+    return sp.edit_costs_lang(begun, _vowel_swaps(spark))
 
 
 def _vowel_swaps(spark):

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import pin
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -72,14 +73,9 @@ def chunks(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) ->
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query batch: for every vec_id divisible by 100, the element-wise mean with the next vector."""
-    e = read(spark, sf_dir, "embeddings")
-    a = e.filter("vec_id % 100 = 0").select("vec_id", F.col("embedding").alias("a"))
-    b = e.filter("vec_id % 100 = 1").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
-    return a.join(b, "vec_id").select(
-        F.floor(F.col("vec_id") / 100).cast("long").alias("query_id"),
-        F.zip_with("a", "b", lambda x, y: ((x.cast("double") + y.cast("double")) / 2)
-                   .cast("float")).alias("embedding"))
+    """Query batch: every vector whose vec_id is divisible by 100."""
+    e = read(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0")
+    return e.select(F.floor(F.col("vec_id") / 100).cast("long").alias("query_id"), "embedding")
 
 
 def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,18 +98,25 @@ def phrase_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_replace("text", r"\W+", "_").alias("q"))
 
 
-def page_count(spark: SparkSession, sf_dir: str) -> Column:
-    return read(spark, sf_dir, "pages").select(F.count(F.lit(1))).scalar()
+def link_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(links, nodes): anchors (page_id, url) parsed from every page, and (id, url) of the pages and of all they link to.
+
+    A url that is no page's gets the next free id, in order of the urls.
+    """
+    from ..operators import extract as ex
+    from ..operators.store import dense_number
+    p = read(spark, sf_dir, "pages")
+    links = pin(p.select("page_id", F.explode(ex.anchor_hrefs(ex.parsed(F.col("html")), F.col("url"))).alias("url")).distinct())
+    own = p.select(F.col("page_id").alias("id"), "url")
+    last = p.agg(F.coalesce(F.max("page_id"), F.lit(-1))).first()[0]
+    far = dense_number(links.select("url").distinct().join(own.select("url"), "url", "left_anti"), ["url"], F.lit(last), "id")
+    return links, own.unionByName(far.select("id", "url"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derived link graph (src, dest) over ``pages`` ids; self edges kept."""
-    p = read(spark, sf_dir, "pages").select("page_id")
-    n = page_count(spark, sf_dir)
-    e = p.select(F.col("page_id").alias("src"),
-                 F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
-    e = e.select("src", ((F.col("src") * 31 + F.col("k") * 17) % n).cast("long").alias("dest"))
-    return e.filter(F.col("dest") % 3 != 0)
+    """Link graph (src, dest) of the parsed anchors over page and url ids; self edges kept."""
+    links, nodes = link_nodes(spark, sf_dir)
+    return links.join(nodes, "url").select(F.col("page_id").alias("src"), F.col("id").cast("long").alias("dest"))
 
 
 def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
