@@ -11,10 +11,15 @@ from . import phonetic as P
 
 
 def register(spark: SparkSession, rules: list[tuple[int, str, str, int]] | None = None) -> None:
-    """translit(w), edit_cost(pattern, w), match_length(pattern, w) and edit_cost_lang(a, b, lang).
+    """translit(w), phonetic_key(w), script_code(w), edit_cost(pattern, w), match_length(pattern, w) and
+    edit_cost_lang(a, b, lang).
 
-    ``rules`` is the cost table (lang, from, to, cost) of edit_cost_lang.
+    ``rules`` is the cost table (lang, from, to, cost) of edit_cost_lang. Keys and
+    script codes are SQL expressions, so they stay inside the engine's code.
     """
+    for name, kind, body in (("phonetic_key", "STRING", P.phonetic_key_sql("w")), ("script_code", "INT", P.script_code_sql("w"))):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(w STRING) RETURNS {kind} RETURN {body}")
+
     @F.pandas_udf(T.StringType())
     def translit(w: pd.Series) -> pd.Series:
         return w.map(lambda x: None if x is None else P.translit(x))

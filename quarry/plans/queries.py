@@ -158,40 +158,56 @@ def search_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "rn", "page", "url", r6("rank"), r6("score"), "total", "page_count")
 
 
+def _chunk_texts(spark, sf_dir):
+    """Chunks of the whole corpus with their text (G1-G3), written once."""
+    return cached(spark, sf_dir, "chunk texts", lambda: pin(_page_chunks(spark, sf_dir)))
+
+
+def _embedder(spark, sf_dir):
+    """Vectors of the corpus's own: hashed TF-IDF of its chunks, projected."""
+    from ..operators import embedding as em
+    return cached(spark, sf_dir, "embedder", lambda: em.fit(_chunk_texts(spark, sf_dir), "chunk"))
+
+
 def _embedded_chunks(spark, sf_dir):
-    """Chunks of the whole corpus with their text and vectors (G1-G4), written once."""
+    """Chunks of the whole corpus with their text and vectors, written once."""
     from ..operators import chunks as ch
-    from ..session import pin
+    from ..operators import store as st
 
     def make():
-        pages = tb.corpus(spark, sf_dir)
-        text = pin(ch.chunk_pages(pages))
-        vec = ch.embed_chunks(text).filter("status = 2").select("page", "chunk_index", "embedding")
-        return pin(text.join(vec, ["page", "chunk_index"]).join(pages.select("page", "source", "status"), "page")
-                   .withColumn("id", F.col("page") * 100_000 + F.col("chunk_index")))
+        pages, text = tb.corpus(spark, sf_dir), _chunk_texts(spark, sf_dir)
+        vec = ch.embed_chunks(text, embedder=_embedder(spark, sf_dir)).filter("status = 2").select("page", "chunk_index", "embedding")
+        rows = text.join(vec, ["page", "chunk_index"]).join(pages.select("page", "source", "status"), "page")
+        return pin(st.dense_number(rows, ["page", "chunk_index"], F.lit(0), "id"))
     return cached(spark, sf_dir, "chunks", make)
 
 
 @register("similarity_entry", ops="H5 H13")
 def similarity_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest chunks of every benchmark text, from its text."""
-    from ..operators import chunks as ch
     from ..operators import vectors as vx
     res = vx.similarity_entry(_embedded_chunks(spark, sf_dir), tb.corpus(spark, sf_dir),
-                              tb.query_texts(spark, sf_dir), ch.hashing_embedder)
+                              tb.query_texts(spark, sf_dir), _embedder(spark, sf_dir))
     return res.select("query_id", "source", "id", "page", "url", "title", r6("similarity"))
 
 
 @register("hybrid_entry", ops="H5 H11 H12")
 def hybrid_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused results of every benchmark text: corrected lexical side, embedded raw text, shown text."""
-    from ..operators import chunks as ch
     from ..operators import hybrid as hy
     out = hy.hybrid_entry(corpus_index(spark, sf_dir), _embedded_chunks(spark, sf_dir), _dictionary(spark, sf_dir),
-                          tb.query_texts(spark, sf_dir), ch.hashing_embedder)
+                          tb.query_texts(spark, sf_dir), _embedder(spark, sf_dir))
     return out.select("query_id", "page", "url", "fts_rank", "vec_rank", r6("vec_distance"), r6("combined_rank"), "title", "content")
 
 
+@register("knn_skipped", ops="H1")
+def knn_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many chunks of the corpus each benchmark text is and is not compared with for its ten nearest."""
+    from ..operators import vectors as vx
+    q = vx.embed_queries(tb.query_texts(spark, sf_dir), _embedder(spark, sf_dir))
+    return vx.knn_work(_embedded_chunks(spark, sf_dir).select("id", "embedding"), q, 10)
+
+
 @register("parse_query", ops="F-Q1", sql=f"""
 SELECT item_id AS query_id, '"' || array_to_string({O.words('text')}, '" "') || '"*' AS expr
 FROM benchmark""")
@@ -1051,8 +1067,21 @@ def chunk_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("embed_chunks", ops="G4 G7 K4")
 def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk's vector."""
+    from ..operators import chunks as ch
+    return ch.embed_chunks(_chunk_texts(spark, sf_dir), embedder=_embedder(spark, sf_dir))
+
+
+@register("replace_chunks", ops="G5")
+def replace_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table after the labelled pages are chunked at half the size and pages that are not finished lose theirs."""
+    from .. import schema as S
     from ..operators import chunks as ch
-    return ch.embed_chunks(_page_chunks(spark, sf_dir))
+    lab = tb.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page")).distinct().withColumn("again", F.lit(True))
+    pages = pin(tb.corpus(spark, sf_dir).join(lab, "page", "left").filter("again").unionByName(
+        tb.corpus(spark, sf_dir).join(lab, "page", "left_anti").filter(F.col("status") != S.FINISHED).withColumn("again", F.lit(False))))
+    new = ch.chunk_pages(pages.filter("again"), ch.CHUNK_SIZE // 2, ch.CHUNK_OVERLAP // 2)
+    return ch.replace_chunks(_chunk_texts(spark, sf_dir), pages, new).select("page", "chunk_index", "chunk")
 
 
 @register("pages_needing_embeddings", ops="D15", sql=f"""
@@ -1176,15 +1205,12 @@ def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(t["queue"].select(F.lit("queue").alias("kind"), "source", "url", none.alias("other"))))
 
 
-@register("stream_embed", ops="K4 G1 G3 G4", sql=r"""
-WITH w AS (SELECT doc_id AS page, len(regexp_extract_all(text, '\S+')) AS n FROM documents)
-SELECT page, true AS numbered, true AS embedded FROM w WHERE n > 0""")
+@register("stream_embed", ops="K4 G1 G3 G4")
 def stream_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose chunks a stream has embedded: numbered from 0 without a gap, each with a vector."""
+    """Chunks and vectors of documents as a stream brings them; tests hold them against the batch path."""
     from ..streaming import jobs
-    out = jobs.run_available(jobs.embedding(jobs.file_stream(spark, sf_dir, "documents")), "embed")
-    return out.groupBy("page").agg(
-        (F.max("chunk_index") == F.count(F.lit(1)) - 1).alias("numbered"), F.min(F.size("embedding") == 64).alias("embedded"))
+    out = jobs.run_available(jobs.embedding(jobs.file_stream(spark, sf_dir, "documents"), _embedder(spark, sf_dir)), "embed")
+    return out.select("page", "chunk_index", "embedding", "status")
 
 
 @register("stream_frontier_dedupe", ops="K2", sql=f"""

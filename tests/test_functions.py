@@ -1,5 +1,9 @@
 """Registered SQL functions, named stream folders that resume, sinks by source."""
+from pyspark.sql import functions as F
+
+from quarry.functions import phonetic as P
 from quarry.functions.registered import register
+from quarry.operators import chunks as ch
 from quarry.sources import tables as tb
 from quarry.streaming import jobs
 
@@ -9,12 +13,17 @@ def test_sql_functions(spark):
     r = spark.sql("SELECT translit('café') a, edit_cost('bat', 'bad') b, match_length('wa*', 'water') c, "
                   "edit_cost_lang('phone', 'fone', 1) d, edit_cost_lang('phone', 'fone', 2) e").first()
     assert (r.a, r.b, r.d) == ("cafe", 40, 10) and r.c == 2 and r.e == 250
+    words = spark.createDataFrame([(w,) for w in ("gnome", "wrist", "o'hara", "'yes", "b2--c", "a b", "", "Привет", "αβ", "12", "x¡", "hЖ", None)], "w string")
+    words.createOrReplaceTempView("some_words")
+    got = spark.sql("SELECT w, phonetic_key(w) k, script_code(w) c FROM some_words").collect()
+    want = words.select("w", P.phonetic_key(F.col("w")).alias("k"), P.script_code(F.col("w")).alias("c")).collect()
+    assert got == want and got[0].k == "MAMA"
 
 
 def test_a_named_stream_resumes(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([(1, "One two."), (2, " ")], "doc_id long, text string").write.parquet(src)
-    stream = lambda: jobs.embedding(spark.readStream.schema("doc_id long, text string").parquet(src))
+    stream = lambda: jobs.embedding(spark.readStream.schema("doc_id long, text string").parquet(src), ch.hashing_embedder)
     first = sorted(r.page for r in jobs.run_available(stream(), "e", out=out).collect())
     spark.createDataFrame([(3, "Three.")], "doc_id long, text string").write.mode("append").parquet(src)
     again = sorted(r.page for r in jobs.run_available(stream(), "e", out=out).collect())

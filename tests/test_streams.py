@@ -1,4 +1,5 @@
 """Streams over tables stored as a folder of part files read the same rows as over a single file."""
+import numpy as np
 import pytest
 
 from conftest import SF
@@ -15,7 +16,7 @@ def folders(spark, tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", ["stream_ingest", "stream_pipeline", "stream_embed", "stream_frontier_dedupe", "stream_stale_reset"])
+@pytest.mark.parametrize("name", ["stream_ingest", "stream_pipeline", "stream_frontier_dedupe", "stream_stale_reset"])
 def test_a_folder_of_part_files_streams_whole(spark, folders, name):
     rows = lambda at: sorted(map(str, REGISTRY[name].build(spark, at).collect()))
     got = rows(folders)
@@ -23,6 +24,14 @@ def test_a_folder_of_part_files_streams_whole(spark, folders, name):
     assert got or name == "stream_stale_reset"
 
 
+def test_streamed_vectors_equal_the_batch(spark, folders):
+    streamed = {(r.page, r.chunk_index): r.embedding for r in REGISTRY["stream_embed"].build(spark, folders).collect()}
+    batch = {(r.page, r.chunk_index): r.embedding for r in REGISTRY["embed_chunks"].build(spark, folders).collect()}
+    assert streamed.keys() == batch.keys() and len(streamed) > 200
+    for k in batch:
+        assert np.allclose(streamed[k], batch[k], atol=1e-6) and abs(np.linalg.norm(batch[k]) - 1) < 1e-5
+
+
 def test_partition_folders_keep_their_column(spark, tmp_path):
     df = spark.createDataFrame([(i, f"t{i}", "ab"[i % 2]) for i in range(9)], "doc_id long, text string, lang string")
     df.write.partitionBy("lang").parquet(str(tmp_path / "documents.parquet"))
