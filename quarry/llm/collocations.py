@@ -26,7 +26,7 @@ many phrases of rare words are never counted. What is broadcast are filters of a
 most ``bloom.MAX_BLOCKS`` blocks. Phrases travel as 64-bit hashes of (lang, words):
 at 10^12 distinct phrases one of 2,000 reported ones meets another's hash with
 probability 10^-4. Parts are looked up by equi-joins; a lang's ranking is cut to
-``top`` in salted groups before it meets in one.
+``top`` (and ties) in salted groups before it meets in one, and only what is left is named.
 
 Defined cases: null and empty texts have no words; repeated rows and null ids
 count like all others; a null lang and the lang `und` are one; langs without
@@ -164,9 +164,8 @@ def _dealt(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
-    """(phrases, words): (m, key, n) of every phrase of 1 to longest words with n >= least, and (lang_key, words) of every lang."""
+    """(phrases, dealt): (m, key, n) of every phrase of 1 to longest words with n >= least, and the shards."""
     dealt = _dealt(docs, shards)
-    words = dealt.groupBy("lang_key").agg(F.sum(F.size("keys")).alias("words"))
     told: dict[int, list] = {m: [] for m in range(1, longest)}
     seen: dict[int, int] = dict.fromkeys(told, -1)  # the last step at whose end phrases of a length were told
     open_, closed, step = None, None, 0
@@ -185,12 +184,87 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards:
         closed = done if closed is None else closed.unionByName(done)
         open_ = total.where(~over).withColumn("told", F.col("n") >= least)
         step += 1
-    return closed, words
+    return closed, dealt
+
+
+def _places(dealt: DataFrame, candidates: DataFrame, longest: int, shards: int) -> DataFrame:
+    """(m, key, n, lang_key, words) of the candidates (m, key, n): the hashes of their words, from one place where they stand.
+
+    Shard by shard, for those that no shard before had: a frequent phrase is in the first one already.
+    """
+    def found(shard: DataFrame, wanted: DataFrame) -> DataFrame:
+        filter_ = shard.sparkSession.sparkContext.broadcast(bloom.build(wanted, "key"))
+
+        def distinct(m: int, parts: list) -> pa.RecordBatch:
+            k, lang, words = (np.concatenate(x) for x in zip(*parts))
+            k, first = np.unique(k, return_index=True)
+            words = pa.FixedSizeListArray.from_arrays(pa.array(words[first].ravel().view(np.int64)), m).cast(pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(lang[first]), words], names=["key", "lang_key", "words"])
+
+        def run(batches):
+            held: dict[int, list] = {m: [] for m in range(2, longest + 1)}
+            size = dict.fromkeys(held, 0)
+            for b in batches:
+                col = b.column("keys")
+                keys = col.flatten().to_numpy().view(np.uint64)
+                lang = np.repeat(b.column("lang_key").to_numpy(), np.diff(col.offsets.to_numpy()))
+                for m, (at, hashes) in enumerate(phrase_keys(keys, longest)[1:], 2):
+                    on = bloom.contains(hashes.view(np.int64), filter_.value)
+                    k, first = np.unique(hashes[on], return_index=True)
+                    at = at[on][first]
+                    held[m].append((k, lang[at], (keys & ~C.U64(1))[at[:, None] + np.arange(m)]))
+                    size[m] += len(k)
+                    if size[m] >= HELD:
+                        yield distinct(m, held[m])
+                        held[m], size[m] = [], 0
+            for m, parts in held.items():
+                if size[m]:
+                    yield distinct(m, parts)
+
+        rows = shard.select("lang_key", "keys").mapInArrow(run, "key long, lang_key long, words array<long>")
+        return C.pin(rows.join(wanted, "key").dropDuplicates(["key"]).select("m", "key", "n", "lang_key", "words"))
+
+    out = None
+    for i in range(shards):
+        if candidates.isEmpty():
+            break
+        got = found(dealt.where(F.col("shard") == i), candidates)
+        out = got if out is None else out.unionByName(got)
+        candidates = C.pin(candidates.join(got, "key", "left_anti"))
+    return out
 
 
-def _named(docs: DataFrame, candidates: DataFrame, longest: int) -> DataFrame:
-    """(m, key, n, lang, phrase) of the candidates (m, key, n): a Bloom filter over the scan, then an exact join."""
-    filter_ = docs.sparkSession.sparkContext.broadcast(bloom.build(candidates, "key"))
+def _with_parts(placed: DataFrame) -> DataFrame:
+    """placed with the hashes of all parts of each phrase: cuts [(k, left, right)] and inner [parts of 2 words or more]."""
+    def run(batches):
+        for b in batches:
+            m = b.column("m").to_numpy()
+            for size in np.unique(m).tolist():
+                rows = b.filter(pa.array(m == size))
+                words = rows.column("words").flatten().to_numpy().view(np.uint64).reshape(-1, size)
+                part = {}  # (first word, words) -> hashes
+                for i in range(size):
+                    key = part[i, 1] = words[:, i]
+                    for n in range(2, size - i + 1):
+                        key = part[i, n] = longer(key, words[:, i + n - 1], n)
+                count = rows.num_rows
+                cuts = pa.StructArray.from_arrays([
+                    pa.array(np.tile(np.arange(1, size, dtype=np.int32), count)),
+                    pa.array(np.stack([part[0, k] for k in range(1, size)], axis=1).ravel().view(np.int64)),
+                    pa.array(np.stack([part[k, size - k] for k in range(1, size)], axis=1).ravel().view(np.int64))], names=["k", "left", "right"])
+                inner = [part[i, n] for n in range(2, size) for i in range(size - n + 1)]
+                inner = np.stack(inner, axis=1).ravel().view(np.int64) if inner else np.zeros(0, np.int64)
+                lists = lambda v: pa.ListArray.from_arrays(
+                    pa.array(np.arange(count + 1, dtype=np.int32) * (len(v) // max(1, count))), v if isinstance(v, pa.Array) else pa.array(v))
+                yield pa.RecordBatch.from_arrays([*rows.drop_columns(["words"]).columns, lists(cuts), lists(inner)],
+                                                 names=["m", "key", "n", "lang_key", "cuts", "inner"])
+
+    return placed.mapInArrow(run, "m int, key long, n long, lang_key long, cuts array<struct<k:int,left:long,right:long>>, inner array<long>")
+
+
+def _named(docs: DataFrame, chosen: DataFrame, longest: int) -> DataFrame:
+    """(key, lang, phrase) of the chosen phrases (key): a Bloom filter over the texts, then an exact join."""
+    filter_ = docs.sparkSession.sparkContext.broadcast(bloom.build(chosen, "key"))
 
     def run(batches):
         seen: set[int] = set()
@@ -209,28 +283,8 @@ def _named(docs: DataFrame, candidates: DataFrame, longest: int) -> DataFrame:
                 [pa.array([k for k, _, _ in out], pa.int64()), b.column("lang").take(pa.array([r for _, r, _ in out], pa.int64())),
                  pa.array([t for _, _, t in out], pa.string())], names=["key", "lang", "phrase"])
 
-    return (_with_lang(docs).mapInArrow(run, "key long, lang string, phrase string").join(candidates, "key")
-            .groupBy("m", "key").agg(F.first("n").alias("n"), F.min("lang").alias("lang"), F.min("phrase").alias("phrase")))
-
-
-def _with_parts(named: DataFrame, longest: int) -> DataFrame:
-    """named with the hashes of all parts of each phrase: cuts [(k, left, right)] and inner [parts of 2 words or more]."""
-    def run(batches):
-        for b in batches:
-            keys, row, *_ = word_keys(b.column("phrase"), b.column("lang_key").to_numpy())
-            by = [dict(zip(at.tolist(), hashes.view(np.int64).tolist())) for at, hashes in phrase_keys(keys, longest)]
-            first = np.searchsorted(row, np.arange(b.num_rows))
-            cuts, inner = [], []
-            for f, m in zip(first.tolist(), b.column("m").to_pylist()):
-                cuts.append([{"k": k, "left": by[k - 1][f], "right": by[m - k - 1][f + k]} for k in range(1, m)])
-                inner.append([by[n - 1][f + i] for n in range(2, m) for i in range(m - n + 1)])
-            kind = pa.list_(pa.struct([("k", pa.int32()), ("left", pa.int64()), ("right", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cuts, kind), pa.array(inner, pa.list_(pa.int64()))],
-                                             names=[*b.schema.names, "cuts", "inner"])
-
-    return named.withColumn("lang_key", F.xxhash64("lang")).mapInArrow(
-        run, "m int, key long, n long, lang string, phrase string, lang_key long, "
-             "cuts array<struct<k:int,left:long,right:long>>, inner array<long>")
+    return (_with_lang(docs).mapInArrow(run, "key long, lang string, phrase string").join(chosen.select("key"), "key", "left_semi")
+            .groupBy("key").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase")))
 
 
 def score(a: str, left: str, right: str):
@@ -241,21 +295,28 @@ def score(a: str, left: str, right: str):
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, shards: int = SHARDS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first ``top`` phrases of every lang."""
-    counted, words = counts(docs, least, longest, shards)
+    counted, dealt = counts(docs, least, longest, shards)
     counted = C.pin(counted)
-    named = C.pin(_with_parts(_named(docs, counted.where("m > 1"), longest), longest))
+    placed = _places(dealt, counted.where("m > 1"), longest, shards)
+    if placed is None:
+        return docs.sparkSession.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
+    parts = C.pin(_with_parts(placed))
     f = counted.select(F.col("key").alias("part"), F.col("n").alias("f"))
-    cuts = named.select("key", F.col("n").alias("a"), F.explode("cuts").alias("cut")).select("key", "a", "cut.*")
+    cuts = parts.select("key", F.col("n").alias("a"), F.explode("cuts").alias("cut")).select("key", "a", "cut.*")
     cuts = cuts.join(f.withColumnsRenamed({"part": "left", "f": "l"}), "left").join(f.withColumnsRenamed({"part": "right", "f": "r"}), "right")
     best = cuts.groupBy("key").agg(F.min(F.struct(score("a", "l", "r").alias("score"), "k", "l", "r")).alias("best"))
-    longer = named.select(F.explode("inner").alias("key"), "n").groupBy("key").agg(F.max("n").alias("longer"))
-    rows = (named.join(best, "key").join(longer, "key", "left").where("longer is null or 100 * longer < 50 * n")
-            .select("lang", "lang_key", "phrase", F.col("n").alias("a"), "best.l", "best.r", "best.score"))
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
-    rows = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    return rows.join(words, "lang_key").select("lang", "rank", "phrase", "a", "l", "r", F.col("words").alias("n"), "score")
+    longer_ = parts.select(F.explode("inner").alias("key"), "n").groupBy("key").agg(F.max("n").alias("longer"))
+    rows = (parts.join(best, "key").join(longer_, "key", "left").where("longer is null or 100 * longer < 50 * n")
+            .select("lang_key", "key", F.col("n").alias("a"), "best.l", "best.r", "best.score"))
+    # the best of each lang, with all that tie with the last of them; then their names decide
+    order = [F.desc("score"), F.desc("a")]
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    rows = rows.withColumn("at", F.rank().over(Window.partitionBy("lang_key", "salt").orderBy(*order))).where(F.col("at") <= top)
+    rows = C.pin(rows.withColumn("at", F.rank().over(Window.partitionBy("lang_key").orderBy(*order))).where(F.col("at") <= top).drop("at", "salt"))
+    rows = rows.join(_named(docs, rows, longest), "key")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang_key").orderBy(*order, "phrase")).cast("long")).where(F.col("rank") <= top)
+    words = dealt.groupBy("lang_key").agg(F.sum(F.size("keys")).cast("long").alias("words"))
+    return ranked.join(words, "lang_key").select("lang", "rank", "phrase", "a", "l", "r", F.col("words").alias("n"), "score")
 
 
 SQL = r"""
