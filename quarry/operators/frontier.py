@@ -46,11 +46,12 @@ def new_only(links: DataFrame, pages: DataFrame, aliases: DataFrame) -> DataFram
     return req.join(hit, "req_id", "left_anti").drop("req_id")
 
 
-def enqueue(queue: DataFrame, links: DataFrame, now: Column) -> DataFrame:
+def enqueue(queue: DataFrame, links: DataFrame, now: Column, after: Column | None = None) -> DataFrame:
     """Insert-or-keep on (source, url_key); an existing row keeps depth and status.
 
     links: (source, url, depth, seq). New rows take the first arrival's spelling
-    and depth, status Pending, ids after the current maximum.
+    and depth, status Pending, ids after the current maximum (``after``, where
+    queue is only a part of the table).
     """
     k = ["source", "url_key"]
     q = queue.withColumn("url_key", U.url_key(F.col("url")))
@@ -58,7 +59,7 @@ def enqueue(queue: DataFrame, links: DataFrame, now: Column) -> DataFrame:
            .join(q.select(*k), k, "left_anti")
            .groupBy(*k).agg(F.min_by(F.struct("url", "depth"), F.col("seq")).alias("f"),
                             F.min("seq").alias("first_seq")))
-    max_id = queue.select(F.max("id")).scalar()
+    max_id = queue.select(F.max("id")).scalar() if after is None else after
     new = store.dense_number(new, ["first_seq"], F.coalesce(max_id, F.lit(0)), "id")
     added = new.select("id", "source", "f.url", F.lit(S.PENDING).alias("status"), "f.depth",
                        now.alias("added_at"), now.alias("updated_at"))

@@ -85,14 +85,15 @@ def dense_number(df: DataFrame, order: list[str], start: Column, out: str,
             .drop("_pid", "_mid", "_m0", "_off"))
 
 
-def upsert(pages: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
+def upsert(pages: DataFrame, batch: DataFrame, now: Column, after: Column | None = None) -> DataFrame:
     """Merge a batch of crawl results into pages.
 
     batch: (source, url, depth, status, title, description, content, error_info, seq)
     where ``seq`` orders arrivals. On a (source, url_key) conflict the page id
     and stored url are kept, depth is the minimum over old and new, every
     other field comes from the last arrival and crawled_at becomes ``now``.
-    New keys get ids after the current maximum, in order of first arrival.
+    New keys get ids after the current maximum (``after``, where pages is only a
+    part of the table), in order of first arrival.
     """
     key = ["source", "url_key"]
     b = batch.withColumn("url_key", U.url_key(F.col("url")))
@@ -109,7 +110,7 @@ def upsert(pages: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
     untouched = old.join(bkeys, key, "left_anti").drop("url_key")
     touched = old.join(bkeys, key, "left_semi")
     j = touched.alias("o").join(merged_b.alias("n"), key, "full_outer")
-    max_id = pages.select(F.max("page")).scalar()
+    max_id = pages.select(F.max("page")).scalar() if after is None else after
     is_new = F.col("o.page").isNull()
     fresh = j.filter(is_new).select(F.col("n.*"))
     fresh = (dense_number(fresh, ["first_seq"], F.coalesce(max_id, F.lit(-1)), "page")

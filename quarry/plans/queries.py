@@ -1182,27 +1182,53 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "title", "description", "canonical", "status")
 
 
-@register("stream_pipeline", ops="K1 C5 C11 C12 C13 D2 D4 D10", sql=f"""
+def _ingested(spark, sf_dir):
+    """Tables after a stream has ingested every raw page; sources whose name's length three divides have one level only."""
+    from ..functions import urls as U
+    from ..session import scratch_path
+    from ..streaming import jobs
+
+    def make():
+        folder = jobs.empty_tables(spark, scratch_path(spark, "ingest"))
+        hosts = tb.read(spark, sf_dir, "pages").select(U.hostname(F.col("url")).alias("id")).distinct()
+        sources = pin(hosts.withColumn("max_depth", F.when(F.length("id") % 3 == 0, 1).otherwise(3)))
+        return jobs.ingest_all(jobs.file_stream(spark, sf_dir, "pages", max_files=4), folder, f"{folder}/checkpoint", tb.now(), sources)
+    return cached(spark, sf_dir, "ingested", make)
+
+
+@register("stream_pipeline", ops="K1 C5 C11 C12 C13 D2 D3 D4 D10", sql=f"""
 WITH p AS (SELECT page_id, {O.hostname('url')} AS source, url AS canonical, {O.canonical_guess('url')} AS guess, html FROM pages),
 a AS (SELECT source, arg_max(guess, page_id) AS url, arg_max(canonical, page_id) AS canonical FROM p
       WHERE guess <> canonical GROUP BY source, {O.url_key('guess')}),
-l AS (SELECT DISTINCT source, u AS url FROM (SELECT source, unnest({O.anchors('html', 'canonical')}) AS u FROM p) x WHERE {O.hostname('u')} = source)
+l AS (SELECT DISTINCT source, canonical, u AS url FROM (SELECT source, canonical, unnest({O.anchors('html', 'canonical')}) AS u FROM p) x
+  WHERE {O.hostname('u')} = source AND length(source) % 3 <> 0),
+t AS (SELECT *, {O.url_key('url')} AS k FROM l
+  WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.source = l.source AND {O.url_key('p.canonical')} = {O.url_key('l.url')})
+    AND NOT EXISTS (SELECT 1 FROM a JOIN p ON p.source = a.source AND p.canonical = a.canonical WHERE a.url = l.url)),
+q AS (SELECT source, k, min(url) AS url FROM t GROUP BY source, k)
 SELECT 'page' AS kind, source, canonical AS url, '' AS other FROM p
 UNION ALL SELECT 'alias', source, url, canonical FROM a
-UNION ALL SELECT 'queue', source, min(url), '' FROM l
-  WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.source = l.source AND {O.url_key('p.canonical')} = {O.url_key('l.url')})
-    AND NOT EXISTS (SELECT 1 FROM a JOIN p ON p.source = a.source AND p.canonical = a.canonical WHERE a.url = l.url)
-  GROUP BY source, {O.url_key('url')}""")
+UNION ALL SELECT 'queue', source, url, '1' FROM q
+UNION ALL SELECT DISTINCT 'referrer', q.source, q.url, t.canonical FROM q JOIN t USING (source, k)""")
 def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages, aliases and queue after a stream has ingested every raw page."""
-    from ..session import scratch_path
-    from ..streaming import jobs
-    folder = scratch_path(spark, "ingest")
-    t = jobs.ingest_all(jobs.file_stream(spark, sf_dir, "pages"), jobs.empty_tables(spark, folder), f"{folder}/checkpoint", tb.now())
-    none = F.lit("")
-    return (t["pages"].select(F.lit("page").alias("kind"), "source", "url", none.alias("other"))
+    """Pages, aliases, queue (with depths) and referrers after a stream has ingested every raw page."""
+    t = _ingested(spark, sf_dir)
+    refs = (t["referrers"].join(t["queue"].select(F.col("id").alias("queue_item"), "source", "url"), "queue_item")
+            .join(t["pages"].select(F.col("page").alias("referrer"), F.col("url").alias("other")), "referrer"))
+    return (t["pages"].select(F.lit("page").alias("kind"), "source", "url", F.lit("").alias("other"))
             .unionByName(t["aliases"].select(F.lit("alias").alias("kind"), "source", "url", F.col("canonical").alias("other")))
-            .unionByName(t["queue"].select(F.lit("queue").alias("kind"), "source", "url", none.alias("other"))))
+            .unionByName(t["queue"].select(F.lit("queue").alias("kind"), "source", "url", F.col("depth").cast("string").alias("other")))
+            .unionByName(refs.select(F.lit("referrer").alias("kind"), "source", "url", "other")))
+
+
+@register("stream_index", ops="K1 E3 D13")
+def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vocabulary, page lengths and chunks to embed that the same stream keeps; tests hold them against a full build."""
+    t = _ingested(spark, sf_dir)
+    return (t["vocab"].select(F.lit("term").alias("kind"), F.col("term").alias("key"), "doc", "cnt")
+            .unionByName(t["doc_len"].join(t["pages"], "page").select(F.lit("length").alias("kind"), F.col("url").alias("key"), F.lit(1).cast("long").alias("doc"), F.col("dl").alias("cnt")))
+            .unionByName(t["embed_queue"].join(t["pages"].select("page", "url"), "page").groupBy("url").agg(F.count(F.lit(1)).alias("doc")).select(
+                F.lit("chunks").alias("kind"), F.col("url").alias("key"), "doc", F.col("doc").alias("cnt"))))
 
 
 @register("stream_embed", ops="K4 G1 G3 G4")
