@@ -1,13 +1,20 @@
 """Page extraction (B1-B11, A2, A3): one parser pass per page, then Catalyst columns.
 
 ``parsed`` turns a page into a struct (title, description, robots, canonical
-and link attributes, visible text of the main content) in one event-driven
-pass over the markup, in Arrow batches; URLs are resolved and statuses decided by Column
-expressions over that struct.
+and link attributes, visible text, its blocks) in one event-driven pass over the
+markup, in Arrow batches; URLs are resolved, statuses decided and the main content
+picked by Column expressions over that struct.
+
+Main content (B8) is the first article, else the first main element, that holds
+text. On other pages blocks of text are scored by length, links, sentence marks and
+what their elements are called; scores are smoothed over neighbouring blocks, and
+the run of blocks of the largest sum is the content. Where no run is worth it, the
+whole page is.
 """
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -38,8 +45,14 @@ FEED_ERROR = "Invalid feed content"
 ALTERNATE_TYPES = {"application/atom+xml", "application/rss+xml", "text/html"}
 
 
-DOC = ("struct<title:string,description:string,robots:string,canonical:string,"
-       "anchors:array<string>,alternates:array<string>,text:string>")
+# Names of elements, classes and ids that hold page parts around the content, or the content.
+AROUND = re.compile(r"nav|menu|foot|header|aside|side-?bar|breadcrumb|comment|share|social|promo|banner|advert|cookie|related|pager|login", re.I)
+INSIDE = re.compile(r"article|content|story|post|entry|body-?text|main", re.I)
+AROUND_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog"}
+
+BLOCKS = "array<struct<at:int,chars:int,links:int,marks:int,around:boolean,inside:boolean>>"
+DOC = ("struct<title:string,heading:string,description:string,robots:string,canonical:string,"
+       f"anchors:array<string>,alternates:array<string>,text:string,main:boolean,pieces:array<string>,blocks:{BLOCKS}>")
 
 
 class PageParser(HTMLParser):
@@ -59,6 +72,9 @@ class PageParser(HTMLParser):
         self.stack = []  # (tag, pieces and gap at the start, title attributes)
         self.depth_of = {}  # tag -> open elements of that tag
         self.regions = {}  # article / main -> first (start, end) in pieces
+        self.heading = self.named = None  # text of the first h1, og:title
+        self.blocks, self.new_block = [], True  # [first piece, characters, of links, sentence marks, around, inside]
+        self.around = self.inside = 0
 
     # -- text
 
@@ -66,17 +82,32 @@ class PageParser(HTMLParser):
         core = text.lstrip()
         if core:
             body = core.rstrip()
+            self._count(body)
             self.pieces.append(self.gap + body)
             self.gap = core[len(body):] + after
 
+    def _count(self, body):
+        """Text for the block that is open, or a new one."""
+        if self.new_block:
+            self.blocks.append([len(self.pieces), 0, 0, 0, self.around > 0, self.inside > 0])
+            self.new_block = False
+        block = self.blocks[-1]
+        block[1] += len(body)
+        block[2] += len(body) if self.depth_of.get("a") else 0
+        block[3] += sum(map(body.count, ".!?,;"))
+
     def _close(self):
-        tag, start, gap, labels = self.stack.pop()
+        tag, start, gap, labels, part = self.stack.pop()
         self.depth_of[tag] -= 1
+        self.around -= part < 0
+        self.inside -= part > 0
+        self.new_block |= tag in BLOCK
         if tag in NON_TEXT:
             self.hidden -= 1
         if len(self.pieces) > start:
             self.gap = " \n" if tag in BLOCK else " "
             for v in labels:  # a label keeps its own leading blanks after text
+                self._count(v)
                 self.pieces.append(self.gap + v.rstrip())
                 self.gap = v[len(v.rstrip()):] + " "
         else:
@@ -115,7 +146,12 @@ class PageParser(HTMLParser):
             return
         if tag in ("article", "main") and tag not in self.regions:
             self.regions[tag] = [len(self.pieces), None, len(self.stack)]
-        self.stack.append((tag, len(self.pieces), self.gap, labels))
+        name = f"{values.get('class', '')} {values.get('id', '')} {values.get('role', '')}"
+        part = -1 if tag in AROUND_TAGS or AROUND.search(name) else 1 if INSIDE.search(name) else 0
+        self.around += part < 0
+        self.inside += part > 0
+        self.new_block |= tag in BLOCK
+        self.stack.append((tag, len(self.pieces), self.gap, labels, part))
         self.depth_of[tag] = self.depth_of.get(tag, 0) + 1
         if tag in NON_TEXT:
             self.hidden += 1
@@ -133,8 +169,13 @@ class PageParser(HTMLParser):
         if self.title is not None and self.stack and self.stack[-1][0] == "title" and self.depth_of["title"] == 1 and not self.titled:
             self.title += data
         if not self.hidden:
+            if self.depth_of.get("h1") and not self.headed:
+                self.heading = (self.heading or "") + data
+            elif self.heading is not None:
+                self.headed = True
             self._write(data, " ")
 
+    headed = False
     titled = False
 
     def _field(self, tag, values):
@@ -143,6 +184,8 @@ class PageParser(HTMLParser):
             self.title = self.title or ""
         elif tag == "meta" and "content" in values:
             name = values.get("name", "").lower()
+            if values.get("property", "").lower() == "og:title" and self.named is None:
+                self.named = values["content"]
             if name == "description" and self.description is None:
                 self.description = values["content"]
             elif name == "robots" and self.robots is None:
@@ -156,7 +199,8 @@ class PageParser(HTMLParser):
         elif tag == "a" and "href" in values and "nofollow" not in values.get("rel", ""):
             self.anchors.append(values["href"])
 
-    def finish(self):
+    def finish(self) -> tuple[str, bool]:
+        """(text, whether it is that of an article or main element)."""
         self.close()
         while self.stack:
             self._close()
@@ -165,26 +209,30 @@ class PageParser(HTMLParser):
                 start, end, _ = self.regions[tag]
                 main = "".join(self.pieces[start:end]).strip()
                 if main:
-                    return main
-                break
-        return "".join(self.pieces).strip()
+                    return main, True
+        return "".join(self.pieces).strip(), False
 
 
 def parse_page(html: str | None) -> dict:
     p = PageParser()
     p.feed(html or "")
-    text = p.finish()
-    return {"title": (p.title or "").strip(), "description": p.description or "", "robots": p.robots or "",
-            "canonical": p.canonical, "anchors": p.anchors, "alternates": p.alternates, "text": text}
+    text, main = p.finish()
+    blocks = [] if main else [dict(zip(("at", "chars", "links", "marks", "around", "inside"), b)) for b in p.blocks]
+    return {"title": (p.title or "").strip(), "heading": " ".join((p.named or p.heading or "").split()), "description": p.description or "",
+            "robots": p.robots or "", "canonical": p.canonical, "anchors": p.anchors, "alternates": p.alternates, "text": text,
+            "main": main, "pieces": [] if main else p.pieces, "blocks": blocks}
 
 
 def visible_text(html: str | None) -> str:
-    """Main content (first article, else main, else whole page) as visible text."""
+    """Visible text of the first article, else main element, else of the whole page."""
     return parse_page(html)["text"]
 
 
-_DOC = pa.struct([("title", pa.string()), ("description", pa.string()), ("robots", pa.string()), ("canonical", pa.string()),
-                  ("anchors", pa.list_(pa.string())), ("alternates", pa.list_(pa.string())), ("text", pa.string())])
+_BLOCK = pa.struct([("at", pa.int32()), ("chars", pa.int32()), ("links", pa.int32()), ("marks", pa.int32()),
+                    ("around", pa.bool_()), ("inside", pa.bool_())])
+_DOC = pa.struct([(c, pa.string()) for c in ("title", "heading", "description", "robots", "canonical")]
+                 + [("anchors", pa.list_(pa.string())), ("alternates", pa.list_(pa.string())), ("text", pa.string()),
+                    ("main", pa.bool_()), ("pieces", pa.list_(pa.string())), ("blocks", pa.list_(_BLOCK))])
 
 
 def _parse(html: pa.Array) -> pa.Array:
@@ -240,22 +288,73 @@ def truncate_bytes(items: list[Column], budget: Column) -> list[Column]:
     return out
 
 
+LEAST_RUN = 150.0  # what a run of blocks must score to be the content
+
+
+def block_scores(blocks: Column) -> Column:
+    """array<double>: long blocks with sentences score high, links, short blocks and parts around the content low."""
+    def one(b: Column) -> Column:
+        own = b["chars"] - 2.5 * b["links"] + 10.0 * b["marks"] - 40.0
+        return F.when(b["around"], -b["chars"] - 40.0).when(b["inside"] & (own > 0), 1.25 * own).otherwise(own).cast("double")
+
+    return F.transform(blocks, one)
+
+
+def best_run(scores: Column) -> Column:
+    """struct(first, last, sum) of the run of smoothed scores with the largest sum, counted from 0; sum 0 where there is none."""
+    n, edge = F.size(scores), F.array(F.lit(0.0))
+    before = F.concat(edge, F.slice(scores, F.lit(1), F.greatest(n - 1, F.lit(0))))
+    after = F.concat(F.slice(scores, F.lit(2), F.greatest(n - 1, F.lit(0))), edge)
+    sides = F.zip_with(before, after, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
+    smooth = F.zip_with(scores, sides, lambda s, t: (2 * s + t) / 4)
+    none = F.lit(-1).cast("int")
+    start = F.struct(none.alias("first"), none.alias("last"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("run"),
+                     F.lit(0).alias("since"), F.lit(0).alias("i"))
+
+    def step(a: Column, s: Column) -> Column:
+        fresh = a["run"] <= 0
+        run, since = F.when(fresh, s).otherwise(a["run"] + s), F.when(fresh, a["i"]).otherwise(a["since"])
+        better = run > a["sum"]
+        pick = lambda x, y: F.when(better, x).otherwise(y)
+        return F.struct(pick(since, a["first"]).alias("first"), pick(a["i"], a["last"]).alias("last"), pick(run, a["sum"]).alias("sum"),
+                        run.alias("run"), since.alias("since"), (a["i"] + 1).alias("i"))
+
+    return F.aggregate(smooth, start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last"), a["sum"].alias("sum")))
+
+
+def main_content(doc: Column) -> Column:
+    """struct(text, found): text of an article or main element, else of the best run of blocks, else of the page."""
+    blocks, pieces = doc["blocks"], doc["pieces"]
+    run = best_run(block_scores(blocks))
+
+    def text_of(r: Column) -> Column:
+        first = blocks[r["first"]]["at"]
+        end = F.when(r["last"] + 1 < F.size(blocks), F.get(blocks, r["last"] + 1)["at"]).otherwise(F.size(pieces))
+        cut = F.btrim(F.array_join(F.slice(pieces, first + 1, end - first), ""), F.lit(" \n\t\r"))
+        return F.when(r["sum"] >= LEAST_RUN, F.struct(cut.alias("text"), F.lit(True).alias("found"))).otherwise(
+            F.struct(doc["text"].alias("text"), F.lit(False).alias("found")))
+
+    whole = F.struct(doc["text"].alias("text"), doc["main"].alias("found"))
+    return F.when(doc["main"] | (F.size(blocks) == 0), whole).otherwise(F.transform(F.array(run), text_of)[0])
+
+
 def page_fields(raw: DataFrame) -> DataFrame:
     """B1-B8, B11 columns of raw pages (page_id, url, html); a blocked page stops at its status."""
-    j = raw.withColumn("_doc", parsed(F.col("html")))
+    j = raw.withColumn("_doc", parsed(F.col("html"))).withColumn("_main", main_content(F.col("_doc")))
     doc, u = F.col("_doc"), F.col("url")
+    title = F.when((doc["title"] == "") & F.col("_main.found"), doc["heading"]).otherwise(doc["title"])
     blocked = robots_blocked(doc)
     none = F.array().cast("array<string>")
     open_ = lambda c, other: F.when(blocked, other).otherwise(c)
     return j.select(
         *raw.columns,
-        open_(doc["title"], F.lit("")).alias("title"),
+        open_(title, F.lit("")).alias("title"),
         open_(doc["description"], F.lit("")).alias("description"),
         open_(F.coalesce(canonical_link(doc, u), u), u).alias("canonical"),
         open_(F.lit(S.FINISHED), F.lit(S.ERROR)).cast("tinyint").alias("status"),
         open_(F.lit(""), F.lit(ROBOTS_MESSAGE)).alias("error_info"),
         open_(F.array_union(anchor_hrefs(doc, u), alternate_hrefs(doc, u)), none).alias("links"),
-        open_(doc["text"], F.lit("")).alias("content"))
+        open_(F.col("_main.text"), F.lit("")).alias("content"))
 
 
 def extract_text(raw: DataFrame) -> DataFrame:

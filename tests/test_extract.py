@@ -80,3 +80,49 @@ def test_malformed_bodies_do_not_fail_the_job(spark):
     got = {r.page_id: (r.status, r.error_info, r.links) for r in ex.fetched(df).collect()}
     assert got == {1: (3, ex.FEED_ERROR, []), 2: (4, "", []), 3: (4, "", ["https://h/ok"]), 4: (4, "", []), 5: (2, "", []),
                    6: (3, "HTTP 500", []), 7: (3, ex.FEED_ERROR, [])}
+
+
+SENTENCES = ["The river rose slowly, and by noon the lower meadows were under water.", "Nobody had seen it so high since the old bridge fell; the miller said so himself.",
+             "Three boats were tied to the church door, which had never happened before.", "When the rain stopped, the valley was a lake, quiet and brown.",
+             "It took nine days until the road could be used again, and a month until it was dry."]
+
+
+def _page(kind, i):
+    """A page without article or main element, and the sentences that are its content."""
+    own = [f"{s} Entry {i}." for s in SENTENCES]
+    links = "".join(f"<li><a href='/{k}'>Section {k} of the site</a></li>" for k in range(12))
+    ps = "".join(f"<p>{s}</p>" for s in own)
+    foot = "<div class=footer><p>Copyright by the publisher, all rights reserved, printed in the valley.</p><p>Terms. Privacy. Contact.</p></div>"
+    body = {
+        "divs": f"<div id=menu><ul>{links}</ul></div><div class=story>{ps}</div>{foot}",
+        "table": f"<table><tr><td><ul>{links}</ul></td><td>{''.join(f'<div>{s}</div>' for s in own)}</td></tr></table>{foot}",
+        "heading": f"<nav>{links}</nav><h1>Flood {i}</h1><h2>Day one</h2>{ps[:len(ps) // 2]}</p><h2>After</h2>{ps}{foot}",
+        "links inside": f"<div class=sidebar><p>Subscribe to our letter, it is free, weekly and short.</p></div>{ps.replace('river', '<a href=/r>river</a>')}<ul>{links}</ul>",
+        "bare": "<br>".join(own) + f"<ul>{links}</ul>",
+    }[kind]
+    return f"<html><head><title></title></head><body>{body}</body></html>", own
+
+
+def test_main_content_of_pages_without_article_or_main(spark):
+    kinds = ["divs", "table", "heading", "links inside", "bare"]
+    rows = [(n, "https://h/", _page(k, n)[0]) for n, k in enumerate(kinds)]
+    got = {r.page_id: r for r in ex.page_fields(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n, k in enumerate(kinds):
+        text = " ".join(got[n].content.split())
+        assert all(s in text for s in _page(k, n)[1]), (k, text)
+        assert "Section 3" not in text and "Copyright" not in text and "Subscribe" not in text, (k, text)
+    assert got[2].title == "Flood 2" and got[0].title == ""
+
+
+def test_title_and_content_fall_back_as_surveyed(spark):
+    rows = [(1, "<title> Own </title><h1>Heading</h1><article>Text of the article.</article>"),
+            (2, "<title></title><article><h1>Head <b>ing</b></h1>Text of the article.</article><h1>Other</h1>"),
+            (3, "<meta property='og:title' content='Named  so'><main>Some text.</main><h1>Heading</h1>"),
+            (4, "<h1>Short</h1><p>Too little.</p>"),
+            (5, "<article> \n </article><main>Hidden no more.</main><p>around</p>"),
+            (6, "<article></article><main></main><p>whole page</p>"), (7, ""), (8, None)]
+    df = spark.createDataFrame([(i, "https://h/", h) for i, h in rows], "page_id long, url string, html string")
+    got = {r.page_id: (r.title, r.content) for r in ex.page_fields(df).collect()}
+    assert got[1] == ("Own", "Text of the article.") and got[2][0] == "Head ing" and got[3] == ("Named so", "Some text.")
+    assert got[4] == ("", "Short \nToo little.") and got[5] == ("", "Hidden no more.") and got[6] == ("", "whole page")
+    assert got[7] == got[8] == ("", "")
