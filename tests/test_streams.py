@@ -92,3 +92,25 @@ def test_a_batch_writes_its_own_partitions(spark, folders, tmp_path):
     jobs.ingest_batch(folder, tb.now())(raw.filter("page_id <= 2"), 1)
     touched = [f for f in glob.glob(f"{folder}/pages/part=*") if stamp.get(f) != os.path.getmtime(f)]
     assert 1 <= len(touched) <= 3
+
+
+def test_late_events_reset_nothing_that_is_finished(spark, tmp_path):
+    """K3 over several micro-batches: an older Processing event after Finished, a late one that leaves a timer alone."""
+    from datetime import datetime, timedelta
+    t0 = datetime(2024, 1, 1)
+    schema = "id long, source string, url string, status int, updated_at timestamp"
+    batches = [[(1, "done", 1, 0), (2, "stuck", 1, 10), (3, "late", 1, 30)],
+               [(4, "done", 2, 50), (5, "late", 0, 5)],   # 'late': an older Pending event must not stop its timer
+               [(6, "done", 1, 20)],                      # older than Finished
+               [(7, "clock", 2, 400)]]
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame([(n, "s", u, st, t0 + timedelta(seconds=s)) for n, u, st, s in rows], schema)
+        df.coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        part = next((tmp_path / f"b{i}").glob("part-*.parquet"))
+        part.rename(tmp_path / "in" / f"{i}.parquet")
+        import os
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {(r.url, r.updated_at) for r in jobs.run_available(jobs.stale_claims(stream, "100 seconds"), "late").collect()}
+    assert got == {("stuck", t0 + timedelta(seconds=10)), ("late", t0 + timedelta(seconds=30))}
