@@ -71,7 +71,7 @@ class Runs:
         global _POW, _INV
         if len(codes) > len(_POW):
             size = max(2 * len(codes), _CHARS)
-            _POW, _INV = (np.multiply.accumulate(np.concatenate([[1], np.full(size, x, np.uint64)]).astype(np.uint64))
+            _POW, _INV = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)]))
                           for x in (_ODD, pow(_ODD, -1, 1 << 64)))
         self.sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum((codes.astype(np.uint64) + C.U64(1)) * C.U64(0xD6E8FEB86659FD93) * _POW[:len(codes)], out=self.sums[1:])

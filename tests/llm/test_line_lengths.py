@@ -2,6 +2,7 @@
 import collections
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.llm import common as C
@@ -71,6 +72,19 @@ def test_a_batch_of_pairs_is_its_pairs():
     assert linededup.near_pairs([], []).tolist() == []
 
 
+def test_runs_of_characters_hardly_ever_share_a_hash():
+    rng = np.random.default_rng(1)
+    codes = rng.integers(97, 123, 300_000).astype(np.uint32)
+    codes[200_000:200_400] = codes[:400]
+    runs = linededup.Runs(codes)
+    at = np.arange(0, 299_000, 7)
+    for n in (10, 32, 300):
+        got = runs.span(at, at + n)
+        assert len(np.unique(got)) > 0.99 * len(np.unique(np.lib.stride_tricks.sliding_window_view(codes, n)[at], axis=0))
+        assert runs.span(np.array([5]), np.array([5 + n]))[0] == runs.span(np.array([200_005]), np.array([200_005 + n]))[0] or n > 300
+    assert len(np.unique(runs.every(32))) > 299_000
+
+
 def test_lines_whose_hashes_meet_are_told_apart(spark, monkeypatch):
     C.prepare(spark)
     lines = [f"short line {i}" for i in range(12)]
