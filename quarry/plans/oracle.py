@@ -214,7 +214,8 @@ batch AS (
          'v3 ' || substr(text, 1, 80), doc_id * 2 + 1
   FROM lab WHERE toxic = 1
   UNION ALL
-  SELECT 'web', url, CAST(2 AS TINYINT), '', '', '', 1, {TITLE}, 1000000000 + page_id FROM pages)"""
+  SELECT 'web', url, CAST(2 AS TINYINT), substr(body, 1, 160), body, '', 1, {TITLE}, 1000000000 + page_id
+  FROM (SELECT *, regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g') AS body FROM pages))"""
 
 UPSERT = f"""{RECRAWL},
 nb AS (

@@ -497,6 +497,20 @@ def drop_source_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("id long, source string").parquet(path).select("id", "source")
 
 
+@register("source_sinks", ops="A5", sql=f"""
+WITH {O.CORPUS}, {O.CHUNKS}, {O.FRONTIER}, {O.LINKS}
+SELECT 'chunks' AS name, source, count(*) AS n FROM chunks GROUP BY source
+UNION ALL SELECT 'queue', source, count(*) FROM frontier GROUP BY source
+UNION ALL SELECT 'links', source, count(*) FROM links GROUP BY source""")
+def source_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks, queue and links written by source, and what a reader of each table then finds."""
+    from ..session import scratch_path
+    tables = {"chunks": tb.chunks(spark, sf_dir), "queue": _fr(spark, sf_dir), "links": tb.discovered_links(spark, sf_dir)}
+    parts = [tb.write_by_source(df, scratch_path(spark, name)).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+             .select(F.lit(name).alias("name"), "source", "n") for name, df in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @register("orphans", ops="C9", sql=f"""
 WITH {EDGES_SQL}
 SELECT page_id FROM pages WHERE page_id NOT IN (SELECT dest FROM edges)""")

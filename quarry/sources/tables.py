@@ -213,9 +213,9 @@ def recrawl_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[v.alias(k) for k, v in base.items()], F.lit(0).alias("depth"),
         F.concat(F.lit("v3 "), F.substring("text", 1, 80)).alias("title"),
         (F.col("doc_id") * 2 + 1).alias("seq"))
-    p = read(spark, sf_dir, "pages")
+    p = read(spark, sf_dir, "pages").withColumn("body", F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " "))
     fresh = p.select(F.lit("web").alias("source"), "url", F.lit(S.FINISHED).cast("tinyint").alias("status"),
-                     F.lit("").alias("description"), F.lit("").alias("content"),
+                     F.substring("body", 1, 160).alias("description"), F.col("body").alias("content"),
                      F.lit("").alias("error_info"), F.lit(1).alias("depth"),
                      title_of(F.col("html")).alias("title"),
                      (F.lit(1_000_000_000) + F.col("page_id")).alias("seq"))
