@@ -200,11 +200,12 @@ def counterfactuals(row: np.ndarray, col: np.ndarray, n: int, ids: np.ndarray):
     named = {int(c) for kind in IDENTITY for t in kind for c in np.searchsorted(ids, term_features(t))}
     for r, c in zip(row[np.isin(col, list(named))], col[np.isin(col, list(named))]):
         holds[r].add(int(c))
+    # the features of a term are the same for all documents
+    kinds = [[{int(c) for c in np.searchsorted(ids, term_features(t))} for t in kind] for kind in IDENTITY]
     for r in range(n):
         if not holds[r]:
             continue
-        for kind in IDENTITY:
-            feats = [{int(c) for c in np.searchsorted(ids, term_features(t))} for t in kind]
+        for feats in kinds:
             for i, f in enumerate(feats):
                 if f <= holds[r]:
                     for j, other in enumerate(feats):

@@ -300,3 +300,18 @@ def test_empty_tables(spark, empty):
     assert decontaminate.judge(empty, items).isEmpty() and mix.plan(empty).isEmpty() and mix.mixed(empty).isEmpty()
     assert langid.identify(empty).isEmpty() and bpe.token_counts(empty, public_tokenizers.path("byte_bpe_50k.json")).isEmpty()
     assert toxicity.toxicity(empty, spark.createDataFrame([], "doc_id long, toxic int")).isEmpty()
+
+
+def test_term_features_are_looked_up_once_for_all_documents(monkeypatch):
+    """op5: the driver's work on swapped terms does not repeat the hashing of the terms for every document."""
+    from quarry.llm import toxicity as tx
+    terms = [t for kind in tx.IDENTITY for t in kind]
+    ids = np.unique(np.concatenate([tx.term_features(t) for t in terms]))
+    cols = np.searchsorted(ids, tx.term_features(terms[0]))
+    calls, real = [], tx.term_features
+    monkeypatch.setattr(tx, "term_features", lambda t: calls.append(t) or real(t))
+    n = 500
+    pair, col, val, k = tx.counterfactuals(np.repeat(np.arange(n), len(cols)), np.tile(cols, n), n, ids)
+    one = tx.counterfactuals(np.zeros(len(cols), np.int64), cols, 1, ids)
+    assert k == n * one[3] > 0 and len(col) == n * len(one[1]) and val.tolist() == one[2].tolist() * n
+    assert len(calls) <= 4 * len(terms)
