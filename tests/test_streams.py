@@ -114,3 +114,19 @@ def test_late_events_reset_nothing_that_is_finished(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = {(r.url, r.updated_at) for r in jobs.run_available(jobs.stale_claims(stream, "100 seconds"), "late").collect()}
     assert got == {("stuck", t0 + timedelta(seconds=10)), ("late", t0 + timedelta(seconds=30))}
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_items_share_state_rows_and_leave_them_one_by_one(spark, tmp_path, monkeypatch, groups):
+    """K3: the items of one group have their own times; null sources are items too."""
+    from datetime import datetime, timedelta
+    monkeypatch.setattr(jobs, "GROUPS", groups)
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, None if i % 2 else "s", f"u{i}", i % 3, i) for i in range(30)] + [(99, "s", "last", 1, 75)] + [(50, "s", "u4", 2, 4), (51, "s", "u10", 1, 9)]
+    df = spark.createDataFrame([(n, s, u, st, t0 + timedelta(seconds=x)) for n, s, u, st, x in rows],
+                               "id long, source string, url string, status int, updated_at timestamp")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    out = jobs.run_available(jobs.stale_claims(stream), "grouped").collect()
+    assert sorted((r.url, r.updated_at) for r in out) == sorted((f"u{i}", t0 + timedelta(seconds=i)) for i in (1, 7, 10, 13))
+    assert {r.source for r in out if r.url != "u10"} == {None}
