@@ -3,6 +3,7 @@ import collections
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from quarry.llm import bpe, decontaminate, langid, linededup, minhash, mix, toxicity
