@@ -138,3 +138,11 @@ def test_pages_without_text_leave_the_embed_queue(spark):
     chunks = spark.createDataFrame([(1,)], "page long")
     started = fr.start_embeddings(pages, chunks, eq, now()).filter("page in (3, 4)").collect()
     assert [(r.page, r.chunk_index, r.chunk, r.status) for r in started] == [(3, 0, "never embedded", 0)]
+
+
+def test_a_small_batch_moves_no_page_of_the_table(spark):
+    batch = spark.createDataFrame([("lib1", "https://LIB1.test/shelf/1", 4, 2, "t", "", "b", "", 20), ("lib0", "https://lib0.test/x", 1, 2, "u", "", "c", "", 21),
+                                   (None, "https://lib0.test/x", 1, 2, "v", "", "d", "", 22)], BATCH)
+    out = st.upsert(shelf(spark), batch, now())
+    assert "hashpartitioning(source" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.page, r.source, r.title) for r in out.collect() if r.title in "tuv") == [(1, "lib1", "t"), (6, "lib0", "u"), (7, None, "v")]
