@@ -94,3 +94,25 @@ def test_lines_whose_hashes_meet_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(linededup, "line_classes", lambda docs: spark.createDataFrame([], "id long, component long"))
     monkeypatch.setattr(linededup, "occurrences", lambda docs: real(docs).withColumn("h", F.col("h").bitwiseAND(F.lit(3))))
     assert sorted(map(tuple, linededup.repeats(docs).collect())) == want and len(want) > 40
+
+
+def test_a_pair_is_given_by_one_of_its_keys(spark, monkeypatch):
+    """Lines 0-9 share 40 keys; 20 and 21 share three, of which nobody is a center at the smallest; 30 and 31 share 30 above 20 of their own."""
+    rows = [(k, i, True, i) for k in range(-20, 20) for i in range(10)]
+    rows += [(k, i, k > 100 and i == 20, i) for k in (100, 105, 110) for i in (20, 21)]
+    rows += [(k, 30, True, 30) for k in range(200, 220)] + [(k, 31, True, 31) for k in range(220, 240)]
+    rows += [(k, i, True, i) for k in range(240, 270) for i in (30, 31)]
+    left = spark.createDataFrame(rows, "key long, id long, center boolean, comp long")
+    ids = sorted({r[1] for r in rows})
+    text = spark.createDataFrame([(i, 1000, bytearray(linededup.CLASSES)) for i in ids], "h long, n int, counts binary")
+    kept = {}
+    whole = linededup.map_pairs
+    monkeypatch.setattr(linededup, "map_pairs", lambda dealt, links: kept.update(dealt=dealt, links=links) or whole(dealt, links))
+    every = {(a, b) for a in range(10) for b in range(a)} | {(21, 20), (31, 30)}
+    assert {(r.b, r.a) for r in linededup._block_pairs(left, text).collect()} == every
+    b = kept["dealt"].orderBy("key", "id").toArrow().combine_chunks().to_batches()[0]
+    key = b.column("key").to_numpy()
+    x, y = np.nonzero((key[:, None] == key) & (np.arange(len(key))[:, None] < np.arange(len(key))))
+    a, c = kept["links"](b, x, y)
+    met = collections.Counter(zip(np.maximum(a, c).tolist(), np.minimum(a, c).tolist()))
+    assert set(met) == every and all(n == 1 for pair, n in met.items() if pair != (31, 30))
