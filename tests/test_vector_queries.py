@@ -34,3 +34,14 @@ def test_knn_cosine_asks_with_every_vector(spark, tables):
     got = E.queries()["knn_cosine"](spark, at).collect()
     want = {(q, rn + 1): i for q, d in _distances(vectors).items() for rn, i in enumerate(sorted(d, key=lambda i: (d[i], i))[:10])}
     assert {(r.query_id, r.rn): r.id for r in got} == want and len(got) == len(want)
+
+
+def test_similarity_by_source_asks_with_every_vector(spark, tables):
+    at, vectors = tables
+    got = E.queries()["similarity_by_source"](spark, at).collect()
+    want = set()
+    for q, d in _distances(vectors).items():
+        for s in (0, 1):
+            near = sorted((i for i in d if i // 4 % 2 == s), key=lambda i: (d[i], i))[:10]
+            want |= {(q, i) for i in near if (i // 4) % 17 and (i // 4) % 23}  # pages that are not finished are left out afterwards
+    assert {(r.query_id, r.id) for r in got} == want and len(got) == len(want)
